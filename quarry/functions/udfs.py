@@ -1,0 +1,14 @@
+"""Arrow-batched pandas UDFs (the slow path; used only where no built-in expresses the logic).
+
+No ``from __future__ import annotations`` here: pandas_udf infers the UDF kind from real
+type hints.
+"""
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("double")
+def value_range(s: pd.Series) -> float:
+    """Grouped-aggregate example estimator for U1: max − min of a group."""
+    return float(s.max() - s.min()) if len(s) else float("nan")

@@ -3,3 +3,4 @@
 from quarry.plans.registry import REGISTRY, query  # noqa: F401
 from quarry.plans import q_profile  # noqa: F401
 from quarry.plans import q_clean  # noqa: F401,E402
+from quarry.plans import q_charts  # noqa: F401,E402
