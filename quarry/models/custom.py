@@ -169,22 +169,30 @@ class SVRModel(Model, _LinearParams, DefaultParamsReadable, DefaultParamsWritabl
     def _transform(self, df: DataFrame) -> DataFrame:
         w = self.getOrDefault(self.coefficients)
         arr = vector_to_array(F.col(self.getOrDefault(self.featuresCol)))
-        pred = F.lit(float(self.getOrDefault(self.intercept)))
+        b = float(self.getOrDefault(self.intercept))
         if self.getOrDefault(self.kernel) == "linear":
+            pred = F.lit(b)
             for i, wi in enumerate(w):
                 pred = pred + F.lit(float(wi)) * arr[i]
-        else:
-            ph = self.getOrDefault(self.phase)
-            om = self.getOrDefault(self.omega)
-            D = len(ph)
-            d = len(om) // D if D else 0
-            scale = math.sqrt(2.0 / D)
-            for j in range(D):
-                proj = F.lit(float(ph[j]))
-                for i in range(d):
-                    proj = proj + F.lit(float(om[j * d + i])) * arr[i]
-                pred = pred + F.lit(float(w[j]) * scale) * F.cos(proj)
-        return df.withColumn(self.getOrDefault(self.predictionCol), pred)
+            return df.withColumn(self.getOrDefault(self.predictionCol), pred)
+        ph = self.getOrDefault(self.phase)
+        om = self.getOrDefault(self.omega)
+        D = len(ph)
+        d = len(om) // D if D else 0
+        scale = math.sqrt(2.0 / D)
+        # compact JVM-side higher-order expression (array literals), not D·d scalar terms
+        W = F.array(*[F.lit(float(v) * scale) for v in w])
+        P = F.array(*[F.lit(float(v)) for v in ph])
+        O = F.array(*[F.lit(float(v)) for v in om])
+        x = F.col("_svr_x")
+
+        def term(acc, j):
+            proj = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), P[j],
+                               lambda a, i: a + x[i] * O[j * F.lit(d) + i])
+            return acc + W[j] * F.cos(proj)
+
+        pred = F.aggregate(F.sequence(F.lit(0), F.lit(D - 1)), F.lit(b), term)
+        return df.withColumn("_svr_x", arr).withColumn(self.getOrDefault(self.predictionCol), pred).drop("_svr_x")
 
 
 class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasSeed, DefaultParamsReadable,
@@ -203,9 +211,9 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", kernel="rbf", C=1.0,
-                 epsilon=0.1, n_components=200, steps=150, seed=42):
+                 epsilon=0.1, n_components=200, steps=100, seed=42):
         super().__init__()
-        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, steps=150, seed=42)
+        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, steps=100, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SVRModel:
@@ -234,9 +242,11 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
                 return X
         C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
         w = np.zeros(D)
-        b = float(_partial_sums(df, fc, lc, lambda X, y: np.array([len(y), y.sum()]), 2) @ np.array([0, 1]))
-        n = float(_partial_sums(df, fc, lc, lambda X, y: np.array([len(y)]), 1)[0])
-        b = b / n
+        df = df.select(fc, lc).cache()  # every step re-reads only the cached features
+        s0 = _partial_sums(df, fc, lc, lambda X, y: np.array([len(y), y.sum(), (y * y).sum()]), 3)
+        n = float(s0[0])
+        b = s0[1] / n
+        eta0 = max(math.sqrt(max(s0[2] / n - b * b, 0.0)), 1.0)
         avg_w, avg_b, cnt = np.zeros(D), 0.0, 0
         steps = self.getOrDefault(self.steps)
         for t in range(1, steps + 1):
@@ -252,13 +262,14 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
             # objective / n: (1/(2Cn))‖w‖² + mean loss
             gw = w / (C * n) + g[:D] / n
             gb = g[D] / n
-            step = 1.0 / math.sqrt(t)
+            step = eta0 / math.sqrt(t)
             w = w - step * gw
             b = b - step * gb
             if t > steps // 2:
                 avg_w += w
                 avg_b += b
                 cnt += 1
+        df.unpersist()
         w, b = avg_w / max(cnt, 1), avg_b / max(cnt, 1)
         if kernel == "rbf":
             return SVRModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),

@@ -5,3 +5,4 @@ from quarry.plans import q_profile  # noqa: F401
 from quarry.plans import q_clean  # noqa: F401,E402
 from quarry.plans import q_charts  # noqa: F401,E402
 from quarry.plans import q_models  # noqa: F401,E402
+from quarry.plans import q_sources  # noqa: F401,E402

@@ -209,3 +209,148 @@ def knn_exact(spark, sf):
 @query("knn_distance", _knn_sql(True), ops="M14 (distance weights)")
 def knn_distance(spark, sf):
     return _knn(spark, sf, "distance")
+
+
+# ------------------------------------------------------------------ iterative / non-SQL models (rows-only checks)
+
+_F3 = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _fit_metrics(spark, sf, model, features=_F3, **params):
+    tr, te = li_split(spark, sf)
+    fm = MP.fit(tr, features, "y", model, **params)
+    return rounded(evaluate(fm.transform(te), "y").withColumn("model", F.lit(model)))
+
+
+@query("tree_fit", None, ops="M9")
+def tree_fit(spark, sf):
+    return _fit_metrics(spark, sf, "tree", max_depth=5)
+
+
+@query("forest_fit", None, ops="M10 M15 (bagging)")
+def forest_fit(spark, sf):
+    return _fit_metrics(spark, sf, "forest", n_estimators=20, max_depth=8)
+
+
+@query("gbt_fit", None, ops="M11 M15 (gradient boosting)")
+def gbt_fit(spark, sf):
+    return _fit_metrics(spark, sf, "xgboost", n_estimators=30, max_depth=3)
+
+
+@query("lightgbm_fit", None, ops="M12")
+def lightgbm_fit(spark, sf):
+    return _fit_metrics(spark, sf, "lightgbm", n_estimators=30, num_leaves=15)
+
+
+@query("bayes_ridge_fit", None, ops="M8")
+def bayes_ridge_fit(spark, sf):
+    return _fit_metrics(spark, sf, "bayesian_ridge")
+
+
+@query("svr_linear_fit", None, ops="M13 (linear)")
+def svr_linear_fit(spark, sf):
+    return _fit_metrics(spark, sf, "svr", kernel="linear", C=1.0)
+
+
+@query("svr_rbf_fit", None, ops="M13 (rbf, random Fourier features)")
+def svr_rbf_fit(spark, sf):
+    return _fit_metrics(spark, sf, "svr", kernel="rbf", C=1.0)
+
+
+@query("huber_fit", None, ops="M15 (Huber)")
+def huber_fit(spark, sf):
+    return _fit_metrics(spark, sf, "huber")
+
+
+@query("isotonic_fit", None, ops="M15 (isotonic)")
+def isotonic_fit(spark, sf):
+    return _fit_metrics(spark, sf, "isotonic", features=["l_quantity"])
+
+
+@query("poly_fit", None, ops="M2 M3 (polynomial regression)")
+def poly_fit(spark, sf):
+    return _fit_metrics(spark, sf, "polynomial", degree=2)
+
+
+@query("topk_importance", None, ops="M20 O3 V14")
+def topk_importance(spark, sf):
+    from quarry.models.train import importance_table
+
+    tr, _te = li_split(spark, sf)
+    fm = MP.fit(tr, _F3, "y", "forest", n_estimators=20, max_depth=8)
+    return importance_table(fm, spark, 12)
+
+
+@query("cv5", None, ops="M17")
+def cv5(spark, sf):
+    from quarry.models.selection import cross_validate
+
+    tr, _te = li_split(spark, sf)
+    return rounded(cross_validate(tr, _F3, "y", "linear", ["l_orderkey", "l_linenumber"], 5))
+
+
+@query("auto_select", None, ops="M18")
+def auto_select_q(spark, sf):
+    from quarry.models.selection import auto_select, rank_candidates
+
+    tr, _te = li_split(spark, sf)
+    _label, _model, _params, res = auto_select(tr, _F3, "y", ["l_orderkey", "l_linenumber"], 3, parallelism=4)
+    return rounded(rank_candidates(res))
+
+
+@query("grid_search", None, ops="M19")
+def grid_search_q(spark, sf):
+    from quarry.models.selection import grid_search
+
+    tr, _te = li_split(spark, sf)
+    _fm, _best, _score, res = grid_search(tr, _F3, "y", "ridge", {"alpha": [0.1, 1.0, 10.0]},
+                                          ["l_orderkey", "l_linenumber"], 3)
+    return rounded(res)
+
+
+@query("model_roundtrip", None, ops="M22 M23 S9")
+def model_roundtrip(spark, sf):
+    from quarry.models.registry import ModelRegistry
+    from quarry.models.scoring import score
+    from quarry.session import scratch_path
+
+    tr, te = li_split(spark, sf)
+    fm = MP.fit(tr, _F3, "y", "ridge", alpha=1.0)
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    reg.save(fm, "ridge_lineitem", {"note": "roundtrip"})
+    back = reg.load("ridge_lineitem")
+    return rounded(score(back, te.select("l_orderkey", "l_linenumber", *_F3)))
+
+
+@query("train_run", None, ops="M17 M18 M20 M21 M27 M28")
+def train_run(spark, sf):
+    from quarry.models.registry import ModelRegistry
+    from quarry.models.train import report_tables, train
+    from quarry.session import scratch_path
+
+    src = li_y(spark, sf)
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    res = train(src, _F3, "y", "linear", key_cols=["l_orderkey", "l_linenumber"], registry=reg)
+    return rounded(report_tables(res, spark)["metrics"])
+
+
+@query("score_stream", None, ops="M25 (Structured Streaming)")
+def score_stream_q(spark, sf):
+    from quarry.streaming.score import file_stream, run_to_completion, score_stream
+
+    tr, _te = li_split(spark, sf)
+    fm = MP.fit(tr, _F3, "y", "linear")
+    sdf = file_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet").select("l_orderkey", "l_linenumber", *_F3)
+    return rounded(run_to_completion(score_stream(fm, sdf)))
+
+
+@query("decode_prediction", None, ops="E6")
+def decode_prediction_q(spark, sf):
+    from quarry.models.scoring import decode_prediction
+    from quarry.operators.encode import build_dictionary
+
+    li = table(spark, sf, "lineitem")
+    labels = [r["value"] for r in build_dictionary(li, "l_linestatus").orderBy("code").collect()]
+    coded = li.select("l_orderkey", "l_linenumber",
+                      F.when(F.col("l_linestatus") == labels[0], 0.2).otherwise(0.9).alias("prediction"))
+    return decode_prediction(coded, "prediction", labels, "label")
