@@ -89,7 +89,9 @@ def knn_predict(cands: DataFrame, weights: str = "uniform") -> DataFrame:
     zero = F.col("dist") == 0
     return cands.groupBy("qid").agg(
         F.when(F.count_if(zero) > 0, F.avg(F.when(zero, F.col("y"))))
-        .otherwise(F.sum(F.col("y") / F.col("dist")) / F.sum(F.lit(1.0) / F.col("dist"))).alias("prediction"))
+        # the sums skip zero distances (try_divide → NULL); that case takes the branch above
+        .otherwise(F.sum(F.try_divide(F.col("y"), F.col("dist"))) / F.sum(F.try_divide(F.lit(1.0), F.col("dist"))))
+        .alias("prediction"))
 
 
 class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):

@@ -59,11 +59,13 @@ def _is_empty_file(spark: SparkSession, path: str) -> bool:
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """S2: 'UTF-8' if the head decodes as UTF-8 (no replacement characters), else
-    'windows-1252'. A bounded head (``SNIFF_LINES`` lines) is inspected JVM-side."""
+    """S2: 'UTF-8' if the head is valid UTF-8, else 'ISO-8859-1'. Only a bounded head
+    (``SNIFF_LINES`` lines) is inspected, JVM-side (the text source keeps the raw bytes).
+    Spark 4's CSV reader accepts a fixed charset list without windows-1252; ISO-8859-1 decodes
+    every byte and equals windows-1252 outside 0x80–0x9F."""
     head = spark.read.text(path).limit(SNIFF_LINES)
-    bad = head.filter(F.instr("value", "�") > 0).limit(1).count()
-    return "windows-1252" if bad else "UTF-8"
+    bad = head.filter(~F.is_valid_utf8("value")).limit(1).count()
+    return "ISO-8859-1" if bad else "UTF-8"
 
 
 def dedupe_names(names: Sequence[str]) -> list[str]:
