@@ -173,10 +173,16 @@ def label_stats(df: DataFrame, target: str) -> LabelStats:
     return LabelStats(int(r["n"]), float(r["s"] or 0.0))
 
 
+def _lit(v: float) -> str:
+    return repr(float(v))
+
+
 def build_stages(df: DataFrame, features: Sequence[str], target: str, model: str, poly_degree: int | None = None,
-                 unknown: str = "zero", stats: LabelStats | None = None, scale: bool = True, **params):
-    """The (unfitted) stage list and the expanded feature names. String features get a
-    StringIndexer fitted here (its labels are the model's dictionary)."""
+                 unknown: str = "zero", scale: bool = True, **params):
+    """The stage list (string indexers fitted here), the expanded feature names and the label
+    statistics. Population-std standardisation (sklearn's StandardScaler) and the label's n and
+    σ_y come from ONE aggregate and are applied as a literal SQLTransformer stage; vector-typed
+    inputs use StandardScaler (sample std) × √(n/(n−1)) instead."""
     features = list(features)
     cls = classify(df.schema)
     stages, base = [], []
@@ -201,28 +207,47 @@ def build_stages(df: DataFrame, features: Sequence[str], target: str, model: str
         # same index combinations, labelled with the user's feature names
         names = [label for label, _combo in poly_terms(features, poly_degree)]
         inputs = [safe for _l, safe in pairs]
-    types = {f.name: f.dataType for f in df.schema.fields}
+    pre = PipelineModel(stages=list(stages)).transform(df) if stages else df
+    types = {f.name: f.dataType for f in pre.schema.fields}
+    vector_in = [c for c in inputs if isinstance(types.get(c), VectorUDT)]
+    y = qcol(target).cast("double")
+    exprs = [F.count(y).alias("_n"), F.stddev_pop(y).alias("_sy")]
+    sql_scale = scale and not vector_in
+    if sql_scale:
+        for i, c in enumerate(inputs):
+            x = qcol(c).cast("double")
+            exprs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+    r = pre.agg(*exprs).first()
+    stats = LabelStats(int(r["_n"]), float(r["_sy"] or 0.0))
     width = 0
     for c in inputs:
         if isinstance(types.get(c), VectorUDT):
-            size = df.select(c).first()[0].size  # one row: vectors of a feature column share a size
+            size = pre.select(qcol(c)).first()[0].size  # one row: vectors of a feature column share a size
             stages.append(VectorSizeHint(inputCol=c, size=size, handleInvalid="optimistic"))
             width += size
         else:
             width += 1
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features_raw", handleInvalid="keep"))
-    if scale:
-        stats = stats or label_stats(df, target)
+    if sql_scale:
+        cols = []
+        for i, c in enumerate(inputs):
+            m, sd = r[f"m{i}"], r[f"s{i}"]
+            m = 0.0 if m is None else m
+            sd = 1.0 if (sd is None or sd == 0 or sd != sd) else sd  # constant → 0, like sklearn
+            cols.append(f"(CAST(`{c}` AS DOUBLE) - ({_lit(m)})) / ({_lit(sd)}) AS `{c}__z`")
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__"))
+        stages.append(VectorAssembler(inputCols=[f"{c}__z" for c in inputs], outputCol="features",
+                                      handleInvalid="keep"))
+    elif scale:
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="features_raw", handleInvalid="keep"))
         stages.append(StandardScaler(withMean=True, withStd=True, inputCol="features_raw", outputCol="features_ss"))
         # sample → population std (sklearn's StandardScaler): multiply by sqrt(n / (n − 1))
         f = math.sqrt(stats.n / (stats.n - 1)) if stats.n > 1 else 1.0
         stages.append(ElementwiseProduct(scalingVec=Vectors.dense([f] * width), inputCol="features_ss",
                                          outputCol="features"))
     else:
-        stages.append(SQLTransformer(statement="SELECT *, features_raw AS features FROM __THIS__"))
-    stats = stats or label_stats(df, target)
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     stages.append(make_regressor(model, target, stats, **params))
-    return stages, names
+    return stages, names, stats
 
 
 def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", poly_degree: int | None = None,
@@ -236,8 +261,7 @@ def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linea
         poly_degree = int(params.pop("degree", 2))
     params.pop("degree", None)
     d = df.withColumn(target, qcol(target).cast("double"))
-    stats = label_stats(d, target)
-    stages, names = build_stages(d, features, target, name, poly_degree, unknown, stats, scale, **params)
+    stages, names, stats = build_stages(d, features, target, name, poly_degree, unknown, scale, **params)
     pm = Pipeline(stages=stages).fit(d)
     return FittedModel(pm, name, list(features), target, names, {**DEFAULTS[name], **params, "poly_degree": poly_degree},
                        n_train=stats.n)

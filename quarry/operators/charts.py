@@ -371,22 +371,28 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
         if a is None:
             a, b = 0.0, 1.0
         edges[c] = (a, b) if a < b else (a - 0.5, b + 0.5)
+    d = len(cols)
     cells = []
-    for cx in cols:
+    for i, cx in enumerate(cols):
         x = _x(cx)
         fx, lx = edges[cx]
-        for cy in cols:
-            if cx == cy:
-                key = F.struct(F.lit(cx).alias("col_x"), F.lit(cy).alias("col_y"),
-                               bin_index(x, fx, lx, bins).alias("bin_x"), F.lit(None).cast("bigint").alias("bin_y"))
+        for j, cy in enumerate(cols):
+            # integer cell ids keep the partial-aggregation hash map on fixed-width keys
+            if i == j:
+                key = F.struct(F.lit(i * d + j).alias("cell"), bin_index(x, fx, lx, bins).alias("bin_x"),
+                               F.lit(None).cast("bigint").alias("bin_y"))
                 ok = x.isNotNull()
             else:
                 y = _x(cy)
                 fy, ly = edges[cy]
-                key = F.struct(F.lit(cx).alias("col_x"), F.lit(cy).alias("col_y"),
-                               bin_index(x, fx, lx, grid_bins).alias("bin_x"),
+                key = F.struct(F.lit(i * d + j).alias("cell"), bin_index(x, fx, lx, grid_bins).alias("bin_x"),
                                bin_index(y, fy, ly, grid_bins).alias("bin_y"))
                 ok = x.isNotNull() & y.isNotNull()
             cells.append(F.when(ok, key))
     expanded = df.select(F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
-    return expanded.groupBy("col_x", "col_y", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
+    counts = expanded.groupBy("cell", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return counts.select(
+        F.element_at(names, (F.col("cell") / d).cast("int") + 1).alias("col_x"),
+        F.element_at(names, (F.col("cell") % d).cast("int") + 1).alias("col_y"),
+        "bin_x", "bin_y", "count")

@@ -2,19 +2,24 @@
 
 Spark's exact ``percentile`` / ``median`` / ``mode`` aggregates keep a value->count map per
 group and merge it in a single task; a group that holds a third of a 100 TB table would not
-fit. Here exact quantiles are found by *histogram refinement*:
-
-1. one partial aggregate gives n, min, max per group;
-2. each pass buckets the rows that still matter into ``buckets`` equal-width buckets of
-   their current interval (partial aggregation: at most ``buckets`` rows per group and task
-   reach the shuffle), a window over the small histogram gives cumulative counts, and every
-   wanted rank moves into the bucket that holds it (the bucket's own min/max become the new
-   closed interval);
-3. when an interval holds at most ``final_rows`` rows (or one distinct value), its rows are
-   ranked with ``row_number`` — a window partition bounded by ``final_rows``.
-
-Intervals of different ranks are identical or disjoint, so each row meets at most
-``2 * len(probs)`` interval rows in the (broadcast-sized, AQE-checked) lookup join.
+fit. Here exact quantiles take three scans with bounded state:
+
+1. one partial aggregate gives n, min, max and a Greenwald–Khanna sketch
+   (``percentile_approx``, bounded memory, mergeable) per group; the sketch brackets every
+   wanted rank between two values ``p ± 3/accuracy``;
+2. one pass counts, per bracket, the rows below it and inside it — which *verifies* the
+   bracket (a bracket that does not contain its rank falls back to the group's full range,
+   so exactness never rests on the sketch's error bound);
+3. rows inside a bracket holding at most ``final_rows`` rows are ranked with ``row_number``
+   (a window partition bounded by ``final_rows``).
+
+Brackets larger than ``final_rows`` (only for groups of more than ~accuracy·final_rows/6
+rows) go through *histogram refinement* first: each pass buckets the bracket's rows into
+``buckets`` equal-width buckets (partial aggregation: at most ``buckets`` rows per group and
+task reach the shuffle), a window over the small histogram gives cumulative counts, and the
+rank moves into the bucket that holds it (the bucket's min/max become the new interval).
+
+Each row meets at most ``2 * len(probs)`` bracket rows in the (AQE-size-checked) lookup join.
 State between passes is tiny and is checkpointed to the shared checkpoint folder.
 Linear interpolation between ranks matches ``quantile_cont`` / numpy's default.
 """
@@ -33,11 +38,23 @@ DEFAULT_BUCKETS = 4096
 DEFAULT_FINAL_ROWS = 500_000
 
 
+BROADCAST_MAX_ROWS = 200_000  # lookup tables at most this many (small, fixed-width) rows are broadcast
+
+
 def _ckpt(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a materialised lookup table: broadcast it when its row count is proven small
+    (a count of an already-checkpointed frame), otherwise a regular shuffle join (AQE's skew
+    handling splits hot keys)."""
+    if small.count() <= BROADCAST_MAX_ROWS:
+        return big.join(F.broadcast(small), on=on, how=how)
+    return big.join(small, on=on, how=how)
+
+
 def grouped_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -78,18 +95,40 @@ def grouped_quantiles(
         )
         return out.drop("_g") if added_key else out
 
-    stats = data.groupBy(*K).agg(F.count("_v").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    # pass 1: n, min, max and a bounded GK sketch bracketing every wanted rank
+    eps = 3.0 / accuracy
+    brk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    pos = {q: i + 1 for i, q in enumerate(brk)}
+    stats = data.groupBy(*K).agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
+                                 F.percentile_approx("_v", brk, accuracy).alias("_qs"))
+    tgt = F.explode(F.array(*[
+        F.struct(F.lit(p).alias("p"),
+                 F.element_at("_qs", pos[min(1.0, max(0.0, p - eps))]).alias("_lo"),
+                 F.element_at("_qs", pos[min(1.0, max(0.0, p + eps))]).alias("_hi"))
+        for p in probs]))
     targets = (
-        stats.select(*K, "_n", "_a", "_b", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
+        stats.select(*K, "_n", "_mn", "_mx", tgt.alias("_t"))
+        .select(*K, "_n", "_mn", "_mx", "_t.*")
         .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
         .withColumn("_r0", F.floor("_h").cast("bigint"))
         .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
     )
     targets = _ckpt(targets)
-    state = (
-        targets.select(*K, "_n", "_a", "_b", F.explode(F.array("_r0", "_r1")).alias("_r"))
-        .distinct()
-        .select(*K, "_r", "_a", "_b", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_cnt"))
+    # pass 2: rows below / inside each bracket (each row meets at most 2·len(probs) brackets)
+    br = targets.select(*K, "_lo", "_hi").distinct()  # a projection of a checkpointed frame
+    cnt = join_small(data, br, keys).groupBy(*K, "_lo", "_hi").agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+        F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_cnt"))
+    ranks = targets.select(*K, "_n", "_mn", "_mx", "_lo", "_hi", F.explode(F.array("_r0", "_r1")).alias("_r")).distinct()
+    st = ranks.join(cnt, on=keys + ["_lo", "_hi"], how="left")
+    ok = (F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_cnt"))
+    # a bracket that does not verify falls back to the full range (never trust the sketch bound)
+    state = st.select(
+        *K, "_r",
+        F.when(ok, F.col("_lo")).otherwise(F.col("_mn")).alias("_a"),
+        F.when(ok, F.col("_hi")).otherwise(F.col("_mx")).alias("_b"),
+        F.when(ok, F.col("_below")).otherwise(F.lit(0)).cast("bigint").alias("_below"),
+        F.when(ok, F.col("_cnt")).otherwise(F.col("_n")).cast("bigint").alias("_cnt"),
     )
     state = _ckpt(state)
     IV = keys + ["_a", "_b", "_below"]
@@ -100,7 +139,7 @@ def grouped_quantiles(
         if open_.isEmpty():
             break
         iv = open_.select(*IV).distinct()
-        inside = data.join(iv, on=keys).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
+        inside = join_small(data, iv, keys).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
         width = F.col("_b") - F.col("_a")
         bucket = F.least(F.floor((F.col("_v") - F.col("_a")) / width * buckets).cast("bigint"), F.lit(buckets - 1))
         hist = inside.groupBy(*[F.col(c) for c in IV], bucket.alias("_bk")).agg(
@@ -129,7 +168,7 @@ def grouped_quantiles(
     fiv = fin.select(*IV).distinct()
     wr = Window.partitionBy(*IV).orderBy("_v")
     ranked = (
-        data.join(fiv, on=keys)
+        join_small(data, fiv, keys)
         .filter(F.col("_v").between(F.col("_a"), F.col("_b")))
         .withColumn("_rank", F.col("_below") + F.row_number().over(wr) - 1)
     )
