@@ -3,8 +3,9 @@
 Label codes are 0..k−1 in code-point order of the string values. The dictionary is built
 distributed: distinct values (a partial-aggregated shuffle), a range-partitioned sort, and
 per-partition offsets (one small row per partition) — no global window, no driver-side list,
-so it works for dictionaries far larger than driver memory. It is joined back to the data;
-AQE broadcasts it when it is small and splits hot values when it is not.
+so it works for dictionaries far larger than driver memory. It is joined back to the data:
+broadcast when its (counted) size is small, otherwise a shuffle join whose hot values AQE
+splits.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import qcol, string_columns
+from quarry.operators.quantiles import join_small
 from quarry.session import ensure_checkpoint_dir
 
 MAX_ONEHOT_LEVELS = 25  # fixed value: one-hot only when a column has fewer distinct values
@@ -64,8 +66,7 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[Data
         dicts[c] = d.withColumnRenamed("_lv", "value").withColumnRenamed("_code", "code")
         others = [x for x in out.columns]
         out = (
-            out.withColumn("_lv", _as_label_string(c))
-            .join(d, on="_lv", how="left")
+            join_small(out.withColumn("_lv", _as_label_string(c)), d, ["_lv"], "left")
             .select(*[F.col("_code").alias(x) if x == c else qcol(x) for x in others])
         )
     return out, dicts
@@ -83,6 +84,11 @@ def one_hot(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool =
         if c not in out.columns:
             warnings.warn(f"Column '{c}' not found for encoding. Skipping.")
             continue
+        # HyperLogLog guard first: a clearly high-cardinality column never shuffles its distinct values
+        approx = out.agg(F.approx_count_distinct(qcol(c), 0.05).alias("a")).first()["a"]
+        if approx > 2 * max_levels:
+            warnings.warn(f"Column '{c}' has too many unique values for one-hot encoding. Skipping.")
+            continue
         levels = [r[0] for r in out.select(qcol(c)).filter(qcol(c).isNotNull()).distinct().limit(max_levels).collect()]
         if len(levels) >= max_levels:
             warnings.warn(f"Column '{c}' has too many unique values for one-hot encoding. Skipping.")
@@ -112,7 +118,7 @@ def apply_dictionary(df: DataFrame, col: str, dictionary: DataFrame, unknown: st
     """
     d = dictionary.select(F.col("value").alias("_lv"), F.col("code").alias("_code"))
     others = list(df.columns)
-    j = df.withColumn("_lv", F.coalesce(qcol(col).cast("string"), F.lit("nan"))).join(d, "_lv", "left")
+    j = join_small(df.withColumn("_lv", F.coalesce(qcol(col).cast("string"), F.lit("nan"))), d, ["_lv"], "left")
     if unknown == "zero":
         code = F.coalesce(F.col("_code"), F.lit(0).cast("bigint"))
     elif unknown == "error":
@@ -126,8 +132,6 @@ def decode(df: DataFrame, col: str, dictionary: DataFrame, out: str | None = Non
     """Map a (rounded) class index back to its label."""
     out = out or col
     d = dictionary.select(F.col("code").alias("_code"), F.col("value").alias("_lv"))
-    j = df.withColumn("_code", F.round(qcol(col)).cast("bigint")).join(d, "_code", "left")
-    cols = [c for c in df.columns if c != out]
-    return j.select(*[qcol(c) for c in cols], F.col("_lv").alias(out)).select(
-        *[qcol(c) for c in df.columns if c != out] + ([F.col(out)])
-    )
+    j = join_small(df.withColumn("_code", F.round(qcol(col)).cast("bigint")), d, ["_code"], "left")
+    keep = [qcol(c) for c in df.columns if c != out]
+    return j.select(*keep, F.col("_lv").alias(out))

@@ -60,4 +60,6 @@ def treat_outliers(df: DataFrame, col: str, method: str = "cap", threshold: floa
         return df.withColumn(col, capped)
     if lo is None:
         return df.limit(0)
-    return df.filter(x.between(F.lit(lo), F.lit(hi)))
+    # on the raw column so the fences reach the Parquet scan (NULL fails both; NaN sorts above hi)
+    raw = qcol(col)
+    return df.filter((raw >= F.lit(lo)) & (raw <= F.lit(hi)))
