@@ -199,21 +199,25 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
                   DefaultParamsWritable):
     """ε-insensitive SVR, objective ½‖w‖² + C·Σ max(0, |y − f(x)| − ε) (Smola & Schölkopf 2004).
 
-    Full-batch sub-gradient descent with averaged iterates; each step is ONE distributed
-    pass returning a (D+1)-vector of partial sums. kernel='linear' works on x; 'rbf' on random
+    Iterative parameter mixing (McDonald et al. 2010): each round is ONE distributed pass in
+    which every partition takes ``local_steps`` sub-gradient steps from the shared weights and
+    returns its local weights; the driver averages them by row count (a (D+2)-vector per
+    partition) and averages the iterates of the second half of the rounds. kernel='linear' works on x; 'rbf' on random
     Fourier features (Rahimi & Recht 2007) with γ = 1/(d·var(X)) ('scale'), D features."""
 
     kernel = Param(Params._dummy(), "kernel", "", typeConverter=TypeConverters.toString)
     C = Param(Params._dummy(), "C", "", typeConverter=TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "", typeConverter=TypeConverters.toFloat)
     n_components = Param(Params._dummy(), "n_components", "", typeConverter=TypeConverters.toInt)
-    steps = Param(Params._dummy(), "steps", "", typeConverter=TypeConverters.toInt)
+    steps = Param(Params._dummy(), "steps", "mixing rounds (Spark passes)", typeConverter=TypeConverters.toInt)
+    local_steps = Param(Params._dummy(), "local_steps", "local sub-gradient steps per round",
+                        typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", kernel="rbf", C=1.0,
-                 epsilon=0.1, n_components=200, steps=100, seed=42):
+                 epsilon=0.1, n_components=200, steps=16, local_steps=50, seed=42):
         super().__init__()
-        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, steps=100, seed=42)
+        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, steps=16, local_steps=50, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SVRModel:
@@ -241,31 +245,44 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
             def feats(X):
                 return X
         C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
-        w = np.zeros(D)
-        df = df.select(fc, lc).cache()  # every step re-reads only the cached features
+        df = df.select(fc, lc).cache()  # every round re-reads only the cached features
         s0 = _partial_sums(df, fc, lc, lambda X, y: np.array([len(y), y.sum(), (y * y).sum()]), 3)
         n = float(s0[0])
-        b = s0[1] / n
+        w, b = np.zeros(D), s0[1] / n
         eta0 = max(math.sqrt(max(s0[2] / n - b * b, 0.0)), 1.0)
+        rounds, local = self.getOrDefault(self.steps), self.getOrDefault(self.local_steps)
+        arr = df.select(vector_to_array(F.col(fc)).alias("x"), F.col(lc).cast("double").alias("y")).filter(
+            F.col("y").isNotNull())
         avg_w, avg_b, cnt = np.zeros(D), 0.0, 0
-        steps = self.getOrDefault(self.steps)
-        for t in range(1, steps + 1):
-            wt, bt = w.copy(), b
-
-            def grad(X, y, wt=wt, bt=bt):
-                Z = feats(X)
-                r = y - (Z @ wt + bt)
-                g = np.where(np.abs(r) > eps, -np.sign(r), 0.0)
-                return np.concatenate([Z.T @ g, [g.sum()]])
-
-            g = _partial_sums(df, fc, lc, grad, D + 1)
-            # objective / n: (1/(2Cn))‖w‖² + mean loss
-            gw = w / (C * n) + g[:D] / n
-            gb = g[D] / n
-            step = eta0 / math.sqrt(t)
-            w = w - step * gw
-            b = b - step * gb
-            if t > steps // 2:
+        for r in range(rounds):
+            w0, b0, t0 = w.copy(), b, r * local
+
+            def mix(it, w0=w0, b0=b0, t0=t0):
+                # iterative parameter mixing: local sub-gradient steps from the shared point,
+                # one weighted (D+2)-vector per partition
+                xs, ys = [], []
+                for pdf in it:
+                    if len(pdf):
+                        xs.append(np.stack(pdf["x"].to_numpy()).astype(float))
+                        ys.append(pdf["y"].to_numpy(dtype=float))
+                if not xs:
+                    yield pd.DataFrame({"s": [np.zeros(D + 2).tolist()]})
+                    return
+                Z, yv = feats(np.vstack(xs)), np.concatenate(ys)
+                wl, bl = w0.copy(), b0
+                for k in range(1, local + 1):
+                    res = yv - (Z @ wl + bl)
+                    g = np.where(np.abs(res) > eps, -np.sign(res), 0.0)
+                    step = eta0 / math.sqrt(t0 + k)
+                    wl = wl - step * (wl / (C * n) + Z.T @ g / len(yv))
+                    bl = bl - step * (g.mean())
+                m = float(len(yv))
+                yield pd.DataFrame({"s": [np.concatenate([wl * m, [bl * m, m]]).tolist()]})
+
+            parts = arr.mapInPandas(mix, "s array<double>").collect()
+            tot = np.sum([np.asarray(p_["s"]) for p_ in parts], axis=0)
+            w, b = tot[:D] / tot[D + 1], tot[D] / tot[D + 1]
+            if r >= rounds // 2:
                 avg_w += w
                 avg_b += b
                 cnt += 1
