@@ -354,3 +354,49 @@ def decode_prediction_q(spark, sf):
     coded = li.select("l_orderkey", "l_linenumber",
                       F.when(F.col("l_linestatus") == labels[0], 0.2).otherwise(0.9).alias("prediction"))
     return decode_prediction(coded, "prediction", labels, "label")
+
+
+@query(
+    "actual_vs_predicted",
+    SPLIT_CTE + ", c AS (SELECT regr_slope(y, l_quantity) AS b, regr_intercept(y, l_quantity) AS a FROM tr), "
+    "p AS (SELECT y, a + b * l_quantity AS pr FROM te, c) "
+    "SELECT round(least(min(y), min(pr)), 4) AS lo, round(greatest(max(y), max(pr)), 4) AS hi FROM p",
+    ops="V13",
+)
+def actual_vs_predicted_q(spark, sf):
+    from quarry.models.train import actual_vs_predicted
+
+    fm, _tr, te = _fit_1f(spark, sf, "linear")
+    _pts, line = actual_vs_predicted(fm.transform(te), "y")
+    return rounded(line)
+
+
+@query(
+    "importance_linear",
+    SPLIT_CTE + "SELECT 'l_quantity' AS feature, round(covar_pop(l_quantity, y) / stddev_pop(l_quantity), 4) AS score "
+    "FROM tr",
+    ops="M20 O3 (coefficients in standardised space)",
+)
+def importance_linear(spark, sf):
+    from quarry.models.train import importance_table
+
+    fm, _tr, _te = _fit_1f(spark, sf, "linear")
+    return rounded(importance_table(fm, spark, 12))
+
+
+@query("run_history", None, ops="M21 O8")
+def run_history(spark, sf):
+    import datetime as dt
+
+    from quarry.models.registry import ModelRegistry
+    from quarry.session import scratch_path
+
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    for model in ("linear", "ridge"):
+        fm, tr, te = _fit_1f(spark, sf, model)
+        a, b = evaluate(fm.transform(tr), "y").first(), evaluate(fm.transform(te), "y").first()
+        reg.append_run({"run_id": reg.next_run_id(model), "model": model,
+                        "created_at": dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
+                        "train_r2": a["r2"], "test_r2": b["r2"], "train_mse": a["mse"], "test_mse": b["mse"],
+                        "n_features": 1, "n_train": a["n"], "n_test": b["n"]})
+    return rounded(overfit_flags(reg.history()))

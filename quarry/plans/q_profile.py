@@ -131,3 +131,55 @@ def corr_matrix_lineitem(spark, sf):
 @query("shape_lineitem", "SELECT count(*) AS \"rows\", 11::BIGINT AS \"columns\" FROM lineitem", ops="A14")
 def shape_lineitem(spark, sf):
     return P.shape(table(spark, sf, "lineitem"))
+
+
+@query(
+    "profile_part",
+    profile_sql("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
+                [("p_partkey", "bigint", "numeric"), ("p_name", "string", "other"), ("p_brand", "string", "other"),
+                 ("p_type", "string", "other"), ("p_size", "int", "numeric"), ("p_retailprice", "double", "numeric")]),
+    ops="A1 A6 (ties → smallest)",
+)
+def profile_part(spark, sf):
+    return rounded(P.profile(table(spark, sf, "part")))
+
+
+@query(
+    "numeric_projection",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax "
+    "FROM lineitem",
+    ops="F3 O6",
+)
+def numeric_projection(spark, sf):
+    from quarry.functions.columns import select_type_class
+
+    return select_type_class(table(spark, sf, "lineitem"), "numeric")
+
+
+@query(
+    "drop_columns",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders",
+    ops="F1",
+)
+def drop_columns_q(spark, sf):
+    from quarry.operators.clean import drop_columns
+
+    return drop_columns(table(spark, sf, "orders"), ["o_totalprice", "o_orderpriority", "not_a_column"])
+
+
+@query(
+    "select_features",
+    "SELECT c_acctbal, c_nationkey, c_mktsegment FROM customer",
+    ops="F2",
+)
+def select_features_q(spark, sf):
+    from quarry.operators.clean import select_features
+
+    return rounded(select_features(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment"))
+
+
+@query("head_preview", None, ops="O7 (preview: the limit is the feature)")
+def head_preview(spark, sf):
+    from quarry.operators.clean import head
+
+    return head(table(spark, sf, "lineitem"), 5)
