@@ -258,25 +258,29 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
             w0, b0, t0 = w.copy(), b, r * local
 
             def mix(it, w0=w0, b0=b0, t0=t0):
-                # iterative parameter mixing: local sub-gradient steps from the shared point,
-                # one weighted (D+2)-vector per partition
-                xs, ys = [], []
+                # iterative parameter mixing: local sub-gradient steps from the shared point, one
+                # weighted (D+2)-vector per partition. Only the raw features stay in memory; the
+                # (possibly D-wide random) features are recomputed per Arrow batch.
+                batches = []
                 for pdf in it:
                     if len(pdf):
-                        xs.append(np.stack(pdf["x"].to_numpy()).astype(float))
-                        ys.append(pdf["y"].to_numpy(dtype=float))
-                if not xs:
+                        batches.append((np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)))
+                m = float(sum(len(yb) for _, yb in batches))
+                if not m:
                     yield pd.DataFrame({"s": [np.zeros(D + 2).tolist()]})
                     return
-                Z, yv = feats(np.vstack(xs)), np.concatenate(ys)
                 wl, bl = w0.copy(), b0
                 for k in range(1, local + 1):
-                    res = yv - (Z @ wl + bl)
-                    g = np.where(np.abs(res) > eps, -np.sign(res), 0.0)
+                    gw, gb = np.zeros(D), 0.0
+                    for Xb, yb in batches:
+                        Zb = feats(Xb)
+                        res = yb - (Zb @ wl + bl)
+                        g = np.where(np.abs(res) > eps, -np.sign(res), 0.0)
+                        gw += Zb.T @ g
+                        gb += g.sum()
                     step = eta0 / math.sqrt(t0 + k)
-                    wl = wl - step * (wl / (C * n) + Z.T @ g / len(yv))
-                    bl = bl - step * (g.mean())
-                m = float(len(yv))
+                    wl = wl - step * (wl / (C * n) + gw / m)
+                    bl = bl - step * (gb / m)
                 yield pd.DataFrame({"s": [np.concatenate([wl * m, [bl * m, m]]).tolist()]})
 
             parts = arr.mapInPandas(mix, "s array<double>").collect()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import classify, qcol, validate_columns
-from quarry.operators.quantiles import column_quantiles, grouped_quantiles
+from quarry.operators.quantiles import _ckpt, column_quantiles, grouped_quantiles, join_small
 
 BIN_RULES = ("fd", "auto", "sturges", "sqrt", "rice", "scott")
 
@@ -160,7 +160,7 @@ def violin(df: DataFrame, x_cat: str, y_num: str, hue: str | None = None, gridsi
                                F.min("_y").alias("_mn"), F.max("_y").alias("_mx"))
     st = st.filter((F.col("_n") >= 2) & (F.col("_sd") > 0)).withColumn("_h", F.lit(bw) * F.col("_sd")).withColumn(
         "_step", (F.col("_mx") - F.col("_mn")) / F.lit(gridsize - 1))
-    j = d.join(st, keys)
+    j = join_small(d, _ckpt(st), keys)  # one row per group: broadcast only if the count is small
     sums = j.groupBy(*keys, "_n", "_h", "_mn", "_step").agg(
         *_kde_sums(F.col("_y"), None, F.col("_h"), gridsize, start=F.col("_mn"), step=F.col("_step")))
     norm = F.lit(1.0) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
@@ -216,7 +216,8 @@ def box_stats(df: DataFrame, x_cat: str, y_num: str, hue: str | None = None, whi
     ).withColumn("_lo", F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1"))).withColumn(
         "_hi", F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1")))
     d = df.select(*[qcol(k).alias(k) for k in keys], _x(y_num).alias("_y")).filter(F.col("_y").isNotNull())
-    j = d.join(quart, keys)  # null group keys: pandas/seaborn drop them too
+    # one row per group, materialised; null group keys drop out (pandas/seaborn drop them too)
+    j = join_small(d, _ckpt(quart), keys)
     inside = F.col("_y").between(F.col("_lo"), F.col("_hi"))
     stats = j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("_y"))).alias("whisker_lo"),
