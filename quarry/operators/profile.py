@@ -1,9 +1,9 @@
 """Column profiling and plain aggregates.
 
 ``profile`` = one wide partial aggregate (counts, mean, std, min, max, skewness for every
-column, batched so each aggregate stays inside whole-stage codegen) + exact quantiles by
-histogram refinement + one ``groupBy(column, value)`` shuffle for distinct count / mode of
-the non-numeric columns. The driver never sees more than one row per column.
+column, batched so each aggregate stays inside whole-stage codegen) + exact quantiles from the
+bounded-state primitive in ``quantiles.py`` + one ``groupBy(column, value)`` shuffle for distinct
+count / mode of the non-numeric columns. The driver never sees more than one row per column.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from quarry.operators.quantiles import grouped_mode, grouped_quantiles, long_num
 
 PROFILE_COLUMNS = [
     "column", "data_type", "count", "null_count", "null_pct", "unique", "mean", "median", "std",
-    "min", "max", "q25", "q75", "skewness", "top", "freq_top",
+    "min", "max", "q25", "q75", "skewness", "top", "freq_top", "first", "last",
 ]
 
 _BATCH = 50  # columns per aggregate: ~6 expressions each keeps the agg well inside codegen limits
@@ -49,6 +49,9 @@ def _column_stats(df: DataFrame, cols: Sequence[str], cls: dict[str, str]) -> Da
                 ]
             else:
                 exprs.append(F.count(qcol(c)).alias(f"n{i}"))
+                if cls[c] == "temporal":
+                    # A7 (pinned): timestamps also report their first and last value
+                    exprs += [F.min(qcol(c)).cast("string").alias(f"fi{i}"), F.max(qcol(c)).cast("string").alias(f"la{i}")]
         wide = df.agg(*exprs)
         structs = []
         for i, c in enumerate(batch):
@@ -69,6 +72,8 @@ def _column_stats(df: DataFrame, cols: Sequence[str], cls: dict[str, str]) -> Da
                     (F.when(F.col(f"min{i}") < F.col(f"max{i}"), g1_skew(F.col(f"sk{i}"), n)) if num else nul).alias(
                         "skewness"
                     ),
+                    (F.col(f"fi{i}") if cls[c] == "temporal" else F.lit(None).cast("string")).alias("first"),
+                    (F.col(f"la{i}") if cls[c] == "temporal" else F.lit(None).cast("string")).alias("last"),
                 )
             )
         parts.append(wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
@@ -83,7 +88,8 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
 
     Numeric columns: count, missing, mean, median, sample std, min, max, 25 %, 75 %, G1 skewness.
     String / boolean / temporal columns: count, missing, distinct count, most frequent value (ties →
-    smallest; cut to 50 characters + '...') and its frequency. NaN counts as missing.
+    smallest; cut to 50 characters + '...') and its frequency; temporal columns also their first
+    and last value. NaN counts as missing.
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else list(df.columns)
@@ -129,7 +135,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
 
 def _profile_schema() -> T.StructType:
     d, s, b = T.DoubleType(), T.StringType(), T.LongType()
-    types = [s, s, b, b, d, b, d, d, d, d, d, d, d, d, s, b]
+    types = [s, s, b, b, d, b, d, d, d, d, d, d, d, d, s, b, s, s]
     return T.StructType([T.StructField(n, t) for n, t in zip(PROFILE_COLUMNS, types)])
 
 

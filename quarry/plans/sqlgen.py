@@ -33,9 +33,13 @@ def profile_sql(src: str, cols: list[tuple[str, str, str]]) -> str:
                 f"stddev_samp({x}) AS std, min({x}) AS \"min\", max({x}) AS \"max\", "
                 f"quantile_cont({x}, 0.25) AS q25, quantile_cont({x}, 0.75) AS q75, "
                 f"CASE WHEN min({x}) < max({x}) THEN skewness({x}) END AS skewness, "
-                f"NULL::VARCHAR AS top, NULL::BIGINT AS freq_top FROM src"
+                f"NULL::VARCHAR AS top, NULL::BIGINT AS freq_top, NULL::VARCHAR AS \"first\", "
+                f"NULL::VARCHAR AS \"last\" FROM src"
             )
         else:
+            temporal = dtype.startswith("timestamp") or dtype == "date"
+            fl = (f"CAST(min({c}) AS VARCHAR) AS \"first\", CAST(max({c}) AS VARCHAR) AS \"last\"" if temporal
+                  else "NULL::VARCHAR AS \"first\", NULL::VARCHAR AS \"last\"")
             x = f"CAST({c} AS VARCHAR)"
             parts.append(
                 f"SELECT {i} AS ord, '{c}' AS \"column\", '{dtype}' AS data_type, count({x}) AS \"count\", "
@@ -45,12 +49,12 @@ def profile_sql(src: str, cols: list[tuple[str, str, str]]) -> str:
                 f"NULL::DOUBLE AS q75, NULL::DOUBLE AS skewness, "
                 f"(SELECT CASE WHEN length(v) > 50 THEN substr(v, 1, 50) || '...' ELSE v END FROM "
                 f"(SELECT {x} AS v, count(*) AS cnt FROM src WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, v LIMIT 1)) AS top, "
-                f"coalesce((SELECT max(cnt) FROM (SELECT count(*) AS cnt FROM src WHERE {c} IS NOT NULL GROUP BY {x})), 0) AS freq_top "
-                f"FROM src"
+                f"coalesce((SELECT max(cnt) FROM (SELECT count(*) AS cnt FROM src WHERE {c} IS NOT NULL GROUP BY {x})), 0) AS freq_top, "
+                f"{fl} FROM src"
             )
     body = " UNION ALL ".join(parts)
     cols_out = ('"column", data_type, "count", null_count, round(null_pct, 4) AS null_pct, "unique", '
                 'round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std, round("min", 4) AS "min", '
                 'round("max", 4) AS "max", round(q25, 4) AS q25, round(q75, 4) AS q75, round(skewness, 4) AS skewness, '
-                'top, freq_top')
+                'top, freq_top, "first", "last"')
     return f"WITH src AS ({src}) SELECT {cols_out} FROM ({body}) ORDER BY ord"

@@ -108,3 +108,20 @@ def test_cleaning_demo_chain(b1):
     d, stats = T.scale(d)
     r = d.agg({"Experience": "avg"}).first()[0]
     assert math.isclose(r, 0.0, abs_tol=1e-9)
+
+
+def test_validation_and_feature_selection(b1):
+    from quarry.functions.columns import classify, select_type_class, validate_columns
+
+    with pytest.raises(ValueError):
+        validate_columns(b1, ["nope"])
+    with pytest.raises(TypeError):
+        validate_columns(b1, numeric=["City"])
+    with pytest.raises(ValueError):
+        validate_columns(b1.limit(0), ["Age"], non_empty=True)
+    assert select_type_class(b1, "numeric").columns == ["Age", "Salary", "Experience"]
+    assert classify(b1.schema)["Gender"] == "categorical"
+    with pytest.raises(ValueError):
+        C.select_features(b1, ["Age"], "Age")
+    assert C.select_features(b1, ["Age", "City"], "Salary").columns == ["Age", "City", "Salary"]
+    assert C.target_candidates(b1) == ["Age", "Salary", "Experience"]

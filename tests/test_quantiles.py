@@ -52,3 +52,17 @@ def test_mode_ties_smallest(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "v string").withColumn("g", F.lit(1))
     m = grouped_mode(df, ["g"], "v").first()
     assert (m["mode"], m["mode_count"], m["n_distinct"]) == ("a", 2, 2)
+
+
+def test_hot_group_holds_a_third(spark):
+    # one group key holds a third of all rows; refinement keeps every window partition bounded
+    rng = np.random.default_rng(11)
+    keys = ["hot"] * 600 + list(rng.choice(["a", "b", "c", "d"], 1200))
+    vals = list(rng.normal(size=1800))
+    df = _df(spark, vals, keys)
+    got = grouped_quantiles(df, ["k"], "x", [0.05, 0.5, 0.95], final_rows=25, buckets=16, accuracy=50).collect()
+    for r in got:
+        sub = [v for v, k in zip(vals, keys) if k == r["k"]]
+        assert abs(np.quantile(sub, r["p"]) - r["q"]) < 1e-12
+    m = grouped_mode(spark.createDataFrame([(k, int(v * 2)) for k, v in zip(keys, vals)], "k string, v long"), ["k"], "v")
+    assert m.count() == 5
