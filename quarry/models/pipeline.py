@@ -260,11 +260,20 @@ def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linea
     if name == "polynomial" and not poly_degree:
         poly_degree = int(params.pop("degree", 2))
     params.pop("degree", None)
-    d = df.withColumn(target, qcol(target).cast("double"))
+    extra = {}
+    if classify(df.schema).get(target) == "categorical":
+        # A string target is label-encoded (alphabetical codes); predictions decode with
+        # scoring.decode_prediction(..., labels=params['target_labels'])
+        lab = StringIndexer(inputCol=target, outputCol="_y_idx", stringOrderType="alphabetAsc",
+                            handleInvalid="skip").fit(df)
+        extra["target_labels"] = list(lab.labels)
+        d = lab.transform(df).drop(target).withColumnRenamed("_y_idx", target)
+    else:
+        d = df.withColumn(target, qcol(target).cast("double"))
     stages, names, stats = build_stages(d, features, target, name, poly_degree, unknown, scale, **params)
     pm = Pipeline(stages=stages).fit(d)
-    return FittedModel(pm, name, list(features), target, names, {**DEFAULTS[name], **params, "poly_degree": poly_degree},
-                       n_train=stats.n)
+    return FittedModel(pm, name, list(features), target, names,
+                       {**DEFAULTS[name], **params, "poly_degree": poly_degree, **extra}, n_train=stats.n)
 
 
 def importances(fm: FittedModel) -> list[tuple[str, float]]:

@@ -41,13 +41,16 @@ def get_session(master: str | None = None, app: str = "quarry", **conf) -> Spark
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Falls back to the SparkContext's checkpoint dir; a private temp folder is created
-    only when neither is set (local runs and tests).
+    Falls back to the SparkContext's checkpoint dir; a private temp folder is created only
+    when neither is set AND the master is local (tests); on a cluster that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder would not survive executor loss on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     return d

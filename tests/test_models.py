@@ -144,3 +144,14 @@ def test_score_names_defaults_and_unknown_category(spark):
     assert len(out) == 2 and all(r["Predicted_Value"] is not None for r in out)
     with pytest.raises(ValueError):
         score(fm, new.select("x"))
+
+
+def test_string_target_is_encoded_and_decodes(spark):
+    from quarry.models.scoring import decode_prediction
+
+    rows = [(float(i % 10), "hi" if i % 10 >= 5 else "lo") for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, t string")
+    fm = MP.fit(df, ["x"], "t", "tree", max_depth=2)
+    assert fm.params["target_labels"] == ["hi", "lo"]
+    out = decode_prediction(fm.transform(df), "prediction", fm.params["target_labels"], "label").collect()
+    assert all(r["label"] == ("hi" if r["x"] >= 5 else "lo") for r in out)
