@@ -67,8 +67,12 @@ def score(fm: FittedModel, df: DataFrame, out: str = "Predicted_Value", fill_def
     zero = {c: F.coalesce(qcol(c).cast("double"), F.lit(0.0)) for c in fm.features if cls.get(c) == "numeric"}
     scored_in = d.withColumns(zero) if zero else d
     keep = list(df.columns) + [c for c in fm.features if c not in df.columns and fill_defaults]
-    return fm.transform(scored_in).select(*[qcol(c) for c in d.columns if c in keep],
-                                          F.col("prediction").alias(name))
+    out = fm.transform(scored_in).select(*[qcol(c) for c in d.columns if c in keep], F.col("prediction").alias(name))
+    labels = fm.params.get("target_labels")
+    if labels:
+        # the target was label-encoded at training: report the class label
+        out = decode_prediction(out, name, labels)
+    return out
 
 
 def decode_prediction(df: DataFrame, col: str, labels: Sequence[str], out: str | None = None) -> DataFrame:

@@ -125,3 +125,16 @@ def test_validation_and_feature_selection(b1):
         C.select_features(b1, ["Age"], "Age")
     assert C.select_features(b1, ["Age", "City"], "Salary").columns == ["Age", "City", "Salary"]
     assert C.target_candidates(b1) == ["Age", "Salary", "Experience"]
+
+
+def test_workspace_reset_commit(b1):
+    from quarry.operators.workspace import Workspace
+
+    ws = Workspace(b1)
+    ws.apply(C.handle_missing)
+    ws.apply(C.drop_duplicates)
+    assert ws.current.count() == 11 and ws.history == ["handle_missing", "drop_duplicates"]
+    assert ws.reset().filter("Age IS NULL").count() == 1
+    ws.apply(C.drop_rows_with_missing)
+    committed = ws.commit()
+    assert committed.count() == 8 and ws.reset().count() == 8
