@@ -4,9 +4,10 @@ Exact kNN must compare every query with every training row; the work is inherent
 |Q|·|T|. It is distributed as a block nested-loop: queries are hashed into ``nq`` blocks and
 training rows into ``nt`` blocks (each ≤ ``block_rows``); every (query-block, train-block)
 pair is one ``cogroup`` call that computes a bounded distance matrix with numpy and emits
-only its local top-k per query. A final per-query merge keeps the global top-k (at most
-``nt·k`` candidates per query). No pair is ever emitted as a row, no group is unbounded,
-and the shuffle volume is 2·|Q|·|T|/block_rows rows.
+only its local top-k per query. A hierarchical merge then keeps k candidates per (query, group
+of 64 training blocks) per level, so no window partition ever exceeds 64·k rows however large
+the training set. No pair is ever emitted as a row, and the shuffle volume is
+2·|Q|·|T|/block_rows rows.
 
 Ties on distance go to the smaller training key. ``weights='distance'`` uses 1/d; if any
 neighbour has distance 0, the prediction is the mean of the zero-distance labels.
@@ -25,18 +26,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir, ensure_checkpoint_dir
 
-_CAND = "qid long, tid long, dist double, y double"
+_CAND = "tb long, qid long, tid long, dist double, y double"
+MERGE_FANIN = 64  # training blocks merged per level of the top-k reduction
 
 
 def _block_topk(k: int, p: float):
-    def fn(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(t) == 0:
-            return pd.DataFrame({"qid": [], "tid": [], "dist": [], "y": []})
+            return pd.DataFrame({"tb": pd.Series([], dtype="int64"), "qid": pd.Series([], dtype="int64"),
+                                 "tid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64"),
+                                 "y": pd.Series([], dtype="float64")})
         t = t.sort_values("tid", kind="stable")
         Q = np.stack(q["x"].to_numpy()).astype(float)
         T = np.stack(t["x"].to_numpy()).astype(float)
@@ -54,6 +58,7 @@ def _block_topk(k: int, p: float):
         rows = np.repeat(np.arange(len(q)), kk)
         cols = idx.ravel()
         return pd.DataFrame({
+            "tb": np.full(len(rows), int(key[1]), dtype="int64"),
             "qid": q["qid"].to_numpy()[rows],
             "tid": tids[cols],
             "dist": D[rows, cols],
@@ -75,11 +80,18 @@ def knn_candidates(queries: DataFrame, train: DataFrame, k: int, p: float = 2.0,
     qk = queries.select("qid", "x", qb.alias("qb")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
     tk = train.select("tid", "x", "y", tb.alias("tb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     cand = qk.groupBy("qb", "tb").cogroup(tk.groupBy("qb", "tb")).applyInPandas(_block_topk(k, p), _CAND)
-    best = cand.groupBy("qid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "tid", "y"))), 1, k).alias("nn"))
-    return best.select("qid", F.posexplode("nn").alias("pos", "c")).select(
-        "qid", F.col("c.tid").alias("tid"), F.col("c.dist").alias("dist"), F.col("c.y").alias("y"),
-        (F.col("pos") + 1).alias("rank"))
+    # hierarchical top-k merge: each level keeps k candidates per (query, group of MERGE_FANIN
+    # training blocks), so every window partition holds at most MERGE_FANIN·k rows
+    order = [F.col("dist"), F.col("tid")]
+    level = nt
+    while level > 1:
+        cand = cand.withColumn("tb", F.floor(F.col("tb") / MERGE_FANIN).cast("long"))
+        w = Window.partitionBy("qid", "tb").orderBy(*order)
+        cand = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+        level = math.ceil(level / MERGE_FANIN)
+    w = Window.partitionBy("qid").orderBy(*order)
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+        "qid", "tid", "dist", "y", "rank")
 
 
 def knn_predict(cands: DataFrame, weights: str = "uniform") -> DataFrame:

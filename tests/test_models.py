@@ -155,3 +155,26 @@ def test_string_target_is_encoded_and_decodes(spark):
     assert fm.params["target_labels"] == ["hi", "lo"]
     out = decode_prediction(fm.transform(df), "prediction", fm.params["target_labels"], "label").collect()
     assert all(r["label"] == ("hi" if r["x"] >= 5 else "lo") for r in out)
+
+
+def test_knn_hierarchical_merge_many_blocks(spark):
+    import quarry.models.knn as K
+
+    rng = np.random.default_rng(9)
+    T = rng.normal(size=(300, 2))
+    Q = rng.normal(size=(12, 2))
+    tr = spark.createDataFrame([(i, [float(v) for v in T[i]], float(i)) for i in range(300)], "tid long, x array<double>, y double")
+    q = spark.createDataFrame([(i, [float(v) for v in Q[i]]) for i in range(12)], "qid long, x array<double>")
+    old = K.MERGE_FANIN
+    K.MERGE_FANIN = 2  # force several merge levels: 300 rows / 4-row blocks = 75 blocks
+    try:
+        c = K.knn_candidates(q, tr, 3, 2.0, block_rows=4).collect()
+    finally:
+        K.MERGE_FANIN = old
+    got = {}
+    for r in c:
+        got.setdefault(r["qid"], []).append((r["rank"], r["tid"]))
+    for i in range(12):
+        d = np.sqrt(((T - Q[i]) ** 2).sum(1))
+        exp = sorted(range(300), key=lambda j: (d[j], j))[:3]
+        assert [t for _, t in sorted(got[i])] == exp
