@@ -22,7 +22,6 @@ PROFILE_COLUMNS = [
     "min", "max", "q25", "q75", "skewness", "top", "freq_top", "first", "last",
 ]
 
-_BATCH = 50  # columns per aggregate: ~6 expressions each keeps the agg well inside codegen limits
 
 
 def _clean_num(name: str):
@@ -30,59 +29,6 @@ def _clean_num(name: str):
     return F.when(F.isnan(x), None).otherwise(x)
 
 
-def _column_stats(df: DataFrame, cols: Sequence[str], cls: dict[str, str]) -> DataFrame:
-    """Wide aggregate → long rows (column, count, null_count, null_pct, mean, std, min, max, skewness)."""
-    parts = []
-    for start in range(0, len(cols), _BATCH):
-        batch = cols[start : start + _BATCH]
-        exprs = [F.count(F.lit(1)).alias("_rows")]
-        for i, c in enumerate(batch):
-            if cls[c] == "numeric":
-                x = _clean_num(c)
-                exprs += [
-                    F.count(x).alias(f"n{i}"),
-                    F.avg(x).alias(f"mean{i}"),
-                    F.stddev_samp(x).alias(f"std{i}"),
-                    F.min(x).alias(f"min{i}"),
-                    F.max(x).alias(f"max{i}"),
-                    F.skewness(x).alias(f"sk{i}"),
-                ]
-            else:
-                exprs.append(F.count(qcol(c)).alias(f"n{i}"))
-                if cls[c] == "temporal":
-                    # A7 (pinned): timestamps also report their first and last value
-                    exprs += [F.min(qcol(c)).cast("string").alias(f"fi{i}"), F.max(qcol(c)).cast("string").alias(f"la{i}")]
-        wide = df.agg(*exprs)
-        structs = []
-        for i, c in enumerate(batch):
-            num = cls[c] == "numeric"
-            nul = F.lit(None).cast("double")
-            n = F.col(f"n{i}")
-            structs.append(
-                F.struct(
-                    F.lit(c).alias("column"),
-                    n.alias("count"),
-                    (F.col("_rows") - n).alias("null_count"),
-                    F.try_divide((F.col("_rows") - n) * 100.0, F.col("_rows")).alias("null_pct"),
-                    (F.col(f"mean{i}") if num else nul).alias("mean"),
-                    (F.col(f"std{i}") if num else nul).alias("std"),
-                    (F.col(f"min{i}") if num else nul).alias("min"),
-                    (F.col(f"max{i}") if num else nul).alias("max"),
-                    # "N/A" when at most one distinct value: min < max is that test without a distinct count
-                    (F.when(F.col(f"min{i}") < F.col(f"max{i}"), g1_skew(F.col(f"sk{i}"), n)) if num else nul).alias(
-                        "skewness"
-                    ),
-                    (F.col(f"fi{i}") if cls[c] == "temporal" else F.lit(None).cast("string")).alias("first"),
-                    (F.col(f"la{i}") if cls[c] == "temporal" else F.lit(None).cast("string")).alias("last"),
-                )
-            )
-        parts.append(wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = True, **qkw) -> DataFrame:
     """A1: one row per column with the reference's summary fields (NULL where not applicable).
 
@@ -90,6 +36,12 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     String / boolean / temporal columns: count, missing, distinct count, most frequent value (ties →
     smallest; cut to 50 characters + '...') and its frequency; temporal columns also their first
     and last value. NaN counts as missing.
+
+    Plan: the numeric columns are unpivoted (an Expand, no shuffle) and ALL their statistics ride
+    in the first pass of the exact-quantile primitive (one partial aggregate per column: count,
+    mean, std, min, max, skewness + sketch), followed by its two bounded passes; the other
+    columns take one ``groupBy(column, value)`` pass (distinct count, mode, non-missing count,
+    extent). The row total is a metadata count. The driver sees one row per column.
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else list(df.columns)
@@ -99,37 +51,51 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     num = [c for c in cols if cls[c] == "numeric"]
     other = [c for c in cols if cls[c] != "numeric"]
+    temporal = [c for c in other if cls[c] == "temporal"]
+    total = df.count()
 
-    stats = _column_stats(df, cols, cls)
-    order = spark.createDataFrame([(c, types[c], i) for i, c in enumerate(cols)], "column string, data_type string, _ord int")
-    out = order.join(stats, "column", "left")
-
+    order = spark.createDataFrame([(c, types[c], i) for i, c in enumerate(cols)],
+                                  "column string, data_type string, _ord int")
+    dnull = F.lit(None).cast("double")
     if num:
+        extra = {"_mean": F.avg, "_std": F.stddev_samp, "_min": F.min, "_max": F.max, "_sk": F.skewness}
         q = grouped_quantiles(long_numeric(df, num), ["column"], "value", [0.25, 0.5, 0.75],
-                              method="exact" if exact else "approx", **qkw)
-        qw = q.groupBy("column").agg(
+                              method="exact" if exact else "approx", extra_aggs=extra, **qkw)
+        nq = q.groupBy("column").agg(
+            F.max("n").alias("_n"),
+            F.max("_mean").alias("mean"), F.max("_std").alias("std"),
+            F.max("_min").alias("min"), F.max("_max").alias("max"), F.max("_sk").alias("_sk"),
             F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
             F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
             F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"),
-        )
-        out = out.join(qw, "column", "left")
-    else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("q25", "median", "q75")])
-
+        ).withColumn("skewness", F.when(F.col("min") < F.col("max"), g1_skew(F.col("_sk"), F.col("_n")))).drop("_sk")
     if other:
         vals = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in other]
         longs = df.select(F.explode(F.array(*vals)).alias("_s")).select("_s.column", "_s.value")
         m = grouped_mode(longs, ["column"], "value")
         top = F.when(F.length("mode") > 50, F.concat(F.substring("mode", 1, 50), F.lit("..."))).otherwise(F.col("mode"))
-        m = m.select("column", top.alias("top"), F.col("mode_count").alias("freq_top"), F.col("n_distinct").alias("unique"))
-        out = out.join(m, "column", "left")
-        # non-numeric columns that are all missing: 0 distinct, N/A top, frequency 0
-        is_other = F.col("column").isin(other)
-        out = out.withColumn("unique", F.when(is_other, F.coalesce("unique", F.lit(0))).cast("bigint"))
-        out = out.withColumn("freq_top", F.when(is_other, F.coalesce("freq_top", F.lit(0))).cast("bigint"))
-    else:
-        out = out.select("*", F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq_top"),
-                         F.lit(None).cast("bigint").alias("unique"))
+        is_t = F.col("column").isin(temporal) if temporal else F.lit(False)
+        m = m.select("column", F.col("n_values").alias("_n"), top.alias("top"), F.col("mode_count").alias("freq_top"),
+                     F.col("n_distinct").alias("unique"),
+                     # ISO 'yyyy-MM-dd HH:mm:ss' text sorts chronologically
+                     F.when(is_t, F.col("min_value")).alias("first"), F.when(is_t, F.col("max_value")).alias("last"))
+
+    parts = []
+    if num:
+        parts.append(order.filter(F.col("column").isin(num)).join(nq, "column", "left").select(
+            "column", "data_type", "_ord", F.coalesce("_n", F.lit(0)).cast("bigint").alias("count"),
+            F.lit(None).cast("bigint").alias("unique"), "mean", "median", "std", "min", "max", "q25", "q75",
+            "skewness", F.lit(None).cast("string").alias("top"), F.lit(None).cast("bigint").alias("freq_top"),
+            F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("last")))
+    if other:
+        parts.append(order.filter(F.col("column").isin(other)).join(m, "column", "left").select(
+            "column", "data_type", "_ord", F.coalesce("_n", F.lit(0)).cast("bigint").alias("count"),
+            F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"),
+            *[dnull.alias(c) for c in ("mean", "median", "std", "min", "max", "q25", "q75", "skewness")],
+            "top", F.coalesce("freq_top", F.lit(0)).cast("bigint").alias("freq_top"), "first", "last"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = out.withColumn("null_count", (F.lit(total) - F.col("count")).cast("bigint")).withColumn(
+        "null_pct", F.try_divide(F.col("null_count") * 100.0, F.lit(total).cast("double")))
     return out.orderBy("_ord").select(*PROFILE_COLUMNS)
 
 

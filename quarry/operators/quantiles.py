@@ -66,13 +66,17 @@ def grouped_quantiles(
     buckets: int = DEFAULT_BUCKETS,
     final_rows: int = DEFAULT_FINAL_ROWS,
     max_passes: int = 24,
+    extra_aggs: dict | None = None,
 ) -> DataFrame:
     """Quantiles of ``value`` per group of ``keys``.
 
     Returns ``keys + [p double, q double, n bigint]`` with one row per group and
     probability; NULL/NaN values are ignored, groups without values are absent.
     ``method='approx'`` uses ``percentile_approx`` (one pass, bounded memory, not exact).
+    ``extra_aggs`` = {name: fn(Column) -> aggregate Column} rides along in the first pass
+    (e.g. mean/std/min/max for a profile) and is returned as extra columns.
     """
+    extra_aggs = extra_aggs or {}
     keys = list(keys)
     probs = [float(p) for p in probs]
     added_key = not keys
@@ -88,10 +92,11 @@ def grouped_quantiles(
     if method == "approx":
         out = (
             data.groupBy(*K)
-            .agg(F.percentile_approx("_v", probs, accuracy).alias("_qs"), F.count("_v").alias("n"))
-            .select(*K, "n", F.posexplode("_qs").alias("_i", "q"))
+            .agg(F.percentile_approx("_v", probs, accuracy).alias("_qs"), F.count("_v").alias("n"),
+                 *[fn(F.col("_v")).alias(name) for name, fn in extra_aggs.items()])
+            .select(*K, "n", *extra_aggs, F.posexplode("_qs").alias("_i", "q"))
             .withColumn("p", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1))
-            .select(*K, "p", "q", "n")
+            .select(*K, "p", "q", "n", *extra_aggs)
         )
         return out.drop("_g") if added_key else out
 
@@ -100,15 +105,16 @@ def grouped_quantiles(
     brk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
     pos = {q: i + 1 for i, q in enumerate(brk)}
     stats = data.groupBy(*K).agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-                                 F.percentile_approx("_v", brk, accuracy).alias("_qs"))
+                                 F.percentile_approx("_v", brk, accuracy).alias("_qs"),
+                                 *[fn(F.col("_v")).alias(name) for name, fn in extra_aggs.items()])
     tgt = F.explode(F.array(*[
         F.struct(F.lit(p).alias("p"),
                  F.element_at("_qs", pos[min(1.0, max(0.0, p - eps))]).alias("_lo"),
                  F.element_at("_qs", pos[min(1.0, max(0.0, p + eps))]).alias("_hi"))
         for p in probs]))
     targets = (
-        stats.select(*K, "_n", "_mn", "_mx", tgt.alias("_t"))
-        .select(*K, "_n", "_mn", "_mx", "_t.*")
+        stats.select(*K, "_n", "_mn", "_mx", *extra_aggs, tgt.alias("_t"))
+        .select(*K, "_n", "_mn", "_mx", *extra_aggs, "_t.*")
         .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
         .withColumn("_r0", F.floor("_h").cast("bigint"))
         .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
@@ -189,6 +195,7 @@ def grouped_quantiles(
             "p",
             (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"),
             F.col("_n").alias("n"),
+            *extra_aggs,
         )
     )
     return out.drop("_g") if added_key else out
@@ -221,7 +228,8 @@ def grouped_mode(df: DataFrame, keys: Sequence[str], value: str, order_value=Non
 
     ``groupBy(keys, value).count()`` (partial aggregation, so hot values collapse map-side)
     then a ``min(struct(-count, value))`` aggregate per group — bounded state, no group is
-    ever materialised. Returns ``keys + [mode, mode_count, n_distinct]``.
+    ever materialised. Returns ``keys + [mode, mode_count, n_distinct, n_values, min_value,
+    max_value]`` (the last three: non-missing count and value extent, from the same pass).
     """
     keys = list(keys)
     K = [qcol(k).alias(k) for k in keys]
@@ -232,10 +240,16 @@ def grouped_mode(df: DataFrame, keys: Sequence[str], value: str, order_value=Non
     best = counts.groupBy(*keys).agg(
         F.min(F.struct((-F.col("count")).alias("nc"), F.col("_x").alias("x"))).alias("_m"),
         F.count("*").alias("n_distinct"),
+        F.sum("count").alias("n_values"),
+        F.min("_x").alias("min_value"),
+        F.max("_x").alias("max_value"),
     )
     return best.select(
         *keys,
         F.col("_m.x").alias("mode"),
         (-F.col("_m.nc")).alias("mode_count"),
         "n_distinct",
+        "n_values",
+        "min_value",
+        "max_value",
     )
