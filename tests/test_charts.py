@@ -87,3 +87,10 @@ def test_pair_data(data):
     assert [r["count"] for r in diag] == [c for c in np.histogram(x, 20)[0] if c > 0] or sum(r["count"] for r in diag) == len(x)
     cells = pd_.filter("col_x = 'x' AND col_y = 'i'").agg(F.sum("count")).first()[0]
     assert cells == len(x)
+
+
+def test_kde_prebinned_close_to_exact(data):
+    df, x, _ = data
+    exact = [r["density"] for r in V.kde(df, "x").collect()]
+    approx = [r["density"] for r in V.kde(df, "x", prebin=4096).collect()]
+    assert np.max(np.abs(np.array(exact) - np.array(approx))) < 1e-3 * max(exact)

@@ -57,3 +57,13 @@ def test_dispatch_errors(spark, tmpdir_path):
     except ImportError:
         with pytest.raises(ImportError):
             R.load(spark, _write(tmpdir_path, "x.xlsx", b"PK"), schema="a int")
+
+
+def test_csv_folder_of_files(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "parts")
+    os.makedirs(d)
+    _write(d, "p1.csv", b"k,v\n1,2.5\n2,NA\n")
+    _write(d, "p2.csv", b"k,v\n3,4.0\n")
+    df = R.read_csv(spark, d)
+    assert dict(df.dtypes) == {"k": "bigint", "v": "double"}
+    assert sorted(r["k"] for r in df.collect()) == [1, 2, 3]
