@@ -375,9 +375,10 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
     """Long form (col_x, col_y, bin_x, bin_y, count): the diagonal holds each column's
     ``bins``-bin histogram (bin_y NULL), off-diagonal cells 2-D grid counts per pair.
 
-    One stats aggregate for the edges, then ONE scan: every row is expanded into its d + d(d−1)
-    cell keys (an Expand, no shuffle) and a single grouped aggregate with map-side combine
-    counts them — the shuffle carries at most (#cells × tasks) rows."""
+    One stats aggregate for the edges, then ONE scan. With equal diagonal and grid bins (the
+    default) the scan feeds a joint-bin partial aggregate (bounded key space) and the cells are
+    derived from it; otherwise every row is expanded into its d + d(d−1) cell keys (an Expand)
+    for a single grouped aggregate with map-side combine."""
     cols = first_numeric(df, max_numeric_cols)
     if len(cols) < 2:
         raise ValueError("At least two numeric columns required.")
@@ -390,6 +391,32 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
             a, b = 0.0, 1.0
         edges[c] = (a, b) if a < b else (a - 0.5, b + 0.5)
     d = len(cols)
+    if bins == grid_bins:
+        # one partial aggregate over the joint bin key: at most (bins+1)^d distinct keys however
+        # many rows there are, so the map side collapses the data; the d·d cell tables are then
+        # derived from that small joint table (after the shuffle, in parallel)
+        jb = [F.when(_x(c).isNotNull(), bin_index(_x(c), *edges[c], bins)).alias(f"b{i}") for i, c in enumerate(cols)]
+        joint = df.select(*jb).groupBy(*[f"b{i}" for i in range(d)]).agg(F.count(F.lit(1)).alias("_c"))
+        jcells = []
+        for i in range(d):
+            for j in range(d):
+                bi, bj = F.col(f"b{i}"), F.col(f"b{j}")
+                if i == j:
+                    key = F.struct(F.lit(i * d + j).alias("cell"), bi.alias("bin_x"),
+                                   F.lit(None).cast("bigint").alias("bin_y"), F.col("_c").alias("w"))
+                    ok = bi.isNotNull()
+                else:
+                    key = F.struct(F.lit(i * d + j).alias("cell"), bi.alias("bin_x"), bj.alias("bin_y"),
+                                   F.col("_c").alias("w"))
+                    ok = bi.isNotNull() & bj.isNotNull()
+                jcells.append(F.when(ok, key))
+        ex = joint.select(F.explode(F.array(*jcells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
+        counts = ex.groupBy("cell", "bin_x", "bin_y").agg(F.sum("w").alias("count"))
+        names = F.array(*[F.lit(c) for c in cols])
+        return counts.select(
+            F.element_at(names, (F.col("cell") / d).cast("int") + 1).alias("col_x"),
+            F.element_at(names, (F.col("cell") % d).cast("int") + 1).alias("col_y"),
+            "bin_x", "bin_y", "count")
     cells = []
     for i, cx in enumerate(cols):
         x = _x(cx)
