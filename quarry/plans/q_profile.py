@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from quarry.operators import profile as P
 from quarry.plans.registry import query, rounded, table
