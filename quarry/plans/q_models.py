@@ -344,7 +344,14 @@ def score_stream_q(spark, sf):
     return rounded(run_to_completion(score_stream(fm, sdf)))
 
 
-@query("decode_prediction", None, ops="E6")
+@query(
+    "decode_prediction",
+    "WITH m AS (SELECT min(l_linestatus) AS m0, (SELECT min(l_linestatus) FROM lineitem WHERE l_linestatus > "
+    "(SELECT min(l_linestatus) FROM lineitem)) AS m1 FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = m0 THEN 0.2 ELSE 0.9 END AS prediction, "
+    "CASE WHEN l_linestatus = m0 THEN m0 ELSE m1 END AS label FROM lineitem, m",
+    ops="E6",
+)
 def decode_prediction_q(spark, sf):
     from quarry.models.scoring import decode_prediction
     from quarry.operators.encode import build_dictionary
@@ -400,3 +407,79 @@ def run_history(spark, sf):
                         "train_r2": a["r2"], "test_r2": b["r2"], "train_mse": a["mse"], "test_mse": b["mse"],
                         "n_features": 1, "n_train": a["n"], "n_test": b["n"]})
     return rounded(overfit_flags(reg.history()))
+
+
+# ------------------------------------------------------------------ 1-feature variants with closed-form oracles
+
+_FOLD_SQL = "((('0x'||substr(md5(concat_ws('-',l_orderkey,l_linenumber)),1,8))::UBIGINT % 1000003) % 5)::INTEGER"
+_FOLD_CTE = (SPLIT_CTE + f", f AS (SELECT *, {_FOLD_SQL} AS fold FROM tr), "
+             "s AS (SELECT fold, count(*) AS n, sum(l_quantity) AS sx, sum(y) AS sy, sum(l_quantity * y) AS sxy, "
+             "sum(l_quantity * l_quantity) AS sxx FROM f GROUP BY fold), "
+             "t AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(y) AS sy, sum(l_quantity * y) AS sxy, "
+             "sum(l_quantity * l_quantity) AS sxx FROM f), "
+             # training sums of fold i = totals − fold i; standardised-space slope from them
+             "k AS (SELECT s.fold, t.n - s.n AS n, (t.sx - s.sx) / (t.n - s.n) AS mx, (t.sy - s.sy) / (t.n - s.n) AS my, "
+             "(t.sxy - s.sxy) / (t.n - s.n) - ((t.sx - s.sx) / (t.n - s.n)) * ((t.sy - s.sy) / (t.n - s.n)) AS cxy, "
+             "sqrt((t.sxx - s.sxx) / (t.n - s.n) - ((t.sx - s.sx) / (t.n - s.n)) ^ 2) AS sx FROM s, t) ")
+
+
+def _cv_sql(slope: str, extra_cols: str = "", group: str = "") -> str:
+    return (_FOLD_CTE + f", p AS (SELECT f.fold, f.y, k.my + ({slope}) * ((f.l_quantity - k.mx) / k.sx) AS pr{extra_cols} "
+            "FROM f JOIN k ON f.fold = k.fold" + group + ") ")
+
+
+@query(
+    "cv5_1f",
+    _cv_sql("cxy / sx") + "SELECT fold, count(*) AS n, round(1 - sum((y - pr) ^ 2) / (count(*) * var_pop(y)), 4) AS r2, "
+    "round(avg((y - pr) ^ 2), 4) AS mse FROM p GROUP BY fold",
+    ops="M17 (1 feature, closed form per fold)",
+)
+def cv5_1f(spark, sf):
+    from quarry.models.selection import cross_validate
+
+    tr, _te = li_split(spark, sf)
+    return rounded(cross_validate(tr, ["l_quantity"], "y", "linear", ["l_orderkey", "l_linenumber"], 5))
+
+
+@query(
+    "grid_search_1f",
+    _FOLD_CTE + ", a AS (SELECT unnest([0.1, 1000.0, 100000.0]) AS alpha), "
+    "p AS (SELECT a.alpha, f.fold, f.y, k.my + ((cxy / k.sx) * k.n / (k.n + a.alpha)) * ((f.l_quantity - k.mx) / k.sx) AS pr "
+    "FROM f JOIN k ON f.fold = k.fold, a), "
+    "r AS (SELECT alpha, fold, 1 - sum((y - pr) ^ 2) / (count(*) * var_pop(y)) AS r2 FROM p GROUP BY alpha, fold) "
+    "SELECT '{\"alpha\": ' || CASE WHEN alpha = 0.1 THEN '0.1' WHEN alpha = 1000.0 THEN '1000.0' ELSE '100000.0' END "
+    "|| '}' AS params, round(avg(r2), 4) AS mean_score FROM r GROUP BY alpha",
+    ops="M19 (1 feature, closed-form ridge per fold)",
+)
+def grid_search_1f(spark, sf):
+    from quarry.models.selection import grid_search
+
+    tr, _te = li_split(spark, sf)
+    _fm, _best, _score, res = grid_search(tr, ["l_quantity"], "y", "ridge", {"alpha": [0.1, 1000.0, 100000.0]},
+                                          ["l_orderkey", "l_linenumber"], 5)
+    return rounded(res)
+
+
+@query("model_roundtrip_1f", _lin1_sql(f"({_C} * n) / (n + 10.0)"), ops="M22 M23 S9 (ridge, closed form)")
+def model_roundtrip_1f(spark, sf):
+    from quarry.models.registry import ModelRegistry
+    from quarry.session import scratch_path
+
+    fm, _tr, te = _fit_1f(spark, sf, "ridge", alpha=10.0)
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    reg.save(fm, "ridge_1f")
+    return _pred_out(reg.load("ridge_1f"), te)
+
+
+@query(
+    "score_stream_1f",
+    SPLIT_CTE + ", c AS (SELECT regr_slope(y, l_quantity) AS b, regr_intercept(y, l_quantity) AS a FROM tr) "
+    "SELECT l_orderkey, l_linenumber, l_quantity, round(a + b * l_quantity, 4) AS \"Predicted_Value\" FROM lineitem, c",
+    ops="M25 (Structured Streaming = batch)",
+)
+def score_stream_1f(spark, sf):
+    from quarry.streaming.score import file_stream, run_to_completion, score_stream
+
+    fm, _tr, _te = _fit_1f(spark, sf, "linear")
+    sdf = file_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(run_to_completion(score_stream(fm, sdf)))
