@@ -483,3 +483,30 @@ def score_stream_1f(spark, sf):
     fm, _tr, _te = _fit_1f(spark, sf, "linear")
     sdf = file_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
     return rounded(run_to_completion(score_stream(fm, sdf)))
+
+
+# Bayesian ridge, 1 feature: the evidence iterations are scalar, so a recursive CTE replays them.
+# In standardised space: e = Σx_s² = n, b = Σx_s(y − ȳ) = n·cov/σ, c = Σ(y − ȳ)² = n·var(y);
+# w = b/(e + λ/α), γ = αe/(λ + αe), λ' = (γ + 2λ₁)/(w² + 2λ₂), α' = (n − γ + 2α₁)/(SSE + 2α₂).
+_W = "(b / (e + lam / alpha))"
+_BAYES_SQL = (
+    "WITH RECURSIVE " + SPLIT_CTE[len("WITH "):]
+    + ", st AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(y) AS my, "
+    "covar_pop(l_quantity, y) AS cxy, var_pop(y) AS vy FROM tr), "
+    "k AS (SELECT n, mx, sx, my, n AS e, n * cxy / sx AS b, n * vy AS c, vy FROM st), "
+    "it(i, alpha, lam, w_old, done) AS ("
+    "SELECT 0, 1.0 / (vy + 2.220446049250313e-16), 1.0, NULL::DOUBLE, false FROM k "
+    "UNION ALL SELECT i + 1, "
+    f"(n - alpha * e / (lam + alpha * e) + 2e-6) / ((c - 2 * {_W} * b + {_W} ^ 2 * e) + 2e-6), "
+    f"(alpha * e / (lam + alpha * e) + 2e-6) / ({_W} ^ 2 + 2e-6), "
+    f"{_W}, (i > 0 AND abs(w_old - {_W}) < 1e-3) "
+    "FROM it, k WHERE NOT done AND i < 300) "
+    f"SELECT l_orderkey, l_linenumber, round(my + {_W} * ((l_quantity - mx) / sx), 4) AS prediction "
+    "FROM te, k, (SELECT alpha, lam FROM it ORDER BY i DESC LIMIT 1)"
+)
+
+
+@query("bayes_ridge_1f", _BAYES_SQL, ops="M8 (1 feature, evidence iterations replayed in SQL)")
+def bayes_ridge_1f(spark, sf):
+    fm, _tr, te = _fit_1f(spark, sf, "bayesian_ridge")
+    return _pred_out(fm, te)
