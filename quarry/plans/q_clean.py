@@ -342,7 +342,30 @@ def boxcox_fixed_lambda(spark, sf):
     return rounded(out)
 
 
-@query("boxcox_mle", None, ops="K4 (maximum-likelihood lambda)")
+def _boxcox_sql(rounds: int = 4, grid: int = 41) -> str:
+    """The same λ search replayed in SQL: each round scans a 41-point grid (one var_pop per λ on
+    x / geometric-mean), then narrows to the bracket around the best point."""
+    g1 = grid - 1
+    parts = [
+        "WITH d AS (SELECT value AS x FROM events WHERE value IS NOT NULL), ",
+        "gm AS (SELECT exp(avg(ln(x))) AS gm FROM d), xs AS (SELECT x / gm AS z FROM d, gm), ",
+        f"grid AS (SELECT unnest(range({grid})) AS i), ",
+        "b0 AS (SELECT -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi)",
+    ]
+    for r in range(1, rounds + 1):
+        parts.append(
+            f", v{r} AS (SELECT i, lo, hi, lo + (hi - lo) * i / {g1} AS lam FROM b{r - 1}, grid), "
+            f"e{r} AS (SELECT i, lo, hi, lam, var_pop(CASE WHEN abs(lam) < 1e-12 THEN ln(z) "
+            f"ELSE (pow(z, lam) - 1) / lam END) AS v FROM v{r}, xs GROUP BY i, lo, hi, lam), "
+            f"b{r} AS (SELECT lam - (hi - lo) / {g1} AS lo, lam + (hi - lo) / {g1} AS hi FROM e{r} "
+            f"WHERE v > 0 AND isfinite(v) ORDER BY v, i LIMIT 1)")
+    parts.append(
+        f" SELECT 'value' AS \"column\", round((SELECT skewness(value) FROM events), 4) AS skew, 'boxcox' AS method, "
+        f"round((lo + hi) / 2, 4) AS lambda, 0.0 AS shift FROM b{rounds}")
+    return "".join(parts)
+
+
+@query("boxcox_mle", _boxcox_sql(), ops="K4 (maximum-likelihood lambda)")
 def boxcox_mle(spark, sf):
     _, info = T.deskew(table(spark, sf, "events").select("value"), ["value"], "boxcox", 0.75)
     return rounded(info)
