@@ -510,3 +510,21 @@ _BAYES_SQL = (
 def bayes_ridge_1f(spark, sf):
     fm, _tr, te = _fit_1f(spark, sf, "bayesian_ridge")
     return _pred_out(fm, te)
+
+
+@query(
+    "poly_fit_1f",
+    SPLIT_CTE + ", c AS (SELECT avg(l_quantity) AS m1, avg(l_quantity ^ 2) AS m2, avg(y) AS my, "
+    "covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_quantity ^ 2) AS s12, "
+    "covar_pop(l_quantity ^ 2, l_quantity ^ 2) AS s22, covar_pop(l_quantity, y) AS s1y, "
+    "covar_pop(l_quantity ^ 2, y) AS s2y FROM tr), "
+    # OLS on (x, x²) by Cramer's rule on the centred normal equations (scaling leaves OLS predictions unchanged)
+    "w AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, "
+    "(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM c) "
+    "SELECT l_orderkey, l_linenumber, round(my + b1 * (l_quantity - m1) + b2 * (l_quantity ^ 2 - m2), 4) AS prediction "
+    "FROM te, w",
+    ops="M2 M3 (degree-2 polynomial regression, 1 feature)",
+)
+def poly_fit_1f(spark, sf):
+    fm, _tr, te = _fit_1f(spark, sf, "polynomial", degree=2)
+    return _pred_out(fm, te)
