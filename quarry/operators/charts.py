@@ -19,6 +19,7 @@ from quarry.functions.columns import classify, qcol, validate_columns
 from quarry.operators.quantiles import _ckpt, column_quantiles, grouped_quantiles, join_small
 
 BIN_RULES = ("fd", "auto", "sturges", "sqrt", "rice", "scott")
+KDE_BATCH = 50  # kernel sums per aggregate: wider aggregates fall out of whole-stage codegen
 
 
 def _x(c: str) -> Column:
@@ -114,15 +115,6 @@ def distribution(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- V3 / V6 KDE
 
 
-def _kde_sums(x: Column, grid: Sequence[float] | Column, h: Column | float, k: int, start=None, step=None) -> list[Column]:
-    exprs = []
-    for i in range(k):
-        g = F.lit(grid[i]) if start is None else (start + F.lit(i) * step)
-        z = (g - x) / (h if isinstance(h, Column) else F.lit(h))
-        exprs.append(F.sum(F.exp(F.lit(-0.5) * z * z)).alias(f"k{i}"))
-    return exprs
-
-
 def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, bw_method: str | float = "scott",
         prebin: int | None = None) -> DataFrame:
     """V3: Gaussian KDE on a ``gridsize`` grid, Scott bandwidth n^(−1/5)·std (sample std),
@@ -148,27 +140,30 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 3.0, bw_metho
     if prebin:
         lo_b, hi_b = (s["mn"], s["mx"]) if s["mn"] < s["mx"] else (s["mn"] - 0.5, s["mx"] + 0.5)
         wb = (hi_b - lo_b) / prebin
-        binned = df.filter(x.isNotNull()).groupBy(bin_index(x, lo_b, hi_b, prebin).alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"))
-        centre = F.lit(lo_b) + (F.col("_b") + 0.5) * F.lit(wb)
-        exprs = []
-        for i, g in enumerate(grid):
-            z = (F.lit(g) - centre) / F.lit(h)
-            exprs.append(F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias(f"k{i}"))
-        sums = binned.agg(*exprs)
+        src = df.filter(x.isNotNull()).groupBy(bin_index(x, lo_b, hi_b, prebin).alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c")).select((F.lit(lo_b) + (F.col("_b") + 0.5) * F.lit(wb)).alias("_x"), "_c")
+        weight = F.col("_c")
     else:
-        sums = df.filter(x.isNotNull()).agg(*_kde_sums(x, grid, h, gridsize))
+        src = df.filter(x.isNotNull()).select(x.alias("_x"))
+        weight = F.lit(1.0)
+    dens = []
+    for start in range(0, gridsize, KDE_BATCH):
+        exprs = []
+        for i in range(start, min(start + KDE_BATCH, gridsize)):
+            z = (F.lit(grid[i]) - F.col("_x")) / F.lit(h)
+            exprs.append(F.sum(weight * F.exp(F.lit(-0.5) * z * z)).alias(f"k{i}"))
+        row = src.agg(*exprs).first()  # one row of ≤ KDE_BATCH sums
+        dens += [float(row[f"k{i}"]) for i in range(start, min(start + KDE_BATCH, gridsize))]
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    pts = F.array(*[F.struct(F.lit(g).alias("x"), (F.col(f"k{i}") * F.lit(norm)).alias("density"))
-                    for i, g in enumerate(grid)])
-    return sums.select(F.explode(pts).alias("p")).select("p.x", "p.density")
+    return spark.createDataFrame([(g, d * norm) for g, d in zip(grid, dens)], schema)
 
 
 def violin(df: DataFrame, x_cat: str, y_num: str, hue: str | None = None, gridsize: int = 100,
            bw: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """V6: per-group KDE (bandwidth ``bw``·std, grid clipped to the group's [min, max], cut 0)
-    and per-group quartiles. Group statistics are joined back (AQE broadcasts them when small);
-    the KDE is one grouped aggregate of ``gridsize`` sums — bounded state per group."""
+    and per-group quartiles. Group statistics are materialised and joined back (broadcast only
+    under a row-count check); the KDE is grouped aggregates of ≤ KDE_BATCH sums each — bounded
+    state per group."""
     validate_columns(df, [x_cat, y_num], numeric=[y_num])
     keys = [x_cat] + ([hue] if hue else [])
     K = [qcol(k).alias(k) for k in keys]
@@ -178,12 +173,21 @@ def violin(df: DataFrame, x_cat: str, y_num: str, hue: str | None = None, gridsi
     st = st.filter((F.col("_n") >= 2) & (F.col("_sd") > 0)).withColumn("_h", F.lit(bw) * F.col("_sd")).withColumn(
         "_step", (F.col("_mx") - F.col("_mn")) / F.lit(gridsize - 1))
     j = join_small(d, _ckpt(st), keys)  # one row per group: broadcast only if the count is small
-    sums = j.groupBy(*keys, "_n", "_h", "_mn", "_step").agg(
-        *_kde_sums(F.col("_y"), None, F.col("_h"), gridsize, start=F.col("_mn"), step=F.col("_step")))
     norm = F.lit(1.0) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    pts = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_mn") + F.lit(i) * F.col("_step")).alias("y"),
-                             (F.col(f"k{i}") * norm).alias("density")) for i in range(gridsize)])
-    curve = sums.select(*keys, F.explode(pts).alias("p")).select(*keys, "p.i", "p.y", "p.density")
+    curves = []
+    for start in range(0, gridsize, KDE_BATCH):
+        idx = list(range(start, min(start + KDE_BATCH, gridsize)))
+        exprs = []
+        for i in idx:
+            z = (F.col("_mn") + F.lit(i) * F.col("_step") - F.col("_y")) / F.col("_h")
+            exprs.append(F.sum(F.exp(F.lit(-0.5) * z * z)).alias(f"k{i}"))
+        sums = j.groupBy(*keys, "_n", "_h", "_mn", "_step").agg(*exprs)
+        pts = F.array(*[F.struct(F.lit(i).alias("i"), (F.col("_mn") + F.lit(i) * F.col("_step")).alias("y"),
+                                 (F.col(f"k{i}") * norm).alias("density")) for i in idx])
+        curves.append(sums.select(*keys, F.explode(pts).alias("p")).select(*keys, "p.i", "p.y", "p.density"))
+    curve = curves[0]
+    for c in curves[1:]:
+        curve = curve.unionByName(c)
     q = grouped_quantiles(df, keys, y_num, [0.25, 0.5, 0.75])
     quart = q.groupBy(*keys).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
