@@ -138,3 +138,16 @@ def test_workspace_reset_commit(b1):
     ws.apply(C.drop_rows_with_missing)
     committed = ws.commit()
     assert committed.count() == 8 and ws.reset().count() == 8
+
+
+def test_gui_cleaner_b4(spark):
+    # 25 rows + 3 duplicates, an all-missing column (FIXTURES B4)
+    rows = [(i, float(20 + i) if i % 6 else None, "ABC"[i % 3] if i % 8 else None,
+             float(1000 * i) if i % 5 else None, i % 4, "XY"[i % 2] if i % 9 else None, None) for i in range(25)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "ID_Col long, Age_Num double, City_Cat string, Salary_Num_Missing double, "
+                                     "Experience_Num long, Dept_Cat_Missing string, All_NaN_Col double")
+    out = C.gui_clean_missing(df, numeric="Median", categorical="Mode", drop_all_null_cols=True)
+    assert "All_NaN_Col" not in out.columns
+    assert out.filter("Age_Num IS NULL OR City_Cat IS NULL OR Salary_Num_Missing IS NULL").count() == 0
+    assert C.drop_duplicates(out).count() == 25 and C.duplicate_count(out).first()[0] == 3

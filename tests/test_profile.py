@@ -42,3 +42,27 @@ def test_null_share_value_counts_shape(spark):
     vc = P.value_counts(df, "s").collect()
     assert [(r["s"], r["count"]) for r in vc] == [("a", 2)]
     assert P.shape(df).first().asDict() == {"rows": 3, "columns": 2}
+
+
+def test_profile_mixed_types_b5(spark):
+    import datetime as dt
+
+    rows = []
+    for i in range(100):
+        rows.append((
+            float(i) if i % 10 else float("nan"),       # numeric with NaN
+            i,                                           # int
+            None if i % 7 == 0 else f"s{i % 3}",         # string with missing
+            (i % 2 == 0) if i % 5 else None,             # nullable boolean
+            dt.datetime(2024, 1, 1) + dt.timedelta(days=i),
+            None,                                        # all missing
+            "only" if i == 0 else None,                  # one value in 100
+        ))
+    df = spark.createDataFrame(rows, "num double, i long, s string, b boolean, ts timestamp, allnan double, one string")
+    got = {r["column"]: r for r in P.profile(df).collect()}
+    assert got["num"]["count"] == 90 and got["num"]["null_count"] == 10
+    assert got["b"]["top"] == "false" and got["b"]["unique"] == 2 and got["b"]["mean"] is None
+    assert got["ts"]["first"].startswith("2024-01-01") and got["ts"]["last"].startswith("2024-04-09")
+    assert got["allnan"]["count"] == 0 and got["allnan"]["null_pct"] == 100.0 and got["allnan"]["median"] is None
+    assert (got["one"]["count"], got["one"]["unique"], got["one"]["top"]) == (1, 1, "only")
+    assert got["i"]["skewness"] == pytest.approx(0.0, abs=1e-12)
