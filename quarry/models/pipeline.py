@@ -12,6 +12,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     ElementwiseProduct,
@@ -270,8 +271,16 @@ def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linea
         d = lab.transform(df).drop(target).withColumnRenamed("_y_idx", target)
     else:
         d = df.withColumn(target, qcol(target).cast("double"))
-    stages, names, stats = build_stages(d, features, target, name, poly_degree, unknown, scale, **params)
-    pm = Pipeline(stages=stages).fit(d)
+    # every fit makes several passes (statistics, indexers, the solver): keep only the columns
+    # it needs, persisted (MEMORY_AND_DISK, recomputed from lineage if an executor is lost)
+    keep = list(dict.fromkeys([c for c in features if c in d.columns] + [target]
+                              + ([params["id_col"]] if params.get("id_col") in d.columns else [])))
+    d = d.select(*[qcol(c) for c in keep]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        stages, names, stats = build_stages(d, features, target, name, poly_degree, unknown, scale, **params)
+        pm = Pipeline(stages=stages).fit(d)
+    finally:
+        d.unpersist()
     return FittedModel(pm, name, list(features), target, names,
                        {**DEFAULTS[name], **params, "poly_degree": poly_degree, **extra}, n_train=stats.n)
 
