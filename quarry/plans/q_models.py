@@ -495,7 +495,7 @@ _BAYES_SQL = (
     "covar_pop(l_quantity, y) AS cxy, var_pop(y) AS vy FROM tr), "
     "k AS (SELECT n, mx, sx, my, n AS e, n * cxy / sx AS b, n * vy AS c, vy FROM st), "
     "it(i, alpha, lam, w_old, done) AS ("
-    "SELECT 0, 1.0 / (vy + 2.220446049250313e-16), 1.0, NULL::DOUBLE, false FROM k "
+    "SELECT 0, 1.0 / (vy + 2.220446049250313e-16), 1.0::DOUBLE, NULL::DOUBLE, false FROM k "
     "UNION ALL SELECT i + 1, "
     f"(n - alpha * e / (lam + alpha * e) + 2e-6) / ((c - 2 * {_W} * b + {_W} ^ 2 * e) + 2e-6), "
     f"(alpha * e / (lam + alpha * e) + 2e-6) / ({_W} ^ 2 + 2e-6), "
