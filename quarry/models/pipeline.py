@@ -38,6 +38,9 @@ from quarry.functions.columns import classify, qcol
 from quarry.models.prep import poly_sql, poly_terms
 
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are clamped with a warning
+# sklearn's trees split on exact thresholds; Spark bins continuous features (default 32).
+# 128 bins keeps every midpoint for features with up to 128 distinct values.
+DEFAULT_MAX_BINS = 128
 
 # fixed values: the reference's default hyper-parameters per model
 DEFAULTS = {
@@ -116,22 +119,23 @@ def make_regressor(name: str, label: str, stats: LabelStats | None = None, featu
     if name == "huber":
         return LinearRegression(loss="huber", epsilon=max(p["epsilon"], 1.0 + 1e-9), regParam=p["alpha"],
                                 elasticNetParam=0.0, **common)
+    bins = int(p.get("max_bins", DEFAULT_MAX_BINS))
     if name == "tree":
         return DecisionTreeRegressor(maxDepth=_depth(p["max_depth"]),
                                      minInstancesPerNode=max(1, math.ceil(p["min_samples_split"] / 2)), seed=seed,
-                                     **common)
+                                     maxBins=bins, **common)
     if name in ("forest", "bagging"):
         return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=_depth(p.get("max_depth")),
-                                     featureSubsetStrategy="all", bootstrap=True, seed=seed, **common)
+                                     featureSubsetStrategy="all", bootstrap=True, seed=seed, maxBins=bins, **common)
     if name in ("xgboost", "gbt"):
         return GBTRegressor(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                            maxDepth=_depth(p["max_depth"]), seed=seed, **common)
+                            maxDepth=_depth(p["max_depth"]), seed=seed, maxBins=bins, **common)
     if name == "lightgbm":
         depth = math.ceil(math.log2(max(int(p["num_leaves"]), 2)))
         if p["max_depth"] not in (None, -1):
             depth = min(depth, int(p["max_depth"]))
         return GBTRegressor(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                            maxDepth=_depth(depth), seed=seed, **common)
+                            maxDepth=_depth(depth), seed=seed, maxBins=bins, **common)
     if name == "isotonic":
         return IsotonicRegression(featureIndex=0, **common)
     if name == "bayesian_ridge":

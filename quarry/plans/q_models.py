@@ -548,3 +548,24 @@ _ISO_SQL = (
 def isotonic_1f(spark, sf):
     fm, _tr, te = _fit_1f(spark, sf, "isotonic")
     return _pred_out(fm, te)
+
+
+# Decision stump, 1 feature: candidate thresholds are the midpoints between consecutive distinct
+# values; the split minimises SSE(left) + SSE(right) (first threshold on ties); leaves predict means.
+_STUMP_SQL = (
+    SPLIT_CTE + ", g AS (SELECT l_quantity AS x, count(*)::DOUBLE AS n, sum(y) AS s, sum(y * y) AS ss FROM tr GROUP BY 1), "
+    "c AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER (ORDER BY x) AS ln, sum(s) OVER (ORDER BY x) AS ls, "
+    "sum(ss) OVER (ORDER BY x) AS lss FROM g), "
+    "t AS (SELECT sum(n) AS tn, sum(s) AS ts, sum(ss) AS tss FROM g), "
+    "cand AS (SELECT (x + nx) / 2 AS thr, ls / ln AS lm, (ts - ls) / (tn - ln) AS rm, "
+    "(lss - ls * ls / ln) + ((tss - lss) - (ts - ls) * (ts - ls) / (tn - ln)) AS sse FROM c, t WHERE nx IS NOT NULL), "
+    "best AS (SELECT * FROM cand ORDER BY sse, thr LIMIT 1) "
+    "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= thr THEN lm ELSE rm END, 4) AS prediction "
+    "FROM te, best"
+)
+
+
+@query("tree_stump_1f", _STUMP_SQL, ops="M9 (depth-1 tree, 1 feature)")
+def tree_stump_1f(spark, sf):
+    fm, _tr, te = _fit_1f(spark, sf, "tree", max_depth=1)
+    return _pred_out(fm, te)
