@@ -49,8 +49,12 @@ def _partial_sums(df: DataFrame, features: str, label: str, fn, width: int) -> n
                 acc += fn(X, pdf["y"].to_numpy(dtype=float))
         yield pd.DataFrame({"s": [acc.tolist()]})
 
-    parts = arr.mapInPandas(part, "s array<double>")
-    nparts = arr.rdd.getNumPartitions()
+    return _tree_sum(arr.mapInPandas(part, "s array<double>"), arr.rdd.getNumPartitions(), width)
+
+
+def _tree_sum(parts: DataFrame, nparts: int, width: int) -> np.ndarray:
+    """Sum one ``s array<double>`` row per partition: re-spread over ~√P tasks and summed again
+    when P is large, so the driver receives at most ~√P vectors."""
     if nparts > 64:
         parts = parts.repartition(max(2, int(math.sqrt(nparts)))).mapInPandas(_sum_rows, "s array<double>")
     out = np.zeros(width)
@@ -283,8 +287,7 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
                     bl = bl - step * (gb / m)
                 yield pd.DataFrame({"s": [np.concatenate([wl * m, [bl * m, m]]).tolist()]})
 
-            parts = arr.mapInPandas(mix, "s array<double>").collect()
-            tot = np.sum([np.asarray(p_["s"]) for p_ in parts], axis=0)
+            tot = _tree_sum(arr.mapInPandas(mix, "s array<double>"), arr.rdd.getNumPartitions(), D + 2)
             w, b = tot[:D] / tot[D + 1], tot[D] / tot[D + 1]
             if r >= rounds // 2:
                 avg_w += w

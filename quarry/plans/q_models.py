@@ -353,14 +353,15 @@ def score_stream_q(spark, sf):
     ops="E6",
 )
 def decode_prediction_q(spark, sf):
-    from quarry.models.scoring import decode_prediction
-    from quarry.operators.encode import build_dictionary
+    from quarry.operators.encode import build_dictionary, decode
 
     li = table(spark, sf, "lineitem")
-    labels = [r["value"] for r in build_dictionary(li, "l_linestatus").orderBy("code").collect()]
-    coded = li.select("l_orderkey", "l_linenumber",
-                      F.when(F.col("l_linestatus") == labels[0], 0.2).otherwise(0.9).alias("prediction"))
-    return decode_prediction(coded, "prediction", labels, "label")
+    d = build_dictionary(li, "l_linestatus")
+    # a stand-in "prediction" near each row's class code (0.2 for code 0, 0.9 for code 1), decoded
+    # back to the label by a join with the (distributed) dictionary
+    coded = li.join(d.withColumnRenamed("value", "l_linestatus"), "l_linestatus").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("code") == 0, 0.2).otherwise(0.9).alias("prediction"))
+    return decode(coded, "prediction", d, "label")
 
 
 @query(
