@@ -182,3 +182,14 @@ def head_preview(spark, sf):
     from quarry.operators.clean import head
 
     return head(table(spark, sf, "lineitem"), 5)
+
+
+@query(
+    "profile_documents",
+    profile_sql("SELECT doc_id, text, lang, source, n_chars FROM documents",
+                [("doc_id", "bigint", "numeric"), ("text", "string", "other"), ("lang", "string", "other"),
+                 ("source", "string", "other"), ("n_chars", "bigint", "numeric")]),
+    ops="A1 A6 (whole long texts; modal text cut to 50 characters)",
+)
+def profile_documents(spark, sf):
+    return rounded(P.profile(table(spark, sf, "documents")))
