@@ -323,11 +323,14 @@ def area_data(df: DataFrame, x: str, y: str, hue: str | None = None, parse_x_as_
     validate_columns(df, [x, y] + ([hue] if hue else []), numeric=[y])
     xc = _parse_x(df, x, parse_x_as_date)
     d = df.select(xc.alias(x), _x(y).alias(y), *([qcol(hue).alias(hue)] if hue else []))
+    # input order as the last sort key: equal x values (one hot timestamp may hold a third of the
+    # rows) are then spread over several range partitions instead of one
+    d = d.withColumn("_ord", F.monotonically_increasing_id())
     if hue:
         top = first_hues(d, x, hue, max_hues)
         d = d.join(F.broadcast(top), hue, "left_semi")  # at most max_hues rows: a proven bound
-        return d.orderBy(F.asc_nulls_last(x), hue)
-    return d.orderBy(F.asc_nulls_last(x))
+        return d.orderBy(F.asc_nulls_last(x), hue, "_ord").drop("_ord")
+    return d.orderBy(F.asc_nulls_last(x), "_ord").drop("_ord")
 
 
 # ---------------------------------------------------------------- V11 pie / O4
