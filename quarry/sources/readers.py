@@ -12,7 +12,6 @@ from __future__ import annotations
 import csv
 import io
 import os
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -206,25 +205,115 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
                          for c in wide.columns])
 
 
-def read_excel(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """S5 (re-aimed): a folder of workbooks, first sheet of each, via ``binaryFile`` +
-    ``mapInPandas``. Needs openpyxl (optional); the caller supplies the schema."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise ImportError("reading Excel needs openpyxl, which is not installed") from e
+_XL_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_XL_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _col_index(ref: str) -> int:
+    """'C7' → 2 (zero-based column of an A1-style reference)."""
+    n = 0
+    for ch in ref:
+        if not ch.isalpha():
+            break
+        n = n * 26 + (ord(ch.upper()) - 64)
+    return n - 1
+
+
+def xlsx_rows(content: bytes):
+    """Yield {column index: text} for each row of the FIRST worksheet of an .xlsx file
+    (stdlib zip + streaming XML; shared strings, inline strings, booleans, numbers)."""
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names = set(z.namelist())
+    shared = []
+    if "xl/sharedStrings.xml" in names:
+        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_XL_MAIN}si"):
+            shared.append("".join(t.text or "" for t in si.iter(f"{_XL_MAIN}t")))
+    wb = ET.fromstring(z.read("xl/workbook.xml"))
+    first = next(wb.iter(f"{_XL_MAIN}sheet"))
+    rid = first.get(f"{_XL_REL}id")
+    rels = ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+    target = next(r.get("Target") for r in rels if r.get("Id") == rid).lstrip("/")
+    if not target.startswith("xl/"):
+        target = "xl/" + target
+    for _, el in ET.iterparse(z.open(target)):
+        if el.tag != f"{_XL_MAIN}row":
+            continue
+        cells = {}
+        for c in el.iter(f"{_XL_MAIN}c"):
+            t, v = c.get("t"), c.find(f"{_XL_MAIN}v")
+            if t == "s" and v is not None:
+                val = shared[int(v.text)]
+            elif t == "inlineStr":
+                val = "".join(x.text or "" for x in c.iter(f"{_XL_MAIN}t"))
+            elif t == "b" and v is not None:
+                val = "True" if v.text == "1" else "False"
+            else:
+                val = v.text if v is not None else None
+            cells[_col_index(c.get("r", "A"))] = val
+        el.clear()
+        yield cells
+
+
+def read_excel(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """S5 (re-aimed): a file or folder of .xlsx workbooks, first sheet of each, header row first.
+
+    Spark reads the files (``binaryFile``); a first bounded pass returns each file's header (one
+    row per file), then ``mapInPandas`` parses every workbook's rows as text and the CSV path's
+    NA-token normalisation and one-pass type inference apply (or the caller's ``schema``).
+    Legacy binary .xls is not supported (the reference could not read it either)."""
     import pandas as pd
 
-    sch = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    names = [f.name for f in sch.fields]
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def parse(it):
+    def headers(it):
+        for pdf in it:
+            for p_, content in zip(pdf["path"], pdf["content"]):
+                first = next(xlsx_rows(content), {})
+                yield pd.DataFrame({"path": [p_], "names": [[first[i] or "" for i in sorted(first)]]})
+
+    names: list[str] = []
+    for r in sorted(files.mapInPandas(headers, "path string, names array<string>").collect(), key=lambda r: r["path"]):
+        for n in r["names"]:
+            if n not in names:
+                names.append(n)
+    cols = dedupe_names(names)
+
+    def parse(it, names=names, cols=cols):
         for pdf in it:
             for content in pdf["content"]:
-                x = pd.read_excel(io.BytesIO(content), sheet_name=0, engine="openpyxl")
-                yield x.reindex(columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, sch)
+                rows = xlsx_rows(content)
+                hdr = next(rows, {})
+                pos = {i: names.index(hdr[i] or "") for i in hdr if (hdr[i] or "") in names}
+                out = []
+                for cells in rows:
+                    rec = [None] * len(cols)
+                    for i, v in cells.items():
+                        if i in pos:
+                            rec[pos[i]] = v
+                    out.append(rec)
+                yield pd.DataFrame(out, columns=cols, dtype=object)
+
+    text = files.select("content").mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in cols]))
+    text = normalise_na(text)
+    if schema is not None:
+        sch = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        return text.select(*[qcol(f.name).try_cast(f.dataType).alias(f.name) for f in sch.fields])
+    types = infer_types(text)
+    out = []
+    for c in text.columns:
+        t, x = types[c], qcol(c)
+        if t == "boolean":
+            out.append(F.when(x.isin(TRUE_TOKENS), True).when(x.isin(FALSE_TOKENS), False).alias(c))
+        elif t in ("bigint", "double"):
+            out.append(F.trim(x).try_cast(t).alias(c))
+        else:
+            out.append(x.alias(c))
+    return text.select(*out)
 
 
 def load(spark: SparkSession, path: str, format: str | None = None, encoding: str | None = None,
@@ -236,10 +325,10 @@ def load(spark: SparkSession, path: str, format: str | None = None, encoding: st
         return read_csv(spark, path, encoding, schema)
     if fmt == "json":
         return read_json(spark, path, schema)
-    if fmt in ("xls", "xlsx", "excel"):
-        if fmt == "xls":
-            warnings.warn("legacy .xls is read with openpyxl, which only understands .xlsx content")
+    if fmt in ("xlsx", "excel"):
         return read_excel(spark, path, schema)
+    if fmt == "xls":
+        raise ValueError("legacy binary .xls is not supported; save the workbook as .xlsx")
     if fmt == "parquet":
         if not _exists(spark, path):
             raise FileNotFoundError(path)

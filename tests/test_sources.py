@@ -47,16 +47,71 @@ def test_json_shapes(spark, tmpdir_path):
         assert sorted(r["a"] for r in df.collect()) == [1, 2]
 
 
+def _xlsx(path, sheets):
+    """Write a minimal .xlsx: sheets = list of row lists (first sheet first)."""
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared, idx = [], {}
+
+    def cell(ref, v):
+        if isinstance(v, bool):
+            return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if isinstance(v, tuple):  # inline string
+            return f'<c r="{ref}" t="inlineStr"><is><t>{v[0]}</t></is></c>'
+        if v not in idx:
+            idx[v] = len(shared)
+            shared.append(v)
+        return f'<c r="{ref}" t="s"><v>{idx[v]}</v></c>'
+
+    with zipfile.ZipFile(path, "w") as z:
+        sheet_xml = []
+        for rows in sheets:
+            body = "".join(
+                f'<row r="{r + 1}">' + "".join(cell(f"{chr(65 + c)}{r + 1}", v) for c, v in enumerate(row) if v is not None)
+                + "</row>" for r, row in enumerate(rows))
+            sheet_xml.append(f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        for i, x in enumerate(sheet_xml):
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", x)
+        z.writestr("xl/sharedStrings.xml",
+                   f'<sst xmlns="{main}">' + "".join(f"<si><t>{t}</t></si>" for t in shared) + "</sst>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(
+            f'<sheet name="S{i + 1}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i in range(len(sheets))) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels",
+                   '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
+                       f'<Relationship Id="rId{i + 1}" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
+                   + "</Relationships>")
+    return path
+
+
+def test_excel_first_sheet_types(spark, tmpdir_path):
+    p = _xlsx(os.path.join(tmpdir_path, "book.xlsx"), [
+        [["name", "age", "score", "flag", "note"],
+         ["alice", 31, 2.5, True, ("x",)],
+         ["bob", "NA", 3.0, False, None],
+         [None, 40, None, True, ("z",)]],
+        [["other"], ["ignored"]],
+    ])
+    df = R.load(spark, p)
+    assert df.columns == ["name", "age", "score", "flag", "note"]
+    assert dict(df.dtypes) == {"name": "string", "age": "bigint", "score": "double", "flag": "boolean", "note": "string"}
+    rows = df.collect()
+    assert [r["name"] for r in rows] == ["alice", "bob", None]
+    assert rows[1]["age"] is None and rows[2]["score"] is None and rows[2]["note"] == "z"
+    typed = R.read_excel(spark, p, schema="name string, age int")
+    assert typed.first()["age"] == 31
+
+
 def test_dispatch_errors(spark, tmpdir_path):
     with pytest.raises(ValueError):
         R.load(spark, _write(tmpdir_path, "x.txt2", b"1"))
     with pytest.raises(FileNotFoundError):
         R.load(spark, os.path.join(tmpdir_path, "missing.csv"))
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        with pytest.raises(ImportError):
-            R.load(spark, _write(tmpdir_path, "x.xlsx", b"PK"), schema="a int")
+    with pytest.raises(ValueError):
+        R.load(spark, _write(tmpdir_path, "old.xls", b"\xd0\xcf\x11\xe0"))
 
 
 def test_csv_folder_of_files(spark, tmpdir_path):
