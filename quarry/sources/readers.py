@@ -86,35 +86,39 @@ def dedupe_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+_INFER_BATCH = 100  # columns per aggregate (4 expressions each) — stays inside codegen limits
+
+
 def infer_types(df: DataFrame) -> dict[str, str]:
-    """One aggregate over string columns → {column: 'bigint'|'double'|'boolean'|'string'}."""
-    exprs = []
-    for i, c in enumerate(df.columns):
-        x = qcol(c)
-        nn = x.isNotNull()
-        exprs += [
-            F.count_if(nn).alias(f"n{i}"),
-            F.count_if(nn & x.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}"),
-            F.count_if(nn & F.trim(x).try_cast("double").isNotNull()).alias(f"d{i}"),
-            F.count_if(nn & x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
-        ]
-    if not exprs:
-        return {}
-    r = df.agg(F.count(F.lit(1)).alias("_rows"), *exprs).first()
-    out = {}
-    for i, c in enumerate(df.columns):
-        n = r[f"n{i}"]
-        if n == 0:
-            # an all-missing column is float in pandas; a header-only file keeps text columns
-            out[c] = "double" if r["_rows"] > 0 else "string"
-        elif r[f"i{i}"] == n:
-            out[c] = "bigint"
-        elif r[f"d{i}"] == n:
-            out[c] = "double"
-        elif r[f"b{i}"] == n:
-            out[c] = "boolean"
-        else:
-            out[c] = "string"
+    """One aggregate per 100 string columns → {column: 'bigint'|'double'|'boolean'|'string'}."""
+    out: dict[str, str] = {}
+    cols = list(df.columns)
+    for start in range(0, len(cols), _INFER_BATCH):
+        batch = cols[start : start + _INFER_BATCH]
+        exprs = [F.count(F.lit(1)).alias("_rows")]
+        for i, c in enumerate(batch):
+            x = qcol(c)
+            nn = x.isNotNull()
+            exprs += [
+                F.count_if(nn).alias(f"n{i}"),
+                F.count_if(nn & x.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}"),
+                F.count_if(nn & F.trim(x).try_cast("double").isNotNull()).alias(f"d{i}"),
+                F.count_if(nn & x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
+            ]
+        r = df.agg(*exprs).first()
+        for i, c in enumerate(batch):
+            n = r[f"n{i}"]
+            if n == 0:
+                # an all-missing column is float in pandas; a header-only file keeps text columns
+                out[c] = "double" if r["_rows"] > 0 else "string"
+            elif r[f"i{i}"] == n:
+                out[c] = "bigint"
+            elif r[f"d{i}"] == n:
+                out[c] = "double"
+            elif r[f"b{i}"] == n:
+                out[c] = "boolean"
+            else:
+                out[c] = "string"
     return out
 
 
