@@ -178,3 +178,18 @@ def test_knn_hierarchical_merge_many_blocks(spark):
         d = np.sqrt(((T - Q[i]) ** 2).sum(1))
         exp = sorted(range(300), key=lambda j: (d[j], j))[:3]
         assert [t for _, t in sorted(got[i])] == exp
+
+
+@pytest.mark.parametrize("model,params", [
+    ("tree", {"max_depth": 5}), ("forest", {"n_estimators": 10, "max_depth": 5}),
+    ("xgboost", {"n_estimators": 10}), ("lightgbm", {"n_estimators": 10, "num_leaves": 7}),
+    ("huber", {}), ("svr", {"kernel": "linear"}), ("svr", {"kernel": "rbf"}), ("bayesian_ridge", {}),
+    ("knn", {"n_neighbors": 5}), ("isotonic", {}),
+])
+def test_every_model_beats_the_mean(reg_frame, model, params):
+    # SURVEY §5 property: R² above the mean predictor's 0 on held-out rows
+    df, X, y = reg_frame
+    tr, te = split(df, ["id"], 0.3)
+    feats = ["f0"] if model == "isotonic" else FEATS
+    fm = MP.fit(tr, feats, "y", model, **params)
+    assert evaluate(fm.transform(te), "y").first()["r2"] > 0.0
