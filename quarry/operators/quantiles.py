@@ -182,9 +182,9 @@ def grouped_quantiles(
         fin.join(ranked, on=IV)
         .filter(F.col("_rank") == F.col("_r"))
         .select(*K, "_r", F.col("_v").alias("_val"))
-        .dropDuplicates(keys + ["_r"])
     )
-    vals = const.unionByName(picked)
+    # a rank reached through two overlapping brackets has one value: keep one row per rank
+    vals = const.unionByName(picked).dropDuplicates(keys + ["_r"])
     v0 = vals.select(*K, F.col("_r").alias("_r0"), F.col("_val").alias("_v0"))
     v1 = vals.select(*K, F.col("_r").alias("_r1"), F.col("_val").alias("_v1"))
     out = (

@@ -66,3 +66,14 @@ def test_hot_group_holds_a_third(spark):
         assert abs(np.quantile(sub, r["p"]) - r["q"]) < 1e-12
     m = grouped_mode(spark.createDataFrame([(k, int(v * 2)) for k, v in zip(keys, vals)], "k string, v long"), ["k"], "v")
     assert m.count() == 5
+
+
+def test_close_probabilities_share_ranks(spark):
+    # p values closer than the bracket width: overlapping brackets, one output row per p
+    vals = [float(v) for v in ([2.0] * 50 + list(range(100)))]
+    df = _df(spark, vals)
+    probs = [0.5, 0.50001, 0.5001, 0.9]
+    got = grouped_quantiles(df, [], "x", probs, accuracy=100).collect()
+    assert len(got) == len(probs)
+    for r in got:
+        assert abs(np.quantile(vals, r["p"]) - r["q"]) < 1e-9
