@@ -137,8 +137,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     enc = encoding or sniff_encoding(spark, path)
     reader = spark.read.option("header", True).option("encoding", enc).option("sep", sep).option(
         "mode", "PERMISSIVE").option("multiLine", False)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
     raw = reader.option("inferSchema", False).csv(path)
     # pandas-style names for duplicate headers: parse the header line ourselves
     first = spark.read.option("encoding", enc).text(path).limit(1).collect()
@@ -147,6 +145,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
         if len(hdr) == len(raw.columns):
             raw = raw.toDF(*dedupe_names(hdr))
     raw = normalise_na(raw)
+    if schema is not None:
+        # the caller's types, applied after NA normalisation; an unparsable cell becomes NULL
+        sch = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        return raw.select(*[qcol(f.name).try_cast(f.dataType).alias(f.name) for f in sch.fields])
     if not infer:
         return raw
     types = infer_types(raw)

@@ -122,3 +122,9 @@ def test_csv_folder_of_files(spark, tmpdir_path):
     df = R.read_csv(spark, d)
     assert dict(df.dtypes) == {"k": "bigint", "v": "double"}
     assert sorted(r["k"] for r in df.collect()) == [1, 2, 3]
+
+
+def test_csv_with_schema_normalises_na(spark, tmpdir_path):
+    p = _write(tmpdir_path, "s.csv", b"a,b\n1,x\nNA,y\n3,#N/A\n")
+    df = R.read_csv(spark, p, schema="a int, b string")
+    assert [(r["a"], r["b"]) for r in df.collect()] == [(1, "x"), (None, "y"), (3, None)]
