@@ -378,9 +378,11 @@ def first_numeric(df: DataFrame, k: int = 5) -> list[str]:
     return [c for c in df.columns if cls[c] == "numeric"][:k]
 
 
-def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bins: int = 20) -> DataFrame:
-    """Long form (col_x, col_y, bin_x, bin_y, count): the diagonal holds each column's
-    ``bins``-bin histogram (bin_y NULL), off-diagonal cells 2-D grid counts per pair.
+def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bins: int = 20,
+              hue: str | None = None) -> DataFrame:
+    """Long form (col_x, col_y, bin_x, bin_y[, hue], count): the diagonal holds each column's
+    ``bins``-bin histogram (bin_y NULL), off-diagonal cells 2-D grid counts per pair; with a
+    ``hue`` the counts are split by its value.
 
     One stats aggregate for the edges, then ONE scan. With equal diagonal and grid bins (the
     default) the scan feeds a joint-bin partial aggregate (bounded key space) and the cells are
@@ -403,7 +405,9 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
         # many rows there are, so the map side collapses the data; the d·d cell tables are then
         # derived from that small joint table (after the shuffle, in parallel)
         jb = [F.when(_x(c).isNotNull(), bin_index(_x(c), *edges[c], bins)).alias(f"b{i}") for i, c in enumerate(cols)]
-        joint = df.select(*jb).groupBy(*[f"b{i}" for i in range(d)]).agg(F.count(F.lit(1)).alias("_c"))
+        hk = [qcol(hue).cast("string").alias("_hue")] if hue else []
+        joint = df.select(*jb, *hk).groupBy(*[f"b{i}" for i in range(d)], *(["_hue"] if hue else [])).agg(
+            F.count(F.lit(1)).alias("_c"))
         jcells = []
         for i in range(d):
             for j in range(d):
@@ -417,13 +421,14 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
                                    F.col("_c").alias("w"))
                     ok = bi.isNotNull() & bj.isNotNull()
                 jcells.append(F.when(ok, key))
-        ex = joint.select(F.explode(F.array(*jcells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
-        counts = ex.groupBy("cell", "bin_x", "bin_y").agg(F.sum("w").alias("count"))
+        ex = joint.select(*(["_hue"] if hue else []), F.explode(F.array(*jcells)).alias("c")).filter(
+            F.col("c").isNotNull()).select(*(["_hue"] if hue else []), "c.*")
+        counts = ex.groupBy("cell", "bin_x", "bin_y", *(["_hue"] if hue else [])).agg(F.sum("w").alias("count"))
         names = F.array(*[F.lit(c) for c in cols])
         return counts.select(
             F.element_at(names, (F.col("cell") / d).cast("int") + 1).alias("col_x"),
             F.element_at(names, (F.col("cell") % d).cast("int") + 1).alias("col_y"),
-            "bin_x", "bin_y", "count")
+            "bin_x", "bin_y", *([F.col("_hue").alias(hue)] if hue else []), "count")
     cells = []
     for i, cx in enumerate(cols):
         x = _x(cx)
@@ -441,10 +446,12 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
                                bin_index(y, fy, ly, grid_bins).alias("bin_y"))
                 ok = x.isNotNull() & y.isNotNull()
             cells.append(F.when(ok, key))
-    expanded = df.select(F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select("c.*")
-    counts = expanded.groupBy("cell", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("count"))
+    hk = [qcol(hue).cast("string").alias("_hue")] if hue else []
+    expanded = df.select(*hk, F.explode(F.array(*cells)).alias("c")).filter(F.col("c").isNotNull()).select(
+        *(["_hue"] if hue else []), "c.*")
+    counts = expanded.groupBy("cell", "bin_x", "bin_y", *(["_hue"] if hue else [])).agg(F.count(F.lit(1)).alias("count"))
     names = F.array(*[F.lit(c) for c in cols])
     return counts.select(
         F.element_at(names, (F.col("cell") / d).cast("int") + 1).alias("col_x"),
         F.element_at(names, (F.col("cell") % d).cast("int") + 1).alias("col_y"),
-        "bin_x", "bin_y", "count")
+        "bin_x", "bin_y", *([F.col("_hue").alias(hue)] if hue else []), "count")

@@ -94,3 +94,13 @@ def test_kde_prebinned_close_to_exact(data):
     exact = [r["density"] for r in V.kde(df, "x").collect()]
     approx = [r["density"] for r in V.kde(df, "x", prebin=4096).collect()]
     assert np.max(np.abs(np.array(exact) - np.array(approx))) < 1e-3 * max(exact)
+
+
+def test_pair_data_with_hue(data):
+    df, x, cat = data
+    for gb in (20, 5):  # joint-bin path and expand path
+        p = V.pair_data(df.select("x", "i", "c"), grid_bins=gb, hue="c")
+        assert "c" in p.columns
+        per_hue = {r["c"]: r["n"] for r in p.filter("col_x = 'x' AND col_y = 'x'").groupBy("c").agg(
+            F.sum("count").alias("n")).collect()}
+        assert per_hue == {k: int((cat == k).sum()) for k in set(cat)}
