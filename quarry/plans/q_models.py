@@ -25,6 +25,14 @@ LI_Y_SQL = (f"SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, {L
 SPLIT_CTE = f"WITH src AS ({LI_Y_SQL}), tr AS (SELECT * FROM src WHERE NOT is_test), te AS (SELECT * FROM src WHERE is_test) "
 
 
+def _fold_sql(k: int) -> str:
+    """The CV fold of a lineitem row (same md5 rule as prep.fold_column)."""
+    return f"((('0x'||substr(md5(concat_ws('-',l_orderkey,l_linenumber)),1,8))::UBIGINT % 1000003) % {k})::INTEGER"
+
+
+_FOLD_SQL = _fold_sql(5)
+
+
 def li_y(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
                                                F.expr(LABEL_SPARK).alias("y"))
@@ -216,6 +224,92 @@ def knn_distance(spark, sf):
 _F3 = ["l_quantity", "l_discount", "l_tax"]
 
 
+# ------------------------------------------------------------------ 3-feature OLS / ridge oracles
+# In standardised space the fit solves (n·R + α·I) w = n·c (R: feature correlation matrix, c_i:
+# cov(x_i, y)/σ_i); for three features Cramer's rule on covariance sums gives it in plain SQL.
+
+
+def _sums_sql(src: str, group: str = "") -> str:
+    xs = [f"{c}::DOUBLE" for c in _F3]
+    cols = ["count(*)::DOUBLE AS n", "sum(y) AS sy"] + [f"sum({x}) AS s{i}" for i, x in enumerate(xs)]
+    cols += [f"sum({xs[i]} * {xs[j]}) AS s{i}{j}" for i in range(3) for j in range(i, 3)]
+    cols += [f"sum({x} * y) AS s{i}y" for i, x in enumerate(xs)]
+    return f"SELECT {group + ', ' if group else ''}{', '.join(cols)} FROM {src}" + (f" GROUP BY {group}" if group else "")
+
+
+def _solve3_cols(alpha: str = "0") -> str:
+    """Select list: m_i, sd_i, my and weights w_i (standardised) from a row of sums."""
+    m = [f"(s{i} / n)" for i in range(3)]
+    cov = {(i, j): f"(s{min(i, j)}{max(i, j)} / n - {m[i]} * {m[j]})" for i in range(3) for j in range(3)}
+    sd = [f"sqrt({cov[(i, i)]})" for i in range(3)]
+    A = [[f"(n * {cov[(i, j)]} / ({sd[i]} * {sd[j]}){' + ' + alpha if i == j else ''})" for j in range(3)] for i in range(3)]
+    b = [f"(n * (s{i}y / n - {m[i]} * (sy / n)) / {sd[i]})" for i in range(3)]
+
+    def det(M):
+        return (f"({M[0][0]} * ({M[1][1]} * {M[2][2]} - {M[1][2]} * {M[2][1]}) - "
+                f"{M[0][1]} * ({M[1][0]} * {M[2][2]} - {M[1][2]} * {M[2][0]}) + "
+                f"{M[0][2]} * ({M[1][0]} * {M[2][1]} - {M[1][1]} * {M[2][0]}))")
+
+    D = det(A)
+    out = [f"{m[i]} AS m{i}" for i in range(3)] + [f"{sd[i]} AS sd{i}" for i in range(3)] + ["sy / n AS my"]
+    for k in range(3):
+        Mk = [[b[i] if j == k else A[i][j] for j in range(3)] for i in range(3)]
+        out.append(f"{det(Mk)} / {D} AS w{k}")
+    return ", ".join(out)
+
+
+def _pred3(prefix: str = "") -> str:
+    p = prefix
+    return (f"{p}my + " + " + ".join(f"{p}w{i} * ({_F3[i]} - {p}m{i}) / {p}sd{i}" for i in range(3)))
+
+
+_LIN3_TR = SPLIT_CTE + f", sums AS ({_sums_sql('tr')}), fitc AS (SELECT {{cols}} FROM sums) "
+
+model_roundtrip_sql = (
+    _LIN3_TR.format(cols=_solve3_cols("1.0"))
+    + "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, "
+    f"round({_pred3()}, 4) AS \"Predicted_Value\" FROM te, fitc"
+)
+score_stream_sql = (
+    _LIN3_TR.format(cols=_solve3_cols("0"))
+    + "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, "
+    f"round({_pred3()}, 4) AS \"Predicted_Value\" FROM lineitem, fitc"
+)
+
+def _fold3(k: int) -> str:
+    return (SPLIT_CTE + f", f AS (SELECT *, {_fold_sql(k)} AS fold FROM tr), "
+            f"fs AS ({_sums_sql('f', 'fold')}), tot AS ({_sums_sql('f')}), "
+            # training sums of fold i = totals − fold i
+            "ks AS (SELECT fs.fold, " + ", ".join(
+                f"tot.{c} - fs.{c} AS {c}" for c in ["n", "sy", "s0", "s1", "s2", "s00", "s01", "s02", "s11", "s12",
+                                                     "s22", "s0y", "s1y", "s2y"]) + " FROM fs, tot) ")
+
+
+cv5_sql = (
+    _fold3(5) + f", kf AS (SELECT fold, {_solve3_cols('0')} FROM ks), "
+    f"p AS (SELECT f.fold, f.y, {_pred3('kf.')} AS pr FROM f JOIN kf ON f.fold = kf.fold) "
+    "SELECT fold, count(*) AS n, round(1 - sum((y - pr) ^ 2) / (count(*) * var_pop(y)), 4) AS r2, "
+    "round(avg((y - pr) ^ 2), 4) AS mse FROM p GROUP BY fold"
+)
+
+
+
+
+def _grid3_sql(alphas: list[float], k: int) -> str:
+    parts = []
+    for a in alphas:
+        parts.append(
+            f"SELECT '{{\"alpha\": {a!r}}}' AS params, fold, 1 - sum((y - pr) ^ 2) / (count(*) * var_pop(y)) AS r2 "
+            f"FROM (SELECT f.fold, f.y, {_pred3('kf.')} AS pr FROM f JOIN "
+            f"(SELECT fold, {_solve3_cols(repr(float(a)))} FROM ks) kf ON f.fold = kf.fold) GROUP BY fold")
+    return _fold3(k) + ", r AS (" + " UNION ALL ".join(parts) + ") SELECT params, round(avg(r2), 4) AS mean_score FROM r GROUP BY params"
+
+
+grid_search_sql = _grid3_sql([0.1, 1.0, 10.0], 3)
+
+
+
+
 def _fit_metrics(spark, sf, model, features=_F3, **params):
     tr, te = li_split(spark, sf)
     fm = MP.fit(tr, features, "y", model, **params)
@@ -281,7 +375,7 @@ def topk_importance(spark, sf):
     return importance_table(fm, spark, 12)
 
 
-@query("cv5", None, ops="M17")
+@query("cv5", cv5_sql, ops="M17 (3-feature linear, 5 folds)")
 def cv5(spark, sf):
     from quarry.models.selection import cross_validate
 
@@ -298,7 +392,7 @@ def auto_select_q(spark, sf):
     return rounded(rank_candidates(res))
 
 
-@query("grid_search", None, ops="M19")
+@query("grid_search", grid_search_sql, ops="M19 (3-feature ridge, 3 folds)")
 def grid_search_q(spark, sf):
     from quarry.models.selection import grid_search
 
@@ -308,7 +402,7 @@ def grid_search_q(spark, sf):
     return rounded(res)
 
 
-@query("model_roundtrip", None, ops="M22 M23 S9")
+@query("model_roundtrip", model_roundtrip_sql, ops="M22 M23 S9 (3-feature ridge)")
 def model_roundtrip(spark, sf):
     from quarry.models.registry import ModelRegistry
     from quarry.models.scoring import score
@@ -334,7 +428,7 @@ def train_run(spark, sf):
     return rounded(report_tables(res, spark)["metrics"])
 
 
-@query("score_stream", None, ops="M25 (Structured Streaming)")
+@query("score_stream", score_stream_sql, ops="M25 (Structured Streaming, 3-feature linear)")
 def score_stream_q(spark, sf):
     from quarry.streaming.score import file_stream, run_to_completion, score_stream
 
@@ -412,7 +506,6 @@ def run_history(spark, sf):
 
 # ------------------------------------------------------------------ 1-feature variants with closed-form oracles
 
-_FOLD_SQL = "((('0x'||substr(md5(concat_ws('-',l_orderkey,l_linenumber)),1,8))::UBIGINT % 1000003) % 5)::INTEGER"
 _FOLD_CTE = (SPLIT_CTE + f", f AS (SELECT *, {_FOLD_SQL} AS fold FROM tr), "
              "s AS (SELECT fold, count(*) AS n, sum(l_quantity) AS sx, sum(y) AS sy, sum(l_quantity * y) AS sxy, "
              "sum(l_quantity * l_quantity) AS sxx FROM f GROUP BY fold), "
