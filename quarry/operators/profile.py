@@ -59,6 +59,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     dnull = F.lit(None).cast("double")
     if num:
         extra = {"_mean": F.avg, "_std": F.stddev_samp, "_min": F.min, "_max": F.max, "_sk": F.skewness}
+        qkw.setdefault("max_group_rows", total)  # a column holds at most the table's rows
         q = grouped_quantiles(long_numeric(df, num), ["column"], "value", [0.25, 0.5, 0.75],
                               method="exact" if exact else "approx", extra_aggs=extra, **qkw)
         nq = q.groupBy("column").agg(

@@ -35,7 +35,9 @@ from quarry.functions.columns import qcol
 from quarry.session import ensure_checkpoint_dir
 
 DEFAULT_BUCKETS = 4096
-DEFAULT_FINAL_ROWS = 500_000
+# rows one window partition may rank in a single task (the window sort spills to disk, so this
+# bounds task time, not memory correctness); groups proven smaller are ranked in ONE pass
+DEFAULT_FINAL_ROWS = 2_000_000
 
 
 BROADCAST_MAX_ROWS = 200_000  # lookup tables at most this many (small, fixed-width) rows are broadcast
@@ -67,6 +69,7 @@ def grouped_quantiles(
     final_rows: int = DEFAULT_FINAL_ROWS,
     max_passes: int = 24,
     extra_aggs: dict | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Quantiles of ``value`` per group of ``keys``.
 
@@ -75,6 +78,11 @@ def grouped_quantiles(
     ``method='approx'`` uses ``percentile_approx`` (one pass, bounded memory, not exact).
     ``extra_aggs`` = {name: fn(Column) -> aggregate Column} rides along in the first pass
     (e.g. mean/std/min/max for a profile) and is returned as extra columns.
+
+    Small-group fast path: when every group is proven to hold at most ``final_rows`` rows
+    (``max_group_rows``, or else the input's row count — metadata-only for a Parquet scan), the
+    quantiles come from ONE window pass (row_number + count per group, bounded partitions)
+    instead of sketch → verify → rank.
     """
     extra_aggs = extra_aggs or {}
     keys = list(keys)
@@ -100,6 +108,12 @@ def grouped_quantiles(
         )
         return out.drop("_g") if added_key else out
 
+    if max_group_rows is None:
+        max_group_rows = df.count()
+    if max_group_rows <= final_rows:
+        out = _ranked_quantiles(data, keys, probs, extra_aggs)
+        return out.drop("_g") if added_key else out
+
     # pass 1: n, min, max and a bounded GK sketch bracketing every wanted rank
     eps = 3.0 / accuracy
     brk = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
@@ -201,6 +215,35 @@ def grouped_quantiles(
     return out.drop("_g") if added_key else out
 
 
+def _ranked_quantiles(data: DataFrame, keys: list[str], probs: list[float], extra_aggs: dict) -> DataFrame:
+    """One window pass for groups proven to hold at most ``final_rows`` rows: rank within the
+    group, keep the ≤ 2·len(probs) rows at the interpolation ranks, interpolate."""
+    K = [F.col(k) for k in keys]
+    w_all = Window.partitionBy(*K)
+    w_ord = Window.partitionBy(*K).orderBy("_v")
+    ranked = data.select(
+        *K, "_v",
+        (F.row_number().over(w_ord) - 1).alias("_rn"),
+        F.count("_v").over(w_all).alias("_n"),
+        *[fn(F.col("_v")).over(w_all).alias(name) for name, fn in extra_aggs.items()],
+    )
+    t = (
+        ranked.withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
+        .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
+        .withColumn("_r0", F.floor("_h").cast("bigint"))
+        .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
+        .filter((F.col("_rn") == F.col("_r0")) | (F.col("_rn") == F.col("_r1")))
+    )
+    g = t.groupBy(*K, "p").agg(
+        F.max(F.when(F.col("_rn") == F.col("_r0"), F.col("_v"))).alias("_v0"),
+        F.max(F.when(F.col("_rn") == F.col("_r1"), F.col("_v"))).alias("_v1"),
+        F.max("_h").alias("_h"), F.max("_r0").alias("_r0"), F.max("_n").alias("n"),
+        *[F.max(name).alias(name) for name in extra_aggs],
+    )
+    return g.select(*K, "p", (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"),
+                    "n", *extra_aggs)
+
+
 def long_numeric(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:
     """Unpivot numeric columns to (column, value double), NaN mapped to NULL (an Expand, no shuffle)."""
     vals = []
@@ -216,6 +259,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols = list(cols)
     if not cols:
         return {}
+    # each column-group holds at most the table's rows (a metadata count for a Parquet scan)
+    kw.setdefault("max_group_rows", df.count())
     q = grouped_quantiles(long_numeric(df, cols), ["column"], "value", probs, **kw)
     got: dict[str, dict[float, float]] = {}
     for r in q.collect():
