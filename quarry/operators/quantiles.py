@@ -2,7 +2,9 @@
 
 Spark's exact ``percentile`` / ``median`` / ``mode`` aggregates keep a value->count map per
 group and merge it in a single task; a group that holds a third of a 100 TB table would not
-fit. Here exact quantiles take three scans with bounded state:
+fit. Here exact quantiles never rank more than ``final_rows`` rows in one task. If a cheap
+row count proves every group is that small, one window pass ranks each group; otherwise three
+scans with bounded state:
 
 1. one partial aggregate gives n, min, max and a Greenwald–Khanna sketch
    (``percentile_approx``, bounded memory, mergeable) per group; the sketch brackets every
