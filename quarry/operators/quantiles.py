@@ -111,7 +111,11 @@ def grouped_quantiles(
         return out.drop("_g") if added_key else out
 
     if max_group_rows is None:
-        max_group_rows = df.count()
+        if added_key:
+            max_group_rows = df.count()  # one group: a metadata count for a Parquet scan
+        else:
+            # largest group, from one count-only partial aggregate
+            max_group_rows = data.groupBy(*K).count().agg(F.max("count")).first()[0] or 0
     if max_group_rows <= final_rows:
         out = _ranked_quantiles(data, keys, probs, extra_aggs)
         return out.drop("_g") if added_key else out
