@@ -28,3 +28,14 @@ def test_oracle_small(spark, name):
     a = _rows(E.queries()[name](spark, SF).toPandas())
     b = _rows(con.execute(E.oracle_sql()[name]).df())
     assert a == b
+
+
+def test_facades_expose_the_proposed_names(spark):
+    from quarry import charts, clean, io, ml
+
+    df = io.load(spark, f"{SF}/orders.parquet")
+    prof = clean.profile(df.select("o_totalprice", "o_orderpriority"))
+    assert prof.count() == 2
+    h = charts.histogram(df, "o_totalprice", "sturges")
+    assert h.agg({"count": "sum"}).first()[0] == df.count()
+    assert callable(ml.train) and callable(ml.score_stream) and callable(clean.Workspace)
