@@ -486,7 +486,28 @@ def importance_linear(spark, sf):
     return rounded(importance_table(fm, spark, 12))
 
 
-@query("run_history", None, ops="M21 O8")
+def _run_history_sql() -> str:
+    def metrics(model: str, slope: str) -> str:
+        return (f"SELECT '{model}_Run1' AS run_id, '{model}' AS model, "
+                f"1 - sum(CASE WHEN NOT is_test THEN (y - pr) ^ 2 END) / (count(CASE WHEN NOT is_test THEN 1 END) * "
+                f"var_pop(CASE WHEN NOT is_test THEN y END)) AS train_r2, "
+                f"1 - sum(CASE WHEN is_test THEN (y - pr) ^ 2 END) / (count(CASE WHEN is_test THEN 1 END) * "
+                f"var_pop(CASE WHEN is_test THEN y END)) AS test_r2, "
+                f"avg(CASE WHEN NOT is_test THEN (y - pr) ^ 2 END) AS train_mse, "
+                f"avg(CASE WHEN is_test THEN (y - pr) ^ 2 END) AS test_mse, "
+                f"count(CASE WHEN NOT is_test THEN 1 END) AS n_train, count(CASE WHEN is_test THEN 1 END) AS n_test "
+                f"FROM (SELECT y, is_test, my + ({slope}) * ((l_quantity - mx) / sx) AS pr FROM src, st)")
+    st = ("st AS (SELECT avg(l_quantity) AS mx, stddev_pop(l_quantity) AS sx, avg(y) AS my, count(*) AS n, "
+          "covar_pop(l_quantity, y) AS cxy FROM tr)")
+    runs = metrics("linear", "cxy / sx") + " UNION ALL " + metrics("ridge", "(cxy / sx) * n / (n + 1.0)")
+    return (SPLIT_CTE + f", {st}, r AS ({runs}) SELECT run_id, model, round(train_r2, 4) AS train_r2, "
+            "round(test_r2, 4) AS test_r2, round(train_mse, 4) AS train_mse, round(test_mse, 4) AS test_mse, "
+            "1::BIGINT AS n_features, n_train, n_test, (test_r2 - train_r2) < -0.05 AS r2_overfit, "
+            "CASE WHEN train_mse > 1e-9 THEN (test_mse - train_mse) / train_mse > 0.2 ELSE false END AS mse_overfit "
+            "FROM r")
+
+
+@query("run_history", _run_history_sql(), ops="M21 O8 M24")
 def run_history(spark, sf):
     import datetime as dt
 
@@ -501,7 +522,9 @@ def run_history(spark, sf):
                         "created_at": dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
                         "train_r2": a["r2"], "test_r2": b["r2"], "train_mse": a["mse"], "test_mse": b["mse"],
                         "n_features": 1, "n_train": a["n"], "n_test": b["n"]})
-    return rounded(overfit_flags(reg.history()))
+    hist = overfit_flags(reg.history())  # newest first; created_at is not part of the checked output
+    return rounded(hist.select("run_id", "model", "train_r2", "test_r2", "train_mse", "test_mse", "n_features",
+                               "n_train", "n_test", "r2_overfit", "mse_overfit"))
 
 
 # ------------------------------------------------------------------ 1-feature variants with closed-form oracles
