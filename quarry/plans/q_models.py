@@ -356,7 +356,29 @@ def huber_fit(spark, sf):
     return _fit_metrics(spark, sf, "huber")
 
 
-@query("isotonic_fit", None, ops="M15 (isotonic)")
+# Isotonic regression, 1 feature: the fit is unique — at the i-th distinct x it equals
+# max_{j<=i} min_{k>=i} (weighted mean of y over the distinct x values j..k).
+_ISO_SQL = (
+    SPLIT_CTE + ", g AS (SELECT l_quantity AS x, count(*)::DOUBLE AS w, sum(y) AS sy FROM tr GROUP BY 1), "
+    "c AS (SELECT x, row_number() OVER (ORDER BY x) AS r, sum(w) OVER (ORDER BY x) AS cw, "
+    "sum(sy) OVER (ORDER BY x) AS cs FROM g), "
+    "seg AS (SELECT a.r AS j, b.r AS k, (b.cs - a.cs + ga.sy) / (b.cw - a.cw + ga.w) AS m "
+    "FROM c a JOIN c b ON a.r <= b.r JOIN g ga ON ga.x = a.x), "
+    "mn AS (SELECT i.r AS i, s.j, min(s.m) AS v FROM c i JOIN seg s ON s.j <= i.r AND s.k >= i.r GROUP BY i.r, s.j), "
+    "fitv AS (SELECT c.x, max(v) AS fv FROM mn JOIN c ON c.r = mn.i GROUP BY c.x) "
+    "SELECT l_orderkey, l_linenumber, round(fv, 4) AS prediction FROM te JOIN fitv ON te.l_quantity = fitv.x"
+)
+
+
+def _iso_metrics_sql() -> str:
+    fit_part = _ISO_SQL[: _ISO_SQL.index(" SELECT l_orderkey, l_linenumber, round(fv, 4)")]
+    return (fit_part + ", p AS (SELECT y, fv AS pr FROM te JOIN fitv ON te.l_quantity = fitv.x) "
+            "SELECT count(*) AS n, round(1 - sum((y - pr) ^ 2) / (count(*) * var_pop(y)), 4) AS r2, "
+            "round(avg((y - pr) ^ 2), 4) AS mse, round(sqrt(avg((y - pr) ^ 2)), 4) AS rmse, "
+            "round(avg(abs(y - pr)), 4) AS mae, 'isotonic' AS model FROM p")
+
+
+@query("isotonic_fit", _iso_metrics_sql(), ops="M15 (isotonic)")
 def isotonic_fit(spark, sf):
     return _fit_metrics(spark, sf, "isotonic", features=["l_quantity"])
 
@@ -647,20 +669,6 @@ def poly_fit_1f(spark, sf):
     return _pred_out(fm, te)
 
 
-# Isotonic regression, 1 feature: the fit is unique — at the i-th distinct x it equals
-# max_{j<=i} min_{k>=i} (weighted mean of y over the distinct x values j..k).
-_ISO_SQL = (
-    SPLIT_CTE + ", g AS (SELECT l_quantity AS x, count(*)::DOUBLE AS w, sum(y) AS sy FROM tr GROUP BY 1), "
-    "c AS (SELECT x, row_number() OVER (ORDER BY x) AS r, sum(w) OVER (ORDER BY x) AS cw, "
-    "sum(sy) OVER (ORDER BY x) AS cs FROM g), "
-    "seg AS (SELECT a.r AS j, b.r AS k, (b.cs - a.cs + ga.sy) / (b.cw - a.cw + ga.w) AS m "
-    "FROM c a JOIN c b ON a.r <= b.r JOIN g ga ON ga.x = a.x), "
-    "mn AS (SELECT i.r AS i, s.j, min(s.m) AS v FROM c i JOIN seg s ON s.j <= i.r AND s.k >= i.r GROUP BY i.r, s.j), "
-    "fitv AS (SELECT c.x, max(v) AS fv FROM mn JOIN c ON c.r = mn.i GROUP BY c.x) "
-    "SELECT l_orderkey, l_linenumber, round(fv, 4) AS prediction FROM te JOIN fitv ON te.l_quantity = fitv.x"
-)
-
-
 @query("isotonic_1f", _ISO_SQL, ops="M15 (isotonic, 1 feature, min-max closed form)")
 def isotonic_1f(spark, sf):
     fm, _tr, te = _fit_1f(spark, sf, "isotonic")
