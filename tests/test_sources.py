@@ -128,3 +128,10 @@ def test_csv_with_schema_normalises_na(spark, tmpdir_path):
     p = _write(tmpdir_path, "s.csv", b"a,b\n1,x\nNA,y\n3,#N/A\n")
     df = R.read_csv(spark, p, schema="a int, b string")
     assert [(r["a"], r["b"]) for r in df.collect()] == [(1, "x"), (None, "y"), (3, None)]
+
+
+def test_json_lines_with_nested_values(spark, tmpdir_path):
+    p = _write(tmpdir_path, "n.json", b'{"a": [1, 2], "b": {"c": 1}, "d": "x"}\n{"a": [3], "b": {"c": 2}, "d": "y"}\n')
+    assert R.json_shape(spark, p) == "lines"
+    df = R.load(spark, p)
+    assert df.count() == 2 and sorted(df.columns) == ["a", "b", "d"]
