@@ -342,7 +342,8 @@ def pie_data(df: DataFrame, category: str, value: str | None = None, max_slices:
     (kept only if > 1e-9); pct = 100·share. Empty when everything is ≤ 1e-9.
 
     Top-k is a distributed TakeOrdered (bounded) and the roll-up is total − top, so no step
-    ever holds all groups in one task."""
+    ever holds all groups in one task; the result (≤ max_slices rows) is materialised and the
+    cached group sums released."""
     validate_columns(df, [category] + ([value] if value else []), numeric=[value] if value else [])
     if value:
         g = df.filter((_x(value) > 0) & qcol(category).isNotNull()).groupBy(qcol(category).cast("string").alias("category")) \
@@ -359,14 +360,15 @@ def pie_data(df: DataFrame, category: str, value: str | None = None, max_slices:
         return spark.createDataFrame([], schema)
     total, m = tot["total"], tot["m"]
     if m <= max_slices:
-        out = g
+        rows = [(r["category"], r["value"]) for r in g.collect()]  # ≤ max_slices rows
     else:
-        top = g.orderBy(F.desc("value"), F.asc("category")).limit(max_slices - 1)
-        other = top.agg((F.lit(total) - F.sum("value")).alias("value")).select(
-            F.lit(f"Other ({m - (max_slices - 1)})").alias("category"), "value").filter(F.col("value") > 1e-9)
-        out = top.unionByName(other)
-    shown = out.agg(F.sum("value")).first()[0]
-    return out.withColumn("pct", F.col("value") * 100.0 / F.lit(shown))
+        top = [(r["category"], r["value"]) for r in
+               g.orderBy(F.desc("value"), F.asc("category")).limit(max_slices - 1).collect()]
+        rest = total - sum(v for _, v in top)
+        rows = top + ([(f"Other ({m - (max_slices - 1)})", rest)] if rest > 1e-9 else [])
+    g.unpersist()
+    shown = sum(v for _, v in rows)
+    return spark.createDataFrame([(c, v, v * 100.0 / shown) for c, v in rows], schema)
 
 
 # ---------------------------------------------------------------- V12 pair plot / O6
