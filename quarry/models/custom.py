@@ -22,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FEATURE_BUDGET_BYTES = 256 * 1024 * 1024  # per partition: cached random features in one SVR round
+
+
 def _sum_rows(it):
     acc = None
     for pdf in it:
@@ -273,11 +276,14 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
                 if not m:
                     yield pd.DataFrame({"s": [np.zeros(D + 2).tolist()]})
                     return
+                # keep the features of this partition when they fit the budget, else recompute per step
+                keep_z = m * D * 8 <= FEATURE_BUDGET_BYTES
+                zs = [feats(Xb) for Xb, _ in batches] if keep_z else None
                 wl, bl = w0.copy(), b0
                 for k in range(1, local + 1):
                     gw, gb = np.zeros(D), 0.0
-                    for Xb, yb in batches:
-                        Zb = feats(Xb)
+                    for bi, (Xb, yb) in enumerate(batches):
+                        Zb = zs[bi] if keep_z else feats(Xb)
                         res = yb - (Zb @ wl + bl)
                         g = np.where(np.abs(res) > eps, -np.sign(res), 0.0)
                         gw += Zb.T @ g
