@@ -54,7 +54,7 @@ def train(df: DataFrame, features: Sequence[str], target: str, model: str = "aut
     the training part."""
     spark = df.sparkSession
     key_cols = list(key_cols) or [c for c in features if classify(df.schema).get(c) == "numeric"] + [target]
-    data = df.select(*set(list(features) + [target] + list(key_cols)))
+    data = df.select(*dict.fromkeys(list(features) + [target] + list(key_cols)))  # ordered, de-duplicated
     prepared = prepare(data, features, target, impute_target=impute_target)
     # keep the key columns for split/folds (prepare keeps features+target only)
     keys = [c for c in key_cols if c in prepared.columns] or list(features) + [target]
