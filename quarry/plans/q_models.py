@@ -308,6 +308,61 @@ def _grid3_sql(alphas: list[float], k: int) -> str:
 grid_search_sql = _grid3_sql([0.1, 1.0, 10.0], 3)
 
 
+def _bayes3_sql() -> str:
+    """3-feature Bayesian ridge replayed in SQL: w = M⁻¹b and γ = tr(A·M⁻¹) with M = A + (λ/α)I,
+    3×3 inverses by adjugates, iterations in a recursive CTE; returns the test-set metrics."""
+    F3 = _F3
+    m = [f"(s{i} / n)" for i in range(3)]
+    cov = {(i, j): f"(s{min(i, j)}{max(i, j)} / n - {m[i]} * {m[j]})" for i in range(3) for j in range(3)}
+    sd = [f"sqrt({cov[(i, i)]})" for i in range(3)]
+    # constants: A = n·R, b = n·c, cc = Σ(y − ȳ)²
+    kcols = [f"n AS n"] + [f"{m[i]} AS m{i}" for i in range(3)] + [f"{sd[i]} AS sd{i}" for i in range(3)]
+    kcols += ["sy / n AS my", "(syy / n - (sy / n) * (sy / n)) * n AS cc", "syy / n - (sy / n) * (sy / n) AS vy"]
+    kcols += [f"n * {cov[(i, j)]} / ({sd[i]} * {sd[j]}) AS a{i}{j}" for i in range(3) for j in range(3)]
+    kcols += [f"n * (s{i}y / n - {m[i]} * (sy / n)) / {sd[i]} AS b{i}" for i in range(3)]
+    A = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+    Mm = [[f"(a{i}{j} + lam / alpha)" if i == j else f"a{i}{j}" for j in range(3)] for i in range(3)]
+
+    def det(M):
+        return (f"({M[0][0]} * ({M[1][1]} * {M[2][2]} - {M[1][2]} * {M[2][1]}) - "
+                f"{M[0][1]} * ({M[1][0]} * {M[2][2]} - {M[1][2]} * {M[2][0]}) + "
+                f"{M[0][2]} * ({M[1][0]} * {M[2][1]} - {M[1][1]} * {M[2][0]}))")
+
+    def cof(M, i, j):
+        r = [x for x in range(3) if x != i]
+        c = [x for x in range(3) if x != j]
+        s = "" if (i + j) % 2 == 0 else "-"
+        return f"{s}({M[r[0]][c[0]]} * {M[r[1]][c[1]]} - {M[r[0]][c[1]]} * {M[r[1]][c[0]]})"
+
+    D = det(Mm)
+    w = [f"({det([[f'b{i}' if j == k else Mm[i][j] for j in range(3)] for i in range(3)])} / {D})" for k in range(3)]
+    # (M⁻¹)_ji = cof(M, i, j) / det(M); γ = Σ_ij A_ij (M⁻¹)_ji
+    gamma = "(" + " + ".join(f"a{i}{j} * {cof(Mm, i, j)}" for i in range(3) for j in range(3)) + f") / {D}"
+    wb = " + ".join(f"{w[i]} * b{i}" for i in range(3))
+    wAw = " + ".join(f"{w[i]} * a{i}{j} * {w[j]}" for i in range(3) for j in range(3))
+    ww = " + ".join(f"{w[i]} * {w[i]}" for i in range(3))
+    sums = _sums_sql("tr").replace("SELECT ", "SELECT sum(y * y) AS syy, ", 1)
+    rec = (
+        "it(i, alpha, lam, o0, o1, o2, done) AS ("
+        "SELECT 0, 1.0 / (vy + 2.220446049250313e-16), 1.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, false FROM k "
+        "UNION ALL SELECT i + 1, "
+        f"(n - ({gamma}) + 2e-6) / ((cc - 2 * ({wb}) + ({wAw})) + 2e-6), "
+        f"(({gamma}) + 2e-6) / (({ww}) + 2e-6), "
+        f"{w[0]}, {w[1]}, {w[2]}, "
+        f"(i > 0 AND abs(o0 - {w[0]}) + abs(o1 - {w[1]}) + abs(o2 - {w[2]}) < 1e-3) "
+        "FROM it, k WHERE NOT done AND i < 300)"
+    )
+    pred = "my + " + " + ".join(f"{w[i]} * ({F3[i]} - m{i}) / sd{i}" for i in range(3))
+    return ("WITH RECURSIVE " + SPLIT_CTE[len("WITH "):] + f", sums AS ({sums}), k AS (SELECT {', '.join(kcols)} FROM sums), "
+            + rec + f" SELECT round(1 - sum((y - ({pred})) ^ 2) / (count(*) * var_pop(y)), 4) AS r2, count(*) AS n, "
+            f"round(avg((y - ({pred})) ^ 2), 4) AS mse, round(sqrt(avg((y - ({pred})) ^ 2)), 4) AS rmse, "
+            f"round(avg(abs(y - ({pred}))), 4) AS mae, 'bayesian_ridge' AS model "
+            "FROM te, k, (SELECT alpha, lam FROM it ORDER BY i DESC LIMIT 1)")
+
+
+bayes3_sql = _bayes3_sql()
+
+
 
 
 def _fit_metrics(spark, sf, model, features=_F3, **params):
@@ -336,7 +391,7 @@ def lightgbm_fit(spark, sf):
     return _fit_metrics(spark, sf, "lightgbm", n_estimators=30, num_leaves=15)
 
 
-@query("bayes_ridge_fit", None, ops="M8")
+@query("bayes_ridge_fit", bayes3_sql, ops="M8 (3 features; evidence iterations replayed in SQL)")
 def bayes_ridge_fit(spark, sf):
     return _fit_metrics(spark, sf, "bayesian_ridge")
 
