@@ -77,7 +77,6 @@ def _pred_out(fm, te):
     return rounded(fm.transform(te).select("l_orderkey", "l_linenumber", "prediction"))
 
 
-
 def _lin1_sql(slope_s: str) -> str:
     """Predictions on the test part for a 1-feature model fitted in standardised space
     (x_s = (x − mean)/pop-std on the training part): ŷ = mean(y) + w·x_s."""
