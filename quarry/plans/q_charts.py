@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import charts as V
 from quarry.plans.q_profile import lineitem_n
-from quarry.plans.registry import query, rounded, table
+from quarry.plans.registry import query, round_half_away, rounded, table
 from quarry.plans.sqlgen import LINEITEM_N_SQL
 
 
@@ -67,7 +67,7 @@ def hist_int_bins(spark, sf):
 )
 def kde_grid(spark, sf):
     out = V.kde(table(spark, sf, "events"), "value")
-    return out.select(F.round("x", 4).alias("x"), F.round("density", 6).alias("density"))
+    return out.select(round_half_away(F.col("x"), 4).alias("x"), round_half_away(F.col("density"), 6).alias("density"))
 
 
 @query(
@@ -150,7 +150,8 @@ def violin_quartiles(spark, sf):
 )
 def violin_kde(spark, sf):
     curve, _ = V.violin(table(spark, sf, "events"), "event_type", "value")
-    return curve.select("event_type", "i", F.round("y", 4).alias("y"), F.round("density", 6).alias("density"))
+    return curve.select("event_type", "i", round_half_away(F.col("y"), 4).alias("y"),
+                        round_half_away(F.col("density"), 6).alias("density"))
 
 
 @query(

@@ -40,11 +40,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def round_half_away(c, digits: int = 4):
+    """round(x, digits) the way the SQL oracle's engine does it: scale in binary floating point,
+    round half away from zero, scale back. (Spark's ``round`` rounds the shortest decimal text
+    half-up instead, so exact ties such as 38.37875 would round apart.)"""
+    m = F.lit(10.0 ** digits)
+    scaled = c.cast("double") * m
+    return F.when(scaled >= 0, F.floor(scaled + 0.5)).otherwise(F.ceil(scaled - 0.5)) / m
+
+
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every float column (the oracle compare is on rounded values)."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            round_half_away(F.col(f"`{f.name}`"), digits).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
