@@ -104,10 +104,10 @@ SQL = {
         where t.bytes <= {SHARD_BYTES} or t.depth = 60""",
     "op3_topk": """
         with v as (
-          select distinct vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as q from embeddings
-          where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+          select distinct vec_id, [floor(64 * x::double)::bigint for x in embedding] as q from embeddings
+          where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)),
         p as (
-          select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2]))::bigint as score
+          select a.vec_id as query_id, b.vec_id, list_sum([z[1] * z[2] for z in list_zip(a.q, b.q)])::bigint as score
           from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
         select query_id, rank, vec_id, score from r where rank <= 20""",

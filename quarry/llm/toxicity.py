@@ -25,7 +25,9 @@ from quarry.llm.common import map_arrow, stored
 
 #: Bound of the labelled sample (picked by hash) and of the model's entries.
 MAX_LABELLED, MAX_ENTRIES = 60_000, 20_000
-PRIOR, MIN_Z, DRIFT, MOST = 50.0, 2.33, 0.5, 8.0
+PRIOR, DRIFT, MOST = 50.0, 0.5, 8.0
+#: Least z of a word and of a stem.
+WORD_Z, STEM_Z = 3.0, 2.33
 #: Tail probability under which a segment counts as significant.
 SIGNIFICANT = 0.01
 STEMS = (5, 4)
@@ -123,9 +125,9 @@ def learn(texts: DataFrame) -> Weights:
     w = best[~stem]
     of = np.array([next((ratio[t[:n]] for n in STEMS if t[:n] in ratio), share) for t in w.token], float)
     d, z = _odds(w.y1.to_numpy(float), w.y0.to_numpy(float), n1, n0, 1.0 * of, 1.0 * (1 - of))
-    words = sorted(((float(k), t, float(x)) for t, x, k in zip(w.token, d, z, strict=True) if k >= MIN_Z), reverse=True)
+    words = sorted(((float(k), t, float(x)) for t, x, k in zip(w.token, d, z, strict=True) if k >= WORD_Z), reverse=True)
     keep = {t: min(x, MOST) - DRIFT for _, t, x in words[:MAX_ENTRIES] if x > DRIFT}
-    kept_stems = sorted(((k, t, x) for t, (x, k) in stems.items() if k >= MIN_Z and x > 2.0), reverse=True)
+    kept_stems = sorted(((k, t, x) for t, (x, k) in stems.items() if k >= STEM_Z and x > 2.0), reverse=True)
     return Weights(keep, {t: min(x, MOST) - DRIFT for _, t, x in kept_stems[:MAX_ENTRIES]})
 
 
