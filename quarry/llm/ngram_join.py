@@ -72,7 +72,7 @@ def _shingler(width: int):
 class Bands:
     """Size bands for a threshold num/den: for band j its smallest size, largest partner, slices, spare, thin."""
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 40, slack: float = 0.25):
+    def __init__(self, num: int, den: int, largest: int = 1 << 40, slack: float = 0.15):
         self.low, self.rows = [1], []
         while self.low[-1] <= largest:
             self.low.append(self.low[-1] * den // num + 1)
@@ -86,7 +86,7 @@ class Bands:
             thin, share, term = 0, 0.0, math.exp(-lo / k)
             while thin < 8:
                 share += term
-                if share * k + 2 * math.sqrt(share * k) > spare:
+                if share * k + math.sqrt(share * k) > spare:
                     break
                 thin += 1
                 term *= lo / k / thin
@@ -139,10 +139,34 @@ def _tile_rows(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
         for b in batches:
             ids, sets = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
             keys = [bands.tiles(s) for s in sets]
-            yield {"id": ids, "n": [len(s) for s in sets],
-                   "keys": as_list(np.concatenate(keys), np.cumsum([0] + [len(k) for k in keys]), pa.int64())}
+            yield {"id": ids, "keys": as_list(np.concatenate(keys), np.cumsum([0] + [len(k) for k in keys]), pa.int64())}
 
-    return map_arrow(texts, run, "id long, n int, keys array<long>").select("id", "n", F.explode("keys").alias("tile"))
+    return map_arrow(texts, run, "id long, keys array<long>").select("id", F.explode("keys").alias("tile"))
+
+
+def _shared_tiles(rows: DataFrame) -> DataFrame:
+    """The rows of tiles with two members or more: one shuffle, sorted by tile, each row held against its neighbours."""
+    def run(batches):
+        last = None  # the row before, kept back until its next neighbour is known: (tile, id, shared already)
+        for b in batches:
+            tile, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keep = np.zeros(len(tile), bool)
+            same = tile[1:] == tile[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None and last[0] == tile[0]:
+                keep[0] = True
+                last = (*last[:2], True)
+            if last is not None and last[2]:
+                yield {"tile": [last[0]], "id": [last[1]]}
+            last = (int(tile[-1]), int(ids[-1]), bool(keep[-1]))
+            keep[-1] = False
+            yield {"tile": tile[keep], "id": ids[keep]}
+        if last is not None and last[2]:
+            yield {"tile": [last[0]], "id": [last[1]]}
+
+    dealt = rows.select("tile", "id").repartition("tile").sortWithinPartitions("tile")
+    return map_arrow(dealt, run, "tile long, id long")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -198,9 +222,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
     some = sizes.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
     texts = src.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    rows = _tile_rows(texts, width, bands).repartition("tile")
-    shared = rows.groupBy("tile").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("tile")
-    tiles = stored(rows.join(shared, "tile", "left_semi"), "tiles")
+    tiles = stored(_shared_tiles(_tile_rows(texts, width, bands)), "tiles")
     members = tiles.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(_sets(src.join(members, "doc_id"), width).dropDuplicates(["id"]), "sets")
     short = sets.drop("hashes")
