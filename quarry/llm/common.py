@@ -50,14 +50,23 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
 
 
 def worker_state(key, build):
-    """A value that a Python worker keeps between its tasks (caches and loaded tokenizers)."""
+    """A value that a Python worker keeps between its tasks (a cache or a loaded tokenizer). It keeps one at a time, so
+    the caches of one operator don't add to another's."""
     home = sys.modules.setdefault("_quarry_llm_state", types.ModuleType("_quarry_llm_state"))
     held = home.__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = build()
     return held[key]
 
 
+def slices(batches, size: int = 512):
+    """Batches of few rows, so that what a task holds for one doesn't grow with Arrow's batch size."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+
+
 def as_list(values, offsets, typ) -> pa.Array:
     """A list column from its flat values and offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values, type=typ))

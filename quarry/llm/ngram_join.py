@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_list, map_arrow, stored, worker_state
+from quarry.llm.common import as_list, map_arrow, slices, stored, worker_state
 from quarry.llm.components import components
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 BITS = [f"b{i}" for i in range(8)]
 _U = np.uint64
 
@@ -125,7 +125,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         shingles = _shingler(width)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "int64").reshape(-1, 2)
             yield {"doc_id": b.column(0), "n_shingles": [len(s) for s in sets], "d1": both[:, 0], "d2": both[:, 1]}
@@ -136,7 +136,7 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
 def _tile_rows(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
     def run(batches):
         shingles = _shingler(width)
-        for b in batches:
+        for b in slices(batches):
             ids, sets = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
             keys = [bands.tiles(s) for s in sets]
             yield {"id": ids, "keys": as_list(np.concatenate(keys), np.cumsum([0] + [len(k) for k in keys]), pa.int64())}
@@ -173,7 +173,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """id, n, the signature's words and the sorted hashes, kept as signed longs in the order of their bits."""
     def run(batches):
         shingles = _shingler(width)
-        for b in batches:
+        for b in slices(batches):
             ids, sets = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
             bits = np.stack([_signature(s) for s in sets])
             hashes = as_list(np.concatenate(sets).view("int64"), np.cumsum([0] + [len(s) for s in sets]), pa.int64())

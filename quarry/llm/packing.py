@@ -23,7 +23,7 @@ from quarry.llm.common import map_arrow, stored, worker_state
 
 CAPACITY = 4096
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, stored
+from quarry.llm.common import map_arrow, slices, stored
 
 #: Bound of the labelled sample (picked by hash) and of the model's entries.
 MAX_LABELLED, MAX_ENTRIES = 60_000, 20_000
@@ -74,7 +74,7 @@ def learn(texts: DataFrame) -> Weights:
             return {"token": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": [v[0] for v in seen.values()],
                     "before": [v[1] - (1 << 64) * (v[1] >> 63) for v in seen.values()]}
 
-        for b in batches:
+        for b in slices(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = find(t.lower())
                 masks: dict[str, int] = {"": 1}  # documents
@@ -95,9 +95,9 @@ def learn(texts: DataFrame) -> Weights:
                     else:
                         v[0] += 1
                         v[1] |= m
-            if len(ctx) > 500_000:
+            if len(ctx) > 200_000:
                 ctx.clear()
-            if len(seen) > 300_000:
+            if len(seen) > 120_000:
                 yield rows()
                 seen.clear()
         if seen:
@@ -250,6 +250,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         find, cache = _tokens(), {}
         for b in batches:
+            if len(cache) > 200_000:
+                cache.clear()
             got = [passages(t, weights, None, find, cache) for t in b.column(0).to_pylist()]
             yield {"toxic": b.column(1), "n_words": [n for _, n in got], "scores": [[s for s, _, _ in g] for g, _ in got]}
 
@@ -268,7 +270,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches):
         find, cache = _tokens(), {}
         least = -math.log10(SIGNIFICANT)
-        for b in batches:
+        for b in slices(batches):
             scores, found = [], []
             for t in b.column(1).to_pylist():
                 segs, n = passages(t, m.weights, m.calibration, find, cache)
@@ -276,7 +278,7 @@ def toxic_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 big = [(f, e, s, x) for s, f, e in segs if (x := m.calibration.surprise(s, n)) > least]
                 words = find(t.lower()) if big else []
                 found.append([{"first": f, "last": e, "score": s, "surprise": x, "text": " ".join(words[f:e + 1])} for f, e, s, x in big])
-            if len(cache) > 1_000_000:
+            if len(cache) > 200_000:
                 cache.clear()
             yield {"doc_id": b.column(0), "score": scores, "passages": found}
 
@@ -293,6 +295,8 @@ def scorer(model: Model):
         find, cache = _tokens(), {}
         out = []
         for t in texts:
+            if len(cache) > 200_000:
+                cache.clear()
             segs, n = passages(t, m.weights, m.calibration, find, cache)
             out.append(m.calibration.score(*_evidence(segs, n, m.calibration)))
         return pd.Series(out, dtype="float64")
