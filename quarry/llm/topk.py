@@ -25,8 +25,10 @@ QUERY_BLOCK, ROW_BLOCK, RESOLUTIONS = 512, 4096, (1, 4, 16)
 
 
 def quantise(column, scale: float = 64.0):
-    """floor(scale * x) of each component, as doubles that hold whole numbers."""
-    return F.transform(column, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
+    """floor(scale * x) of each component, as doubles that hold whole numbers; null where a component is null or not
+    finite."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.when(finite, F.transform(column, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double")))
 
 
 def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
