@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import map_arrow, stored
 
 #: Model size: frequent words that are types of their own, endings, classes, words whose counts travel with the tasks.
-WORD_TYPES, ENDINGS, CLASSES, FREQUENT = 1200, 400, 40, 100_000
+WORD_TYPES, ENDINGS, CLASSES, FREQUENT = 1000, 300, 40, 40_000
 ADD = 0.1
 SWEEPS = 4
 END_TYPE, OTHER_TYPE = 0, 1
@@ -105,9 +105,9 @@ def bigrams(texts: DataFrame, types: Types) -> np.ndarray:
             yield {"pair": at[i:i + 100_000], "n": sums[at[i:i + 100_000]]}
 
     table = map_arrow(texts, run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    got = table.toPandas()  # at most size * size rows
+    got = table.toArrow()  # at most size * size rows
     out = np.zeros(size * size, "int64")
-    out[got.pair.to_numpy("int64")] = got.n.to_numpy("int64")
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
 
 
@@ -173,8 +173,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     words = stored(word_counts(texts), "words")
     n_docs = texts.count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # bounded: FREQUENT rows
-    own = {bytes(r["word"]): i + 2 for i, r in enumerate(top[:WORD_TYPES])}
+    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # bounded: FREQUENT rows
+    frequent = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
+    own = {w: i + 2 for i, w in enumerate(list(frequent)[:WORD_TYPES])}
     ends = (words.join(F.broadcast(words.sparkSession.createDataFrame([(k,) for k in own], "word binary")), "word", "left_anti")
             .groupBy(F.substring("word", F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3)).alias("e"))
             .agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ENDINGS).collect())
@@ -203,7 +204,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     strength = float(k)
     step = np.log10((table + strength * prior) / (table.sum(1, keepdims=True) + strength))
     room = np.log10(mass + ADD * (variety + 1))
-    return Model(types, cls, step, room, n_docs, words, {bytes(r["word"]): r["c"] for r in top},
+    return Model(types, cls, step, room, n_docs, words, frequent,
                  int(sums[0]) + n_docs, int(sums[1]) + (n_docs > 0))
 
 
