@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -149,7 +150,7 @@ def test_toxicity(spark, odd):
     bad = ["vilest", "vilely", "rotfool", "rotfools"]
     rows, labels = [], []
     for i in range(800):
-        t = [f"w{r.randrange(300)}" for _ in range(60)]
+        t = ["q" + "".join(chr(97 + int(c)) for c in str(r.randrange(300))) for _ in range(60)]
         if i % 5 == 0:
             for _ in range(3):
                 t.insert(r.randrange(60), r.choice(bad))
@@ -255,7 +256,7 @@ def test_near_duplicates(spark, odd, width, num, den):
             rows.append((200 + 10 * k + c, " ".join(t), "en"))
 
     def shingles(t):
-        w = (t or "").lower().split()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
         return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
 
     sets = {i: shingles(t) for i, t, _ in rows if i is not None}
