@@ -25,16 +25,6 @@ from pyspark.sql import functions as F
 FEATURE_BUDGET_BYTES = 256 * 1024 * 1024  # per partition: cached random features in one SVR round
 
 
-def _sum_rows(it):
-    acc = None
-    for pdf in it:
-        for v in pdf["s"]:
-            v = np.asarray(v, dtype=float)
-            acc = v if acc is None else acc + v
-    if acc is not None:
-        yield pd.DataFrame({"s": [acc.tolist()]})
-
-
 def _partial_sums(df: DataFrame, features: str, label: str, fn, width: int) -> np.ndarray:
     """Sum of ``fn(X, y)`` (a 1-D float vector of ``width``) over all rows.
 
@@ -56,10 +46,20 @@ def _partial_sums(df: DataFrame, features: str, label: str, fn, width: int) -> n
 
 
 def _tree_sum(parts: DataFrame, nparts: int, width: int) -> np.ndarray:
-    """Sum one ``s array<double>`` row per partition: re-spread over ~√P tasks and summed again
-    when P is large, so the driver receives at most ~√P vectors."""
-    if nparts > 64:
-        parts = parts.repartition(max(2, int(math.sqrt(nparts)))).mapInPandas(_sum_rows, "s array<double>")
+    """Sum one ``s array<double>`` row per partition: re-spread over ~√P tasks and summed again,
+    so the driver receives at most ~√P vectors. The inner function travels to the executors by
+    value: they need no copy of this package."""
+
+    def sum_rows(it):
+        acc = None
+        for pdf in it:
+            for v in pdf["s"]:
+                v = np.asarray(v, dtype=float)
+                acc = v if acc is None else acc + v
+        if acc is not None:
+            yield pd.DataFrame({"s": [acc.tolist()]})
+
+    parts = parts.repartition(max(1, int(math.sqrt(nparts)))).mapInPandas(sum_rows, "s array<double>")
     out = np.zeros(width)
     for r in parts.collect():
         out += np.asarray(r["s"], dtype=float)

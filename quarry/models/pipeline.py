@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.param import Param
 from pyspark.ml.feature import (
     ElementwiseProduct,
     SQLTransformer,
@@ -298,6 +299,10 @@ def importances(fm: FittedModel) -> list[tuple[str, float]]:
         vals = list(last.featureImportances.toArray())
     elif hasattr(last, "coefficients"):
         c = last.coefficients
+        if isinstance(c, Param):  # this library's own linear models hold their weights as a parameter
+            c = last.getOrDefault(c)
+        if len(c) != len(fm.expanded):  # random features of a kernel are not the user's
+            return []
         vals = list(c.toArray()) if hasattr(c, "toArray") else list(c)
     if vals is None:
         return []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import classify, hash_bucket, qcol
-from quarry.operators.clean import drop_rows_with_missing, training_clean
+from quarry.operators.clean import apply_fill, drop_rows_with_missing, training_clean, training_fills
 
 
 def split(df: DataFrame, key_cols: Sequence[str], test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +69,9 @@ def poly_sql(cols: Sequence[str], degree: int) -> tuple[list[str], str]:
 
 
 def prepare(df: DataFrame, features: Sequence[str], target: str, impute_target: bool = False,
-            remove_duplicates: bool = True) -> DataFrame:
-    """F2 select → (drop rows with a missing target) → I10 impute (median / mode) + R1 →
+            remove_duplicates: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """M27 (``keys``: more columns to carry along, which take no part in the fills; of rows that are duplicates
+    in features and target the one with the smallest keys stays): F2 select → (drop rows with a missing target) → I10 impute (median / mode) + R1 →
     F6 on the target. ``impute_target=True`` reproduces the reference, which median-fills the
     target before its drop (so no row is dropped)."""
     features = list(features)
@@ -78,9 +79,17 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, impute_target:
         raise ValueError("the target must not be a feature")
     if not features:
         raise ValueError("select at least one feature")
-    d = df.select(*[qcol(c) for c in features], qcol(target))
+    extra = [k for k in dict.fromkeys(keys) if k not in features and k != target]
+    d = df.select(*[qcol(c) for c in features], qcol(target), *[qcol(k) for k in extra])
     if not impute_target:
         d = drop_rows_with_missing(d, [target])
+    if extra:
+        filled = apply_fill(d, training_fills(d.select(*[qcol(c) for c in [*features, target]])))
+        if remove_duplicates:
+            least = F.min(F.struct(*[qcol(k).alias(f"k{i}") for i, k in enumerate(extra)])).alias("_least_keys")
+            filled = filled.groupBy(*[qcol(c) for c in [*features, target]]).agg(least).select(
+                *[qcol(c) for c in [*features, target]], *[F.col(f"_least_keys.k{i}").alias(k) for i, k in enumerate(extra)])
+        return drop_rows_with_missing(filled, [target])
     d = training_clean(d, "median", "mode", remove_duplicates)
     return drop_rows_with_missing(d, [target])
 

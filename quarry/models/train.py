@@ -12,11 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import classify
+from quarry.functions.columns import classify, qcol
 from quarry.models import pipeline as MP
 from quarry.models.metrics import evaluate
 from quarry.models.prep import prepare, split
 from quarry.models.scoring import fit_defaults
+from quarry.operators.clean import apply_fill, drop_rows_with_missing, training_fills
+from quarry.session import materialize
 from quarry.models.selection import auto_select, cross_validate, cv_summary
 
 
@@ -49,16 +51,23 @@ def actual_vs_predicted(pred: DataFrame, target: str) -> tuple[DataFrame, DataFr
 def train(df: DataFrame, features: Sequence[str], target: str, model: str = "auto", key_cols: Sequence[str] = (),
           poly_degree: int | None = None, test_size: float = 0.2, cv_folds: int = 5, impute_target: bool = False,
           candidates=None, registry=None, parallelism: int = 2, **params) -> TrainResult:
-    """Reference order, with the leak fixed: statistics for imputation are taken before the
-    split only when ``impute_target`` asks for reference parity; defaults for scoring come from
-    the training part."""
+    """Prepare, split by ``key_cols`` (which need not be features), fit and evaluate. Fills and the defaults
+    for scoring come from the training part alone; only ``impute_target`` asks for the reference's order, which
+    fills before it splits. The prepared rows are stored once and read by every later pass."""
     spark = df.sparkSession
     key_cols = list(key_cols) or [c for c in features if classify(df.schema).get(c) == "numeric"] + [target]
-    data = df.select(*dict.fromkeys(list(features) + [target] + list(key_cols)))  # ordered, de-duplicated
-    prepared = prepare(data, features, target, impute_target=impute_target)
-    # keep the key columns for split/folds (prepare keeps features+target only)
-    keys = [c for c in key_cols if c in prepared.columns] or list(features) + [target]
-    train_df, test_df = split(prepared, keys, test_size)
+    unknown = [c for c in key_cols if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such key columns: {unknown}")
+    keys = list(key_cols)
+    data = df.select(*[qcol(c) for c in dict.fromkeys([*features, target, *keys])])
+    if impute_target:
+        train_df, test_df = split(materialize(prepare(data, features, target, True, keys=keys), "prepared"), keys, test_size)
+    else:
+        tr, te = split(drop_rows_with_missing(data, [target]), keys, test_size)
+        fills = training_fills(tr.select(*[qcol(c) for c in features]))
+        train_df = materialize(prepare(tr, features, target, keys=keys), "prepared")
+        test_df = materialize(apply_fill(te, fills), "prepared-test")
     selection = None
     label = model
     if model == "auto":

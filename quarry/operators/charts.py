@@ -168,6 +168,8 @@ def violin(df: DataFrame, x_cat: str, y_num: str, hue: str | None = None, gridsi
     keys = [x_cat] + ([hue] if hue else [])
     K = [qcol(k).alias(k) for k in keys]
     d = df.select(*K, _x(y_num).alias("_y")).filter(F.col("_y").isNotNull())
+    for k in keys:  # missing categories are left out, as in the quartiles
+        d = d.filter(qcol(k).isNotNull())
     st = d.groupBy(*keys).agg(F.count("_y").alias("_n"), F.stddev_samp("_y").alias("_sd"),
                                F.min("_y").alias("_mn"), F.max("_y").alias("_mx"))
     st = st.filter((F.col("_n") >= 2) & (F.col("_sd") > 0)).withColumn("_h", F.lit(bw) * F.col("_sd")).withColumn(
@@ -291,7 +293,7 @@ def _parse_x(df: DataFrame, x: str, parse_x_as_date: bool) -> Column:
     if isinstance(dt, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
         # pinned: numeric X stays numeric (the reference would read it as epoch nanoseconds)
         return qcol(x)
-    raise ValueError(f"X-axis '{x}' for line plot must be numeric or datetime.")
+    raise ValueError(f"line data need a number, date or timestamp as x; {x!r} is {dt.simpleString()}")
 
 
 def line_data(df: DataFrame, x: str, y: str, hue: str | None = None, parse_x_as_date: bool = True,
@@ -392,7 +394,7 @@ def pair_data(df: DataFrame, max_numeric_cols: int = 5, bins: int = 20, grid_bin
     for a single grouped aggregate with map-side combine."""
     cols = first_numeric(df, max_numeric_cols)
     if len(cols) < 2:
-        raise ValueError("At least two numeric columns required.")
+        raise ValueError("pair data need two numeric columns or more")
     s = df.agg(*[F.min(_x(c)).alias(f"a{i}") for i, c in enumerate(cols)],
                *[F.max(_x(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
     edges = {}

@@ -168,7 +168,7 @@ def impute(df: DataFrame, cols: Sequence[str] | None, strategy: str, value=None,
     string columns for categorical) with one strategy. Only columns with a missing value change."""
     cls = classify(df.schema)
     if cols is None:
-        cols = [c for c, k in cls.items() if k == "numeric"] if strategy in ("mean", "median", "zero") else list(df.columns)
+        cols = [c for c, k in cls.items() if k == "numeric"] if strategy in ("mean", "median", "zero") else string_columns(df) if strategy == "mode" else list(df.columns)
     cols = list(cols)
     if only_missing:
         nc = null_counts(df, cols)
@@ -197,7 +197,7 @@ def handle_missing(df: DataFrame, numeric_strategy: str = "median", numeric_spec
     drop_cols: list[str] = []
     if numeric_strategy == "drop_col":
         drop_cols += num
-    elif numeric_strategy in ("mean", "median", "mode", "zero", "specific"):
+    elif numeric_strategy in ("mean", "median", "mode", "zero", "specific", "constant"):
         fills.update(fill_values(out, num, numeric_strategy, numeric_specific_value, numeric_specific_value))
     if categorical_strategy == "drop_col":
         drop_cols += cat
@@ -247,6 +247,12 @@ def gui_clean_missing(df: DataFrame, numeric: str = "None", categorical: str = "
 def training_clean(df: DataFrame, fill_method_numeric: str = "median", fill_method_object: str = "mode",
                    remove_duplicates: bool = True) -> DataFrame:
     """Numeric median/mean (else 0), strings mode (else 'Unknown'), then R1 on these columns."""
+    out = apply_fill(df, training_fills(df, fill_method_numeric, fill_method_object))
+    return drop_duplicates(out) if remove_duplicates else out
+
+
+def training_fills(df: DataFrame, fill_method_numeric: str = "median", fill_method_object: str = "mode") -> dict[str, object]:
+    """The fill value of each column of ``df`` with a missing value."""
     cls = classify(df.schema)
     num = [c for c in df.columns if cls[c] == "numeric"]
     cat = string_columns(df)
@@ -262,8 +268,7 @@ def training_clean(df: DataFrame, fill_method_numeric: str = "median", fill_meth
         fills.update(fill_values(df, cat, "mode", empty_default="Unknown"))
     else:
         fills.update({c: "Unknown" for c in cat})
-    out = apply_fill(df, fills)
-    return drop_duplicates(out) if remove_duplicates else out
+    return fills
 
 
 def scoring_fill(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -316,7 +321,7 @@ def sort_stable(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
     range-partitioned global sort, so the sort stays distributed and stable.
     """
     x = qcol(col)
-    o = F.asc_nulls_last(col) if ascending else F.desc_nulls_last(col)
+    o = x.asc_nulls_last() if ascending else x.desc_nulls_last()
     if isinstance(dict((f.name, f.dataType) for f in df.schema.fields)[col], (T.DoubleType, T.FloatType)):
         # NaN is missing: sort it with the NULLs
         o = F.asc_nulls_last(F.when(F.isnan(x), None).otherwise(x)) if ascending else \

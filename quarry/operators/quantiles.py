@@ -76,7 +76,7 @@ def grouped_quantiles(
     """Quantiles of ``value`` per group of ``keys``.
 
     Returns ``keys + [p double, q double, n bigint]`` with one row per group and
-    probability; NULL/NaN values are ignored, groups without values are absent.
+    probability; NULL/NaN values and rows with a NULL key are ignored, groups without values are absent.
     ``method='approx'`` uses ``percentile_approx`` (one pass, bounded memory, not exact).
     ``extra_aggs`` = {name: fn(Column) -> aggregate Column} rides along in the first pass
     (e.g. mean/std/min/max for a profile) and is returned as extra columns.
@@ -97,6 +97,9 @@ def grouped_quantiles(
     data = df.select(*[qcol(k).alias(k) for k in keys], F.when(F.isnan(v), None).otherwise(v).alias("_v")).filter(
         F.col("_v").isNotNull()
     )
+    # rows without a group take no part, however large the table (the lookup joins below could not match them)
+    for k in keys:
+        data = data.filter(F.col(k).isNotNull())
     K = [F.col(k) for k in keys]
 
     if method == "approx":
@@ -233,8 +236,13 @@ def _ranked_quantiles(data: DataFrame, keys: list[str], probs: list[float], extr
         F.count("_v").over(w_all).alias("_n"),
         *[fn(F.col("_v")).over(w_all).alias(name) for name, fn in extra_aggs.items()],
     )
+    # the few rows at a wanted rank first, so that only they are copied once per probability
+    ranks = [F.floor((F.col("_n") - 1).cast("double") * F.lit(p)).cast("bigint") for p in probs]
+    wanted = F.lit(False)
+    for r in ranks:
+        wanted = wanted | (F.col("_rn") == r) | (F.col("_rn") == r + 1)
     t = (
-        ranked.withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
+        ranked.filter(wanted).withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
         .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
         .withColumn("_r0", F.floor("_h").cast("bigint"))
         .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
