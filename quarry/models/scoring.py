@@ -42,7 +42,7 @@ def output_name(columns: Sequence[str], base: str = "Predicted_Value") -> str:
 
 def score(fm: FittedModel, df: DataFrame, out: str = "Predicted_Value", fill_defaults: bool = False) -> DataFrame:
     """Features → (M26 defaults) → I11 zero fill → model → ``out`` appended to ALL input
-    columns. Narrow (no shuffle for linear/tree models) and works on streaming DataFrames."""
+    columns, which keep their values and types (with ``fill_defaults`` features show their defaults). Narrow (no shuffle for linear/tree models) and works on streaming DataFrames."""
     check_features(fm, df, allow_defaults=fill_defaults)
     name = output_name(df.columns, out)
     d = df
@@ -62,12 +62,15 @@ def score(fm: FittedModel, df: DataFrame, out: str = "Predicted_Value", fill_def
             else:
                 fills[c] = F.coalesce(qcol(c).cast("string"), F.lit(str(v)))
         d = d.withColumns(fills)
-    # Anything still missing among numeric features → 0
+    # Anything still missing among numeric features → 0, on a copy: the input columns travel beside it in a
+    # struct, so they come back with their own values and types, whatever names the model's stages use
     cls = classify(d.schema)
-    zero = {c: F.coalesce(qcol(c).cast("double"), F.lit(0.0)) for c in fm.features if cls.get(c) == "numeric"}
-    scored_in = d.withColumns(zero) if zero else d
-    keep = list(df.columns) + [c for c in fm.features if c not in df.columns and fill_defaults]
-    out = fm.transform(scored_in).select(*[qcol(c) for c in d.columns if c in keep], F.col("prediction").alias(name))
+    carried = output_name(fm.features, "_input")
+    ready = [F.coalesce(F.nanvl(qcol(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)).alias(c)
+             if cls.get(c) == "numeric" else qcol(c) for c in fm.features]
+    keep = [c for c in d.columns if c in df.columns or c in fm.features]
+    scored_in = d.select(F.struct(*[qcol(c).alias(c) for c in keep]).alias(carried), *ready)
+    out = fm.transform(scored_in).select(f"{carried}.*", F.col("prediction").alias(name))
     labels = fm.params.get("target_labels")
     if labels:
         # the target was label-encoded at training: report the class label

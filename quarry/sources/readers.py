@@ -3,16 +3,16 @@
 CSV: read every column as string, map the pandas missing-value tokens to NULL, infer each
 column's type in ONE aggregate (all values integral → bigint, numeric → double, True/False →
 boolean, else string), then cast — ``inferSchema`` alone would turn a numeric column holding
-``NA`` into a string. Encoding sniffing and JSON shape sniffing look only at a bounded head of
-the input. Every path is read by Spark's own file sources (splittable where the format is).
+``NA`` into a string. Encodings come from all bytes of each file; JSON shape sniffing looks only at a
+bounded head of the input. Every path is read by Spark's own file sources (splittable where the format is).
 """
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,10 @@ NA_TOKENS = [
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 
-SNIFF_LINES = 2000  # head lines inspected for encoding / JSON shape
+SNIFF_LINES = 2000  # head lines inspected for the JSON shape
+
+# what counts as a number: no Java suffixes (30d, 1f) and no hexadecimal
+_NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,14 +60,32 @@ def _is_empty_file(spark: SparkSession, path: str) -> bool:
     return total == 0
 
 
+# the characters of windows-1252 where ISO-8859-1 has the control codes 0x80-0x9F (five codes are unassigned)
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_CP1252 = bytes(map(ord, _C1)).decode("cp1252")
+
+
+def file_traits(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file, from all of its bytes in one scan: path, encoding, odd_quotes.
+
+    ``encoding`` is UTF-8 if every line is valid UTF-8; otherwise windows-1252 where a byte of 0x80-0x9F occurs, else
+    ISO-8859-1 (the two agree on all other bytes). ``odd_quotes``: some line holds an odd number of double quotes, so a
+    quoted cell may go on in the next line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    seen = lines.groupBy("path").agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bad"),
+        F.bool_or(latin.rlike("[\\x80-\\x9f]")).alias("c1"),
+        F.bool_or((F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))) % 2 == 1).alias("odd_quotes"),
+    )
+    enc = F.when(~F.col("bad"), "UTF-8").when(F.col("c1"), "windows-1252").otherwise("ISO-8859-1")
+    return seen.select("path", enc.alias("encoding"), "odd_quotes")
+
+
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """S2: 'UTF-8' if the head is valid UTF-8, else 'ISO-8859-1'. Only a bounded head
-    (``SNIFF_LINES`` lines) is inspected, JVM-side (the text source keeps the raw bytes).
-    Spark 4's CSV reader accepts a fixed charset list without windows-1252; ISO-8859-1 decodes
-    every byte and equals windows-1252 outside 0x80–0x9F."""
-    head = spark.read.text(path).limit(SNIFF_LINES)
-    bad = head.filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    """The encoding of a file; of a folder, UTF-8 if all files are, else the widest one found."""
+    found = {r["encoding"] for r in file_traits(spark, path).select("encoding").distinct().collect()}
+    return next((e for e in ("windows-1252", "ISO-8859-1") if e in found), "UTF-8")
 
 
 def dedupe_names(names: Sequence[str]) -> list[str]:
@@ -101,8 +122,8 @@ def infer_types(df: DataFrame) -> dict[str, str]:
             nn = x.isNotNull()
             exprs += [
                 F.count_if(nn).alias(f"n{i}"),
-                F.count_if(nn & x.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias(f"i{i}"),
-                F.count_if(nn & F.trim(x).try_cast("double").isNotNull()).alias(f"d{i}"),
+                F.count_if(nn & x.rlike(r"^\s*[+-]?[0-9]+\s*$") & F.trim(x).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+                F.count_if(nn & x.rlike(_NUMBER) & F.trim(x).try_cast("double").isNotNull()).alias(f"d{i}"),
                 F.count_if(nn & x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
             ]
         r = df.agg(*exprs).first()
@@ -126,24 +147,37 @@ def normalise_na(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     return df.select(*[F.when(qcol(c).isin(list(tokens)), None).otherwise(qcol(c)).alias(c) for c in df.columns])
 
 
+def _csv_text(spark: SparkSession, paths, encoding: str, multiline: bool, sep: str) -> DataFrame:
+    """CSV files of one encoding as text columns named by their header (quotes are doubled inside quoted cells)."""
+    cp1252 = encoding.lower() in ("windows-1252", "cp1252")
+    reader = (spark.read.option("encoding", "ISO-8859-1" if cp1252 else encoding).option("sep", sep).option("quote", '"')
+              .option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multiline))
+    raw = reader.option("header", True).csv(paths)
+    first = reader.option("header", False).csv(paths).first()
+    if cp1252:
+        raw = raw.select(*[F.translate(qcol(c), _C1, _CP1252).alias(c) for c in raw.columns])
+    if first is not None and len(first) == len(raw.columns):
+        names = [f"Unnamed: {i}" if h in (None, "") else h for i, h in enumerate(first)]
+        raw = raw.toDF(*dedupe_names([h.translate(str.maketrans(_C1, _CP1252)) for h in names] if cp1252 else names))
+    return raw
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None,
              sep: str = ",", infer: bool = True) -> DataFrame:
-    """S1 (+S2, S3): header row, pandas NA tokens → NULL, one-pass type inference.
+    """S1 (+S2, S3): header row, pandas NA tokens → NULL, one-pass type inference. Files are read by their own
+    encoding; those in which a quoted cell may span lines are read whole (not split), the others stay splittable.
     Header-only → 0 rows with the header's columns (string); zero-byte → empty table."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     if _is_empty_file(spark, path):
         return spark.createDataFrame([], T.StructType())
-    enc = encoding or sniff_encoding(spark, path)
-    reader = spark.read.option("header", True).option("encoding", enc).option("sep", sep).option(
-        "mode", "PERMISSIVE").option("multiLine", False)
-    raw = reader.option("inferSchema", False).csv(path)
-    # pandas-style names for duplicate headers: parse the header line ourselves
-    first = spark.read.option("encoding", enc).text(path).limit(1).collect()
-    if first:
-        hdr = next(csv.reader(io.StringIO(first[0]["value"]), delimiter=sep))
-        if len(hdr) == len(raw.columns):
-            raw = raw.toDF(*dedupe_names(hdr))
+    parts: dict[tuple[str, bool], list[str]] = {}
+    for r in file_traits(spark, path).collect():  # one row per file, which the driver lists anyway
+        parts.setdefault((encoding or r["encoding"], r["odd_quotes"]), []).append(unquote(r["path"]))
+    raw = None
+    for (enc, odd), paths in sorted(parts.items()):
+        d = _csv_text(spark, path if len(parts) == 1 else sorted(paths), enc, odd, sep)
+        raw = d if raw is None else raw.unionByName(d, allowMissingColumns=True)
     raw = normalise_na(raw)
     if schema is not None:
         # the caller's types, applied after NA normalisation; an unparsable cell becomes NULL
@@ -157,7 +191,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
         t = types[c]
         x = qcol(c)
         if t == "bigint":
-            out.append(F.trim(x).cast("bigint").alias(c))
+            out.append(F.trim(x).try_cast("bigint").alias(c))
         elif t == "double":
             out.append(F.trim(x).try_cast("double").alias(c))
         elif t == "boolean":
@@ -180,7 +214,8 @@ def json_shape(spark: SparkSession, path: str) -> str:
     if s.startswith("{"):
         one = head.select(F.from_json("value", "map<string,string>").alias("m")).first()
         if one is not None and one["m"] is not None:
-            return "lines"
+            nested = one["m"] and all((v or "").lstrip().startswith("{") for v in one["m"].values())
+            return "columns" if nested and head.limit(2).count() == 1 else "lines"
         return "columns"
     raise ValueError("not a JSON file: first non-blank character is neither '{' nor '['")
 
@@ -203,9 +238,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     # column-oriented: {"a": {"0": 1, "1": 2}, "b": {...}}
     obj = spark.read.option("multiLine", True).text(path, wholetext=True)
     m = obj.select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    cells = m.select(F.explode("m").alias("col", "rows")).select("col", F.explode("rows").alias("row", "v"))
-    wide = cells.groupBy("row").pivot("col").agg(F.first("v"))
-    wide = wide.withColumn("_r", F.col("row").cast("bigint")).orderBy("_r").drop("_r", "row")
+    cells = m.select(F.explode("m").alias("col", "rows")).select("col", F.posexplode("rows").alias("at", "row", "v"))
+    place = cells.groupBy("row").agg(F.min("at").alias("at"))  # text labels keep their order in the file
+    wide = cells.groupBy("row").pivot("col").agg(F.first("v")).join(place, "row")
+    wide = wide.orderBy(F.col("row").try_cast("bigint").asc_nulls_last(), "at").drop("at", "row")
     types = infer_types(normalise_na(wide))
     return wide.select(*[(qcol(c).try_cast(types[c]) if types[c] != "string" else qcol(c)).alias(c)
                          for c in wide.columns])
@@ -354,7 +390,8 @@ def load_many(spark: SparkSession, paths: Sequence[str], **kw) -> DataFrame:
 def write_table(df: DataFrame, path: str, format: str = "csv", mode: str = "overwrite") -> None:
     """Scored rows to CSV (header, no index) or Parquet; XLSX writing is not built."""
     if format == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        (df.write.mode(mode).option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     elif format == "parquet":
         df.write.mode(mode).parquet(path)
     else:

@@ -193,3 +193,18 @@ def test_every_model_beats_the_mean(reg_frame, model, params):
     feats = ["f0"] if model == "isotonic" else FEATS
     fm = MP.fit(tr, feats, "y", model, **params)
     assert evaluate(fm.transform(te), "y").first()["r2"] > 0.0
+
+
+def test_score_leaves_the_input_as_it_is(spark, reg_frame):
+    from quarry.models.scoring import score
+
+    df, X, _ = reg_frame
+    fm = MP.fit(df, FEATS, "y", "linear")
+    new = spark.createDataFrame([(1, None, 0.5, float("nan"), 0, 0.25, "p"), (2, 0.5, 0.5, 0.5, 1, 0.25, "q")],
+                                "id long, f0 double, f1 double, f2 double, f3 int, f4 double, prediction string")
+    got = score(fm, new)
+    assert got.dtypes == new.dtypes + [("Predicted_Value", "double")]
+    rows = {r["id"]: r for r in got.collect()}
+    assert rows[1]["f0"] is None and math.isnan(rows[1]["f2"]) and rows[2]["f3"] == 1 and rows[2]["prediction"] == "q"
+    zero = spark.createDataFrame([(0.0, 0.5, 0.0, 0.0, 0.25)], ", ".join(f"{c} double" for c in FEATS))
+    assert rows[1]["Predicted_Value"] == pytest.approx(fm.transform(zero).first()["prediction"])

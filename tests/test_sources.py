@@ -135,3 +135,33 @@ def test_json_lines_with_nested_values(spark, tmpdir_path):
     assert R.json_shape(spark, p) == "lines"
     df = R.load(spark, p)
     assert df.count() == 2 and sorted(df.columns) == ["a", "b", "d"]
+
+
+def test_csv_quotes_line_breaks_and_wide_numbers(spark, tmpdir_path):
+    p = _write(tmpdir_path, "q.csv", b',t,k,d\n0,"x\ny",99999999999999999999,30d\n1,"say ""hi"", ok",1,60d\n')
+    df = R.load(spark, p)
+    assert df.columns == ["Unnamed: 0", "t", "k", "d"]
+    assert [t for _, t in df.dtypes] == ["bigint", "string", "double", "string"]
+    assert [r["t"] for r in df.orderBy("k").collect()] == ['say "hi", ok', "x\ny"]
+
+
+def test_csv_encoding_per_file_over_all_bytes(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "two files")
+    os.makedirs(d)
+    _write(d, "a.csv", b"n,v\n" + b"x,1\n" * 3000 + "caf\u00e9 \u201cq\u201d \u20ac5,2\n".encode("cp1252"))
+    _write(d, "b.csv", "n,v\nna\u00efve,3\n".encode())
+    df = R.load(spark, d, format="csv")
+    assert {r["n"] for r in df.where("v > 1").collect()} == {"caf\u00e9 \u201cq\u201d \u20ac5", "na\u00efve"}
+    assert df.count() == 3002 and R.sniff_encoding(spark, d) == "windows-1252"
+
+
+def test_csv_write_and_read_back(spark, tmpdir_path):
+    rows = [(1, 'a "quoted", b', " lead"), (2, "line\nbreak\\", "x"), (3, None, "tail ")]
+    p = os.path.join(tmpdir_path, "back.csv")
+    R.write_table(spark.createDataFrame(rows, "k long, t string, s string"), p)
+    assert sorted(tuple(r) for r in R.load(spark, p).collect()) == rows
+
+
+def test_json_one_line_columns_with_text_labels(spark, tmpdir_path):
+    p = _write(tmpdir_path, "c1.json", b'{"a": {"r2": 1, "r1": 2}, "b": {"r2": "x", "r1": "y"}}')
+    assert [(r["a"], r["b"]) for r in R.load(spark, p).collect()] == [(1, "x"), (2, "y")]
