@@ -210,6 +210,8 @@ def test_pieces(spark, odd):
         assert "".join((r.decoded or "").split()) == "".join((t or "").split())
     got = pieces.digests(docs, p).toPandas()
     assert got.exact.all() and len(got) == len(coded)
+    dealt = Counter(map(tuple, pieces.digests(docs, p, frequent=3).collect()))  # nearly all words by join
+    assert dealt == Counter(map(tuple, pieces.digests(docs, p).collect()))
     for r in got.itertuples():
         t = next(t for i, t in texts if i == r.doc_id or (i is None and math.isnan(r.doc_id)))
         ids = [best(w) for w in pieces.split_words(t)]
