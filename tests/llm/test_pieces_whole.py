@@ -1,4 +1,4 @@
-"""Piece encoding of whole texts: words of any length."""
+"""Piece encoding of whole texts: words of any length, white space."""
 
 from pyspark.sql import functions as F
 
@@ -21,3 +21,28 @@ def test_long_words_have_one_best_path(spark, monkeypatch):
     assert got[0] != sum(cut, [])  # a cut word's parts don't make the word's path
     told = pieces.decode(pieces.encode(docs, p), p).select("doc_id", F.col("decoded").alias("t"))
     assert {r.doc_id: r.t for r in told.collect()} == dict(enumerate(words))
+
+
+def test_white_space_is_encoded(spark):
+    import zlib
+
+    import sentencepiece
+
+    p = model(spark)
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary_path("piece_bpe_32k.model"))
+    texts = ["a  b\nc", "  a", " ", "\n", "\t\tx\r\n\r\n    if y:\n\tz  ", "\u3000x\u00a0y\x1c\x1f z", "a\n\n\n b", "", None, "one two", "a" + " " * 700 + "b",
+             "a \u2581 b", "a\u2581b", "\u2581"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id: list(r.ids) for r in pieces.encode(docs, p).collect()}
+    told = {r.doc_id: r.decoded for r in pieces.decode(pieces.encode(docs, p), p).collect()}
+    assert {i: told[i] for i in range(11)} == {i: t or "" for i, t in enumerate(texts[:11])}
+    assert ids[0] == [lib.piece_to_id(x) for x in ("▁a", "▁", "▁b", "<0x0A>", "c")] and ids[0] == lib.encode(texts[0])
+    # best path of the whole text as one word
+    assert ids == {i: p_ for i, t in enumerate(texts) for p_ in [pieces.long_path(("▁" + t.replace(" ", "▁")) if t else "", p.scores, p.longest, p.byte_ids)]}
+    for frequent in (pieces.FREQUENT, 2):
+        got = {r.doc_id: r for r in pieces.digests(docs, p, frequent=frequent).collect()}
+        assert {i for i in got if not got[i].exact} == {11, 12, 13}  # a mark of the text's own comes back as a space
+        for i, t in enumerate(texts):
+            words = [pieces.long_path(w, p.scores, p.longest, p.byte_ids) for w in pieces.split_words(t)]
+            want = sum(zlib.crc32(",".join(map(str, x)).encode()) % pieces.PRIME * (pieces.FACTOR * (k + 1) % pieces.PRIME) for k, x in enumerate(words))
+            assert (got[i].n_words, got[i].n_pieces, got[i].ids_digest) == (len(words), len(ids[i]), want % pieces.PRIME)
