@@ -1,31 +1,40 @@
 """Class-based language model: exchange clustering, class transitions, word emissions.
 
-Every training document is counted. Words fall into *types*: each of the most frequent words is one, all other words
-go by their last three bytes (the most frequent endings, one type for the rest). Exchange clustering assigns the
-types to classes: each type in turn moves to the class that raises the likelihood of the type bigrams most. The
-probability of a word after another is that of its class after the other's class times that of the word in its class,
-each smoothed; the unseen words of a class share one word's place.
-
-The type bigrams, at most TYPES squared counts, are all that the driver sees. Counts of frequent words (at most
-FREQUENT) travel with the tasks; the others meet the documents that hold them in a join by word.
+Every training document is counted and every word of it is clustered. The exchange moves a word to the class that raises
+the likelihood of the class bigrams most. It begins on the driver with the SEEDS most frequent words, the others being one
+type; then, ROUNDS times over the stored word bigrams, tasks sum each word's counts to and from the classes (at most two a
+class) and choose its best class against the table of class bigrams. The first pass places all words but the seeds; each
+later one moves one half of the words, at the same time, so the map with the highest likelihood is kept. The probability of a word after another is that of its class after the other's class times
+that of the word in its class, each smoothed; the unseen words of a class share one word's place. A word that training
+has not seen counts in the class that most words with its last three bytes have, or else that most words seen once have.
+
+Words stand in the bigrams by a hash of 64 bits; words that share one share their class. The driver sees the bigrams of
+the seeds, the table of class bigrams and the FREQUENT words. Their counts and classes travel with the tasks; the others
+meet the documents that hold them in a join by word.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, stored
+from quarry.llm.common import discard, map_arrow, slices, stored
 
-#: Model size: frequent words that are types of their own, endings, classes, words whose counts travel with the tasks.
-WORD_TYPES, ENDINGS, CLASSES, FREQUENT = 1000, 300, 40, 40_000
+#: Words that are clustered first, classes, words (and endings) whose counts and classes travel with the tasks.
+SEEDS, CLASSES, FREQUENT = 1000, 40, 40_000
 ADD = 0.1
-SWEEPS = 4
+#: Passes of the exchange over the seeds, and over all words.
+SWEEPS, ROUNDS = 4, 3
 END_TYPE, OTHER_TYPE = 0, 1
+#: The end of text among the hashes.
+END = 0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -51,64 +60,46 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Types:
-    words: dict[bytes, int]
-    endings: dict[bytes, int]
-
-    def of(self, word: bytes) -> int:
-        t = self.words.get(word)
-        return self.endings.get(word[-3:], OTHER_TYPE) if t is None else t
-
-    @property
-    def size(self) -> int:
-        return 2 + len(self.words) + len(self.endings)
-
+def code(word: bytes) -> int:
+    """A word's hash, never END."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) or 1
 
-def _typer(types: Types):
-    """Type ids of a list of words."""
-    known: dict[bytes, int] = {}
-
-    def ids(words: list[bytes]) -> np.ndarray:
-        if len(known) > 500_000:
-            known.clear()
-        get = known.get
-        out = [get(w) for w in words]
-        for i, t in enumerate(out):
-            if t is None:
-                out[i] = known[words[i]] = types.of(words[i])
-        return np.array(out, "int32")
-
-    return ids
-
-
-def bigrams(texts: DataFrame, types: Types) -> np.ndarray:
-    """Counts of type after type over all texts; a text begins after an end and closes with one."""
-    size = types.size
 
+def bigrams(texts: DataFrame) -> DataFrame:
+    """a, b, n: counts of word after word by hash over all texts, summed inside each task first; a text begins after an
+    end and closes with one."""
     def run(batches):
-        ids = _typer(types)
-        sums = np.zeros(size * size, "int64")
+        known: dict[bytes, int] = {}
+
+        def counts(held):
+            path = np.concatenate(held)
+            at = np.flatnonzero(path[1:-1] == END) + 1  # ends: each text's last and the next one's first
+            keep = np.ones(len(path) - 1, bool)
+            keep[at[1::2] - 1] = False  # not a pair: the end of a text and the beginning of the next
+            got = pa.table({"a": path[:-1][keep], "b": path[1:][keep]}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+            for i in range(0, got.num_rows, 200_000):
+                part = got.slice(i, 200_000).combine_chunks()
+                yield {"a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": part["count_all"].to_numpy()}
+
         held, n = [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                row = np.concatenate([[END_TYPE], ids(tokens(t)), [END_TYPE]])
-                held.append(row[:-1] * size + row[1:])
-                n += len(row)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words = tokens(t)
+                if len(known) > 500_000:
+                    known.clear()
+                ids = [known.get(w) for w in words]
+                for i, x in enumerate(ids):
+                    if x is None:
+                        ids[i] = known[words[i]] = code(words[i])
+                held.append(np.array([END, *ids, END], "int64"))
+                n += len(ids) + 2
                 if n > 2_000_000:
-                    sums += np.bincount(np.concatenate(held), minlength=size * size)
+                    yield from counts(held)
                     held, n = [], 0
         if held:
-            sums += np.bincount(np.concatenate(held), minlength=size * size)
-        at = np.flatnonzero(sums)
-        for i in range(0, len(at), 100_000):
-            yield {"pair": at[i:i + 100_000], "n": sums[at[i:i + 100_000]]}
+            yield from counts(held)
 
-    table = map_arrow(texts, run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    got = table.toArrow()  # at most size * size rows
-    out = np.zeros(size * size, "int64")
-    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    return map_arrow(texts, run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -154,56 +145,191 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return cls
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def best_classes(table: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most, for each of some words that leave their class ``old`` (-1: none) alone:
+    ``out`` and ``into`` are a word's counts before and after each class (words by classes), ``own`` those after itself,
+    which the two leave out. Class 0 is the end of text's."""
+    hot = old[:, None] == np.arange(len(table))
+
+    def side(table, x, y):
+        w, j = np.nonzero(x)
+        gain = np.zeros(x.shape)
+        if len(w):
+            v, same = x[w, j][:, None], hot[w, j][:, None]
+            base = table[:, j].T - hot[w] * (v + same * own[w][:, None]) - same * y[w]
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            gain[w[first]] = np.add.reduceat(_xlogx(base + v) - _xlogx(base), first, axis=0)
+        return gain
+
+    each = own[:, None]
+    gain = side(table, out, into) + side(table.T, into, out)
+    d = np.diagonal(table) - hot * (out + into + each)
+    gain += _xlogx(d + out + into + each) - _xlogx(d + out) - _xlogx(d + into) + _xlogx(d)
+    for sums, x in ((table.sum(1), out), (table.sum(0), into)):
+        n = x.sum(1, keepdims=True) + each
+        left = sums - hot * n
+        gain -= _xlogx(left + n) - _xlogx(left)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
+def likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
+def edges(pairs: DataFrame, classes: DataFrame, common: DataFrame, k: int) -> DataFrame:
+    """h, old, e: every word's class (null: none yet) and its counts (k, n) before class k, after class k - ``k`` and, as
+    2 * ``k``, after itself, with neighbours that have a class. The classes of ``common`` words travel with the tasks, so
+    a common neighbour's rows are not dealt out by it; each word's counts are summed before they are."""
+    top = classes.join(F.broadcast(common), "h")
+    others = classes.join(F.broadcast(common), "h", "left_anti")
+
+    def side(word, neighbour, shift):
+        met = pairs.where("a <> b").select(F.col(word).alias("w"), F.col(neighbour).alias("h"), "n").join(F.broadcast(top), "h", "left")
+        rare = met.where("cls is null").drop("cls").join(others, "h")
+        return met.where("cls is not null").unionByName(rare).select("w", (F.col("cls") + shift).alias("k"), "n")
+
+    own = pairs.where("a = b").select(F.col("a").alias("w"), F.lit(2 * k).alias("k"), "n")
+    sums = side("a", "b", 0).unionByName(side("b", "a", k)).unionByName(own).groupBy("w", "k").agg(F.sum("n").alias("n"))
+    each = sums.groupBy(F.col("w").alias("h")).agg(F.collect_list(F.struct("k", "n")).alias("e"))
+    return each.join(classes.withColumnRenamed("cls", "old"), "h", "left").select("h", "old", "e")
+
+
+def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of ``edges``: old class (-1: none), word of each count, its k and n."""
+    e = batch.column(2)
+    flat = e.flatten()
+    return (pc.fill_null(batch.column(1), -1).to_numpy(), pc.list_parent_indices(e).to_numpy(),
+            flat.field("k").to_numpy(), flat.field("n").to_numpy().astype("float64"))
+
+
+def class_table(edged: DataFrame, k: int) -> np.ndarray:
+    """Counts of class after class."""
+    def run(batches):
+        sums = np.zeros(k * k)
+        for b in batches:
+            old, w, j, n = _counts(b)
+            use = (old[w] >= 0) & ((j < k) | (j == 2 * k))
+            at = old[w][use]
+            sums += np.bincount(at * k + np.where(j[use] < k, j[use], at), weights=n[use], minlength=k * k)
+        yield {"cell": np.arange(k * k), "n": sums}
+
+    out = np.zeros(k * k)
+    for r in map_arrow(edged, run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * k rows
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
+def moved(edged: DataFrame, table: np.ndarray, k: int, turn: int) -> DataFrame:
+    """h, cls: every word's best class; in turn 0 words that have one keep it, later those of the other half."""
+    def run(batches):
+        for b in slices(batches):
+            old, w, j, n = _counts(b)
+            dense = np.zeros((len(old), 2 * k + 1))
+            dense[w, j] = n
+            cls = best_classes(table, dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k], old)
+            stay = old > 0 if turn == 0 else b.column(0).to_numpy() % 2 != turn % 2
+            cls = np.where((old == 0) | stay, old, cls)
+            yield {"h": b.column(0), "cls": cls}
+
+    return stored(map_arrow(edged, run, "h long, cls int"), "classes")
+
+
+def cluster(pairs: DataFrame, words: DataFrame, frequent: list[bytes], k: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    """h, cls of every word (``words``: h) and of the end of text (class 0), and the counts of class after class.
+    ``frequent``: words, most frequent first; the first ``seeds`` are clustered first."""
+    spark = pairs.sparkSession
+    table_of = lambda rows, name: spark.createDataFrame(rows, f"h long, {name} int")
+    first = F.broadcast(table_of([(END, END_TYPE), *((code(w), i + 2) for i, w in enumerate(frequent[:seeds]))], "t").dropDuplicates(["h"]))
+    typed = pairs.join(first.withColumnsRenamed({"h": "a", "t": "x"}), "a", "left").join(first.withColumnsRenamed({"h": "b", "t": "y"}), "b", "left")
+    other = F.lit(OTHER_TYPE)
+    got = typed.groupBy(F.coalesce("x", other).alias("x"), F.coalesce("y", other).alias("y")).agg(F.sum("n").alias("n")).toArrow()  # at most a row for two seeds
+    n = np.zeros((2 + min(seeds, len(frequent)),) * 2, "int64")
+    n[got.column("x").to_numpy(), got.column("y").to_numpy()] = got.column("n").to_numpy()
+    cls = exchange(n, k)
+    classes = stored(table_of([(END, 0), *((code(w), int(cls[i + 2])) for i, w in enumerate(frequent[:seeds]))], "cls").dropDuplicates(["h"]), "classes")
+    common = table_of([(END, 0), *((code(w), 0) for w in frequent)], "t").select("h").distinct()
+    best = None
+    for i in range(rounds + 1):
+        edged = stored(edges(pairs, classes, common, k), "edges")
+        table = class_table(edged, k)
+        if i and (best is None or likelihood(table) > likelihood(best[1])):  # the seeds alone don't count
+            best = classes, table
+        if i < rounds:
+            classes = moved(edged, table, k, i)
+            if i == 0:  # words that are beside no seed begin anywhere
+                every = words.select("h").distinct().unionByName(table_of([(END, 0)], "t").select("h"))
+                classes = stored(every.join(classes, "h", "left").select("h", F.coalesce("cls", (1 + F.pmod("h", F.lit(k - 1))).cast("int")).alias("cls")), "classes")
+        discard(edged)
+    return best
+
+
+@dataclass
+class Types:
+    """Types are the frequent words, then the classes, for all other words."""
+
+    frequent: dict[bytes, int]
+    words: DataFrame  # word, c, cls
+    endings: dict[bytes, int]  # class of unseen words by their last three bytes
+    unseen: int  # class of other unseen words
+
+    def of(self, word: bytes) -> int:
+        t = self.frequent.get(word)
+        if t is None:
+            row = self.words.where(F.col("word") == F.lit(word)).first()
+            t = len(self.frequent) + (self.endings.get(word[-3:], self.unseen) if row is None else row["cls"])
+        return t
+
+
 @dataclass
 class Model:
     types: Types
-    cls: np.ndarray
+    cls: np.ndarray  # class of each type
     step: np.ndarray  # log10 probability of class after class
     room: np.ndarray  # log10 of a class's smoothed total
     ends: int  # training documents
-    words: DataFrame  # word, c
+    words: DataFrame  # word, c, cls
     frequent: dict[bytes, int]
     total: int  # training tokens
     distinct: int
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all of ``docs`` and cluster the types."""
+    """Count all of ``docs`` and cluster the words."""
     texts = docs.select(F.col(text_col).alias("text"))
-    words = stored(word_counts(texts), "words")
+    hashed = F.udf(code, "long", useArrow=True)
+    counted = stored(word_counts(texts).withColumn("h", hashed("word")), "words")
     n_docs = texts.count()
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # bounded: FREQUENT rows
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    order = [F.desc("c"), "word"]
+    common = [bytes(w) for w in counted.orderBy(*order).limit(FREQUENT).select("word").toArrow().column(0).to_pylist()]  # bounded: FREQUENT rows
+    k = CLASSES
+    pairs = stored(bigrams(texts), "pairs")
+    classes, table = cluster(pairs, counted, common, k)
+    discard(pairs)
+    words = stored(counted.join(classes, "h").select("word", "c", "cls"), "words")
+    discard(counted)
+    top = words.orderBy(*order).limit(FREQUENT).toArrow()
     frequent = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
-    own = {w: i + 2 for i, w in enumerate(list(frequent)[:WORD_TYPES])}
-    ends = (words.join(F.broadcast(words.sparkSession.createDataFrame([(k,) for k in own], "word binary")), "word", "left_anti")
-            .groupBy(F.substring("word", F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3)).alias("e"))
-            .agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(ENDINGS).collect())
-    types = Types(own, {bytes(r["e"]): 2 + len(own) + i for i, r in enumerate(ends)})
-    pairs = bigrams(texts, types)
-    cls = exchange(pairs)
-    k = int(cls.max()) + 1
-    member = np.zeros((types.size, k))
-    member[np.arange(types.size), cls] = 1
-    table = member.T @ pairs @ member
-
-    def kinds(batches):  # distinct words of each class
-        ids = _typer(types)
-        n = np.zeros(k, "int64")
-        for b in batches:
-            n += np.bincount(cls[ids([bytes(w) for w in b.column(0).to_pylist()])], minlength=k)
-        yield {"cls": np.arange(k), "n": n}
-
-    got = map_arrow(words.select("word"), kinds, "cls int, n long").groupBy("cls").agg(F.sum("n").alias("n")).collect()
-    variety = np.zeros(k)
-    for r in got:
-        variety[r["cls"]] = r["n"]
-    variety[0] += 1  # the end of text
-    mass = table.sum(0)
+    mass, variety, once = np.zeros(k), np.zeros(k), np.zeros(k)
+    for r in words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        mass[r["cls"]], variety[r["cls"]], once[r["cls"]] = r["c"], r["n"], r["once"]
+    unseen = int(1 + (once if once.any() else variety)[1:].argmax())
+    ending = F.substring("word", F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3)).alias("e")
+    ends = (words.groupBy(ending, "cls").agg(F.count("*").alias("n")).groupBy("e").agg(F.max_by("cls", F.struct("n", -F.col("cls"))).alias("cls"), F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "e").limit(FREQUENT).toArrow())  # bounded: FREQUENT rows
+    endings = dict(zip(ends.column("e").to_pylist(), ends.column("cls").to_pylist(), strict=True))
+    mass[0], variety[0] = n_docs, 1  # the end of text
     prior = (mass + ADD) / (mass.sum() + ADD * k)
     strength = float(k)
     step = np.log10((table + strength * prior) / (table.sum(1, keepdims=True) + strength))
     room = np.log10(mass + ADD * (variety + 1))
+    types = Types({w: i for i, w in enumerate(frequent)}, words, endings, unseen)
+    cls = np.array([*top.column("cls").to_pylist(), *range(k)], "int64")
     return Model(types, cls, step, room, n_docs, words, frequent,
                  int(sums[0]) + n_docs, int(sums[1]) + (n_docs > 0))
 
@@ -212,51 +338,66 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: doc_id, n_tokens, n_known, base_score (smoothed unigrams), score (the class model),
     both log10 probabilities of the text and its end. Null and empty texts hold the end alone; an empty table gives
     no rows; other columns are not read."""
-    m_types, cls, step, room, ends, total, distinct = (model.types, model.cls, model.step, model.room, model.ends, model.total, model.distinct)
+    step, room, ends, total, distinct = (model.step, model.room, model.ends, model.total, model.distinct)
     base_end = math.log10(ends + ADD)
     end = base_end - float(room[0])
     log_all = math.log10(total + ADD * (distinct + 1))
-    log_c = {w: math.log10(c + ADD) for w, c in model.frequent.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(log_c)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        ({w: (math.log10(c + ADD), int(k)) for (w, c), k in zip(model.frequent.items(), model.cls)}, model.types.endings, model.types.unseen))
 
     def run(batches):
-        ids, common = _typer(m_types), shared.value
+        (common, endings, unseen), rest = shared.value, (None, -1)
         for b in batches:
             out_doc, out_row, out_word, out_n, out = [], [], [], [], []
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = tokens(text)
-                c = cls[ids(words)] if words else np.empty(0, "int64")
-                path = np.concatenate([[0], c, [0]])
-                whole = float(step[path[:-1], path[1:]].sum()) - float(room[c].sum()) + end
-                got = list(map(common.get, words))
-                known = len(got) - got.count(None)
-                logs = math.fsum(x for x in got if x is not None)
+                got = [common.get(w, rest) for w in words]
+                logs = [x[0] for x in got if x[0] is not None]
+                path = np.array([0, *(x[1] for x in got), 0], "int16")
                 # the document's own row: a key that no word can have, so that it is dealt out like the others
                 out_doc.append(doc)
                 out_row.append(row)
                 out_word.append(b" %d" % row)
                 out_n.append(0)
-                out.append((len(words) + 1, known + (ends > 0), logs, whole))
-                rare: dict[bytes, int] = {}
-                for w, x in zip(words, got, strict=True):
-                    if x is None:
-                        rare[w] = rare.get(w, 0) + 1
-                for w, n in rare.items():
+                out.append((len(words) + 1, len(logs) + (ends > 0), math.fsum(logs), path.tobytes(), 0))
+                rare: dict[bytes, list[int]] = {}
+                for i in np.flatnonzero(path < 0):
+                    rare.setdefault(words[i - 1], []).append(i)
+                for w, at in rare.items():
                     out_doc.append(None)
                     out_row.append(row)
                     out_word.append(w)
-                    out_n.append(n)
-                    out.append((0, 0, 0.0, 0.0))
+                    out_n.append(len(at))
+                    out.append((0, 0, 0.0, np.array(at, "int32").tobytes(), endings.get(w[-3:], unseen)))
             yield {"row": out_row, "doc_id": out_doc, "word": out_word, "n": out_n, "n_tokens": [x[0] for x in out],
-                   "n_known": [x[1] for x in out], "logs": [x[2] for x in out], "whole": [x[3] for x in out]}
+                   "n_known": [x[1] for x in out], "logs": [x[2] for x in out], "path": [x[3] for x in out], "guess": [x[4] for x in out]}
+
+    def along(batches):  # the path of classes, with those of the rare words at their places
+        for b in slices(batches):
+            paths, rare = b.column(4).to_pylist(), b.column(5)
+            c = np.frombuffer(b"".join(paths), "int16").astype("int64")
+            starts = np.cumsum([0, *(len(x) // 2 for x in paths)])
+            flat = rare.flatten()
+            places = flat.field("path").to_pylist()
+            n = np.array([len(x) // 4 for x in places], "int64")
+            c[np.repeat(starts[pc.list_parent_indices(rare).to_numpy()], n) + np.frombuffer(b"".join(places), "int32")] = np.repeat(flat.field("cls").to_numpy(), n)
+            gains = np.r_[step[c[:-1], c[1:]], 0.0]  # of the step to the next word
+            gains[starts[1:] - 1] = 0
+            inner = room[c]
+            inner[starts[:-1]] = inner[starts[1:] - 1] = 0
+            whole = np.add.reduceat(gains - inner, starts[:-1]) + end
+            yield {name: b.column(i) for i, name in enumerate(("doc_id", "n_tokens", "n_known", "logs"))} | {"whole": whole}
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = map_arrow(src, run, "row long, doc_id long, word binary, n long, n_tokens long, n_known long, logs double, whole double")
-    c = F.coalesce("c", F.lit(0))
+    parts = map_arrow(src, run, "row long, doc_id long, word binary, n long, n_tokens long, n_known long, logs double, path binary, guess int")
+    c, rare = F.coalesce("c", F.lit(0)), F.col("n") > 0
     met = parts.join(model.words, "word", "left").select(
         "row", "doc_id", "n_tokens", (F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        (F.col("logs") + F.col("n") * F.log10(c + ADD)).alias("logs"), "whole")
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs", "whole")])
-    return sums.select("doc_id", "n_tokens", "n_known",
+        (F.col("logs") + F.col("n") * F.log10(c + ADD)).alias("logs"), F.when(~rare, F.col("path")).alias("path"),
+        F.when(rare, F.struct(F.coalesce("cls", "guess").alias("cls"), "path")).alias("rare"))
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "logs")],
+                                  F.max("path").alias("path"), F.collect_list("rare").alias("rare")).drop("row")
+    told = map_arrow(sums, along, "doc_id long, n_tokens long, n_known long, logs double, whole double")
+    return told.select("doc_id", "n_tokens", "n_known",
                        (F.col("logs") + base_end - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
                        (F.col("logs") + F.col("whole")).alias("score"))

@@ -41,6 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table of ``stored`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getParent().getName() == "quarry-llm":
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remainder(id_col: str, k: int):
     """crc32 of the id's text, modulo ``k`` (a null id counts as the empty text)."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
