@@ -264,8 +264,10 @@ ESTIMATORS = {
 def group_aggregate(df: DataFrame, x: str, y: str, hue: str | None = None,
                     estimator: str | Callable = "mean", out: str = "value") -> DataFrame:
     """estimator(y) per x (and hue). ``estimator`` is a built-in name (mean, sum,
-    min, max, count, std, var, median — median uses the exact distributed quantiles) or a
-    grouped-aggregate ``pandas_udf`` (Series -> scalar), the Arrow-batched slow path."""
+    min, max, count, std, var, median — median uses the exact distributed quantiles) or a function
+    Column -> Column of aggregates (``lambda y: F.max(y) - F.min(y)``), which Spark sums up before the
+    shuffle. A grouped-aggregate ``pandas_udf`` (Series -> scalar) is taken too, but holds each
+    group's rows in one worker: only for groups known to be small."""
     keys = [x] + ([hue] if hue else [])
     d = df.filter(qcol(x).isNotNull() & (qcol(hue).isNotNull() if hue else F.lit(True)))
     if estimator == "median":
@@ -275,7 +277,6 @@ def group_aggregate(df: DataFrame, x: str, y: str, hue: str | None = None,
         if estimator not in ESTIMATORS:
             raise ValueError(f"unknown estimator {estimator!r}")
         return d.groupBy(*[qcol(k).alias(k) for k in keys]).agg(ESTIMATORS[estimator](_x(y)).alias(out))
-    # a pandas_udf grouped aggregate
     return d.groupBy(*[qcol(k).alias(k) for k in keys]).agg(estimator(_x(y)).alias(out))
 
 

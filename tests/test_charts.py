@@ -104,3 +104,14 @@ def test_pair_data_with_hue(data):
         per_hue = {r["c"]: r["n"] for r in p.filter("col_x = 'x' AND col_y = 'x'").groupBy("c").agg(
             F.sum("count").alias("n")).collect()}
         assert per_hue == {k: int((cat == k).sum()) for k in set(cat)}
+
+
+def test_own_estimator_is_summed_before_the_shuffle(spark):
+    from quarry.plans import q_charts
+
+    got = q_charts.bar_pandas_udf(spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "partial_max" in plan and "partial_min" in plan
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").toPandas()
+    want = orders.groupby("o_orderstatus").o_totalprice.agg(lambda y: float(y.max()) - float(y.min()))
+    assert {r.o_orderstatus: r.value for r in got.collect()} == pytest.approx(want.to_dict(), abs=1e-3)
