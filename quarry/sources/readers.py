@@ -3,8 +3,8 @@
 CSV: read every column as string, map the pandas missing-value tokens to NULL, infer each
 column's type in ONE aggregate (all values integral → bigint, numeric → double, True/False →
 boolean, else string), then cast — ``inferSchema`` alone would turn a numeric column holding
-``NA`` into a string. Encodings come from all bytes of each file; JSON shape sniffing looks only at a
-bounded head of the input. Every path is read by Spark's own file sources (splittable where the format is).
+``NA`` into a string. Encodings come from all bytes of each file, and so does
+the shape of each JSON file. Every path is read by Spark's own file sources (splittable where the format is).
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ NA_TOKENS = [
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 
-SNIFF_LINES = 2000  # head lines inspected for the JSON shape
-
 # what counts as a number: no Java suffixes (30d, 1f) and no hexadecimal
 _NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
@@ -201,50 +199,96 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     return raw.select(*out)
 
 
+def json_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file that is not blank: path, shape ('lines': one object per line, 'array': a JSON array of
+    records, 'columns': a single object, e.g. pandas' column-oriented dump; null: not JSON). One scan counts the lines
+    of each block and finds its first, a second one fetches each file's first line; no text is sorted or dealt out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("at"), "value")
+    # a block's lines are read in order by one task
+    blocks = lines.filter(F.trim("value") != "").groupBy("path", "block").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    heads = blocks.groupBy("path").agg(F.min_by("at", "block").alias("at"), F.sum("n").alias("n"))
+    seen = lines.join(F.broadcast(heads), ["path", "at"]).select("path", "n", F.ltrim("value").alias("first"))
+    m = F.from_json("first", "map<string,string>")
+    nested = (F.size("m") > 0) & F.forall(F.map_values("m"), lambda v: F.coalesce(F.ltrim(v), F.lit("")).startswith("{"))
+    one = F.when(F.col("m").isNull() | (nested & (F.col("n") == 1)), "columns").otherwise("lines")
+    start = F.regexp_extract("first", r"^\s*(.)", 1)
+    return seen.withColumn("m", m).select("path", F.when(start == "[", "array").when(start == "{", one).alias("shape"))
+
+
+def _files_by_shape(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    parts: dict[str, list[str]] = {}
+    for r in json_shapes(spark, path).collect():  # one row per file, which the driver lists anyway
+        if r["shape"] is None:
+            raise ValueError(f"not a JSON file: first non-blank character is neither '{{' nor '[' in {unquote(r['path'])}")
+        parts.setdefault(r["shape"], []).append(unquote(r["path"]))
+    return parts
+
+
 def json_shape(spark: SparkSession, path: str) -> str:
-    """S4: 'lines' (one object per line), 'array' (a JSON array of records) or 'columns'
-    (a pretty-printed single object, e.g. pandas' column-oriented dump), from the head."""
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(SNIFF_LINES)
-    first = head.first()
-    if first is None:
-        return "empty"
-    s = first["value"].lstrip()
-    if s.startswith("["):
-        return "array"
-    if s.startswith("{"):
-        one = head.select(F.from_json("value", "map<string,string>").alias("m")).first()
-        if one is not None and one["m"] is not None:
-            nested = one["m"] and all((v or "").lstrip().startswith("{") for v in one["m"].values())
-            return "columns" if nested and head.limit(2).count() == 1 else "lines"
-        return "columns"
-    raise ValueError("not a JSON file: first non-blank character is neither '{' nor '['")
+    """The shape of a file, or of a folder whose files have one; else 'mixed', or 'empty'."""
+    shapes = sorted(_files_by_shape(spark, path))
+    return "mixed" if len(shapes) > 1 else shapes[0] if shapes else "empty"
+
+
+def _json_columns(spark: SparkSession, paths) -> DataFrame:
+    """Column-oriented files ({"a": {"0": 1, "1": 2}, "b": {...}}) as text columns, rows in the order of their labels."""
+    obj = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    m = obj.select("file", F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    cells = m.select("file", F.explode("m").alias("col", "rows")).select("file", "col", F.posexplode("rows").alias("at", "row", "v"))
+    # each file has rows of its own; text labels keep their order in the file
+    keys = [F.col("file").alias("_file"), F.col("row").alias("_row")]
+    place = cells.groupBy(*keys).agg(F.min("at").alias("_at"))
+    wide = cells.groupBy(*keys).pivot("col").agg(F.first("v")).join(place, ["_file", "_row"])
+    return wide.orderBy("_file", F.col("_row").try_cast("bigint").asc_nulls_last(), "_at").drop("_at", "_file", "_row")
+
+
+def _one_type(types: set) -> T.DataType:
+    """The type that holds the values of all; text where they don't go together."""
+    if len(types) == 1:
+        return next(iter(types))
+    return T.DoubleType() if types <= {T.LongType(), T.DoubleType()} else T.StringType()
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON lines → ``spark.read.json``; an array of records → ``multiLine``; a
-    column-oriented object {col: {row: value}} → exploded and pivoted back to rows."""
+    column-oriented object {col: {row: value}} → exploded and pivoted back to rows. Each file of a folder is read by
+    its own shape; a column that some shapes lack is null there, and text where their types don't go together."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    shape = json_shape(spark, path)
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    if shape == "empty":
+    parts = sorted(_files_by_shape(spark, path).items())
+    if not parts:
         return spark.createDataFrame([], T.StructType())
-    if shape == "lines":
-        return r.json(path)
-    if shape == "array":
-        return r.option("multiLine", True).json(path)
-    # column-oriented: {"a": {"0": 1, "1": 2}, "b": {...}}
-    obj = spark.read.option("multiLine", True).text(path, wholetext=True)
-    m = obj.select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
-    cells = m.select(F.explode("m").alias("col", "rows")).select("col", F.posexplode("rows").alias("at", "row", "v"))
-    place = cells.groupBy("row").agg(F.min("at").alias("at"))  # text labels keep their order in the file
-    wide = cells.groupBy("row").pivot("col").agg(F.first("v")).join(place, "row")
-    wide = wide.orderBy(F.col("row").try_cast("bigint").asc_nulls_last(), "at").drop("at", "row")
-    types = infer_types(normalise_na(wide))
-    return wide.select(*[(qcol(c).try_cast(types[c]) if types[c] != "string" else qcol(c)).alias(c)
-                         for c in wide.columns])
+    if schema is not None and not isinstance(schema, T.StructType):
+        schema = T._parse_datatype_string(schema)
+
+    def records(shape, paths, schema):
+        r = spark.read.option("multiLine", shape == "array")
+        return (r if schema is None else r.schema(schema)).json(path if len(parts) == 1 else sorted(paths))
+
+    def columns(paths, schema):
+        wide = _json_columns(spark, path if len(parts) == 1 else sorted(paths))
+        if schema is None:
+            types = infer_types(normalise_na(wide))
+            return wide.select(*[(qcol(c).try_cast(types[c]) if types[c] != "string" else qcol(c)).alias(c) for c in wide.columns])
+        return wide.select(*[(qcol(f.name) if f.name in wide.columns else F.lit(None)).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    def read(schema):
+        return [columns(paths, schema) if shape == "columns" else records(shape, paths, schema) for shape, paths in parts]
+
+    found = read(schema)
+    if len(found) == 1:
+        return found[0]
+    if schema is None:
+        types: dict[str, set] = {}
+        for d in found:
+            for f in d.schema.fields:
+                types.setdefault(f.name, set()).add(f.dataType)
+        found = read(T.StructType([T.StructField(c, _one_type(t)) for c, t in types.items()]))
+    out = found[0]
+    for d in found[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 _XL_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

@@ -165,3 +165,27 @@ def test_csv_write_and_read_back(spark, tmpdir_path):
 def test_json_one_line_columns_with_text_labels(spark, tmpdir_path):
     p = _write(tmpdir_path, "c1.json", b'{"a": {"r2": 1, "r1": 2}, "b": {"r2": "x", "r1": "y"}}')
     assert [(r["a"], r["b"]) for r in R.load(spark, p).collect()] == [(1, "x"), (2, "y")]
+
+
+def test_json_folder_of_mixed_shapes(spark, tmpdir_path):
+    """Each file is read by its own shape, whichever comes first."""
+    for order in ("abcd", "badc", "cdba"):
+        d = os.path.join(tmpdir_path, order)
+        os.makedirs(d)
+        _write(d, f"{order[0]} 1.json", b'\n[\n {"a": 1, "b": "x"},\n {"a": 2, "b": "y"}\n]\n')
+        _write(d, f"{order[1]}.json", b'{"a": 3, "b": "x"}\n{"a": 4, "b": "y", "c": 0.5}\n{"a": 5, "b": "z"}\n')
+        _write(d, f"{order[2]}.json", b'{"a": {"0": 6, "1": 7}, "b": {"0": "p", "1": "q"}}')
+        _write(d, f"{order[3]}.json", b'{\n "a": {"0": 8.5, "1": 9},\n "b": {"0": "r", "1": "s"}\n}\n')
+        _write(d, "zz.json", b"  \n\n")
+        got = R.read_json(spark, d)
+        want = list(zip([1, 2, 3, 4, 5, 6, 7, 8.5, 9], "xyxyzpqrs", [None] * 3 + [0.5] + [None] * 5))
+        assert sorted((r.a, r.b, r.c) for r in got.collect()) == want
+        typed = R.read_json(spark, d, "b string, c double")
+        assert typed.columns == ["b", "c"] and sorted(r.b for r in typed.collect()) == sorted("xyxyzpqrs")
+        assert R.json_shape(spark, d) == "mixed"
+
+
+def test_json_shapes_of_two_types(spark, tmpdir_path):
+    _write(tmpdir_path, "a.json", b'[{"a": 1}]')
+    _write(tmpdir_path, "b.json", b'{"a": "one"}\n{"a": "two"}\n')
+    assert sorted(r.a for r in R.read_json(spark, tmpdir_path).collect()) == ["1", "one", "two"]
