@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and the queries that apply them.
+"""Training-data operators: thirteen corpus operators and the queries that apply them.
 
 Nothing else in the library imports this subpackage. Its task functions travel to the executors by
 value, so executors need the Python packages they use but not this library on their path.
