@@ -90,75 +90,6 @@ class LinearFormModel(Model, _LinearParams, DefaultParamsReadable, DefaultParams
         return df.withColumn(self.getOrDefault(self.predictionCol), pred)
 
 
-class BayesianRidge(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable,
-                    DefaultParamsWritable):
-    """M8: evidence-maximising Bayesian ridge (MacKay 1992; Tipping 2001).
-
-    One distributed pass gives n, Σx, Σy, XᵀX, Xᵀy, yᵀy; the iterations run on the d×d
-    centred summary: w = (A + λ/α·I)⁻¹b, γ = Σ αe/(λ + αe), λ = (γ + 2λ₁)/(‖w‖² + 2λ₂),
-    α = (n − γ + 2α₁)/(SSE + 2α₂), until Σ|Δw| < tol or max_iter rounds."""
-
-    alpha_1 = Param(Params._dummy(), "alpha_1", "", typeConverter=TypeConverters.toFloat)
-    alpha_2 = Param(Params._dummy(), "alpha_2", "", typeConverter=TypeConverters.toFloat)
-    lambda_1 = Param(Params._dummy(), "lambda_1", "", typeConverter=TypeConverters.toFloat)
-    lambda_2 = Param(Params._dummy(), "lambda_2", "", typeConverter=TypeConverters.toFloat)
-    max_iter = Param(Params._dummy(), "max_iter", "", typeConverter=TypeConverters.toInt)
-    tol = Param(Params._dummy(), "tol", "", typeConverter=TypeConverters.toFloat)
-
-    @keyword_only
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", alpha_1=1e-6,
-                 alpha_2=1e-6, lambda_1=1e-6, lambda_2=1e-6, max_iter=300, tol=1e-3):
-        super().__init__()
-        self._setDefault(alpha_1=1e-6, alpha_2=1e-6, lambda_1=1e-6, lambda_2=1e-6, max_iter=300, tol=1e-3)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> LinearFormModel:
-        fc, lc = self.getOrDefault(self.featuresCol), self.getOrDefault(self.labelCol)
-        d = len(df.select(vector_to_array(F.col(fc)).alias("x")).first()["x"])
-        width = 1 + d + 1 + d * d + d + 1
-
-        def stats(X, y):
-            return np.concatenate([[len(y)], X.sum(0), [y.sum()], (X.T @ X).ravel(), X.T @ y, [y @ y]])
-
-        s = _partial_sums(df, fc, lc, stats, width)
-        n = s[0]
-        sx = s[1 : 1 + d]
-        sy = s[1 + d]
-        xtx = s[2 + d : 2 + d + d * d].reshape(d, d)
-        xty = s[2 + d + d * d : 2 + 2 * d + d * d]
-        yty = s[-1]
-        mx, my = sx / n, sy / n
-        A = xtx - n * np.outer(mx, mx)
-        b = xty - n * mx * my
-        c = yty - n * my * my
-        e, V = np.linalg.eigh(A)
-        e = np.clip(e, 0, None)
-        a1, a2 = self.getOrDefault(self.alpha_1), self.getOrDefault(self.alpha_2)
-        l1, l2 = self.getOrDefault(self.lambda_1), self.getOrDefault(self.lambda_2)
-        alpha = 1.0 / (c / n + np.finfo(float).eps)
-        lam = 1.0
-        Vb = V.T @ b
-
-        def coef(alpha, lam):
-            w = V @ (Vb / (e + lam / alpha))
-            sse = c - 2 * w @ b + w @ A @ w
-            return w, max(sse, 0.0)
-
-        w_old = None
-        for it in range(self.getOrDefault(self.max_iter)):
-            w, sse = coef(alpha, lam)
-            gamma = float(np.sum(alpha * e / (lam + alpha * e)))
-            lam = (gamma + 2 * l1) / (float(w @ w) + 2 * l2)
-            alpha = (n - gamma + 2 * a1) / (sse + 2 * a2)
-            if w_old is not None and np.sum(np.abs(w_old - w)) < self.getOrDefault(self.tol):
-                break
-            w_old = w
-        w, _ = coef(alpha, lam)
-        intercept = float(my - mx @ w)
-        return LinearFormModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
-                               coefficients=[float(v) for v in w], intercept=intercept)
-
-
 class SVRModel(Model, _LinearParams, DefaultParamsReadable, DefaultParamsWritable):
     """prediction = b + wᵀz(x); z = x (linear) or √(2/D)·cos(Ωx + φ) (random Fourier features)."""
 

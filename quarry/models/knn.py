@@ -29,6 +29,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.models.tables import TableState
 from quarry.session import checkpoint_dir, ensure_checkpoint_dir
 
 _CAND = "tb long, qid long, tid long, dist double, y double"
@@ -113,20 +114,22 @@ class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     blockRows = Param(Params._dummy(), "blockRows", "rows per block", typeConverter=TypeConverters.toInt)
 
 
-class KNNModel(Model, _KNNParams, DefaultParamsReadable, DefaultParamsWritable):
-    trainPath = Param(Params._dummy(), "trainPath", "materialised training set", typeConverter=TypeConverters.toString)
+class KNNModel(Model, _KNNParams, TableState):
+    """The model is its training rows, a table saved and loaded with it."""
+
+    TABLE = "tid bigint, x array<double>, y double"
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform",
-                 p=2.0, blockRows=2048, trainPath=""):
+                 p=2.0, blockRows=2048, tablePath=""):
         super().__init__()
-        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, trainPath="")
+        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, tablePath="")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
         ensure_checkpoint_dir(spark)
-        train = spark.read.parquet(self.getOrDefault(self.trainPath))
+        train = self.table(spark)
         fc = self.getOrDefault(self.featuresCol)
         # fix query ids once (reliable checkpoint), so the prediction joins back exactly
         q = df.withColumn("_qid", F.monotonically_increasing_id()).checkpoint(eager=True)
@@ -160,4 +163,4 @@ class KNNRegressor(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsWr
         return KNNModel(featuresCol=self.getOrDefault(self.featuresCol), labelCol=self.getOrDefault(self.labelCol),
                         predictionCol=self.getOrDefault(self.predictionCol), k=self.getOrDefault(self.k),
                         weights=self.getOrDefault(self.weights), p=self.getOrDefault(self.p),
-                        blockRows=self.getOrDefault(self.blockRows), trainPath=path)
+                        blockRows=self.getOrDefault(self.blockRows), tablePath=path)

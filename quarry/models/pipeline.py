@@ -2,7 +2,9 @@
 (population std, like sklearn) → regressor (M2–M15, M27).
 
 Everything is a Spark ML stage, so a fitted model is one ``PipelineModel`` that saves/loads
-as a directory and scores batch or streaming DataFrames with a narrow ``transform``.
+as a directory and scores batch or streaming DataFrames with a narrow ``transform``. The linear
+family is solved from second moments (``models.gram``): one scan, nothing cached. Columns that the
+stages add have names of their own (``quarry_…``), so feature and target names may hold anything.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
 from pyspark.ml.feature import (
     ElementwiseProduct,
     SQLTransformer,
     StandardScaler,
-    StringIndexer,
     VectorAssembler,
     VectorSizeHint,
 )
@@ -28,14 +30,15 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
-    IsotonicRegression,
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import classify, qcol
+from quarry.models import gram
+from quarry.models.dictionary import LabelDictionary, LabelDictionaryModel
 from quarry.models.prep import poly_sql, poly_terms
 
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are clamped with a warning
@@ -51,15 +54,15 @@ DEFAULTS = {
     "lasso": {"alpha": 1.0},
     "elasticnet": {"alpha": 1.0, "l1_ratio": 0.5},
     "bayesian_ridge": {"alpha_1": 1e-6, "alpha_2": 1e-6, "lambda_1": 1e-6, "lambda_2": 1e-6},
-    "tree": {"max_depth": None, "min_samples_split": 2},
-    "forest": {"n_estimators": 100, "max_depth": None},
+    "tree": {"max_depth": 5, "min_samples_split": 2},
+    "forest": {"n_estimators": 100, "max_depth": 10},
     "xgboost": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
     "lightgbm": {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31, "max_depth": -1},
     "svr": {"kernel": "rbf", "C": 1.0, "epsilon": 0.1},
     "knn": {"n_neighbors": 5, "weights": "uniform", "p": 2},
     "huber": {"epsilon": 1.35, "alpha": 0.0001},
     "gbt": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
-    "bagging": {"n_estimators": 10},
+    "bagging": {"n_estimators": 10, "max_depth": 10},
     "isotonic": {},
 }
 
@@ -90,36 +93,20 @@ def _depth(d) -> int:
     return max(d, 1)
 
 
-@dataclass
-class LabelStats:
-    n: int
-    sigma_y: float  # population std of the label on the training set
+LABEL = "quarry_label"  # the target as double, where a stage is fitted
 
 
-def make_regressor(name: str, label: str, stats: LabelStats | None = None, features_col: str = "features",
-                   seed: int = 42, **params):
-    """An estimator for the named model. Penalised linear models are mapped so that
-    Spark's objective equals sklearn's (needs the training n and population σ_y)."""
+def make_regressor(name: str, label: str, n_train: int = 1, features_col: str = "features", seed: int = 42, **params):
+    """An estimator for the named model. ``n_train`` turns sklearn's Huber penalty, which goes with the sum of
+    the losses, into Spark's, which goes with half their mean."""
     name = canonical(name)
     p = {**DEFAULTS[name], **params}
     common = dict(featuresCol=features_col, labelCol=label, predictionCol="prediction")
-    if name in ("linear", "polynomial"):
-        return LinearRegression(regParam=0.0, elasticNetParam=0.0, solver="normal", **common)
-    if name == "ridge":
-        lam = p["alpha"] * stats.sigma_y / stats.n if stats.sigma_y > 0 else 0.0
-        return LinearRegression(regParam=lam, elasticNetParam=0.0, standardization=False, solver="normal", **common)
-    if name == "lasso":
-        return LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, standardization=False, maxIter=1000,
-                                tol=1e-12, **common)
-    if name == "elasticnet":
-        a, l1 = p["alpha"], p["l1_ratio"]
-        lam = a * (l1 + stats.sigma_y * (1 - l1))
-        enp = a * l1 / lam if lam > 0 else 0.0
-        return LinearRegression(regParam=lam, elasticNetParam=enp, standardization=False, maxIter=1000, tol=1e-12,
-                                **common)
+    if name in gram.LINEAR_FAMILY:
+        raise ValueError(f"{name} is fitted from moments (quarry.models.gram), not by an estimator")
     if name == "huber":
-        return LinearRegression(loss="huber", epsilon=max(p["epsilon"], 1.0 + 1e-9), regParam=p["alpha"],
-                                elasticNetParam=0.0, **common)
+        return LinearRegression(loss="huber", epsilon=max(p["epsilon"], 1.0 + 1e-9), regParam=p["alpha"] / max(n_train, 1),
+                                elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9, **common)
     bins = int(p.get("max_bins", DEFAULT_MAX_BINS))
     if name == "tree":
         return DecisionTreeRegressor(maxDepth=_depth(p["max_depth"]),
@@ -138,11 +125,9 @@ def make_regressor(name: str, label: str, stats: LabelStats | None = None, featu
         return GBTRegressor(maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
                             maxDepth=_depth(depth), seed=seed, maxBins=bins, **common)
     if name == "isotonic":
-        return IsotonicRegression(featureIndex=0, **common)
-    if name == "bayesian_ridge":
-        from quarry.models.custom import BayesianRidge
+        from quarry.models.isotonic import IsotonicRegressor
 
-        return BayesianRidge(featuresCol=features_col, labelCol=label, **{k: float(v) for k, v in p.items()})
+        return IsotonicRegressor(**common)
     if name == "svr":
         from quarry.models.custom import SVRegressor
 
@@ -159,7 +144,7 @@ def make_regressor(name: str, label: str, stats: LabelStats | None = None, featu
 @dataclass
 class FittedModel:
     """A fitted pipeline plus what is needed to use it: feature names after expansion, the
-    target, the string dictionaries and the training defaults for missing inputs (M26)."""
+    target, its dictionary if it is a string, and the training defaults for missing inputs (M26)."""
 
     pipeline: PipelineModel
     model_name: str
@@ -169,125 +154,188 @@ class FittedModel:
     params: dict = field(default_factory=dict)
     defaults: dict = field(default_factory=dict)
     n_train: int = 0
+    target_dictionary: LabelDictionaryModel | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
 
-def label_stats(df: DataFrame, target: str) -> LabelStats:
-    r = df.agg(F.count(qcol(target)).alias("n"), F.stddev_pop(qcol(target).cast("double")).alias("s")).first()
-    return LabelStats(int(r["n"]), float(r["s"] or 0.0))
+@dataclass
+class Encoded:
+    """Features made numeric: the stages that do it, the columns they leave (numbers or vectors), the names of the
+    features after expansion, and the data behind the stages with the target as LABEL."""
+
+    stages: list
+    inputs: list[str]
+    names: list[str]
+    data: DataFrame
+    target_dictionary: LabelDictionaryModel | None = None
+
+    @property
+    def vectors(self) -> list[str]:
+        types = {f.name: f.dataType for f in self.data.schema.fields}
+        return [c for c in self.inputs if isinstance(types.get(c), VectorUDT)]
+
+    def x(self) -> Column:
+        """All inputs as one array."""
+        vec = set(self.vectors)
+        parts = [vector_to_array(qcol(c)) if c in vec else F.array(qcol(c).cast("double")) for c in self.inputs]
+        return F.concat(*parts) if vec else F.array(*[qcol(c).cast("double") for c in self.inputs])
+
+
+#: A model reports the labels of a target with at most this many; all of them are in its dictionary table.
+REPORTED_LABELS = 1000
+
+
+def _sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _lit(v: float) -> str:
     return repr(float(v))
 
 
-def build_stages(df: DataFrame, features: Sequence[str], target: str, model: str, poly_degree: int | None = None,
-                 unknown: str = "zero", scale: bool = True, **params):
-    """The stage list (string indexers fitted here), the expanded feature names and the label
-    statistics. Population-std standardisation (sklearn's StandardScaler) and the label's n and
-    σ_y come from ONE aggregate and are applied as a literal SQLTransformer stage; vector-typed
-    inputs use StandardScaler (sample std) × √(n/(n−1)) instead."""
+def encode(df: DataFrame, features: Sequence[str], target: str, poly_degree: int | None = None, unknown: str = "zero",
+           keep: Sequence[str] = ()) -> Encoded:
+    """E4 + M2: string features become codes, a string target too, then the polynomial terms. ``keep``: other columns
+    to carry along."""
     features = list(features)
     cls = classify(df.schema)
-    stages, base = [], []
-    for c in features:
+    dictionary = None
+    d = df
+    if cls.get(target) == "categorical":
+        # predictions are decoded with the dictionary (E6); rows without a label take no part
+        d = d.where(qcol(target).isNotNull())
+        dictionary = LabelDictionary(inputCol=target, outputCol=LABEL).fit(d)
+        d = dictionary.transform(d)
+    else:
+        d = d.withColumn(LABEL, qcol(target).cast("double"))
+    d = d.select(*[qcol(c) for c in dict.fromkeys([*features, *keep])], LABEL)
+    stages, inputs = [], []
+    for i, c in enumerate(features):
         if cls.get(c) == "categorical":
-            idx = StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
-                                handleInvalid="error" if unknown == "error" else "keep").fit(df)
-            k = len(idx.labels)
-            stages.append(idx)
-            fallback = "0.0" if unknown == "zero" else "NULL"
-            stages.append(SQLTransformer(
-                statement=f"SELECT *, CASE WHEN `{c}__idx` >= {k} THEN {fallback} ELSE `{c}__idx` END AS `{c}__code` "
-                          f"FROM __THIS__"))
-            base.append(f"{c}__code")
+            stages.append(LabelDictionary(inputCol=c, outputCol=f"quarry_code{i}", unknown=unknown).fit(d))
+            inputs.append(f"quarry_code{i}")
         else:
-            base.append(c)
+            inputs.append(c)
     names = list(features)
-    inputs = base
     if poly_degree and poly_degree > 1:
-        pairs, sel = poly_sql(base, poly_degree)
+        pairs, sel = poly_sql(inputs, poly_degree)
         stages.append(SQLTransformer(statement=f"SELECT *, {sel} FROM __THIS__"))
         # same index combinations, labelled with the user's feature names
         names = [label for label, _combo in poly_terms(features, poly_degree)]
         inputs = [safe for _l, safe in pairs]
-    pre = PipelineModel(stages=list(stages)).transform(df) if stages else df
-    types = {f.name: f.dataType for f in pre.schema.fields}
-    vector_in = [c for c in inputs if isinstance(types.get(c), VectorUDT)]
-    y = qcol(target).cast("double")
-    exprs = [F.count(y).alias("_n"), F.stddev_pop(y).alias("_sy")]
-    sql_scale = scale and not vector_in
-    if sql_scale:
-        for i, c in enumerate(inputs):
+    return Encoded(stages, inputs, names, PipelineModel(stages=list(stages)).transform(d) if stages else d, dictionary)
+
+
+def _raw(enc: Encoded, out: str) -> tuple[list, int]:
+    """Stages that put the inputs as they are into one vector column, and its length."""
+    cols = ", ".join(f"{_sql(c)} AS `quarry_x{i}`" for i, c in enumerate(enc.inputs))
+    stages, width, vec = [SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")], 0, set(enc.vectors)
+    for i, c in enumerate(enc.inputs):
+        size = 1
+        if c in vec:
+            size = enc.data.select(qcol(c)).first()[0].size  # one row: vectors of a feature column share a size
+            stages.append(VectorSizeHint(inputCol=f"quarry_x{i}", size=size, handleInvalid="optimistic"))
+        width += size
+    return [*stages, VectorAssembler(inputCols=[f"quarry_x{i}" for i in range(len(enc.inputs))], outputCol=out, handleInvalid="keep")], width
+
+
+def _assemble(enc: Encoded, centre: Sequence[float], scale: Sequence[float]) -> tuple[list, bool]:
+    """Stages from the encoded inputs to the vector column ``features``, and whether it is centred (a vector input is
+    scaled only: its centre belongs into the model's intercept)."""
+    if enc.vectors:
+        return [*_raw(enc, "quarry_raw")[0],
+                ElementwiseProduct(scalingVec=Vectors.dense([1.0 / s for s in scale]), inputCol="quarry_raw", outputCol="features")], False
+    cols = [f"(CAST({_sql(c)} AS DOUBLE) - ({_lit(m)})) / ({_lit(s)}) AS `quarry_z{i}`"
+            for i, (c, m, s) in enumerate(zip(enc.inputs, centre, scale, strict=True))]
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"quarry_z{i}" for i in range(len(cols))], outputCol="features", handleInvalid="keep")], True
+
+
+def linear_moments(enc: Encoded, fold: Column | None = None) -> dict[int, gram.Moments]:
+    parts = gram.moments(enc.data, enc.x(), F.col(LABEL), fold)
+    missing = sum(m.missing for m in parts.values())
+    if missing:
+        raise ValueError(f"{missing} rows have a missing feature or target: fill or drop them before the fit")
+    return parts
+
+
+def linear_pipeline(enc: Encoded, fit: gram.LinearFit) -> PipelineModel:
+    """The pipeline of a solved linear model; its coefficients are those of the standardised features."""
+    from quarry.models.custom import LinearFormModel
+
+    stages, centred = _assemble(enc, fit.centre, fit.scale)
+    intercept = fit.intercept if centred else fit.intercept - float(fit.weights @ (fit.centre / fit.scale))
+    form = LinearFormModel(featuresCol="features", labelCol=LABEL, coefficients=[float(w) for w in fit.weights], intercept=intercept)
+    return PipelineModel(stages=[*enc.stages, *stages, form])
+
+
+def _fit_estimator(enc: Encoded, name: str, scale: bool, params: dict) -> tuple[PipelineModel, int]:
+    """Models that need more than moments: population-std standardisation (one aggregate, applied as literals; vector
+    inputs by StandardScaler × √(n/(n−1))), then the estimator's own passes."""
+    exprs = [F.count(LABEL).alias("n")]
+    flat = scale and not enc.vectors
+    if flat:
+        for i, c in enumerate(enc.inputs):
             x = qcol(c).cast("double")
             exprs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    r = pre.agg(*exprs).first()
-    stats = LabelStats(int(r["_n"]), float(r["_sy"] or 0.0))
-    width = 0
-    for c in inputs:
-        if isinstance(types.get(c), VectorUDT):
-            size = pre.select(qcol(c)).first()[0].size  # one row: vectors of a feature column share a size
-            stages.append(VectorSizeHint(inputCol=c, size=size, handleInvalid="optimistic"))
-            width += size
-        else:
-            width += 1
-    if sql_scale:
-        cols = []
-        for i, c in enumerate(inputs):
-            m, sd = r[f"m{i}"], r[f"s{i}"]
-            m = 0.0 if m is None else m
-            sd = 1.0 if (sd is None or sd == 0 or sd != sd) else sd  # constant → 0, like sklearn
-            cols.append(f"(CAST(`{c}` AS DOUBLE) - ({_lit(m)})) / ({_lit(sd)}) AS `{c}__z`")
-        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(cols)} FROM __THIS__"))
-        stages.append(VectorAssembler(inputCols=[f"{c}__z" for c in inputs], outputCol="features",
-                                      handleInvalid="keep"))
+    r = enc.data.agg(*exprs).first()
+    n = int(r["n"])
+    if flat:
+        centre = [r[f"m{i}"] or 0.0 for i in range(len(enc.inputs))]
+        spread = [s if s and s == s else 1.0 for s in (r[f"s{i}"] for i in range(len(enc.inputs)))]  # constant → 0, like sklearn
+        stages = _assemble(enc, centre, spread)[0]
     elif scale:
-        stages.append(VectorAssembler(inputCols=inputs, outputCol="features_raw", handleInvalid="keep"))
-        stages.append(StandardScaler(withMean=True, withStd=True, inputCol="features_raw", outputCol="features_ss"))
-        # sample → population std (sklearn's StandardScaler): multiply by sqrt(n / (n − 1))
-        f = math.sqrt(stats.n / (stats.n - 1)) if stats.n > 1 else 1.0
-        stages.append(ElementwiseProduct(scalingVec=Vectors.dense([f] * width), inputCol="features_ss",
-                                         outputCol="features"))
+        stages, width = _raw(enc, "quarry_raw")
+        f = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+        stages += [StandardScaler(withMean=True, withStd=True, inputCol="quarry_raw", outputCol="quarry_ss"),
+                   ElementwiseProduct(scalingVec=Vectors.dense([f] * width), inputCol="quarry_ss", outputCol="features")]
     else:
-        stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    stages.append(make_regressor(model, target, stats, **params))
-    return stages, names, stats
+        stages, _width = _raw(enc, "features")
+    fitted = Pipeline(stages=[*stages, make_regressor(name, LABEL, n, **params)]).fit(enc.data)
+    return PipelineModel(stages=[*enc.stages, *fitted.stages]), n
 
 
-def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", poly_degree: int | None = None,
-        unknown: str = "zero", scale: bool = True, **params) -> FittedModel:
-    """Fit the reference's recipe ``[poly] → StandardScaler → regressor`` on ``df``.
+def result(enc: Encoded, pm: PipelineModel, name: str, features: Sequence[str], target: str, params: dict, n: int) -> FittedModel:
+    extra = {}
+    if enc.target_dictionary is not None:
+        d = enc.target_dictionary
+        if d.getOrDefault(d.labels) <= REPORTED_LABELS:
+            extra["target_labels"] = [r["value"] for r in d.table(enc.data.sparkSession).orderBy("code").collect()]
+    return FittedModel(pm, name, list(features), target, enc.names, {**DEFAULTS[name], **params, **extra}, n_train=n,
+                       target_dictionary=enc.target_dictionary)
 
-    'polynomial' means polynomial terms + linear fit (what the name promises; the reference
+
+def degree_of(name: str, poly_degree: int | None, params: dict) -> tuple[int | None, dict]:
+    """'polynomial' means polynomial terms + linear fit (what the name promises; the reference
     skipped the expansion for that model)."""
-    name = canonical(model)
+    rest = {k: v for k, v in params.items() if k != "degree"}
     if name == "polynomial" and not poly_degree:
-        poly_degree = int(params.pop("degree", 2))
-    params.pop("degree", None)
-    extra = {}
-    if classify(df.schema).get(target) == "categorical":
-        # A string target is label-encoded (alphabetical codes); predictions decode with
-        # scoring.decode_prediction(..., labels=params['target_labels'])
-        lab = StringIndexer(inputCol=target, outputCol="_y_idx", stringOrderType="alphabetAsc",
-                            handleInvalid="skip").fit(df)
-        extra["target_labels"] = list(lab.labels)
-        d = lab.transform(df).drop(target).withColumnRenamed("_y_idx", target)
+        poly_degree = int(params.get("degree", DEFAULTS["polynomial"]["degree"]))
+    return poly_degree, rest
+
+
+def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linear", poly_degree: int | None = None,
+        unknown: str = "zero", scale: bool = True, **params) -> FittedModel:
+    """Fit the reference's recipe ``[poly] → StandardScaler → regressor`` on ``df``. The linear family refuses rows with
+    a missing feature or target, in the scan that fits it."""
+    name = canonical(model)
+    poly_degree, params = degree_of(name, poly_degree, params)
+    id_col = [params["id_col"]] if params.get("id_col") in df.columns else []
+    enc = encode(df, features, target, poly_degree, unknown, keep=id_col)
+    if name in gram.LINEAR_FAMILY:
+        solved = gram.solve(name, gram.total_of(linear_moments(enc)), {**DEFAULTS[name], **params}, scale)
+        pm, n = linear_pipeline(enc, solved), solved.n
     else:
-        d = df.withColumn(target, qcol(target).cast("double"))
-    # every fit makes several passes (statistics, indexers, the solver): keep only the columns
-    # it needs, persisted (MEMORY_AND_DISK, recomputed from lineage if an executor is lost)
-    keep = list(dict.fromkeys([c for c in features if c in d.columns] + [target]
-                              + ([params["id_col"]] if params.get("id_col") in d.columns else [])))
-    d = d.select(*[qcol(c) for c in keep]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stages, names, stats = build_stages(d, features, target, name, poly_degree, unknown, scale, **params)
-        pm = Pipeline(stages=stages).fit(d)
-    finally:
-        d.unpersist()
-    return FittedModel(pm, name, list(features), target, names,
-                       {**DEFAULTS[name], **params, "poly_degree": poly_degree, **extra}, n_train=stats.n)
+        # several passes over the encoded columns alone, persisted (MEMORY_AND_DISK, recomputed from lineage if an
+        # executor is lost)
+        enc.data = enc.data.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            pm, n = _fit_estimator(enc, name, scale, params)
+        finally:
+            enc.data.unpersist()
+    return result(enc, pm, name, features, target, {**params, "poly_degree": poly_degree}, n)
 
 
 def importances(fm: FittedModel) -> list[tuple[str, float]]:

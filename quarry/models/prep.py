@@ -62,8 +62,8 @@ def poly_sql(cols: Sequence[str], degree: int) -> tuple[list[str], str]:
     """(term names, SQL select list) for a SQLTransformer stage in a persisted pipeline."""
     parts, names = [], []
     for label, combo in poly_terms(list(cols), degree):
-        safe = "p__" + "_".join(str(i) for i in combo)
-        parts.append(" * ".join(f"CAST(`{cols[i]}` AS DOUBLE)" for i in combo) + f" AS `{safe}`")
+        safe = "quarry_p" + "_".join(str(i) for i in combo)
+        parts.append(" * ".join("CAST(`" + cols[i].replace("`", "``") + "` AS DOUBLE)" for i in combo) + f" AS `{safe}`")
         names.append((label, safe))
     return names, ", ".join(parts)
 
@@ -92,8 +92,3 @@ def prepare(df: DataFrame, features: Sequence[str], target: str, impute_target:
         return drop_rows_with_missing(filled, [target])
     d = training_clean(d, "median", "mode", remove_duplicates)
     return drop_rows_with_missing(d, [target])
-
-
-def string_features(df: DataFrame, features: Sequence[str]) -> list[str]:
-    cls = classify(df.schema)
-    return [c for c in features if cls.get(c) == "categorical"]

@@ -71,16 +71,15 @@ def score(fm: FittedModel, df: DataFrame, out: str = "Predicted_Value", fill_def
     keep = [c for c in d.columns if c in df.columns or c in fm.features]
     scored_in = d.select(F.struct(*[qcol(c).alias(c) for c in keep]).alias(carried), *ready)
     out = fm.transform(scored_in).select(f"{carried}.*", F.col("prediction").alias(name))
-    labels = fm.params.get("target_labels")
-    if labels:
+    if fm.target_dictionary is not None:
         # the target was label-encoded at training: report the class label
-        out = decode_prediction(out, name, labels)
+        out = fm.target_dictionary.decode(out, name)
     return out
 
 
 def decode_prediction(df: DataFrame, col: str, labels: Sequence[str], out: str | None = None) -> DataFrame:
-    """Class index → label for a model trained on an encoded target (round, then look up);
-    the label list is the model's (bounded) dictionary."""
+    """Class index → label from a short list of labels (round, then look up). Models decode with their dictionary
+    table instead (``FittedModel.target_dictionary.decode``)."""
     arr = F.array(*[F.lit(v) for v in labels])
     idx = F.round(qcol(col)).cast("int")
     lab = F.when((idx >= 0) & (idx < len(labels)), F.element_at(arr, idx + 1))

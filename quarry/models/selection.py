@@ -1,7 +1,9 @@
 """Cross-validation (M17), automatic model selection (M18) and grid search.
 
 Folds come from a hash of the row key (deterministic, engine-independent, recomputable after
-an executor loss). Each (candidate, fold) fit is an ordinary distributed Spark ML fit; up to
+an executor loss). Linear models of any penalty share one scan: the moments of every fold
+(``models.gram``), from which each training part, each parameter and each test metric follow without
+the data. Other (candidate, fold) fits are ordinary distributed Spark ML fits; up to
 ``parallelism`` of them run concurrently from driver threads, as CrossValidator does. One fit
 per fold yields both R² and MSE (the reference fitted twice). Results are returned as
 DataFrames of (candidate, fold, metric) rows.
@@ -18,6 +20,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.models import gram
 from quarry.models import pipeline as MP
 from quarry.models.metrics import evaluate
 from quarry.models.prep import fold_column
@@ -47,12 +50,49 @@ def _fold_metrics(d: DataFrame, features, target, model, fold, poly_degree, para
     return {"fold": fold, "r2": r["r2"], "mse": r["mse"], "n": r["n"]}
 
 
+class FoldMoments:
+    """Moments of every fold, from one scan; string features are encoded with one dictionary, as the reference does."""
+
+    def __init__(self, df: DataFrame, features, target, key_cols, folds: int, poly_degree: int | None = None):
+        fold = fold_column(key_cols, folds, "_fold")
+        self.enc = MP.encode(df.withColumn("quarry_fold", fold), features, target, poly_degree, keep=["quarry_fold"])
+        self.parts = MP.linear_moments(self.enc, F.col("quarry_fold"))
+        self.total, self.folds = gram.total_of(self.parts), folds
+
+    def metrics(self, name: str, params: dict) -> list[dict]:
+        """One row a fold: fitted on the others, tested on it."""
+        p, out = {**MP.DEFAULTS[name], **params}, []
+        for k in range(self.folds):
+            part = self.parts.get(k)
+            if part is None:
+                out.append({"fold": k, "n": 0, "r2": None, "mse": None})
+                continue
+            rest = gram.without(self.total, part)
+            if not rest.n:
+                raise ValueError(f"fold {k} holds every row: nothing is left to fit")
+            out.append({"fold": k, **gram.score(gram.solve(name, rest, p), part)})
+        return out
+
+    def fit(self, name: str, features, target, params: dict, poly_degree: int | None = None) -> MP.FittedModel:
+        """The model on all rows."""
+        solved = gram.solve(name, self.total, {**MP.DEFAULTS[name], **params})
+        return MP.result(self.enc, MP.linear_pipeline(self.enc, solved), name, features, target, {**params, "poly_degree": poly_degree}, solved.n)
+
+
+def cv_table(spark, rows: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(r["fold"], r["n"], r["r2"], r["mse"]) for r in rows], "fold int, n bigint, r2 double, mse double")
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, model: str = "linear",
                    key_cols: Sequence[str] = (), folds: int = 5, poly_degree: int | None = None,
                    parallelism: int = 2, **params) -> DataFrame:
-    """K-fold CV → rows (fold, n, r2, mse). Summaries: ``cv_summary``."""
+    """K-fold CV → rows (fold, n, r2, mse). Summaries: ``cv_summary``. A fold without rows has no metrics."""
     if not key_cols:
         raise ValueError("key_cols are needed to assign folds deterministically")
+    name = MP.canonical(model)
+    if name in gram.LINEAR_FAMILY:
+        degree, rest = MP.degree_of(name, poly_degree, params)
+        return cv_table(df.sparkSession, FoldMoments(df, features, target, key_cols, folds, degree).metrics(name, rest))
     d = _with_folds(df, key_cols, folds)
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -60,8 +100,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model: s
                                range(folds)))
     finally:
         d.unpersist()
-    return df.sparkSession.createDataFrame([(r["fold"], r["n"], r["r2"], r["mse"]) for r in rows],
-                                           "fold int, n bigint, r2 double, mse double")
+    return cv_table(df.sparkSession, rows)
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -75,8 +114,21 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str, key_cols: S
     """K-fold R² for every candidate; best mean wins; failing candidates are skipped;
     error if none succeeds. Returns (display name, model, params, per-fold results)."""
     cands = candidates or AUTO_CANDIDATES
-    d = _with_folds(df, key_cols, folds)
+    linear = [c for c in cands if MP.canonical(c[1]) in gram.LINEAR_FAMILY]
+    others = [c for c in cands if c not in linear]
     rows, errors = [], {}
+    shared: dict = {}  # one scan for each polynomial degree among the linear candidates
+    for label, model, params in linear:
+        try:
+            name = MP.canonical(model)
+            degree, rest = MP.degree_of(name, None, params)
+            if degree not in shared:
+                shared[degree] = FoldMoments(df, features, target, key_cols, folds, degree)
+            rows += [(label, model, json.dumps(params), m["fold"], m["r2"], m["mse"], None) for m in shared[degree].metrics(name, rest)]
+        except Exception as e:  # noqa: BLE001 — a failing candidate is skipped, like the reference
+            errors[label] = f"{type(e).__name__}: {e}"[:300]
+            rows += [(label, model, json.dumps(params), k, None, None, errors[label]) for k in range(folds)]
+    d = _with_folds(df, key_cols, folds)
 
     def run(task):
         (label, model, params), fold = task
@@ -88,7 +140,7 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str, key_cols: S
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            for r in ex.map(run, list(itertools.product(cands, range(folds)))):
+            for r in ex.map(run, list(itertools.product(others, range(folds)))):
                 if r[-1]:
                     errors[r[0]] = r[-1]
                 rows.append(r)
@@ -103,7 +155,9 @@ def auto_select(df: DataFrame, features: Sequence[str], target: str, key_cols: S
         ok.setdefault((label, model, params), []).append(r2 if r2 is not None else float("-inf"))
     if not ok:
         raise RuntimeError(f"no candidate model could be trained: {errors}")
-    (label, model, params), _ = max(ok.items(), key=lambda kv: (statistics.fmean(kv[1]), kv[0][0]))
+    # of equal means the one named first, as in the grid search
+    place = {c[0]: i for i, c in enumerate(cands)}
+    (label, model, params), _ = max(ok.items(), key=lambda kv: (statistics.fmean(kv[1]), -place[kv[0][0]]))
     return label, model, json.loads(params), res
 
 
@@ -121,20 +175,34 @@ def grid_search(df: DataFrame, features: Sequence[str], target: str, model: str,
     Returns (FittedModel, best params, best score, per-combination results DataFrame)."""
     keys = sorted(grid)
     combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-    d = _with_folds(df, key_cols, folds)
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            out = list(ex.map(lambda t: (t[0], t[1], _fold_metrics(d, features, target, model, t[1], None, combos[t[0]])),
-                              list(itertools.product(range(len(combos)), range(folds)))))
-    finally:
-        d.unpersist()
+    name, shared = MP.canonical(model), {}
+    if name in gram.LINEAR_FAMILY:
+        out = []
+        for ci, combo in enumerate(combos):
+            degree, rest = MP.degree_of(name, None, combo)
+            if degree not in shared:
+                shared[degree] = FoldMoments(df, features, target, key_cols, folds, degree)
+            out += [(ci, m["fold"], m) for m in shared[degree].metrics(name, rest)]
+    else:
+        d = _with_folds(df, key_cols, folds)
+        try:
+            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+                out = list(ex.map(lambda t: (t[0], t[1], _fold_metrics(d, features, target, model, t[1], None, combos[t[0]])),
+                                  list(itertools.product(range(len(combos)), range(folds)))))
+        finally:
+            d.unpersist()
     scores: dict[int, list[float]] = {}
     for ci, _f, m in out:
         v = m[metric]
-        scores.setdefault(ci, []).append(-v if metric == "mse" else v)
+        if m["n"]:  # a fold without rows says nothing
+            scores.setdefault(ci, []).append(float("-inf") if v is None else -v if metric == "mse" else v)
     best = max(scores, key=lambda ci: statistics.fmean(scores[ci]))
     best_score = statistics.fmean(scores[best])
     res = df.sparkSession.createDataFrame(
         [(json.dumps(combos[ci]), statistics.fmean(v)) for ci, v in scores.items()], "params string, mean_score double")
-    fm = MP.fit(df, features, target, model, **combos[best])
+    if shared:
+        degree, rest = MP.degree_of(name, None, combos[best])
+        fm = shared[degree].fit(name, features, target, rest, degree)
+    else:
+        fm = MP.fit(df, features, target, model, **combos[best])
     return fm, combos[best], (-best_score if metric == "mse" else best_score), res

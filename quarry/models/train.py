@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import classify, qcol
+from quarry.models import gram
 from quarry.models import pipeline as MP
 from quarry.models.metrics import evaluate
 from quarry.models.prep import prepare, split
 from quarry.models.scoring import fit_defaults
 from quarry.operators.clean import apply_fill, drop_rows_with_missing, training_fills
 from quarry.session import materialize
-from quarry.models.selection import auto_select, cross_validate, cv_summary
+from quarry.models.selection import FoldMoments, auto_select, cross_validate, cv_summary, cv_table
 
 
 @dataclass
@@ -73,11 +74,20 @@ def train(df: DataFrame, features: Sequence[str], target: str, model: str = "aut
     if model == "auto":
         label, model, sel_params, selection = auto_select(train_df, features, target, keys, 3, candidates, parallelism)
         params = {**sel_params, **params}
-    fm = MP.fit(train_df, features, target, model, poly_degree=poly_degree, **params)
+    name = MP.canonical(model)
+    if name in gram.LINEAR_FAMILY:
+        # fit, folds and training metrics from one scan
+        degree, rest = MP.degree_of(name, poly_degree, params)
+        folds = FoldMoments(train_df, features, target, keys, cv_folds, degree)
+        fm = folds.fit(name, features, target, rest, degree)
+        cv = cv_table(spark, folds.metrics(name, rest))
+        tr = gram.score(gram.solve(name, folds.total, {**MP.DEFAULTS[name], **rest}), folds.total)
+    else:
+        fm = MP.fit(train_df, features, target, model, poly_degree=poly_degree, **params)
+        cv = cross_validate(train_df, features, target, model, keys, cv_folds, poly_degree, parallelism, **params)
+        tr = evaluate(fm.transform(train_df), target).first()
     fm.defaults = fit_defaults(train_df, features)
-    cv = cross_validate(train_df, features, target, model, keys, cv_folds, poly_degree, parallelism, **params)
     cvs = cv_summary(cv).first().asDict()
-    tr = evaluate(fm.transform(train_df), target).first()
     te_pred = fm.transform(test_df)
     te = evaluate(te_pred, target).first()
     metrics = {

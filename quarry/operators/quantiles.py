@@ -29,9 +29,11 @@ Linear interpolation between ranks matches ``quantile_cont`` / numpy's default.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.columns import qcol
 from quarry.session import ensure_checkpoint_dir
@@ -42,7 +44,22 @@ DEFAULT_BUCKETS = 4096
 DEFAULT_FINAL_ROWS = 2_000_000
 
 
-BROADCAST_MAX_ROWS = 200_000  # lookup tables at most this many (small, fixed-width) rows are broadcast
+BROADCAST_BYTES = 32 << 20  # a lookup table of at most this many bytes of values is broadcast
+
+
+@dataclass
+class TableSize:
+    rows: int
+    bytes: int
+
+
+def table_bytes(df: DataFrame) -> TableSize:
+    """Rows and bytes of a materialised table's values, from one aggregate: the length of every string, 8 bytes for any
+    other value, 16 for a row."""
+    fixed = 16 + 8 * sum(not isinstance(f.dataType, T.StringType) for f in df.schema)
+    texts = [F.coalesce(F.sum(F.octet_length(qcol(f.name))), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    r = df.agg(F.count("*").alias("n"), sum(texts, F.lit(0)).cast("bigint").alias("b")).first()
+    return TableSize(r["n"], r["b"] + fixed * r["n"])
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -51,10 +68,9 @@ def _ckpt(df: DataFrame) -> DataFrame:
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a materialised lookup table: broadcast it when its row count is proven small
-    (a count of an already-checkpointed frame), otherwise a regular shuffle join (AQE's skew
-    handling splits hot keys)."""
-    if small.count() <= BROADCAST_MAX_ROWS:
+    """Join a materialised lookup table: broadcast it when its measured bytes are few, otherwise a regular shuffle join
+    (AQE's skew handling splits hot keys)."""
+    if table_bytes(small).bytes <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on=on, how=how)
     return big.join(small, on=on, how=how)
 
