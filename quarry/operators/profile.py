@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import classify, g1_skew, qcol
+from quarry.operators.pairwise import correlations
 from quarry.operators.quantiles import grouped_mode, grouped_quantiles, long_numeric
 
 PROFILE_COLUMNS = [
@@ -152,39 +153,16 @@ def group_sum_positive(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation, pairwise-complete, long form (col_a, col_b, corr).
-
-    One aggregate with covar_pop / stddev_pop over pairwise-filtered values; a constant
-    column gives NULL instead of an ANSI divide-by-zero. Needs at least 2 numeric columns.
-    """
+    """Pearson correlation, pairwise-complete, long form (col_a, col_b, corr), in one scan for any number of
+    columns (``operators.pairwise``). NULL where a column is constant on a pair's rows or they have none in common; an
+    empty table gives no rows. Needs at least 2 numeric columns."""
     cls = classify(df.schema)
     cols = [c for c in (cols or df.columns) if cls[c] == "numeric"]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    partial = []
-    for start in range(0, len(pairs), 60):  # 60 pairs (240 aggregates) per pass stays in codegen
-        batch = pairs[start : start + 60]
-        exprs = []
-        for (i, j) in batch:
-            x, y = _clean_num(cols[i]), _clean_num(cols[j])
-            both = x.isNotNull() & y.isNotNull()
-            xx, yy = F.when(both, x), F.when(both, y)
-            r = F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
-            # guard rounding: |r| may exceed 1 by an ulp
-            r = F.when(F.stddev_pop(xx) * F.stddev_pop(yy) > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-            exprs.append(r.alias(f"r_{i}_{j}"))
-        wide = df.agg(*exprs)
-        st = []
-        for (i, j) in batch:
-            st.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), F.col(f"r_{i}_{j}").alias("corr")))
-            if i != j:
-                st.append(F.struct(F.lit(cols[j]).alias("col_a"), F.lit(cols[i]).alias("col_b"), F.col(f"r_{i}_{j}").alias("corr")))
-        partial.append(wide.select(F.explode(F.array(*st)).alias("s")).select("s.*"))
-    out = partial[0]
-    for p in partial[1:]:
-        out = out.unionByName(p)
-    return out
+    names = F.array(*[F.lit(c) for c in cols])
+    found = correlations(df, [qcol(c) for c in cols])
+    return found.select(F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b"), "corr")
 
 
 def shape(df: DataFrame) -> DataFrame:

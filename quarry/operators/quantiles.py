@@ -102,9 +102,15 @@ def grouped_quantiles(
     quantiles come from ONE window pass (row_number + count per group, bounded partitions)
     instead of sketch → verify → rank.
     """
-    extra_aggs = extra_aggs or {}
     keys = list(keys)
-    probs = [float(p) for p in probs]
+    inner = [f"_k{i}" for i in range(len(keys))]  # key names may hold dots
+    src = df.select(*[qcol(k).alias(a) for k, a in zip(keys, inner, strict=True)], qcol(value).alias("_value"))
+    out = _grouped(src, inner, "_value", [float(p) for p in probs], method, accuracy, buckets, final_rows, max_passes, extra_aggs or {}, max_group_rows)
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, inner, strict=True)], "p", "q", "n", *(extra_aggs or {}))
+
+
+def _grouped(df: DataFrame, keys: list[str], value: str, probs: list[float], method: str, accuracy: int, buckets: int, final_rows: int,
+             max_passes: int, extra_aggs: dict, max_group_rows: int | None) -> DataFrame:
     added_key = not keys
     if added_key:
         df = df.withColumn("_g", F.lit(0))
@@ -241,37 +247,41 @@ def grouped_quantiles(
 
 
 def _ranked_quantiles(data: DataFrame, keys: list[str], probs: list[float], extra_aggs: dict) -> DataFrame:
-    """One window pass for groups proven to hold at most ``final_rows`` rows: rank within the
-    group, keep the ≤ 2·len(probs) rows at the interpolation ranks, interpolate."""
+    """One window pass for groups proven to hold at most ``final_rows`` rows: equal values are counted first (repeats
+    collapse before the shuffle), the window runs over a group's distinct values, and the ≤ 2·len(probs) values that
+    cover the interpolation ranks are kept. Other statistics come from a plain partial aggregate."""
     K = [F.col(k) for k in keys]
-    w_all = Window.partitionBy(*K)
-    w_ord = Window.partitionBy(*K).orderBy("_v")
-    ranked = data.select(
-        *K, "_v",
-        (F.row_number().over(w_ord) - 1).alias("_rn"),
-        F.count("_v").over(w_all).alias("_n"),
-        *[fn(F.col("_v")).over(w_all).alias(name) for name, fn in extra_aggs.items()],
-    )
-    # the few rows at a wanted rank first, so that only they are copied once per probability
-    ranks = [F.floor((F.col("_n") - 1).cast("double") * F.lit(p)).cast("bigint") for p in probs]
+    w = Window.partitionBy(*K)
+    counted = data.groupBy(*K, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.select(*K, "_v", "_c", F.sum("_c").over(upto).alias("_end"), F.sum("_c").over(w).alias("_n"))
+    ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c"))  # the value holds ranks _start … _end − 1
+
+    def holds(r):
+        return (F.col("_start") <= r) & (r < F.col("_end"))
+
+    def low(p):
+        return F.floor((F.col("_n") - 1).cast("double") * p).cast("bigint")
+
+    # the few values at a wanted rank first, so that only they are copied once per probability
     wanted = F.lit(False)
-    for r in ranks:
-        wanted = wanted | (F.col("_rn") == r) | (F.col("_rn") == r + 1)
+    for p in probs:
+        wanted = wanted | holds(low(F.lit(p))) | holds(F.least(low(F.lit(p)) + 1, F.col("_n") - 1))
     t = (
         ranked.filter(wanted).withColumn("p", F.explode(F.array(*[F.lit(p) for p in probs])))
         .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
         .withColumn("_r0", F.floor("_h").cast("bigint"))
         .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
-        .filter((F.col("_rn") == F.col("_r0")) | (F.col("_rn") == F.col("_r1")))
     )
     g = t.groupBy(*K, "p").agg(
-        F.max(F.when(F.col("_rn") == F.col("_r0"), F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("_rn") == F.col("_r1"), F.col("_v"))).alias("_v1"),
+        F.max(F.when(holds(F.col("_r0")), F.col("_v"))).alias("_v0"),
+        F.max(F.when(holds(F.col("_r1")), F.col("_v"))).alias("_v1"),
         F.max("_h").alias("_h"), F.max("_r0").alias("_r0"), F.max("_n").alias("n"),
-        *[F.max(name).alias(name) for name in extra_aggs],
     )
-    return g.select(*K, "p", (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"),
-                    "n", *extra_aggs)
+    out = g.select(*K, "p", (F.col("_v0") + (F.col("_h") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("q"), "n")
+    if not extra_aggs:
+        return out
+    return out.join(data.groupBy(*K).agg(*[fn(F.col("_v")).alias(name) for name, fn in extra_aggs.items()]), on=keys)
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:

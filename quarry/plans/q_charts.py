@@ -271,3 +271,74 @@ def _pair_sql() -> str:
 @query("pair_hist", _pair_sql(), ops="V12 O6")
 def pair_hist(spark, sf):
     return V.pair_data(lineitem_n(spark, sf))
+
+
+@query(
+    "distribution_curve",
+    "WITH d AS (SELECT o_totalprice AS x FROM orders WHERE o_totalprice IS NOT NULL), "
+    "s AS (SELECT count(*) AS n, pow(count(*), -0.2) * stddev_samp(x) AS h, min(x) AS mn, max(x) AS mx FROM d), "
+    "g AS (SELECT (mn - 3.0 * h) + ((mx + 3.0 * h) - (mn - 3.0 * h)) * i / 199 AS gx, h, n "
+    "FROM s, (SELECT unnest(range(200)) AS i)) "
+    "SELECT round(gx, 2) AS x, round(1e6 * sum(exp(-0.5 * ((gx - x) / h) * ((gx - x) / h))) / (n * h * sqrt(2 * pi())), 4) "
+    "AS density FROM g, d GROUP BY gx, h, n",
+    ops="V2 (curve beside the density histogram)",
+)
+def distribution_curve(spark, sf):
+    _hist, curve = V.distribution(table(spark, sf, "orders"), "o_totalprice")
+    return curve.select(round_half_away(F.col("x"), 2).alias("x"), round_half_away(F.col("density") * 1e6, 4).alias("density"))
+
+
+_ODD = {"l_returnflag": "flag.a b", "l_linestatus": "status/x", "l_quantity": "q.t", "l_extendedprice": "price (net)", "l_shipdate": "day.of ship"}
+
+
+@query(
+    "odd_names",
+    "WITH q AS (SELECT l_returnflag AS f, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1), "
+    "l AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) "
+    "SELECT 'box' AS chart, f AS k, round(m, 4) AS v FROM q "
+    "UNION ALL SELECT 'bar', l_returnflag || l_linestatus, round(avg(l_extendedprice), 4) FROM lineitem GROUP BY l_returnflag, l_linestatus "
+    "UNION ALL SELECT 'line', l_linestatus, round(sum(m), 4) FROM (SELECT l_shipdate, l_linestatus, avg(l_extendedprice) AS m "
+    "FROM lineitem GROUP BY 1, 2) GROUP BY 2 "
+    "UNION ALL SELECT 'scatter', l_returnflag, round(sum(l_quantity), 4) FROM lineitem GROUP BY 2 "
+    "UNION ALL SELECT 'area', l_returnflag, count(*)::DOUBLE FROM lineitem GROUP BY 2 "
+    "UNION ALL SELECT 'violin', l_returnflag, 100.0 FROM lineitem GROUP BY 2 "
+    "UNION ALL SELECT 'fit', '', round(avg(a + b * l_quantity), 4) FROM lineitem, l",
+    ops="V4 V5 V6 V8 V9 V10 M4 (column names with dots, spaces, slashes, parentheses)",
+)
+def odd_names(spark, sf):
+    from quarry.models import pipeline as MP
+
+    df = table(spark, sf, "lineitem").select(*[F.col(c).alias(n) for c, n in _ODD.items()])
+    flag, status, q, price, day = (F.col(f"`{n}`") for n in _ODD.values())
+    f_, s_, q_, p_, d_ = _ODD.values()
+    box, _points = V.box_stats(df, f_, p_)
+    curve, _quart = V.violin(df, f_, p_)
+    fm = MP.fit(df, [q_], p_, "linear")
+    parts = [
+        box.select(F.lit("box").alias("chart"), flag.alias("k"), F.col("median").alias("v")),
+        V.bar_data(df, f_, p_, hue=s_).select(F.lit("bar"), F.concat(flag, status), "value"),
+        V.line_data(df, d_, p_, hue=s_).groupBy(status.alias("k")).agg(F.sum(price).alias("v")).select(F.lit("line"), "k", "v"),
+        V.scatter_points(df, q_, p_, f_).groupBy(flag.alias("k")).agg(F.sum(q).alias("v")).select(F.lit("scatter"), "k", "v"),
+        V.area_data(df, d_, p_, hue=f_).groupBy(flag.alias("k")).agg(F.count("*").cast("double").alias("v")).select(F.lit("area"), "k", "v"),
+        curve.groupBy(flag.alias("k")).agg(F.count("*").cast("double").alias("v")).select(F.lit("violin"), "k", "v"),
+        fm.transform(df).agg(F.avg("prediction").alias("v")).select(F.lit("fit"), F.lit(""), "v"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return rounded(out)
+
+
+@query(
+    "quartiles_by_brackets",
+    "SELECT l_returnflag, p, round(CASE p WHEN 0.25 THEN q1 WHEN 0.5 THEN q2 ELSE q3 END, 4) AS q, n FROM ("
+    "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS q2, "
+    "quantile_cont(l_extendedprice, 0.75) AS q3, count(l_extendedprice) AS n FROM lineitem GROUP BY 1), (SELECT unnest([0.25, 0.5, 0.75]) AS p)",
+    ops="A4 (the way of large groups: sketch, verified brackets, refinement, bounded rank)",
+)
+def quartiles_by_brackets(spark, sf):
+    from quarry.operators.quantiles import grouped_quantiles
+
+    # groups of the given tables are small: a bound of 500 rows a rank sends them through every step of the large way
+    return rounded(grouped_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75],
+                                     final_rows=500, buckets=64, accuracy=200))

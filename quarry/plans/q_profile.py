@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from quarry.operators import profile as P
 from quarry.plans.registry import query, rounded, table
 from quarry.plans.sqlgen import LINEITEM_N_EXPRS, LINEITEM_N_SQL, profile_sql
@@ -127,6 +129,29 @@ def corr_matrix_lineitem(spark, sf):
     return rounded(P.correlation_matrix(lineitem_n(spark, sf), _CORR_COLS))
 
 
+# one hundred columns: four of the table under 25 rules each for what is missing
+_WIDE = [(f"c{i:02d}", _CORR_COLS[i % 4], i) for i in range(100)]
+_WIDE_SHOWN = [0, 1, 2, 3, 41, 62, 98, 99]  # columns whose pairs the query returns
+
+
+def _wide_case(col: str, i: int) -> str:
+    return f"CASE WHEN (l_orderkey * {i + 3} + l_linenumber) % {i + 5} = 0 THEN NULL ELSE {col} END"
+
+
+def _corr_wide_sql():
+    src = ", ".join(f"{_wide_case(_WIDE[i][1], i)} AS {_WIDE[i][0]}" for i in _WIDE_SHOWN)
+    names = [_WIDE[i][0] for i in _WIDE_SHOWN]
+    parts = [f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 4) AS corr FROM src" for a in names for b in names]
+    return f"WITH src AS (SELECT {src} FROM lineitem) " + " UNION ALL ".join(parts)
+
+
+@query("corr_matrix_wide", _corr_wide_sql(), ops="A13 V7 (100 columns with missing values, one scan)")
+def corr_matrix_wide(spark, sf):
+    src = table(spark, sf, "lineitem").select(*[F.expr(_wide_case(c, i)).alias(n) for n, c, i in _WIDE])
+    names = [_WIDE[i][0] for i in _WIDE_SHOWN]
+    return rounded(P.correlation_matrix(src).where(F.col("col_a").isin(names) & F.col("col_b").isin(names)))
+
+
 @query("shape_lineitem", "SELECT count(*) AS \"rows\", 11::BIGINT AS \"columns\" FROM lineitem", ops="A14")
 def shape_lineitem(spark, sf):
     return P.shape(table(spark, sf, "lineitem"))

@@ -115,3 +115,77 @@ def test_own_estimator_is_summed_before_the_shuffle(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").toPandas()
     want = orders.groupby("o_orderstatus").o_totalprice.agg(lambda y: float(y.max()) - float(y.min()))
     assert {r.o_orderstatus: r.value for r in got.collect()} == pytest.approx(want.to_dict(), abs=1e-3)
+
+
+# ---------------------------------------------------------------- one scan: kernels, cells, pairwise moments
+
+
+def test_kde_equals_numpy_and_binning_stays_in_its_bound(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), rng.normal(8, 0.3, 500)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "`x.y` double").repartition(7)
+    h = x.std(ddof=1) * len(x) ** -0.2
+    grid = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    got = V.kde(df, "x.y").toPandas()
+    assert np.allclose(got["x"], grid) and np.allclose(got["density"], want, rtol=1e-10)
+    for bins in (50, 400):
+        delta = (x.max() - x.min()) / (bins - 1)
+        near = V.kde(df, "x.y", prebin=bins).toPandas()
+        assert np.abs(near["density"] - want).max() <= delta ** 2 / (8 * h ** 3 * np.sqrt(2 * np.pi))
+
+
+@pytest.mark.parametrize("bins,grid", [(20, 20), (4, 7)])
+def test_pair_cells_by_hue(spark, bins, grid):
+    rng = np.random.default_rng(4)
+    t = rng.normal(size=(400, 3))
+    t[rng.random((400, 3)) < 0.1] = np.nan
+    hue = [None if i % 9 == 0 else f"h{i % 40}" for i in range(400)]
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], h) for r, h in zip(t, hue, strict=True)]
+    df = spark.createDataFrame(rows, "`a.b` double, c double, d double, `h.x` string").repartition(3)
+    got = {(r.col_x, r.col_y, r.bin_x, r.bin_y, r["h.x"]): r["count"] for r in V.pair_data(df, bins=bins, grid_bins=grid, hue="h.x").collect()}
+    names, want = ["a.b", "c", "d"], {}
+    lo, hi = np.nanmin(t, 0), np.nanmax(t, 0)
+
+    def place(v, i, k):
+        return int(min(np.floor((v - lo[i]) * (k / (hi[i] - lo[i]))), k - 1))
+
+    for r, h in zip(t, hue, strict=True):
+        for i in range(3):
+            for j in range(3):
+                if not np.isnan(r[i]) and not np.isnan(r[j]):
+                    key = (names[i], names[j], place(r[i], i, bins if i == j else grid), None if i == j else place(r[j], j, grid), h)
+                    want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("tile,parts", [(128, 1), (3, 5), (2, 40)])
+def test_correlations_of_masked_columns(spark, tile, parts):
+    from quarry.operators.pairwise import correlations
+
+    rng = np.random.default_rng(5)
+    t = rng.normal(size=(200, 7)) + [0, 1e8, 0, 0, 0, 0, 0]
+    t[:, 2] = t[:, 1] * 2 - 5
+    t[:, 3] = 7.1
+    t[rng.random(t.shape) < 0.3] = np.nan
+    t[:, 5] = np.where(np.isnan(t[:, 4]), 1.5, np.nan)  # no row in common with column 4
+    t[0, 6] = np.inf
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in t], ", ".join(f"c{i} double" for i in range(7))).repartition(parts)
+    got = {(r.i, r.j): (r.n, r.corr) for r in correlations(df, [F.col(f"c{i}") for i in range(7)], tile).collect()}
+    assert len(got) == 49
+    for (i, j), (n, r) in got.items():
+        both = ~np.isnan(t[:, i]) & ~np.isnan(t[:, j])
+        assert n == both.sum()
+        if 3 in (i, j) or 6 in (i, j) or 5 in (i, j) or not n:
+            assert r is None
+        else:
+            assert np.isclose(r, np.corrcoef(t[both, i], t[both, j])[0, 1], atol=1e-7)
+
+
+def test_too_many_bins_are_refused(spark):
+    df = spark.createDataFrame([(float(i % 10),) for i in range(1000)] + [(1e15,)], "x double")
+    with pytest.raises(ValueError, match="asks for"):
+        V.histogram(df, "x", "fd")
+    with pytest.raises(ValueError, match="more than"):
+        V.histogram(df, "x", V.MAX_BINS + 1)
+    assert V.histogram(df, "x", 10).count() == 10
