@@ -1,18 +1,18 @@
-"""Estimators Spark ML lacks: Bayesian ridge (M8) and ε-insensitive SVR.
+"""Estimators Spark ML lacks: a linear form (for the models solved from moments) and ε-insensitive SVR.
 
-Both are proper ``pyspark.ml`` Estimator/Model pairs (persistable inside a PipelineModel).
-Data never leaves the executors: each pass is a ``mapInPandas`` that turns a partition into
-ONE row of partial sums (numpy on an Arrow batch), followed by a tiny final aggregate — the
-tree-aggregate pattern. Only d×d summaries reach the driver.
+Proper ``pyspark.ml`` Estimator/Model pairs (persistable inside a PipelineModel). Data never leaves the executors: a
+pass turns each partition into ONE row of partial sums (numpy on Arrow batches), which are summed again in a few
+tasks before the driver receives them.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
+import pyarrow as pa
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -21,48 +21,37 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-FEATURE_BUDGET_BYTES = 256 * 1024 * 1024  # per partition: cached random features in one SVR round
-
-
-def _partial_sums(df: DataFrame, features: str, label: str, fn, width: int) -> np.ndarray:
-    """Sum of ``fn(X, y)`` (a 1-D float vector of ``width``) over all rows.
-
-    Level 1: one partial-sum row per input partition (full scan parallelism). Level 2: those
-    rows are re-spread over ~√P tasks and summed again, so the driver receives at most ~√P
-    vectors — a tree aggregate, bounded even when ``width`` is d² for wide models."""
-    arr = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y")).filter(
-        F.col("y").isNotNull())
-
-    def part(it):
-        acc = np.zeros(width)
-        for pdf in it:
-            if len(pdf):
-                X = np.stack(pdf["x"].to_numpy()).astype(float)
-                acc += fn(X, pdf["y"].to_numpy(dtype=float))
-        yield pd.DataFrame({"s": [acc.tolist()]})
-
-    return _tree_sum(arr.mapInPandas(part, "s array<double>"), arr.rdd.getNumPartitions(), width)
-
-
-def _tree_sum(parts: DataFrame, nparts: int, width: int) -> np.ndarray:
-    """Sum one ``s array<double>`` row per partition: re-spread over ~√P tasks and summed again,
-    so the driver receives at most ~√P vectors. The inner function travels to the executors by
-    value: they need no copy of this package."""
-
-    def sum_rows(it):
-        acc = None
-        for pdf in it:
-            for v in pdf["s"]:
-                v = np.asarray(v, dtype=float)
-                acc = v if acc is None else acc + v
-        if acc is not None:
-            yield pd.DataFrame({"s": [acc.tolist()]})
-
-    parts = parts.repartition(max(1, int(math.sqrt(nparts)))).mapInPandas(sum_rows, "s array<double>")
+from quarry.functions.columns import qcol
+
+#: Numbers of one numpy step: rows are taken in slices of BLOCK_CELLS / width.
+BLOCK_CELLS = 1 << 20
+
+
+def sum_over_rows(rows: DataFrame, fn, width: int) -> np.ndarray:
+    """Sum of ``fn(X, y)`` (a vector of ``width``) over rows (x array<double>, y double), in any number of partitions."""
+    def scan(batches):
+        total = np.zeros(width)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            y = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            step = max(1, BLOCK_CELLS // max(width, x.shape[1]))
+            for at in range(0, len(y), step):
+                total += fn(x[at:at + step], y[at:at + step])
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total], pa.list_(pa.float64()))})
+
+    def again(batches):
+        total = np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                total += b.column(0).flatten().to_numpy().reshape(b.num_rows, width).sum(0)
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total], pa.list_(pa.float64()))})
+
+    few = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     out = np.zeros(width)
-    for r in parts.collect():
-        out += np.asarray(r["s"], dtype=float)
+    for r in rows.mapInArrow(scan, "s array<double>").repartition(few).mapInArrow(again, "s array<double>").collect():
+        out += np.asarray(r["s"])
     return out
 
 
@@ -137,25 +126,25 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
                   DefaultParamsWritable):
     """ε-insensitive SVR, objective ½‖w‖² + C·Σ max(0, |y − f(x)| − ε) (Smola & Schölkopf 2004).
 
-    Iterative parameter mixing (McDonald et al. 2010): each round is ONE distributed pass in
-    which every partition takes ``local_steps`` sub-gradient steps from the shared weights and
-    returns its local weights; the driver averages them by row count (a (D+2)-vector per
-    partition) and averages the iterates of the second half of the rounds. kernel='linear' works on x; 'rbf' on random
-    Fourier features (Rahimi & Recht 2007) with γ = 1/(d·var(X)) ('scale'), D features."""
+    The loss is smoothed: quadratic over a width μ beyond ε. Newton's method solves the smoothed problem (one pass for
+    loss, gradient and Hessian, a second only where the whole step is refused), then μ shrinks. The smoothed slopes
+    C·L′ are dual variables, so every pass also gives the duality gap; the fit ends when it is at most ``tol`` of the
+    objective and warns if ``maxIter`` passes did not suffice. All sums are over rows: the result does not depend on the
+    partitions. kernel='linear' works on x; 'rbf' on random Fourier features (Rahimi & Recht 2007) with
+    γ = 1/(d·var(X)) ('scale')."""
 
     kernel = Param(Params._dummy(), "kernel", "", typeConverter=TypeConverters.toString)
     C = Param(Params._dummy(), "C", "", typeConverter=TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "", typeConverter=TypeConverters.toFloat)
     n_components = Param(Params._dummy(), "n_components", "", typeConverter=TypeConverters.toInt)
-    steps = Param(Params._dummy(), "steps", "mixing rounds (Spark passes)", typeConverter=TypeConverters.toInt)
-    local_steps = Param(Params._dummy(), "local_steps", "local sub-gradient steps per round",
-                        typeConverter=TypeConverters.toInt)
+    tol = Param(Params._dummy(), "tol", "duality gap as a share of the objective", typeConverter=TypeConverters.toFloat)
+    maxIter = Param(Params._dummy(), "maxIter", "passes over the data", typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", kernel="rbf", C=1.0,
-                 epsilon=0.1, n_components=200, steps=16, local_steps=50, seed=42):
+                 epsilon=0.1, n_components=200, tol=1e-3, maxIter=100, seed=42):
         super().__init__()
-        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, steps=16, local_steps=50, seed=42)
+        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, n_components=200, tol=1e-3, maxIter=100, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SVRModel:
@@ -163,78 +152,98 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
         kernel = self.getOrDefault(self.kernel)
         if kernel not in ("linear", "rbf"):
             raise ValueError("SVR kernels built: 'linear' and 'rbf' (poly/sigmoid need an exact kernel solver)")
-        d = len(df.select(vector_to_array(F.col(fc)).alias("x")).first()["x"])
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
+        rows = df.select(vector_to_array(qcol(fc)).alias("x"), qcol(lc).cast("double").alias("y")).where("y is not null")
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads the features alone
+        try:
+            first = rows.first()
+            if first is None:
+                raise ValueError("there are no rows to fit")
+            return self._solve(rows, len(first["x"]), kernel)
+        finally:
+            rows.unpersist()
+
+    def _solve(self, rows: DataFrame, d: int, kernel: str) -> SVRModel:
+        n, sy, syy, sx, sxx = sum_over_rows(rows, lambda X, y: np.array([len(y), y.sum(), y @ y, X.sum(), (X * X).sum()]), 5)
+        omega = phase = None
         if kernel == "rbf":
-            # var(X) over all entries: one pass of sums
-            s = _partial_sums(df, fc, lc, lambda X, y: np.array([X.size, X.sum(), (X * X).sum()]), 3)
-            var = s[2] / s[0] - (s[1] / s[0]) ** 2
-            gamma = 1.0 / (d * var) if var > 0 else 1.0
+            rng = np.random.default_rng(self.getOrDefault(self.seed))
+            var = sxx / (n * d) - (sx / (n * d)) ** 2
             D = self.getOrDefault(self.n_components)
-            omega = rng.normal(0.0, math.sqrt(2 * gamma), size=(D, d))
+            omega = rng.normal(0.0, math.sqrt(2 / (d * var)) if var > 0 else math.sqrt(2.0), size=(D, d))
             phase = rng.uniform(0, 2 * math.pi, size=D)
 
             def feats(X):
                 return math.sqrt(2.0 / D) * np.cos(X @ omega.T + phase)
         else:
             D = d
-            omega, phase = None, None
 
             def feats(X):
                 return X
+
         C, eps = self.getOrDefault(self.C), self.getOrDefault(self.epsilon)
-        df = df.select(fc, lc).cache()  # every round re-reads only the cached features
-        s0 = _partial_sums(df, fc, lc, lambda X, y: np.array([len(y), y.sum(), (y * y).sum()]), 3)
-        n = float(s0[0])
-        w, b = np.zeros(D), s0[1] / n
-        eta0 = max(math.sqrt(max(s0[2] / n - b * b, 0.0)), 1.0)
-        rounds, local = self.getOrDefault(self.steps), self.getOrDefault(self.local_steps)
-        arr = df.select(vector_to_array(F.col(fc)).alias("x"), F.col(lc).cast("double").alias("y")).filter(
-            F.col("y").isNotNull())
-        avg_w, avg_b, cnt = np.zeros(D), 0.0, 0
-        for r in range(rounds):
-            w0, b0, t0 = w.copy(), b, r * local
-
-            def mix(it, w0=w0, b0=b0, t0=t0):
-                # iterative parameter mixing: local sub-gradient steps from the shared point, one
-                # weighted (D+2)-vector per partition. Only the raw features stay in memory; the
-                # (possibly D-wide random) features are recomputed per Arrow batch.
-                batches = []
-                for pdf in it:
-                    if len(pdf):
-                        batches.append((np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)))
-                m = float(sum(len(yb) for _, yb in batches))
-                if not m:
-                    yield pd.DataFrame({"s": [np.zeros(D + 2).tolist()]})
-                    return
-                # keep the features of this partition when they fit the budget, else recompute per step
-                keep_z = m * D * 8 <= FEATURE_BUDGET_BYTES
-                zs = [feats(Xb) for Xb, _ in batches] if keep_z else None
-                wl, bl = w0.copy(), b0
-                for k in range(1, local + 1):
-                    gw, gb = np.zeros(D), 0.0
-                    for bi, (Xb, yb) in enumerate(batches):
-                        Zb = zs[bi] if keep_z else feats(Xb)
-                        res = yb - (Zb @ wl + bl)
-                        g = np.where(np.abs(res) > eps, -np.sign(res), 0.0)
-                        gw += Zb.T @ g
-                        gb += g.sum()
-                    step = eta0 / math.sqrt(t0 + k)
-                    wl = wl - step * (wl / (C * n) + gw / m)
-                    bl = bl - step * (gb / m)
-                yield pd.DataFrame({"s": [np.concatenate([wl * m, [bl * m, m]]).tolist()]})
-
-            tot = _tree_sum(arr.mapInPandas(mix, "s array<double>"), arr.rdd.getNumPartitions(), D + 2)
-            w, b = tot[:D] / tot[D + 1], tot[D] / tot[D + 1]
-            if r >= rounds // 2:
-                avg_w += w
-                avg_b += b
-                cnt += 1
-        df.unpersist()
-        w, b = avg_w / max(cnt, 1), avg_b / max(cnt, 1)
-        if kernel == "rbf":
-            return SVRModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
-                            coefficients=[float(v) for v in w], intercept=float(b), kernel="rbf",
-                            omega=[float(v) for v in omega.ravel()], phase=[float(v) for v in phase])
-        return SVRModel(featuresCol=fc, labelCol=lc, predictionCol=self.getOrDefault(self.predictionCol),
-                        coefficients=[float(v) for v in w], intercept=float(b), kernel="linear")
+        steps = 0.5 ** np.arange(10)
+        width = 5 + (D + 1) + (D + 1) ** 2 + len(steps)
+
+        def state(theta: np.ndarray, back: np.ndarray, mu: float) -> dict:
+            """At theta = (w, b): smoothed and exact loss, dual sums, gradient and Hessian of the smoothed loss; and the
+            smoothed loss at theta − (1 − t)·back for shorter steps t."""
+            def fn(X, y):
+                Z = np.concatenate([feats(X), np.ones((len(y), 1))], 1)
+                r = y - Z @ theta
+                over = np.abs(r) - eps
+                slope = np.clip(over / mu, 0, 1) * np.sign(r)  # β / C
+                loss = np.where(over <= 0, 0, np.where(over < mu, over * over / (2 * mu), over - mu / 2))
+                bent = Z[(over > 0) & (over < mu)]
+                moved = np.abs(r[:, None] + (Z @ back)[:, None] * (1 - steps)) - eps
+                short = np.where(moved <= 0, 0, np.where(moved < mu, moved * moved / (2 * mu), moved - mu / 2)).sum(0)
+                return np.concatenate([[loss.sum(), np.maximum(over, 0).sum(), slope @ y, np.abs(slope).sum(), slope.sum()],
+                                       Z.T @ slope, (bent.T @ bent).ravel() / mu, short])
+
+            s = sum_over_rows(rows, fn, width)
+            w = theta[:D]
+            beta = C * s[5:6 + D]
+            return {"smooth": 0.5 * w @ w + C * s[0], "primal": 0.5 * w @ w + C * s[1],
+                    "dual": -0.5 * beta[:D] @ beta[:D] + C * s[2] - eps * C * s[3], "leak": abs(C * s[4]),
+                    "grad": np.append(w, 0.0) - beta, "hess": C * s[6 + D:6 + D + (D + 1) ** 2].reshape(D + 1, D + 1),
+                    "short": C * s[-len(steps):]}
+
+        spread = math.sqrt(max(syy / n - (sy / n) ** 2, 0.0))
+        theta = np.append(np.zeros(D), sy / n)
+        scale = max(spread, eps, 1e-12)
+        mu, tol, left = scale, self.getOrDefault(self.tol), self.getOrDefault(self.maxIter)
+        none = np.zeros(D + 1)
+        here, left = state(theta, none, mu), left - 1
+        gap = float("inf")
+        while left > 0:
+            # a gradient below this moves the objective by less than the gap allows (the intercept's by its spread)
+            if np.abs(here["grad"]).max() <= 1e-6 * C * n:
+                gap = here["primal"] - here["dual"] + here["leak"] * scale
+                if gap <= tol * max(here["primal"], 1e-12 * C * n * scale) or mu <= 1e-9 * scale:
+                    break
+                mu /= 10
+                here, left = state(theta, none, mu), left - 1
+                continue
+            hess = here["hess"] + np.diag(np.append(np.ones(D), 1e-8 * C * n / scale))
+            move = -np.linalg.solve(hess, here["grad"])
+            there, left = state(theta + move, move, mu), left - 1
+            slope = here["grad"] @ move
+            w = theta[:D]
+            tried = [0.5 * np.sum((w + t * move[:D]) ** 2) + loss for t, loss in zip(steps, there["short"], strict=True)]
+            good = next((i for i, (t, v) in enumerate(zip(steps, tried, strict=True)) if v <= here["smooth"] + 1e-4 * t * slope), None)
+            if good is None:  # no step helps beyond rounding: this μ is solved
+                gap = here["primal"] - here["dual"] + here["leak"] * scale
+                if gap <= tol * max(here["primal"], 1e-12 * C * n * scale) or mu <= 1e-9 * scale:
+                    break
+                mu /= 10
+                here, left = state(theta, none, mu), left - 1
+            elif good == 0:
+                theta, here = theta + move, there
+            else:
+                theta = theta + steps[good] * move
+                here, left = state(theta, none, mu), left - 1
+        else:
+            warnings.warn(f"SVR stopped after {self.getOrDefault(self.maxIter)} passes; its duality gap was last measured as {gap:g}")
+        return SVRModel(featuresCol=self.getOrDefault(self.featuresCol), labelCol=self.getOrDefault(self.labelCol),
+                        predictionCol=self.getOrDefault(self.predictionCol), coefficients=[float(v) for v in theta[:D]], intercept=float(theta[D]),
+                        kernel=kernel, omega=[] if omega is None else [float(v) for v in omega.ravel()],
+                        phase=[] if phase is None else [float(v) for v in phase])

@@ -1,25 +1,28 @@
-"""Exact k-nearest-neighbour regression (M14) as a blocked, co-grouped Spark job.
-
-Exact kNN must compare every query with every training row; the work is inherently
-|Q|·|T|. It is distributed as a block nested-loop: queries are hashed into ``nq`` blocks and
-training rows into ``nt`` blocks (each ≤ ``block_rows``); every (query-block, train-block)
-pair is one ``cogroup`` call that computes a bounded distance matrix with numpy and emits
-only its local top-k per query. A hierarchical merge then keeps k candidates per (query, group
-of 64 training blocks) per level, so no window partition ever exceeds 64·k rows however large
-the training set. No pair is ever emitted as a row, and the shuffle volume is
-2·|Q|·|T|/block_rows rows.
-
-Ties on distance go to the smaller training key. ``weights='distance'`` uses 1/d; if any
-neighbour has distance 0, the prediction is the mean of the zero-distance labels.
+"""k-nearest-neighbour regression (M14): exact by blocks, or by hash tables on request.
+
+The exact way compares every query with every training row, as a block nested-loop: queries are hashed into ``nq``
+blocks and training rows into ``nt`` blocks (each ≤ ``block_rows``); every (query-block, train-block) pair is one
+``cogroup`` call that hands on its local top-k per query. A hierarchical merge then keeps k candidates per (query,
+group of 64 training blocks) per level, so no window partition ever exceeds 64·k rows however large the training set.
+
+``method='lsh'`` costs less than |Q|·|T|: p-stable hash tables (Datar et al. 2004) with multi-probe look-ups (Lv et al.
+2007) bring together rows that are likely near, their distances are exact, and queries that meet fewer than k rows
+take the exact way. The tables are laid out on a bounded sample (``SAMPLE`` rows) for a wanted recall; every row is
+indexed. Large buckets are cut into slices on both sides.
+
+No pair is ever emitted as a row. A task's distances are computed in slices of ``SLICE_BYTES``. Ties on distance go to
+the smaller training key. ``weights='distance'`` uses 1/d; if any neighbour has distance 0, the prediction is the mean
+of the zero-distance labels.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -29,42 +32,82 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import qcol
 from quarry.models.tables import TableState
 from quarry.session import checkpoint_dir, ensure_checkpoint_dir
 
 _CAND = "tb long, qid long, tid long, dist double, y double"
 MERGE_FANIN = 64  # training blocks merged per level of the top-k reduction
+#: Bytes of a task's distance matrix (and of the differences behind it).
+SLICE_BYTES = 64 << 20
+#: Hash tables, look-ups a table (the bucket and its nearest neighbours), rows of a bucket's slice, sample for the layout.
+TABLES, PROBES, SLICE_ROWS, SAMPLE = 8, 4, 2048, 2000
 
 
-def _block_topk(k: int, p: float):
-    def fn(key, q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(t) == 0:
-            return pd.DataFrame({"tb": pd.Series([], dtype="int64"), "qid": pd.Series([], dtype="int64"),
-                                 "tid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64"),
-                                 "y": pd.Series([], dtype="float64")})
-        t = t.sort_values("tid", kind="stable")
-        Q = np.stack(q["x"].to_numpy()).astype(float)
-        T = np.stack(t["x"].to_numpy()).astype(float)
-        tids = t["tid"].to_numpy()
-        ys = t["y"].to_numpy(dtype=float)
-        if p == 2:
-            D = np.sqrt(np.maximum(((Q[:, None, :] - T[None, :, :]) ** 2).sum(-1), 0.0))
-        elif p == 1:
-            D = np.abs(Q[:, None, :] - T[None, :, :]).sum(-1)
-        else:
-            D = (np.abs(Q[:, None, :] - T[None, :, :]) ** p).sum(-1) ** (1.0 / p)
-        kk = min(k, D.shape[1])
-        # stable sort by distance keeps the tid order among equal distances
-        idx = np.argsort(D, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(q)), kk)
-        cols = idx.ravel()
-        return pd.DataFrame({
-            "tb": np.full(len(rows), int(key[1]), dtype="int64"),
-            "qid": q["qid"].to_numpy()[rows],
-            "tid": tids[cols],
-            "dist": D[rows, cols],
-            "y": ys[cols],
-        })
+def _distances(Q: np.ndarray, T: np.ndarray, p: float) -> np.ndarray:
+    """Row-wise Minkowski distances of two arrays that broadcast."""
+    if p == 2:
+        return np.sqrt(((Q - T) ** 2).sum(-1))
+    if p == 1:
+        return np.abs(Q - T).sum(-1)
+    return (np.abs(Q - T) ** p).sum(-1) ** (1.0 / p)
+
+
+def nearest(Q: np.ndarray, T: np.ndarray, k: int, p: float):
+    """(query, training row, distance) of each query's k nearest, ties to the smaller row; exact, in slices.
+
+    For p = 2 one matrix product sorts out rows that cannot be among the k, allowing for its rounding; what is left
+    is compared by its differences, as for any other p."""
+    k = min(k, len(T))
+    d = Q.shape[1]
+    rows, cols, dists = [], [], []
+    if p == 2:
+        step = max(1, SLICE_BYTES // (24 * max(len(T), 1)))
+        centre = T.mean(0)
+        Tc, t2 = T - centre, ((T - centre) ** 2).sum(1)
+        for at in range(0, len(Q), step):
+            q = Q[at:at + step] - centre
+            q2 = (q ** 2).sum(1)
+            near = q2[:, None] + t2[None] - 2 * (q @ Tc.T)
+            slack = 32 * np.finfo(float).eps * d * (q2[:, None] + t2.max(initial=0)) + np.finfo(float).tiny
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1:k]
+            i, j = np.nonzero(near <= kth + slack)
+            exact = np.empty(len(i))
+            part = max(1, SLICE_BYTES // (16 * d))
+            for a in range(0, len(i), part):
+                exact[a:a + part] = _distances(Q[at + i[a:a + part]], T[j[a:a + part]], 2)
+            order = np.lexsort((j, exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            rows.append(at + i[keep])
+            cols.append(j[keep])
+            dists.append(exact[keep])
+    else:
+        step = max(1, SLICE_BYTES // (16 * max(len(T), 1) * d))
+        for at in range(0, len(Q), step):
+            m = _distances(Q[at:at + step, None, :], T[None], p)
+            idx = np.argsort(m, axis=1, kind="stable")[:, :k]
+            rows.append(np.repeat(np.arange(at, at + len(m)), k))
+            cols.append(idx.ravel())
+            dists.append(np.take_along_axis(m, idx, 1).ravel())
+    return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((rows, int), (cols, int), (dists, float)))
+
+
+def _block_topk(k: int, p: float, part: int):
+    """Cogroup function; ``part``: which of the key's columns is returned as ``tb``."""
+    schema = pa.schema([("tb", pa.int64()), ("qid", pa.int64()), ("tid", pa.int64()), ("dist", pa.float64()), ("y", pa.float64())])
+
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+    def fn(key, q: pa.Table, t: pa.Table) -> pa.Table:
+        if not q.num_rows or not t.num_rows:
+            return schema.empty_table()
+        t = t.sort_by("tid")
+        rows, cols, dist = nearest(matrix(q, "x"), matrix(t, "tx"), k, p)
+        return pa.table({"tb": pa.array(np.full(len(rows), key[part].as_py()), pa.int64()), "qid": q.column("qid").to_numpy()[rows],
+                         "tid": t.column("tid").to_numpy()[cols], "dist": dist, "y": t.column("y").to_numpy()[cols]}, schema=schema)
 
     return fn
 
@@ -76,11 +119,12 @@ def knn_candidates(queries: DataFrame, train: DataFrame, k: int, p: float = 2.0,
     nt_rows = train.count()
     nq = max(1, math.ceil(nq_rows / block_rows))
     nt = max(1, math.ceil(nt_rows / block_rows))
-    qb = F.pmod(F.xxhash64("qid"), F.lit(nq))
-    tb = F.pmod(F.xxhash64("tid"), F.lit(nt))
+    qb = F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")
+    tb = F.pmod(F.xxhash64("tid"), F.lit(nt)).cast("int")
     qk = queries.select("qid", "x", qb.alias("qb")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    tk = train.select("tid", "x", "y", tb.alias("tb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    cand = qk.groupBy("qb", "tb").cogroup(tk.groupBy("qb", "tb")).applyInPandas(_block_topk(k, p), _CAND)
+    # names of their own: both sides may come from one table
+    tk = train.select("tid", F.col("x").alias("tx"), "y", tb.alias("tb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    cand = qk.groupBy("qb", "tb").cogroup(tk.groupBy("qb", "tb")).applyInArrow(_block_topk(k, p, 1), _CAND)
     # hierarchical top-k merge: each level keeps k candidates per (query, group of MERGE_FANIN
     # training blocks), so every window partition holds at most MERGE_FANIN·k rows
     order = [F.col("dist"), F.col("tid")]
@@ -95,6 +139,106 @@ def knn_candidates(queries: DataFrame, train: DataFrame, k: int, p: float = 2.0,
         "qid", "tid", "dist", "y", "rank")
 
 
+@dataclass
+class Layout:
+    """Hash functions of all tables: bucket i of a table is floor((a·x + b) / width), its key all of the table's."""
+
+    a: np.ndarray  # (tables · hashes, d)
+    b: np.ndarray
+    width: float
+    hashes: int
+
+
+def collision(u: np.ndarray, width: float, p: float) -> np.ndarray:
+    """Chance that one hash puts rows at distance u into one bucket (normal for p = 2, Cauchy for p = 1)."""
+    u = np.maximum(u, 1e-300) / width
+    if p == 1:
+        return 2 * np.arctan(1 / u) / math.pi - u * np.log1p(1 / u ** 2) / math.pi
+    below = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in 1 / u.ravel()]).reshape(u.shape)
+    return 1 - 2 * below - 2 * u / math.sqrt(2 * math.pi) * (1 - np.exp(-1 / (2 * u ** 2)))
+
+
+def lay_out(train: DataFrame, k: int, p: float, recall: float, seed: int = 42) -> Layout:
+    """Hashes for a wanted recall, from the distances to the k-th neighbour within a sample of at most SAMPLE rows (in the
+    whole table they are no larger): as many hashes a table as leave that share of neighbours in a common bucket of
+    some table, look-ups beyond the bucket not counted."""
+    rows = train.select("x", F.xxhash64("tid").alias("h")).orderBy("h").limit(SAMPLE).select("x").toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+    i, _, dist = nearest(x, x, k + 1, p)
+    far = dist.reshape(len(x), -1)[:, -1]  # its own row comes first
+    far = far[far > 0] if (far > 0).any() else np.ones(1)
+    width = 4.0 * float(np.median(far))
+    hashes = 1
+    while hashes < 24 and (1 - (1 - collision(far, width, p) ** (hashes + 1)) ** TABLES).mean() >= recall:
+        hashes += 1
+    rng = np.random.default_rng(seed)
+    size = (TABLES * hashes, x.shape[1])
+    return Layout(rng.standard_cauchy(size) if p == 1 else rng.normal(size=size), rng.uniform(0, width, TABLES * hashes), width, hashes)
+
+
+def _keyed(df: DataFrame, layout: Layout, probes: int, kept: str) -> DataFrame:
+    """Rows (id, x) with every (tab, key) they are found under: their own buckets, and for ``probes`` > 1 the neighbouring
+    buckets whose borders are nearest."""
+    schema = f"{kept}, tab int, key long"
+    names = df.columns
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(names.index("x")).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            at = (x @ layout.a.T + layout.b) / layout.width
+            cell = np.floor(at)
+            share = (at - cell).reshape(len(x), TABLES, layout.hashes)
+            cell = cell.astype(np.int64).reshape(len(x), TABLES, layout.hashes)
+            mix = (np.arange(layout.hashes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+            keys = [(cell.astype(np.uint64) * mix).sum(2, dtype=np.uint64)]
+            # how far a row is from the border below and above, for each hash
+            border = np.concatenate([share, 1 - share], 2)
+            for near in np.argsort(border, 2)[:, :, :probes - 1].transpose(2, 0, 1) if probes > 1 else ():
+                step = np.where(near < layout.hashes, np.uint64(2**64 - 1), np.uint64(1))
+                keys.append(keys[0] + step * mix[near % layout.hashes])
+            tab = np.tile(np.arange(TABLES), len(x))
+            for key in keys:
+                rows = np.repeat(np.arange(len(x)), TABLES)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows)).columns, pa.array(tab, pa.int32()), pa.array(key.ravel().view(np.int64))],
+                                                 names=[*names, "tab", "key"])
+
+    return df.mapInArrow(run, schema)
+
+
+def lsh_candidates(queries: DataFrame, train: DataFrame, k: int, p: float = 2.0, recall: float = 0.95, block_rows: int = 2048,
+                   layout: Layout | None = None) -> DataFrame:
+    """As ``knn_candidates``, from the rows that share a bucket with the query in one of the tables; queries that meet
+    fewer than k rows are compared with all. p must be 1 or 2."""
+    if p not in (1, 2):
+        raise ValueError("hash tables know the distances p = 1 and p = 2; use method='exact'")
+    ensure_checkpoint_dir(queries.sparkSession)
+    n = train.count()
+    if not n:
+        return knn_candidates(queries, train, k, p, block_rows)
+    layout = layout or lay_out(train, k, p, recall)
+    q = _keyed(queries.select("qid", "x"), layout, PROBES, "qid long, x array<double>")
+    t = _keyed(train.select("tid", "x", "y"), layout, 1, "tid long, x array<double>, y double")
+    # how many slices each side of a bucket has; only buckets that both sides use
+    sizes = (q.groupBy("tab", "key").agg(F.count("*").alias("n_q"))
+             .join(t.groupBy("tab", "key").agg(F.count("*").alias("n_t")), ["tab", "key"])
+             .select("tab", "key", F.ceil(F.col("n_q") / SLICE_ROWS).alias("n_q"), F.ceil(F.col("n_t") / SLICE_ROWS).alias("n_t")))
+    # the slice of one side meets all slices of the other
+    q = q.join(sizes, ["tab", "key"]).select("qid", "x", "tab", "key", F.pmod(F.xxhash64("qid"), "n_q").alias("qs"),
+                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_t") - 1)).alias("ts"))
+    t = t.join(sizes, ["tab", "key"]).select("tid", F.col("x").alias("tx"), "y", "tab", "key", F.pmod(F.xxhash64("tid"), "n_t").alias("ts"),
+                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1)).alias("qs"))
+    by = ["tab", "key", "qs", "ts"]
+    found = q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_block_topk(k, p, 3), _CAND)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "tid"))
+    found = found.select("qid", "tid", "dist", "y").distinct().withColumn("rank", rank).where(F.col("rank") <= k).checkpoint(eager=True)
+    met = found.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n)).select("qid")
+    rest = queries.select("qid", "x").join(met, "qid", "left_anti").checkpoint(eager=True)
+    found = found.join(met, "qid", "left_semi")
+    return found if rest.isEmpty() else found.unionByName(knn_candidates(rest, train, k, p, block_rows))
+
+
 def knn_predict(cands: DataFrame, weights: str = "uniform") -> DataFrame:
     """(qid, prediction) from the top-k candidates."""
     if weights == "uniform":
@@ -112,6 +256,8 @@ class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     weights = Param(Params._dummy(), "weights", "uniform|distance", typeConverter=TypeConverters.toString)
     p = Param(Params._dummy(), "p", "Minkowski power", typeConverter=TypeConverters.toFloat)
     blockRows = Param(Params._dummy(), "blockRows", "rows per block", typeConverter=TypeConverters.toInt)
+    method = Param(Params._dummy(), "method", "exact|lsh", typeConverter=TypeConverters.toString)
+    recall = Param(Params._dummy(), "recall", "share of neighbours that lsh is laid out for", typeConverter=TypeConverters.toFloat)
 
 
 class KNNModel(Model, _KNNParams, TableState):
@@ -121,9 +267,9 @@ class KNNModel(Model, _KNNParams, TableState):
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform",
-                 p=2.0, blockRows=2048, tablePath=""):
+                 p=2.0, blockRows=2048, tablePath="", method="exact", recall=0.95):
         super().__init__()
-        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, tablePath="")
+        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, tablePath="", method="exact", recall=0.95)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -133,8 +279,12 @@ class KNNModel(Model, _KNNParams, TableState):
         fc = self.getOrDefault(self.featuresCol)
         # fix query ids once (reliable checkpoint), so the prediction joins back exactly
         q = df.withColumn("_qid", F.monotonically_increasing_id()).checkpoint(eager=True)
-        cands = knn_candidates(q.select(F.col("_qid").alias("qid"), vector_to_array(F.col(fc)).alias("x")), train,
-                               self.getOrDefault(self.k), self.getOrDefault(self.p), self.getOrDefault(self.blockRows))
+        asked = q.select(F.col("_qid").alias("qid"), vector_to_array(qcol(fc)).alias("x"))
+        k, p, rows = (self.getOrDefault(v) for v in (self.k, self.p, self.blockRows))
+        if self.getOrDefault(self.method) == "lsh":
+            cands = lsh_candidates(asked, train, k, p, self.getOrDefault(self.recall), rows)
+        else:
+            cands = knn_candidates(asked, train, k, p, rows)
         pred = knn_predict(cands, self.getOrDefault(self.weights)).withColumnRenamed("qid", "_qid").withColumnRenamed(
             "prediction", self.getOrDefault(self.predictionCol))
         return q.join(pred, "_qid", "left").drop("_qid")
@@ -147,20 +297,23 @@ class KNNRegressor(Estimator, _KNNParams, DefaultParamsReadable, DefaultParamsWr
 
     @keyword_only
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", k=5, weights="uniform",
-                 p=2.0, blockRows=2048, idCol=""):
+                 p=2.0, blockRows=2048, idCol="", method="exact", recall=0.95):
         super().__init__()
-        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, idCol="")
+        self._setDefault(k=5, weights="uniform", p=2.0, blockRows=2048, idCol="", method="exact", recall=0.95)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> KNNModel:
         spark = df.sparkSession
+        if self.getOrDefault(self.method) not in ("exact", "lsh"):
+            raise ValueError("kNN methods: 'exact' and 'lsh'")
         idc = self.getOrDefault(self.idCol)
-        tid = F.col(idc).cast("long") if idc else F.monotonically_increasing_id()
+        tid = qcol(idc).cast("long") if idc else F.monotonically_increasing_id()
         path = f"{checkpoint_dir(spark).rstrip('/')}/quarry/knn-train-{uuid.uuid4().hex}"
-        df.select(tid.alias("tid"), vector_to_array(F.col(self.getOrDefault(self.featuresCol))).alias("x"),
-                  F.col(self.getOrDefault(self.labelCol)).cast("double").alias("y")).filter(
+        df.select(tid.alias("tid"), vector_to_array(qcol(self.getOrDefault(self.featuresCol))).alias("x"),
+                  qcol(self.getOrDefault(self.labelCol)).cast("double").alias("y")).filter(
             F.col("y").isNotNull()).write.parquet(path)
         return KNNModel(featuresCol=self.getOrDefault(self.featuresCol), labelCol=self.getOrDefault(self.labelCol),
                         predictionCol=self.getOrDefault(self.predictionCol), k=self.getOrDefault(self.k),
                         weights=self.getOrDefault(self.weights), p=self.getOrDefault(self.p),
-                        blockRows=self.getOrDefault(self.blockRows), tablePath=path)
+                        blockRows=self.getOrDefault(self.blockRows), tablePath=path, method=self.getOrDefault(self.method),
+                        recall=self.getOrDefault(self.recall))

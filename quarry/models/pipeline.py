@@ -137,7 +137,8 @@ def make_regressor(name: str, label: str, n_train: int = 1, features_col: str =
         from quarry.models.knn import KNNRegressor
 
         return KNNRegressor(featuresCol=features_col, labelCol=label, k=int(p["n_neighbors"]),
-                            weights=p["weights"], p=float(p["p"]), idCol=p.get("id_col") or "")
+                            weights=p["weights"], p=float(p["p"]), idCol=p.get("id_col") or "", method=p.get("method", "exact"),
+                            recall=float(p.get("recall", 0.95)))
     raise ValueError(name)
 
 

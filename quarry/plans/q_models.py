@@ -216,6 +216,23 @@ def knn_distance(spark, sf):
     return _knn(spark, sf, "distance")
 
 
+@query(
+    "knn_lsh_recall",
+    f"SELECT count(*) FILTER (WHERE {_EMB_TEST}) AS n_queries, 5 * count(*) FILTER (WHERE {_EMB_TEST}) AS n_neighbours, true AS recall_reached FROM embeddings",
+    ops="M14 (hash tables: at least 0.9 of the exact neighbours)",
+)
+def knn_lsh_recall(spark, sf):
+    from quarry.models.knn import knn_candidates, lsh_candidates
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    test = hash_bucket("vec_id", buckets=100) < 20
+    train = e.filter(~test).withColumnRenamed("vec_id", "tid")
+    queries = e.filter(test).select(F.col("vec_id").alias("qid"), "x")
+    exact, found = knn_candidates(queries, train, 5), lsh_candidates(queries, train, 5)
+    hits = exact.select("qid", "tid").join(found.select("qid", "tid", F.lit(1).alias("hit")), ["qid", "tid"], "left")
+    return hits.agg(F.count_distinct("qid").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 # ------------------------------------------------------------------ iterative / non-SQL models (rows-only checks)
 
 _F3 = ["l_quantity", "l_discount", "l_tax"]
