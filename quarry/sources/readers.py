@@ -1,25 +1,31 @@
 """File sources and sinks.
 
-CSV: read every column as string, map the pandas missing-value tokens to NULL, infer each
-column's type in ONE aggregate (all values integral → bigint, numeric → double, True/False →
-boolean, else string), then cast — ``inferSchema`` alone would turn a numeric column holding
+CSV: read every column as string, by each file's own header, map the pandas missing-value tokens
+to NULL, infer each column's type in ONE aggregate (all values integral → bigint, numeric → double,
+True/False → boolean, else string), then cast — ``inferSchema`` alone would turn a numeric column holding
 ``NA`` into a string. Encodings come from all bytes of each file, and so does
 the shape of each JSON file. Every path is read by Spark's own file sources (splittable where the format is).
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import os
+import sys
 from collections.abc import Sequence
 from urllib.parse import unquote
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import qcol
 
+# what runs in tasks travels by value: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: tokens pandas' read_csv treats as missing by default
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -63,45 +69,80 @@ _C1 = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "
 _CP1252 = bytes(map(ord, _C1)).decode("cp1252")
 
 
-def file_traits(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, from all of its bytes in one scan: path, encoding, odd_quotes.
+def file_traits(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """One row per file that is not blank, from all of its bytes in one scan: path, encoding, odd_quotes, header
+    (bytes of its first line that is not blank), cells (most cells of a line).
 
-    ``encoding`` is UTF-8 if every line is valid UTF-8; otherwise windows-1252 where a byte of 0x80-0x9F occurs, else
-    ISO-8859-1 (the two agree on all other bytes). ``odd_quotes``: some line holds an odd number of double quotes, so a
-    quoted cell may go on in the next line."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    seen = lines.groupBy("path").agg(
+    ``encoding`` is UTF-16 if the file starts with that byte-order mark, UTF-8 if every line is valid UTF-8; otherwise
+    windows-1252 where a byte of 0x80-0x9F occurs, else ISO-8859-1 (the two agree on all other bytes). ``odd_quotes``:
+    some line holds an odd number of double quotes, so a quoted cell may go on in the next line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("at"), "value")
+    raw = F.col("value").cast("binary")
+    latin = F.decode(raw, "ISO-8859-1")
+    outside = F.regexp_replace(latin, '"[^"]*"', "")
+    cells = (F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit("")))) / F.lit(len(sep)) + 1
+    full = F.trim("value") != ""
+    # a block's lines are read in order by one task; a header is one line a block at most
+    blocks = lines.groupBy("path", "block").agg(
         F.bool_or(~F.is_valid_utf8("value")).alias("bad"),
         F.bool_or(latin.rlike("[\\x80-\\x9f]")).alias("c1"),
         F.bool_or((F.length(latin) - F.length(F.replace(latin, F.lit('"'), F.lit("")))) % 2 == 1).alias("odd_quotes"),
-    )
-    enc = F.when(~F.col("bad"), "UTF-8").when(F.col("c1"), "windows-1252").otherwise("ISO-8859-1")
-    return seen.select("path", enc.alias("encoding"), "odd_quotes")
+        F.max(F.when(full, cells.cast("int"))).alias("cells"),
+        F.min(F.when(full, F.col("at"))).alias("first"))
+    seen = blocks.groupBy("path").agg(
+        F.bool_or("bad").alias("bad"), F.bool_or("c1").alias("c1"), F.bool_or("odd_quotes").alias("odd_quotes"), F.max("cells").alias("cells"),
+        F.min_by("first", F.when(F.col("first").isNotNull(), F.col("block"))).alias("at")).where("at is not null")
+    heads = lines.select("path", "at", raw.alias("header")).join(F.broadcast(seen), ["path", "at"])
+    utf16 = F.hex(F.substring("header", 1, 2)).isin("FFFE", "FEFF")
+    enc = F.when(utf16, "UTF-16").when(~F.col("bad"), "UTF-8").when(F.col("c1"), "windows-1252").otherwise("ISO-8859-1")
+    return heads.select("path", enc.alias("encoding"), "odd_quotes", "header", "cells")
+
+
+def _whole_traits(spark: SparkSession, paths: list[str], encoding: str, sep: str) -> dict[str, tuple[list[str], int]]:
+    """(header, most cells of a row) of files whose rows may span lines, each parsed as a whole by one task."""
+    def parse(it):
+        import pandas as pd
+
+        for pdf in it:
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), _codec(encoding), "replace", newline=""), delimiter=sep)
+                header, cells = None, 0
+                for r in rows:
+                    if r and header is None:
+                        header = r
+                    cells = max(cells, len(r))
+                yield pd.DataFrame({"path": [p], "header": [header or []], "cells": [cells]})
+
+    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), "content")
+    return {r["path"]: (list(r["header"]), r["cells"]) for r in files.mapInPandas(parse, "path string, header array<string>, cells int").collect()}
+
+
+def _codec(encoding: str) -> str:
+    return {"utf-8": "utf-8-sig", "windows-1252": "cp1252"}.get(encoding.lower(), encoding)
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
     """The encoding of a file; of a folder, UTF-8 if all files are, else the widest one found."""
     found = {r["encoding"] for r in file_traits(spark, path).select("encoding").distinct().collect()}
-    return next((e for e in ("windows-1252", "ISO-8859-1") if e in found), "UTF-8")
+    return next((e for e in ("UTF-16", "windows-1252", "ISO-8859-1") if e in found), "UTF-8")
+
 
+def dedupe_names(names: Sequence[str], case_sensitive: bool = True) -> list[str]:
+    """Duplicate headers become ``a``, ``a.1``, ``a.2`` (pandas mangling). Where names are looked up without regard to
+    case, as Spark does by default, ``a,A`` are duplicates too: ``a``, ``A.1``."""
+    def key(n: str) -> str:
+        return n if case_sensitive else n.lower()
 
-def dedupe_names(names: Sequence[str]) -> list[str]:
-    """Duplicate headers become ``a``, ``a.1``, ``a.2`` (pandas mangling)."""
     seen: dict[str, int] = {}
     out = []
     for n in names:
-        if n in seen:
-            seen[n] += 1
-            cand = f"{n}.{seen[n]}"
-            while cand in seen:
-                seen[n] += 1
-                cand = f"{n}.{seen[n]}"
-            seen[cand] = 0
-            out.append(cand)
-        else:
-            seen[n] = 0
-            out.append(n)
+        cand = n
+        while key(cand) in seen:
+            seen[key(n)] = seen.get(key(n), 0) + 1
+            cand = f"{n}.{seen[key(n)]}"
+        seen[key(cand)] = 0
+        out.append(cand)
     return out
 
 
@@ -145,36 +186,65 @@ def normalise_na(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
     return df.select(*[F.when(qcol(c).isin(list(tokens)), None).otherwise(qcol(c)).alias(c) for c in df.columns])
 
 
-def _csv_text(spark: SparkSession, paths, encoding: str, multiline: bool, sep: str) -> DataFrame:
-    """CSV files of one encoding as text columns named by their header (quotes are doubled inside quoted cells)."""
+def _csv_text(spark: SparkSession, paths, header: Sequence[str], encoding: str, multiline: bool, sep: str, base: str | None) -> DataFrame:
+    """CSV files of one header and encoding as text columns (quotes are doubled inside quoted cells); columns that come
+    from the folder's name keep theirs."""
     cp1252 = encoding.lower() in ("windows-1252", "cp1252")
     reader = (spark.read.option("encoding", "ISO-8859-1" if cp1252 else encoding).option("sep", sep).option("quote", '"')
-              .option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multiline))
-    raw = reader.option("header", True).csv(paths)
-    first = reader.option("header", False).csv(paths).first()
-    if cp1252:
-        raw = raw.select(*[F.translate(qcol(c), _C1, _CP1252).alias(c) for c in raw.columns])
-    if first is not None and len(first) == len(raw.columns):
-        names = [f"Unnamed: {i}" if h in (None, "") else h for i, h in enumerate(first)]
-        raw = raw.toDF(*dedupe_names([h.translate(str.maketrans(_C1, _CP1252)) for h in names] if cp1252 else names))
-    return raw
+              .option("escape", '"').option("mode", "PERMISSIVE").option("multiLine", multiline).option("header", True))
+    if base:
+        reader = reader.option("basePath", base)
+    raw = reader.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))])).csv(paths)
+    cells = [F.translate(c, _C1, _CP1252) if cp1252 else F.col(c) for c in raw.columns[:len(header)]]
+    names = [f"Unnamed: {i}" if h == "" else h for i, h in enumerate(header)]
+    names = dedupe_names(names, spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
+    return raw.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)], *[qcol(c) for c in raw.columns[len(header):]])
+
+
+def _csv_groups(spark: SparkSession, path: str, encoding: str | None, sep: str) -> dict[tuple, list[str]]:
+    """The files that are read alike: {(header, encoding, rows may span lines): paths}. A row with more cells than its
+    file's header is refused."""
+    groups: dict[tuple, list[str]] = {}
+    whole: dict[str, list[str]] = {}
+
+    def add(name: str, header: list[str], cells: int, enc: str, multiline: bool) -> None:
+        if cells > len(header):
+            raise ValueError(f"{unquote(name)}: a row has {cells} cells, the header {len(header)}")
+        groups.setdefault((tuple(header), enc, multiline), []).append(unquote(name))
+
+    for r in file_traits(spark, path, sep).collect():  # one row per file, which the driver lists anyway
+        enc = encoding or r["encoding"]
+        if r["odd_quotes"] or enc.upper().startswith("UTF-16"):
+            whole.setdefault(enc, []).append(r["path"])
+        else:
+            head = bytes(r["header"]).decode(_codec(enc), "replace").rstrip("\r")
+            add(r["path"], next(csv.reader([head], delimiter=sep)), r["cells"], enc, False)
+    for enc, files in whole.items():
+        for name, (header, cells) in _whole_traits(spark, sorted(unquote(f) for f in files), enc, sep).items():
+            add(name, header, cells, enc, True)
+    return groups
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema: T.StructType | str | None = None,
              sep: str = ",", infer: bool = True) -> DataFrame:
-    """S1 (+S2, S3): header row, pandas NA tokens → NULL, one-pass type inference. Files are read by their own
-    encoding; those in which a quoted cell may span lines are read whole (not split), the others stay splittable.
+    """S1 (+S2, S3): header row, pandas NA tokens → NULL, one-pass type inference. Each file of a folder is read by its
+    own header and encoding and all are united by name (a column that a file lacks is null there); those in which
+    a quoted cell may span lines, and UTF-16, are read whole (not split), the others stay splittable. A row with
+    fewer cells than the header ends in nulls, one with more is an error.
     Header-only → 0 rows with the header's columns (string); zero-byte → empty table."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     if _is_empty_file(spark, path):
         return spark.createDataFrame([], T.StructType())
-    parts: dict[tuple[str, bool], list[str]] = {}
-    for r in file_traits(spark, path).collect():  # one row per file, which the driver lists anyway
-        parts.setdefault((encoding or r["encoding"], r["odd_quotes"]), []).append(unquote(r["path"]))
+    groups = _csv_groups(spark, path, encoding, sep)
+    if not groups:
+        return spark.createDataFrame([], T.StructType())
+    folder = os.path.splitext(path.rstrip("/"))[1] == "" and not any(c in path for c in "*?[{")
     raw = None
-    for (enc, odd), paths in sorted(parts.items()):
-        d = _csv_text(spark, path if len(parts) == 1 else sorted(paths), enc, odd, sep)
+    # in the order of the files' names, so the columns stand as in the first file
+    for (header, enc, multiline), paths in sorted(groups.items(), key=lambda g: min(g[1])):
+        one = len(groups) == 1
+        d = _csv_text(spark, path if one else sorted(paths), header, enc, multiline, sep, path if folder and not one else None)
         raw = d if raw is None else raw.unionByName(d, allowMissingColumns=True)
     raw = normalise_na(raw)
     if schema is not None:
@@ -199,6 +269,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     return raw.select(*out)
 
 
+_CORRUPT = "quarry_not_json"
+
+
 def json_shapes(spark: SparkSession, path: str) -> DataFrame:
     """One row per file that is not blank: path, shape ('lines': one object per line, 'array': a JSON array of
     records, 'columns': a single object, e.g. pandas' column-oriented dump; null: not JSON). One scan counts the lines
@@ -263,8 +336,13 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
         schema = T._parse_datatype_string(schema)
 
     def records(shape, paths, schema):
-        r = spark.read.option("multiLine", shape == "array")
-        return (r if schema is None else r.schema(schema)).json(path if len(parts) == 1 else sorted(paths))
+        r = spark.read.option("multiLine", shape == "array").option("columnNameOfCorruptRecord", _CORRUPT)
+        d = (r if schema is None else r.schema(schema)).json(path if len(parts) == 1 else sorted(paths))
+        if _CORRUPT in d.columns:
+            others = [c for c in d.columns if c != _CORRUPT][:1]  # Spark does not read the corrupt column alone
+            bad = d.where(F.col(_CORRUPT).isNotNull()).select(_CORRUPT, *map(qcol, others), F.col("_metadata.file_path")).first() if others else None
+            raise ValueError(f"not JSON: {bad[0][:80]!r} in {unquote(bad[-1])}" if bad else "not JSON: no record could be read")
+        return d
 
     def columns(paths, schema):
         wide = _json_columns(spark, path if len(parts) == 1 else sorted(paths))

@@ -189,3 +189,47 @@ def test_json_shapes_of_two_types(spark, tmpdir_path):
     _write(tmpdir_path, "a.json", b'[{"a": 1}]')
     _write(tmpdir_path, "b.json", b'{"a": "one"}\n{"a": "two"}\n')
     assert sorted(r.a for r in R.read_json(spark, tmpdir_path).collect()) == ["1", "one", "two"]
+
+
+def test_csv_folder_by_each_header(spark, tmpdir_path):
+    _write(tmpdir_path, "1.csv", b"a,b\n1,2\n")
+    _write(tmpdir_path, "2.csv", b"b,a\n5,6\n")
+    _write(tmpdir_path, "3.csv", b'"c, d",a\n"x\ny",7\n')
+    _write(tmpdir_path, "4.csv", "b,a\n8,9\n".encode("utf-16"))
+    _write(tmpdir_path, "5.csv", "\ufeffa,b\r\n10,\r\n".encode())
+    _write(tmpdir_path, "6.csv", b"")
+    df = R.read_csv(spark, tmpdir_path)
+    assert df.columns == ["a", "b", "c, d"]
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[0]) == [(1, 2, None), (6, 5, None), (7, None, "x\ny"), (9, 8, None), (10, None, None)]
+
+
+def test_csv_refuses_extra_cells(spark, tmpdir_path):
+    for name, text in (("plain", b"a,b\n1,2\n3,4,5\n"), ("whole", b'a,b\n1,"x\ny"\n3,4,5\n')):
+        p = _write(tmpdir_path, f"{name}.csv", text)
+        with pytest.raises(ValueError, match="3 cells, the header 2"):
+            R.read_csv(spark, p)
+    p = _write(tmpdir_path, "short.csv", b'a,b,c\n1,2\n3,"4,5",6\n\n')
+    assert sorted(map(tuple, R.read_csv(spark, p).collect())) == [(1, "2", None), (3, "4,5", 6)]
+
+
+def test_csv_names_that_differ_in_case(spark, tmpdir_path):
+    p = _write(tmpdir_path, "c.csv", b"a,A,a,b.c,\n1,2,3,4,5\n")
+    df = R.read_csv(spark, p)
+    assert df.columns == ["a", "A.1", "a.2", "b.c", "Unnamed: 4"] and tuple(df.first()) == (1, 2, 3, 4, 5)
+    assert R.dedupe_names(["a", "A", "a"]) == ["a", "A", "a.1"]
+
+
+@pytest.mark.parametrize("codec", ["utf-16", "utf-16-be", "utf-16-le"])
+def test_utf16(spark, tmpdir_path, codec):
+    text = "näme,v\r\n\u0a0a\u0d0a,1\r\n数字,2\r\n"
+    bom = {"utf-16-be": b"\xfe\xff", "utf-16-le": b"\xff\xfe"}.get(codec, b"")
+    p = _write(tmpdir_path, "u.csv", bom + text.encode(codec))
+    assert R.sniff_encoding(spark, p) == "UTF-16"
+    df = R.read_csv(spark, p)
+    assert sorted(map(tuple, df.collect())) == sorted([("\u0a0a\u0d0a", 1), ("数字", 2)]) and df.columns == ["näme", "v"]
+
+
+def test_json_refuses_what_is_not_json(spark, tmpdir_path):
+    p = _write(tmpdir_path, "bad.json", b'{"a": 1}\n{"a": \n')
+    with pytest.raises(ValueError, match="not JSON"):
+        R.read_json(spark, p)
