@@ -43,6 +43,12 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     mean, std, min, max, skewness + sketch), followed by its two bounded passes; the other
     columns take one ``groupBy(column, value)`` pass (distinct count, mode, non-missing count,
     extent). The row total is a metadata count. The driver sees one row per column.
+
+    Strings are counted by digest (SHA-256) beside the part that is shown, so a value of any length moves at most
+    SHOWN + 1 characters. ``exact=False`` replaces every shuffle of values by mergeable sketches: quantiles by
+    ``percentile_approx``, distinct counts by HyperLogLog++ (relative deviation SKETCH_RSD), most frequent values by
+    Spark's frequent-items sketch (frequencies off by at most SKETCH_ERROR of the column's values; where
+    none is that frequent any value may be shown).
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else list(df.columns)
@@ -72,12 +78,17 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
             F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"),
         ).withColumn("skewness", F.when(F.col("min") < F.col("max"), g1_skew(F.col("_sk"), F.col("_n")))).drop("_sk")
     if other:
-        vals = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in other]
-        longs = df.select(F.explode(F.array(*vals)).alias("_s")).select("_s.column", "_s.value")
-        m = grouped_mode(longs, ["column"], "value")
-        top = F.when(F.length("mode") > 50, F.concat(F.substring("mode", 1, 50), F.lit("..."))).otherwise(F.col("mode"))
+        texts = [c for c in other if types[c] == "string"]
+        m = None
+        for group, summary in ((texts, _text_summary), ([c for c in other if c not in texts], _value_summary)):
+            if group:
+                vals = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in group]
+                longs = df.select(F.explode(F.array(*vals)).alias("_s")).select("_s.column", "_s.value").where("value is not null")
+                one = summary(longs, exact)
+                m = one if m is None else m.unionByName(one)
+        shown = F.when(F.length("mode") > SHOWN, F.concat(F.substring("mode", 1, SHOWN), F.lit("..."))).otherwise(F.col("mode"))
         is_t = F.col("column").isin(temporal) if temporal else F.lit(False)
-        m = m.select("column", F.col("n_values").alias("_n"), top.alias("top"), F.col("mode_count").alias("freq_top"),
+        m = m.select("column", F.col("n_values").alias("_n"), shown.alias("top"), F.col("mode_count").alias("freq_top"),
                      F.col("n_distinct").alias("unique"),
                      # ISO 'yyyy-MM-dd HH:mm:ss' text sorts chronologically
                      F.when(is_t, F.col("min_value")).alias("first"), F.when(is_t, F.col("max_value")).alias("last"))
@@ -101,6 +112,44 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     return out.orderBy("_ord").select(*PROFILE_COLUMNS)
 
 
+#: Characters of a most frequent value that a profile shows.
+SHOWN = 50
+#: What a sketched profile promises.
+SKETCH_RSD, SKETCH_ITEMS = 0.02, 10_000
+SKETCH_ERROR = 3.5 / SKETCH_ITEMS
+
+
+def _value_summary(longs: DataFrame, exact: bool) -> DataFrame:
+    """Summary of (column, value) rows whose values are short."""
+    if not exact:
+        return _sketch(longs, F.col("value"))
+    return grouped_mode(longs, ["column"], "value")
+
+
+def _text_summary(longs: DataFrame, exact: bool) -> DataFrame:
+    """The same for texts of any length. Texts that agree in what is shown cannot be told apart in the result, so the
+    smallest shown part among the most frequent texts is the shown part of the smallest."""
+    head = F.substring("value", 1, SHOWN + 1)
+    if not exact:
+        return _sketch(longs, F.concat(F.lpad(F.hex(F.xxhash64("value")), 16, "0"), head), 17)
+    digest = F.unhex(F.sha2(F.col("value").cast("binary"), 256))
+    counts = longs.select("column", digest.alias("d"), head.alias("x")).groupBy("column", "d").agg(F.count("*").alias("n"), F.first("x").alias("x"))
+    none = F.lit(None).cast("string")
+    return counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "x")).alias("m"), F.count("*").alias("n_distinct"),
+                                        F.sum("n").alias("n_values")).select(
+        "column", F.col("m.x").alias("mode"), (-F.col("m.n")).alias("mode_count"), "n_distinct", "n_values", none.alias("min_value"), none.alias("max_value"))
+
+
+def _sketch(longs: DataFrame, item, skip: int = 1) -> DataFrame:
+    """One pass, one bounded sketch a column and task; ``item`` is what is counted, shown from its character ``skip`` on."""
+    top = F.element_at("top", 1)
+    return (longs.groupBy("column").agg(F.approx_count_distinct("value", SKETCH_RSD).alias("n_distinct"), F.count("*").alias("n_values"),
+                                        F.call_function("approx_top_k", item, F.lit(1), F.lit(SKETCH_ITEMS)).alias("top"),
+                                        F.min(F.substring("value", 1, SHOWN + 1)).alias("min_value"), F.max(F.substring("value", 1, SHOWN + 1)).alias("max_value"))
+            .select("column", F.substring(top["item"], skip, SHOWN + 1).alias("mode"), top["count"].alias("mode_count"), "n_distinct", "n_values",
+                    "min_value", "max_value"))
+
+
 def _profile_schema() -> T.StructType:
     d, s, b = T.DoubleType(), T.StringType(), T.LongType()
     types = [s, s, b, b, d, b, d, d, d, d, d, d, d, d, s, b, s, s]

@@ -218,3 +218,25 @@ def head_preview(spark, sf):
 )
 def profile_documents(spark, sf):
     return rounded(P.profile(table(spark, sf, "documents")))
+
+
+@query(
+    "profile_sketch",
+    'SELECT c AS "column", n AS "count", true AS unique_near, true AS frequency_near, true AS median_near FROM ('
+    "SELECT 'c_name' AS c, count(c_name) AS n FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM customer "
+    "UNION ALL SELECT 'c_custkey', count(c_custkey) FROM customer UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer)",
+    ops="A1 A4 A6 A8 (exact=False: mergeable sketches within their stated errors)",
+)
+def profile_sketch(spark, sf):
+    cols = ["c_name", "c_mktsegment", "c_custkey", "c_acctbal"]
+    df = table(spark, sf, "customer").select(*cols)
+    near, true = (P.profile(df, exact=e).select("column", "count", "unique", "freq_top", "median", "min", "max") for e in (False, True))
+    both = near.alias("a").join(true.alias("b"), "column")
+
+    def within(c, bound):
+        return F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= bound, F.lit(True))
+
+    return both.select(
+        "column", F.col("b.count").alias("count"), within("unique", 3 * P.SKETCH_RSD * F.col("b.unique")).alias("unique_near"),
+        within("freq_top", F.ceil(P.SKETCH_ERROR * F.col("b.count"))).alias("frequency_near"),
+        within("median", 0.01 * (F.col("b.max") - F.col("b.min"))).alias("median_near"))

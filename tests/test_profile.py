@@ -66,3 +66,18 @@ def test_profile_mixed_types_b5(spark):
     assert got["allnan"]["count"] == 0 and got["allnan"]["null_pct"] == 100.0 and got["allnan"]["median"] is None
     assert (got["one"]["count"], got["one"]["unique"], got["one"]["top"]) == (1, 1, "only")
     assert got["i"]["skewness"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_profile_of_long_and_distinct_text(spark):
+    """No text longer than what is shown is shuffled; ties, long common beginnings and nulls as for short ones."""
+    same = "a" * 60
+    rows = [(same + str(i % 3), f"k{i}", None, "") for i in range(30)] + [(same + "1", "zz", None, None), (None, "zz", None, "b")]
+    df = spark.createDataFrame(rows, "`long.text` string, k string, none string, s string")
+    got = {r.column: r for r in P.profile(df).collect()}
+    assert (got["long.text"].top, got["long.text"].freq_top, got["long.text"].unique, got["long.text"]["count"]) == ("a" * 50 + "...", 11, 3, 31)
+    assert (got["k"].top, got["k"].freq_top, got["k"].unique) == ("zz", 2, 31)
+    assert (got["none"].top, got["none"]["count"], got["none"].unique) == (None, 0, 0)
+    assert (got["s"].top, got["s"].freq_top, got["s"].null_count) == ("", 30, 1)
+    near = {r.column: r for r in P.profile(df, exact=False).collect()}
+    assert (near["long.text"].top, near["long.text"].freq_top, near["k"].top, near["none"].top) == ("a" * 50 + "...", 11, "zz", None)
+    assert abs(near["k"].unique - 31) <= 2
