@@ -1,15 +1 @@
-from quarry.functions.columns import (  # noqa: F401
-    as_double,
-    classify,
-    g1_skew,
-    hash_bucket,
-    is_categorical,
-    is_numeric,
-    nan_to_null,
-    numeric_columns,
-    qcol,
-    safe_div,
-    select_type_class,
-    string_columns,
-    validate_columns,
-)
+"""Column helpers shared by all operators."""

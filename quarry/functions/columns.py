@@ -56,29 +56,6 @@ def select_type_class(df: DataFrame, kind: str = "numeric") -> DataFrame:
     return df.select(*[qcol(c) for c, k in cls.items() if k == kind])
 
 
-def as_double(name: str, dt: T.DataType | None = None) -> Column:
-    """Cast to double and map NaN to NULL (Spark separates the two; the reference does not)."""
-    c = qcol(name).cast("double")
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Map NaN to NULL in every float/double column (a narrow projection)."""
-    exprs = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = qcol(f.name)
-            exprs.append(F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c).alias(f.name))
-        else:
-            exprs.append(qcol(f.name))
-    return df.select(*exprs)
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    """Division that yields NULL instead of raising under ANSI mode."""
-    return F.try_divide(a, b)
-
-
 def g1_skew(pop_skew: Column, n: Column) -> Column:
     """Bias-corrected sample skewness G1 from Spark's population skewness g1.
 

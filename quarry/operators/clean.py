@@ -131,9 +131,15 @@ def fill_values(df: DataFrame, cols: Sequence[str], strategy: str, value=None, e
         q = column_quantiles(df, cols, [0.5])
         return {c: q[c][0] for c in cols}
     if strategy == "mode":
-        num = [c for c in cols if isinstance(types[c], T.NumericType)]
-        oth = [c for c in cols if c not in num]
+        # whole numbers as they are: beyond 2^53 doubles would merge neighbours
+        whole = [c for c in cols if isinstance(types[c], T.IntegralType)]
+        num = [c for c in cols if isinstance(types[c], T.NumericType) and c not in whole]
+        oth = [c for c in cols if c not in num and c not in whole]
         out = {}
+        if whole:
+            vals = [F.struct(F.lit(c).alias("column"), qcol(c).cast("bigint").alias("value")) for c in whole]
+            longs = df.select(F.explode(F.array(*vals)).alias("_s")).select("_s.column", "_s.value")
+            out.update({r["column"]: r["mode"] for r in grouped_mode(longs, ["column"], "value").collect()})
         if num:
             m = grouped_mode(long_numeric(df, num), ["column"], "value")
             out.update({r["column"]: r["mode"] for r in m.collect()})

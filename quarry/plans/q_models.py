@@ -385,7 +385,65 @@ def _fit_metrics(spark, sf, model, features=_F3, **params):
     return rounded(evaluate(fm.transform(te), "y").withColumn("model", F.lit(model)))
 
 
-@query("tree_fit", None, ops="M9")
+# ------------------------------------------------------------------ trees, replayed level by level in SQL
+# Every feature here has fewer distinct values than bins, so a split lies between two neighbouring values of the training
+# part; the best one lowers the squared error most (ties: first feature, then lowest value).
+
+
+def _tree_levels(first: str, depth: int, tag: str, target: str) -> tuple[list[str], str]:
+    """CTEs that send every row of ``first`` (is_test, x0…x2, ``target``, …) down one tree; the last adds ``fit``, the
+    training mean of ``target`` in the row's leaf."""
+    ctes, rows = [], first
+    node = "0"
+    for level in range(depth):
+        src = f"{tag}r{level}"
+        ctes.append(f"{src} AS MATERIALIZED (SELECT *, {node} AS node FROM {rows})" if level == 0 else
+                    f"{src} AS MATERIALIZED (SELECT r.* EXCLUDE (node), 2 * r.node + coalesce(CASE b.f WHEN 0 THEN x0 > b.v WHEN 1 THEN x1 > b.v "
+                    f"ELSE x2 > b.v END, false)::INT AS node FROM {rows} r LEFT JOIN {tag}b{level - 1} b ON r.node = b.node)")
+        sums = " UNION ALL ".join(f"SELECT node, {i} AS f, x{i} AS v, count(*)::DOUBLE AS n, sum({target}) AS s FROM {src} WHERE NOT is_test GROUP BY ALL"
+                                  for i in range(3))
+        ctes.append(f"{tag}s{level} AS MATERIALIZED (SELECT t.node, g.f, g.v, coalesce(u.n, 0) AS n, coalesce(u.s, 0) AS s FROM "
+                    f"(SELECT DISTINCT node FROM {src} WHERE NOT is_test) t CROSS JOIN grid g LEFT JOIN ({sums}) u ON u.node = t.node AND u.f = g.f AND u.v = g.v)")
+        ctes.append(f"{tag}c{level} AS (SELECT node, f, v, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER (PARTITION BY node, f) AS tn, "
+                    f"sum(s) OVER (PARTITION BY node, f) AS ts FROM {tag}s{level} WINDOW w AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING))")
+        ctes.append(f"{tag}b{level} AS MATERIALIZED (SELECT node, f, v FROM {tag}c{level} WHERE ln > 0 AND ln < tn "
+                    "QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln), 7) DESC, f, v) = 1)")
+        rows = src
+    last = f"{tag}b{depth - 1}"
+    ctes.append(f"{tag}leaf AS MATERIALIZED (SELECT r.* EXCLUDE (node), 2 * r.node + coalesce(CASE b.f WHEN 0 THEN x0 > b.v WHEN 1 THEN x1 > b.v "
+                f"ELSE x2 > b.v END, false)::INT AS node FROM {rows} r LEFT JOIN {last} b ON r.node = b.node)")
+    ctes.append(f"{tag}out AS MATERIALIZED (SELECT * EXCLUDE (node), avg({target}) FILTER (WHERE NOT is_test) OVER (PARTITION BY node) AS fit FROM {tag}leaf)")
+    return ctes, f"{tag}out"
+
+
+_TREE_SRC = (f"src AS ({LI_Y_SQL}), rows0 AS MATERIALIZED (SELECT is_test, l_quantity::DOUBLE AS x0, l_discount::DOUBLE AS x1, l_tax::DOUBLE AS x2, y FROM src), "
+             "grid AS MATERIALIZED (SELECT DISTINCT 0 AS f, x0 AS v FROM rows0 WHERE NOT is_test UNION ALL SELECT DISTINCT 1, x1 FROM rows0 WHERE NOT is_test "
+             "UNION ALL SELECT DISTINCT 2, x2 FROM rows0 WHERE NOT is_test)")
+
+
+def _metrics_sql(rows: str, pred: str, model: str) -> str:
+    e = f"(y - {pred})"
+    return (f"SELECT count(*) AS n, round(1 - sum({e} ^ 2) / (count(*) * var_pop(y)), 4) AS r2, round(avg({e} ^ 2), 4) AS mse, "
+            f"round(sqrt(avg({e} ^ 2)), 4) AS rmse, round(avg(abs{e}), 4) AS mae, '{model}' AS model FROM {rows} WHERE is_test")
+
+
+def _tree_sql(depth: int) -> str:
+    ctes, out = _tree_levels("rows0", depth, "t", "y")
+    return f"WITH {_TREE_SRC}, {', '.join(ctes)} {_metrics_sql(out, 'fit', 'tree')}"
+
+
+def _boosted_sql(rounds: int, depth: int, rate: float, model: str) -> str:
+    """The first tree is fitted to y; each later one to twice the residual and added at the learning rate."""
+    ctes = ["f0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS pred, y AS goal FROM rows0)"]
+    for m in range(rounds):
+        tree, out = _tree_levels(f"f{m}", depth, f"m{m}", "goal")
+        ctes += tree
+        step = "fit" if m == 0 else f"{rate} * fit"
+        ctes.append(f"f{m + 1} AS MATERIALIZED (SELECT is_test, x0, x1, x2, y, pred + {step} AS pred, 2 * (y - (pred + {step})) AS goal FROM {out})")
+    return f"WITH {_TREE_SRC}, {', '.join(ctes)} {_metrics_sql(f'f{rounds}', 'pred', model)}"
+
+
+@query("tree_fit", _tree_sql(5), ops="M9 (depth 5, three features)")
 def tree_fit(spark, sf):
     return _fit_metrics(spark, sf, "tree", max_depth=5)
 
@@ -395,12 +453,12 @@ def forest_fit(spark, sf):
     return _fit_metrics(spark, sf, "forest", n_estimators=20, max_depth=8)
 
 
-@query("gbt_fit", None, ops="M11 M15 (gradient boosting)")
+@query("gbt_fit", _boosted_sql(30, 3, 0.1, "xgboost"), ops="M11 M15 (gradient boosting)")
 def gbt_fit(spark, sf):
     return _fit_metrics(spark, sf, "xgboost", n_estimators=30, max_depth=3)
 
 
-@query("lightgbm_fit", None, ops="M12")
+@query("lightgbm_fit", _boosted_sql(30, 4, 0.1, "lightgbm"), ops="M12")
 def lightgbm_fit(spark, sf):
     return _fit_metrics(spark, sf, "lightgbm", n_estimators=30, num_leaves=15)
 
@@ -452,7 +510,23 @@ def isotonic_fit(spark, sf):
     return _fit_metrics(spark, sf, "isotonic", features=["l_quantity"])
 
 
-@query("poly_fit", None, ops="M2 M3 (polynomial regression)")
+def _poly3_sql() -> str:
+    """Nine terms of degree 1 and 2: each in turn is taken out of the later ones and of y (modified Gram–Schmidt, coefficients
+    from the training part); what is left of y in the test part are the residuals."""
+    terms = [" * ".join(f"{_F3[i]}::DOUBLE" for i in combo) for _label, combo in prep.poly_terms(_F3, 2)]
+    k = len(terms)
+    centre = ", ".join(f"t{j} - avg(t{j}) FILTER (WHERE NOT is_test) OVER () AS q{j}" for j in range(k))
+    ctes = [f"src AS ({LI_Y_SQL})", f"tm AS (SELECT is_test, y, {', '.join(f'{t} AS t{j}' for j, t in enumerate(terms))} FROM src)",
+            f"g0 AS MATERIALIZED (SELECT is_test, y, y - avg(y) FILTER (WHERE NOT is_test) OVER () AS e, {centre} FROM tm)"]
+    for i in range(k):
+        later = ["e"] + [f"q{j}" for j in range(i + 1, k)]
+        share = ", ".join(f"sum({c} * q{i}) / sum(q{i} * q{i}) AS c_{c}" for c in later)
+        ctes.append(f"s{i} AS MATERIALIZED (SELECT {share} FROM g{i} WHERE NOT is_test)")
+        ctes.append(f"g{i + 1} AS MATERIALIZED (SELECT is_test, y, {', '.join(f'{c} - c_{c} * q{i} AS {c}' for c in later)} FROM g{i}, s{i})")
+    return f"WITH {', '.join(ctes)} {_metrics_sql(f'g{k}', '(y - e)', 'polynomial')}"
+
+
+@query("poly_fit", _poly3_sql(), ops="M2 M3 (polynomial regression, degree 2, three features)")
 def poly_fit(spark, sf):
     return _fit_metrics(spark, sf, "polynomial", degree=2)
 
@@ -507,7 +581,34 @@ def model_roundtrip(spark, sf):
     return rounded(score(back, te.select("l_orderkey", "l_linenumber", *_F3)))
 
 
-@query("train_run", None, ops="M17 M18 M20 M21 M27 M28")
+def _train_run_sql() -> str:
+    """Split by key, one row of each set of duplicates in the training part (the smallest key), three-feature line, five folds."""
+    h = "('0x'||substr(md5(concat_ws('-',l_orderkey,l_linenumber)),1,8))::UBIGINT"
+    sums = ["n", "sy", "s0", "s1", "s2", "s00", "s01", "s02", "s11", "s12", "s22", "s0y", "s1y", "s2y"]
+
+    def quality(rows: str, pr: str) -> str:
+        return f"1 - sum((y - {pr}) ^ 2) / (count(*) * var_pop(y)) AS r2, avg((y - {pr}) ^ 2) AS mse, count(*)::DOUBLE AS n FROM {rows}"
+
+    ctes = [
+        f"src AS (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, {LABEL_SQL} AS y, {h} % 100 < 20 AS is_test FROM lineitem)",
+        "te AS (SELECT * FROM src WHERE is_test)",
+        "one AS (SELECT l_quantity, l_discount, l_tax, y, unnest(min({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber})) FROM src WHERE NOT is_test "
+        "GROUP BY l_quantity, l_discount, l_tax, y)",
+        f"f AS (SELECT *, (({h} % 1000003) % 5)::INTEGER AS fold FROM one)",
+        f"fs AS ({_sums_sql('f', 'fold')})", f"tot AS ({_sums_sql('f')})",
+        "ks AS (SELECT fs.fold, " + ", ".join(f"tot.{c} - fs.{c} AS {c}" for c in sums) + " FROM fs, tot)",
+        f"kf AS (SELECT fold, {_solve3_cols('0')} FROM ks)", f"k AS (SELECT {_solve3_cols('0')} FROM tot)",
+        f"cv AS (SELECT f.fold, {quality('f JOIN kf ON f.fold = kf.fold', '(' + _pred3('kf.') + ')')} GROUP BY f.fold)",
+        f"tr AS (SELECT {quality('f, k', '(' + _pred3('k.') + ')')})", f"tt AS (SELECT {quality('te, k', '(' + _pred3('k.') + ')')})",
+    ]
+    told = [("train_r2", "r2", "tr"), ("train_mse", "mse", "tr"), ("test_r2", "r2", "tt"), ("test_mse", "mse", "tt"), ("cv_r2_mean", "avg(r2)", "cv"),
+            ("cv_r2_std", "stddev_pop(r2)", "cv"), ("cv_mse_mean", "avg(mse)", "cv"), ("cv_mse_std", "stddev_pop(mse)", "cv"), ("n_train", "n", "tr"),
+            ("n_test", "n", "tt")]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({e}, 4) AS value FROM {t}" for m, e, t in told) \
+        + " UNION ALL SELECT 'n_features', 3.0"
+
+
+@query("train_run", _train_run_sql(), ops="M17 M20 M21 M27 M28")
 def train_run(spark, sf):
     from quarry.models.registry import ModelRegistry
     from quarry.models.train import report_tables, train
@@ -763,3 +864,81 @@ _STUMP_SQL = (
 def tree_stump_1f(spark, sf):
     fm, _tr, te = _fit_1f(spark, sf, "tree", max_depth=1)
     return _pred_out(fm, te)
+
+
+@query(
+    "label_features_fit",
+    SPLIT_CTE.replace("SELECT l_orderkey, l_linenumber, l_quantity", "SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, l_quantity")
+    + ", d AS (SELECT l_returnflag AS v, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag FROM tr)), "
+    "c AS (SELECT regr_slope(y, code) AS b, regr_intercept(y, code) AS a FROM tr JOIN d ON l_returnflag = v) "
+    "SELECT l_orderkey, l_linenumber, round(a + b * coalesce(code, 0), 4) AS prediction "
+    "FROM (SELECT *, CASE WHEN l_linenumber = 7 THEN 'unknown' WHEN l_linenumber = 6 THEN NULL ELSE l_returnflag END AS flag FROM te) "
+    "LEFT JOIN d ON flag = v, c",
+    ops="E4 E5 (a string feature in a pipeline; unknown and missing labels at scoring)",
+)
+def label_features_fit(spark, sf):
+    src = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.expr(LABEL_SPARK).alias("y"))
+    tr, te = prep.split(src, ["l_linenumber", "l_orderkey"], 0.2, 42)
+    fm = MP.fit(tr, ["l_returnflag"], "y", "linear")
+    flag = F.when(F.col("l_linenumber") == 7, "unknown").when(F.col("l_linenumber") == 6, None).otherwise(F.col("l_returnflag"))
+    return _pred_out(fm, te.withColumn("l_returnflag", flag))
+
+
+@query(
+    "label_target_decode",
+    "WITH d AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT c_name AS v FROM customer)), "
+    "s AS (SELECT c_custkey, code FROM customer JOIN d ON c_name = v), "
+    "c AS (SELECT regr_slope(code, c_custkey) AS b, regr_intercept(code, c_custkey) AS a FROM s) "
+    "SELECT c_custkey, d.v AS \"Predicted_Value\" FROM customer CROSS JOIN c LEFT JOIN d ON d.code = round(a + b * c_custkey)::BIGINT",
+    ops="E4 E6 M25 (a string target of as many labels as rows, decoded by its dictionary table)",
+)
+def label_target_decode(spark, sf):
+    from quarry.models.scoring import score
+
+    c = table(spark, sf, "customer")
+    fm = MP.fit(c.select("c_custkey", "c_name"), ["c_custkey"], "c_name", "linear")
+    return score(fm, c.select("c_custkey"))
+
+
+@query(
+    "report_predictions",
+    SPLIT_CTE + ", c AS (SELECT regr_slope(y, l_quantity) AS b, regr_intercept(y, l_quantity) AS a FROM tr) "
+    "SELECT round(y, 4) AS actual, round(a + b * l_quantity, 4) AS predicted FROM te, c",
+    ops="M28 V13 (the report's table of test predictions)",
+)
+def report_predictions(spark, sf):
+    from quarry.models.train import actual_vs_predicted
+
+    fm, _tr, te = _fit_1f(spark, sf, "linear")
+    points, _line = actual_vs_predicted(fm.transform(te), "y")
+    return rounded(points)
+
+
+@query(
+    "isotonic_continuous",
+    "WITH g AS (SELECT o_totalprice AS x, count(*)::DOUBLE AS w, sum(date_diff('day', DATE '1990-01-01', o_orderdate::DATE) + o_totalprice / 100) AS s "
+    "FROM orders GROUP BY 1), tot AS (SELECT sum(w) AS n, sum(s) AS sy FROM g) SELECT round(n, 4) AS n, round(sy, 4) AS total, true AS rising, true AS balanced FROM tot",
+    ops="M15 (isotonic on a continuous feature, cut into many runs: block sums, order and balance)",
+)
+def isotonic_continuous(spark, sf):
+    from pyspark.sql import Window
+
+    from quarry.models.isotonic import blocks
+
+    o = table(spark, sf, "orders")
+    y = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")) + F.col("o_totalprice") / 100
+    found = blocks(o, F.col("o_totalprice"), y, run_size=100)
+    # conditions that only the solution meets: means rise from block to block (inside the runs and from run to run), and
+    # no beginning of a block has a lower mean than the block (else it would have been split there)
+    mean = F.col("s") / F.col("w")
+    told = found.select("run", "lo", mean.alias("m"), F.lag(mean).over(Window.partitionBy("run").orderBy("pos")).alias("b"))
+    runs = told.groupBy("run").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.coalesce(F.bool_and(F.col("m") >= F.col("b")), F.lit(True)).alias("up"),
+                                   F.min("lo").alias("lo"))
+    steps = F.aggregate(F.array_sort(F.collect_list(F.struct("lo", "low", "high"))), F.struct(F.lit(True).alias("ok"), F.lit(float("-inf")).alias("at")),
+                        lambda acc, r: F.struct((acc["ok"] & (r["low"] >= acc["at"])).alias("ok"), r["high"].alias("at")))
+    up = runs.agg((F.bool_and("up") & steps["ok"]).alias("rising"))  # a row a run
+    points = MP.fit(o.select("o_totalprice", y.alias("y")), ["o_totalprice"], "y", "isotonic", scale=False).transform(o.select("o_totalprice", y.alias("y")))
+    begun = Window.partitionBy("prediction").orderBy("o_totalprice").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    least = points.select((F.avg("y").over(begun) - F.col("prediction")).alias("gap")).agg((F.min("gap") >= -1e-6).alias("balanced"))
+    sums = found.agg(F.sum("w").alias("n"), F.sum("s").alias("total"))
+    return rounded(sums.join(up).join(least))

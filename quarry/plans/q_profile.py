@@ -202,7 +202,7 @@ def select_features_q(spark, sf):
     return rounded(select_features(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], "c_mktsegment"))
 
 
-@query("head_preview", None, ops="O7 (preview: the limit is the feature)")
+@query("head_preview", "SELECT * FROM lineitem LIMIT 5", ops="O7 (preview: the limit is the feature)")
 def head_preview(spark, sf):
     from quarry.operators.clean import head
 

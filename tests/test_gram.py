@@ -200,3 +200,23 @@ def test_isotonic_model_interpolates(spark, tmp_path, monkeypatch, broadcast):
     new = spark.createDataFrame([(float(v), 1) for v in asked] + [(None, 2)], "x double, k int")
     got = {r.x: r.prediction for r in reg.load("iso").transform(new).collect()}
     assert np.allclose([got[v] for v in asked], np.interp(asked, at, want)) and got[None] is None
+
+
+def test_huber_penalty_is_that_of_the_sum(spark):
+    """The fit minimises sum(s + H((y − Xw − b)/s)·s) + alpha·|w|² over w, b and s, H quadratic up to epsilon."""
+    x = RNG.normal(size=80)
+    y = 3 * x + RNG.standard_t(2, 80)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y double").coalesce(1)
+    z = (x - x.mean()) / x.std()
+
+    def loss(w, b, s, alpha, eps=1.35):
+        r = np.abs(y - z * w - b) / s
+        return (s + np.where(r < eps, r * r, 2 * eps * r - eps * eps) * s).sum() + alpha * w * w
+
+    for alpha in (0.0001, 20.0):
+        fm = MP.fit(df, ["x"], "y", "huber", alpha=alpha)
+        last = fm.pipeline.stages[-1]
+        w, b, s = last.coefficients[0], last.intercept, last.scale
+        best = loss(w, b, s, alpha)
+        for dw, db, ds in [(1e-2, 0, 0), (-1e-2, 0, 0), (0, 1e-2, 0), (0, -1e-2, 0), (0, 0, 1e-2), (0, 0, -1e-2)]:
+            assert loss(w + dw, b + db, s + ds, alpha) > best
