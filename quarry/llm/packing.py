@@ -16,6 +16,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from quarry.llm.common import map_arrow, stored, worker_state
 
 CAPACITY = 4096
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: Texts that are encoded together, and the characters they have in all (a longer one is encoded alone).
+BATCH, BATCH_CHARS = 2048, 8 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,31 +40,66 @@ def word_encoder(vocab: bytes):
     import re
     from array import array
 
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_buffer(vocab)
     plain = re.compile(r"[\t\n\x0b\x0c\r -~¡-ɏ]*").fullmatch
     known: dict[str, bytes] = {}
 
-    def ids(texts):
+    def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    #: A character that no plain text holds and that stands for itself: between words, it tells their ids apart.
+    mark = ids(["\x01"])[0]
+
+    def learn(words: list[str]) -> None:
+        """Add words to the known ones; the tokenizer takes many at a time. A word's last stops are ids of their own."""
+        if len(mark) != 4:  # a vocabulary that writes it as more than one id
+            known.update(zip(words, ids(words), strict=True))
+            return
+        stem = {w: c for w in words if (c := w.rstrip(".,;:!?")) != w and c and c[-1].isalpha()}
+        parts = {x for w, c in stem.items() for x in (c, w[len(c):])} | {w for w in words if w not in stem}
+        fresh = [x for x in parts if x not in known]
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at:at + 50_000]
+            texts = [" \x01 ".join(part[i:i + 64]) for i in range(0, len(part), 64)]
+            end = int.from_bytes(mark, "little")
+            row = np.concatenate([np.array([*e.ids, end], "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+            raw, cuts = row.tobytes(), (4 * np.flatnonzero(row == end)).tolist()
+            known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(c + 4 for c in cuts)], cuts, strict=False))
+        known.update((w, known[c] + known[w[len(c):]]) for w, c in stem.items())
+
+    def words_of(texts: list[str]) -> list[bytes]:
+        """Ids of plain texts. Each distinct word of all of them is looked up once; the texts' ids are gathered from
+        those of the words with numpy."""
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))  # the plain texts hold no other white space
+        coded = split.values.dictionary_encode()
+        words, look = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), known.get
+        found = list(map(look, words))
+        fresh = [w for w, x in zip(words, found, strict=True) if x is None]
+        if fresh:
+            learn(fresh)
+            found = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, found), "int64", len(found)) // 4
+        held, begin, code = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[code]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = held[np.repeat(begin[code] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
     def encode(texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split = {i: t.lower().split() for i, t in enumerate(texts) if plain(t) and "<|" not in t}
-        fresh = list({w for words in split.values() for w in words if w not in known})
-        if len(known) + len(fresh) > CACHE_WORDS:
-            known.clear()
-            fresh = list({w for words in split.values() for w in words})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            known.update(zip(part, ids(part), strict=True))
-        look = known.__getitem__
-        for i, words in split.items():
-            out[i] = b"".join(map(look, words))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, ids([texts[i] for i in rest]), strict=True):
-            out[i] = x
+        simple = [i for i, t in enumerate(texts) if plain(t) and "<|" not in t]
+        held = set(simple)
+        rest = [i for i in range(len(texts)) if i not in held]
+        for places, coder in ((simple, words_of), (rest, ids)):
+            if places:
+                for i, x in zip(places, coder([texts[i] for i in places]), strict=True):
+                    out[i] = x
         return out
 
     return encode
@@ -79,18 +117,26 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY,
     def run(batches):
         import os
 
+        import pyarrow.compute as pc
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = worker_state(("bpe", zlib.crc32(vocab.value)), lambda: word_encoder(vocab.value))
         for b in batches:
             doc, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(doc), 256):
-                rows = [(d, p // cut, p // 4, raw[p:p + cut])
-                        for d, x in zip(doc[at:at + 256], encode([t or "" for t in texts[at:at + 256].to_pylist()]), strict=True)
-                        for raw in (x + end,) for p in range(0, len(raw), cut)]
-                out = {"doc_id": [r[0] for r in rows], "piece": [r[1] for r in rows], "start": [r[2] for r in rows],
-                       "length": [len(r[3]) // 4 for r in rows], "ids_crc32": [zlib.crc32(r[3]) for r in rows]}
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+            at = 0
+            while at < len(doc):
+                end_at = min(at + BATCH, max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, "right"))), len(doc))
+                raws = [x + end for x in encode([t or "" for t in texts[at:end_at].to_pylist()])]
+                ids, starts = doc[at:end_at], [0] * len(raws)
+                at = end_at
+                if max(map(len, raws)) > cut:  # only longer ones are cut
+                    cuts = [(d, p, raw[p:p + cut]) for d, raw in zip(ids, raws, strict=True) for p in range(0, len(raw), cut)]
+                    ids, starts, raws = map(list, zip(*cuts, strict=True))
+                out = {"doc_id": ids, "piece": [p // cut for p in starts], "start": [p // 4 for p in starts],
+                       "length": [len(x) // 4 for x in raws], "ids_crc32": list(map(zlib.crc32, raws))}
                 if with_ids:
-                    out["ids"] = [np.frombuffer(r[3], "<u4").astype("int64") for r in rows]
+                    out["ids"] = [np.frombuffer(x, "<u4").astype("int64") for x in raws]
                 yield out
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run,
