@@ -1,8 +1,8 @@
 """Exact de-duplication by content sort.
 
-Rows are range-partitioned by their normalised text (Spark samples the splitters) and sorted inside each partition
-with Spark's spilling sort, so equal texts lie next to each other; each row's whole text is compared with the row
-before. The order goes on with the rank inside a group, so the first row of a run is the one to keep and a large
+Rows are range-partitioned by the beginning of their normalised text and its digest (Spark samples the splitters, which
+so stay under a hundred bytes however long the texts) and sorted inside each partition with Spark's spilling sort by
+these and the whole text, so equal texts lie next to each other; each row's whole text is compared with the row before. The order goes on with the rank inside a group, so the first row of a run is the one to keep and a large
 group can be cut over many partitions. Runs that touch a partition's edge are joined by comparing their whole
 texts, at most two for each partition.
 """
@@ -14,28 +14,30 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, map_arrow, stored
 
+#: Characters of a text that its place in the order begins with; the digest decides among texts that share them.
+HEAD = 16
+
 RUNS = "row long, doc_id long, n_chars long, text_sha256 string, part int, run long, first boolean, edge string"
 
 
 def _runs(docs: DataFrame, partitions: int | None) -> DataFrame:
     """Every row with its run (part, run) in the sorted table; ``edge`` is the text of a partition's first and last run."""
-    sort = [F.col("norm"), F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")]
-    dealt = docs.repartitionByRange(*([partitions] if partitions else []), *sort).sortWithinPartitions(*sort)
+    key, rank = [F.col("head"), F.col("digest")], [F.col("n_chars").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")]
+    docs = docs.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+    dealt = docs.repartitionByRange(*([partitions] if partitions else []), *key, *rank).sortWithinPartitions(*key, "norm", *rank)
 
     def run(batches):
-        import hashlib
-
         from pyspark import TaskContext
 
         part, at, last, sha = TaskContext.get().partitionId(), -1, None, None
         for b in batches:
-            rows, ids, chars, texts = (b.column(i) for i in range(4))
-            texts = texts.to_pylist()
+            rows, ids, chars = (b.column(i) for i in range(3))
+            texts, digests = b.column(3).to_pylist(), b.column(4).to_pylist()
             out_sha, out_run, out_first, edge = [], [], [], []
-            for t in texts:
+            for t, digest in zip(texts, digests, strict=True):
                 new = t != last
                 if new:
-                    at, last, sha = at + 1, t, hashlib.sha256(t.encode()).hexdigest()
+                    at, last, sha = at + 1, t, digest.hex()
                 out_sha.append(sha)
                 out_run.append(at)
                 out_first.append(new)
@@ -46,7 +48,7 @@ def _runs(docs: DataFrame, partitions: int | None) -> DataFrame:
             yield {"row": [None], "doc_id": [None], "n_chars": [-1], "text_sha256": [sha], "part": [part], "run": [at],
                    "first": [False], "edge": [last]}
 
-    return map_arrow(dealt.select("row", "doc_id", "n_chars", "norm"), run, RUNS)
+    return map_arrow(dealt.select("row", "doc_id", "n_chars", "norm", "digest"), run, RUNS)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
