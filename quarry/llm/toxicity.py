@@ -133,9 +133,11 @@ def learn(texts: DataFrame) -> Weights:
 
 def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last) of a sequence in which the listed positions score as
-    given and all others ``-drift``; positions rise. Linear time: a stack of candidate segments, each with the
-    running total before and at its end."""
-    stack: list[list] = []  # total before, total at the end, first, last
+    given and all others ``-drift``; positions rise. Linear time (Ruzzo & Tompa 1999): a stack of candidate segments, each
+    with the running total before and at its end and a link to the nearest one that began lower, so the search for
+    what a new segment can be joined to skips the others."""
+    # total before, total at the end, first, last, place of the nearest entry below with a smaller total before (-1: none)
+    stack: list[tuple] = []
     total, at = 0.0, 0
     for i, s in scores:
         total -= drift * (i - at)
@@ -144,18 +146,18 @@ def segments(scores: list[tuple[int, float]], drift: float = DRIFT) -> list[tupl
         total = right
         if s <= 0:
             continue
+        j = len(stack) - 1
         while True:
-            while stack and stack[-1][0] >= left:  # cannot be joined to what follows: set aside for good
-                j = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] < left), -1)
-                break
-            else:
-                j = len(stack) - 1
+            while j >= 0 and stack[j][0] >= left:
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= right:
-                stack.append([left, right, first, i])
+                stack.append((left, right, first, i, j))
                 break
-            left, first = stack[j][0], stack[j][2]
+            # the entry, all behind it and the new segment become one
+            left, _, first, _, below = stack[j]
             del stack[j:]
-    return [(r - a, f, e) for a, r, f, e in stack]
+            j = below
+    return [(r - a, f, e) for a, r, f, e, _ in stack]
 
 
 @dataclass
