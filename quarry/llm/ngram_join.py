@@ -11,7 +11,8 @@ differ are at most the elements in which the sets differ, so bit counts bound th
 
 *Links.* Inside a tile sets are first compared with the tile's centre (linear in the tile), then only members of
 different components are, by bit counts inside the join; what passes both is decided by intersecting the sorted
-hash arrays. Equal sets are one class with its smallest id throughout.
+hash arrays. Equal sets are one class with a number of its own throughout, so ids that occur with several texts keep
+all of them.
 """
 
 from __future__ import annotations
@@ -133,11 +134,24 @@ def set_sizes(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def _own_sets(batch: pa.RecordBatch, shingles) -> tuple[pa.Array, list]:
+    """Class numbers and shingle sets of rows (id, text, d1, d2), without rows whose text is not their class's (another
+    text of the same doc_id)."""
+    import xxhash
+
+    sets = [shingles(t) for t in batch.column(1).to_pylist()]
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "int64").reshape(-1, 2)
+    own = (digest[:, 0] == batch.column(2).to_numpy()) & (digest[:, 1] == batch.column(3).to_numpy())
+    return batch.column(0).filter(pa.array(own)), [s for s, x in zip(sets, own, strict=True) if x]
+
+
 def _tile_rows(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
     def run(batches):
         shingles = _shingler(width)
         for b in slices(batches):
-            ids, sets = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
+            ids, sets = _own_sets(b, shingles)
+            if not sets:
+                continue
             keys = [bands.tiles(s) for s in sets]
             yield {"id": ids, "keys": as_list(np.concatenate(keys), np.cumsum([0] + [len(k) for k in keys]), pa.int64())}
 
@@ -174,7 +188,9 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches):
         shingles = _shingler(width)
         for b in slices(batches):
-            ids, sets = b.column(0), [shingles(t) for t in b.column(1).to_pylist()]
+            ids, sets = _own_sets(b, shingles)
+            if not sets:
+                continue
             bits = np.stack([_signature(s) for s in sets])
             hashes = as_list(np.concatenate(sets).view("int64"), np.cumsum([0] + [len(s) for s in sets]), pa.int64())
             yield {"id": ids, "n": [len(s) for s in sets], **{c: bits[:, i] for i, c in enumerate(BITS)}, "hashes": hashes}
@@ -215,16 +231,21 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
     fewer words the whole sequence is one shingle; null, empty and blank texts have the empty set and link with
     nothing. Documents link when intersection / union >= num / den; component_id is the smallest doc_id reachable
     by links, its own included. A null doc_id takes no part and gets a null component. Rows of one doc_id are one
-    document. An empty table gives no rows; other columns are not read."""
+    document, whatever links one of its texts has; its rows without words keep their own id. An empty table gives no
+    rows; other columns are not read."""
     bands = Bands(num, den)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes = stored(set_sizes(src, width), "sizes")
     some = sizes.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    texts = src.join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id")
-    tiles = stored(_shared_tiles(_tile_rows(texts, width, bands)), "tiles")
-    members = tiles.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_sets(src.join(members, "doc_id"), width).dropDuplicates(["id"]), "sets")
+    classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    def texts(of):
+        return src.join(of.select("doc_id", "id", "d1", "d2"), "doc_id").select("id", "text", "d1", "d2")
+
+    tiles = stored(_shared_tiles(_tile_rows(texts(classes), width, bands)), "tiles")
+    members = classes.join(tiles.select("id").distinct(), "id")
+    sets = stored(_sets(texts(members), width).dropDuplicates(["id"]), "sets")
     short = sets.drop("hashes")
 
     links = group = None
@@ -255,10 +276,25 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
             links = found if links is None else links.union(found)
             group = components(links).select("id", F.col("component").alias("g"))
 
-    # classes of equal sets, then their components
-    ids = classes.withColumn("g", F.lit(None).cast("long")) if group is None else classes.join(group, "id", "left")
-    ids = ids.select("n_shingles", "d1", "d2", F.coalesce("g", "id").alias("component_id"))
-    return (sizes.join(ids, ["n_shingles", "d1", "d2"], "left")
+    # a doc_id of several texts links their classes
+    key = F.struct("n_shingles", "d1", "d2")
+    several = stored(some.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    if not several.isEmpty():
+        theirs = some.join(several, "doc_id").distinct().join(classes.drop("doc_id"), ["n_shingles", "d1", "d2"]).select("doc_id", "id")
+        first = theirs.groupBy("doc_id").agg(F.min("id").alias("b"))
+        more = theirs.join(first, "doc_id").select(F.col("id").alias("a"), "b")
+        links = more if links is None else links.select("a", "b").union(more)
+        group = components(links).select("id", F.col("component").alias("g"))
+
+    # classes of equal sets, then their components, named by their smallest doc_id
+    ids = classes.withColumn("g", F.col("id"))
+    if group is not None:
+        ids = classes.join(group, "id", "left").withColumn("g", F.coalesce("g", "id"))
+        named = ids.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+        ids = ids.join(named, "g")
+    else:
+        ids = ids.withColumn("component_id", F.col("doc_id"))
+    return (sizes.join(ids.select("n_shingles", "d1", "d2", "component_id"), ["n_shingles", "d1", "d2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
