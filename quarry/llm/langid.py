@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 WINDOW = 256
 WIDTHS, FILTERS, CLASSES = (2, 3, 4), 8, 128
-#: Bounds of the training sample: documents of a language, languages (the most frequent), windows of a document.
-SAMPLE_PER_LANGUAGE, MAX_LANGUAGES, SAMPLE_WINDOWS = 1500, 100, 2
+#: Bounds of the training sample: documents of a language, documents in all, windows of a document.
+SAMPLE_PER_LANGUAGE, SAMPLE_ALL, SAMPLE_WINDOWS = 1500, 100_000, 2
+#: Parts that a language's documents are picked from.
+PARTS = 1 << 53
 
 _CLASS = np.zeros(256, "uint8")  # 0 white space and padding, 1 other ASCII, 2 digits, 3-28 letters, 29-127 the rest
 _CLASS[33:127] = 1
@@ -102,23 +104,24 @@ class ByteNet:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", seed: int = 7) -> ByteNet | None:
-    """Fit on a sample of ``labelled``: about SAMPLE_PER_LANGUAGE documents of each of at most MAX_LANGUAGES
-    languages, picked by a hash of the key and the text, and up to SAMPLE_WINDOWS windows of each, picked by the
-    same hash. Only those windows reach the driver. None where there is no labelled text."""
+    """Fit on a sample of ``labelled``: of every language about SAMPLE_PER_LANGUAGE documents (fewer where there are so many
+    languages that all would pass SAMPLE_ALL), picked by a hash of the key and the text, and up to SAMPLE_WINDOWS
+    windows of each, picked by the same hash. Only those windows and one row a language reach the driver. None where
+    there is no labelled text."""
     src = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                           F.xxhash64(F.col(key_col).cast("string"), F.col(text_col)).alias("h"))
     src = src.where("lang is not null and text rlike '\\\\p{L}'")
-    sizes = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = src.groupBy("lang").count().orderBy("lang").collect()
     if not sizes:
         return None
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1, SAMPLE_PER_LANGUAGE / r["count"]) * 1_000_000)).otherwise(share)
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ALL // len(sizes)))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], max(1, int(min(1, each / r["count"]) * PARTS))) for r in sizes], "lang string, share long")
+
     def window(k):
         start = F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
         return F.substring("text", start.cast("int") + 1, F.lit(WINDOW))
 
-    picked = (src.where(F.pmod("h", F.lit(1_000_000)) < share)
+    picked = (src.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(PARTS)) < F.col("share"))
               .select("lang", "h", F.array(*[window(k) for k in range(SAMPLE_WINDOWS)]).alias("w"))
               .orderBy("h").collect())
     langs = sorted(r["lang"] for r in sizes)
