@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import discard, map_arrow, slices, stored
+from quarry.llm.common import discard, frequent_from, map_arrow, slices, stored
 
 #: Words that are clustered first, classes, words (and endings) whose counts and classes travel with the tasks.
 SEEDS, CLASSES, FREQUENT = 1000, 40, 40_000
@@ -305,23 +305,25 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     counted = stored(word_counts(texts).withColumn("h", hashed("word")), "words")
     n_docs = texts.count()
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    order = [F.desc("c"), "word"]
-    common = [bytes(w) for w in counted.orderBy(*order).limit(FREQUENT).select("word").toArrow().column(0).to_pylist()]  # bounded: FREQUENT rows
+    often = F.col("c") >= frequent_from(counted, FREQUENT, "c")
+    most = sorted(counted.where(often).select("c", "word").toArrow().to_pylist(), key=lambda r: (-r["c"], r["word"]))  # bounded: FREQUENT rows
+    common = [bytes(r["word"]) for r in most]
     k = CLASSES
     pairs = stored(bigrams(texts), "pairs")
     classes, table = cluster(pairs, counted, common, k)
     discard(pairs)
     words = stored(counted.join(classes, "h").select("word", "c", "cls"), "words")
     discard(counted)
-    top = words.orderBy(*order).limit(FREQUENT).toArrow()
+    top = words.where(often).toArrow()  # the same words
     frequent = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     mass, variety, once = np.zeros(k), np.zeros(k), np.zeros(k)
     for r in words.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
         mass[r["cls"]], variety[r["cls"]], once[r["cls"]] = r["c"], r["n"], r["once"]
     unseen = int(1 + (once if once.any() else variety)[1:].argmax())
     ending = F.substring("word", F.greatest(F.octet_length("word") - 2, F.lit(1)), F.lit(3)).alias("e")
-    ends = (words.groupBy(ending, "cls").agg(F.count("*").alias("n")).groupBy("e").agg(F.max_by("cls", F.struct("n", -F.col("cls"))).alias("cls"), F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "e").limit(FREQUENT).toArrow())  # bounded: FREQUENT rows
+    by_end = stored(words.groupBy(ending, "cls").agg(F.count("*").alias("n")).groupBy("e").agg(
+        F.max_by("cls", F.struct("n", -F.col("cls"))).alias("cls"), F.sum("n").alias("n")), "endings")
+    ends = by_end.where(F.col("n") >= frequent_from(by_end, FREQUENT)).toArrow()  # bounded: FREQUENT rows
     endings = dict(zip(ends.column("e").to_pylist(), ends.column("cls").to_pylist(), strict=True))
     mass[0], variety[0] = n_docs, 1  # the end of text
     prior = (mass + ADD) / (mass.sum() + ADD * k)

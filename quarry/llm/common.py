@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import types
 import uuid
@@ -62,6 +63,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
+        drop_old_state()
         for cols in fn(b for b in batches if b.num_rows):
             yield pa.RecordBatch.from_arrays(
                 [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out],
@@ -70,14 +72,36 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
     return df.mapInArrow(run, schema)
 
 
-def worker_state(key, build):
-    """A value that a Python worker keeps between its tasks (a cache or a loaded tokenizer). It keeps one at a time, so
-    the caches of one operator don't add to another's."""
+def _state() -> dict:
     home = sys.modules.setdefault("_quarry_llm_state", types.ModuleType("_quarry_llm_state"))
-    held = home.__dict__.setdefault("held", {})
+    return home.__dict__.setdefault("held", {})
+
+
+def drop_old_state() -> None:
+    """At the beginning of a task: a worker that comes from another stage gives back what it kept for it."""
+    import ctypes
+
+    from pyspark import TaskContext
+
+    held, task = _state(), TaskContext.get()
+    stage = None if task is None else task.stageId()
+    if held.get("stage", stage) != stage:
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+    held["stage"] = stage
+
+
+def worker_state(key, build):
+    """A value that a Python worker keeps between its tasks of one stage (a cache or a loaded tokenizer). It keeps one at
+    a time, so the caches of one operator don't add to another's."""
+    held = _state()
+    stage = held.get("stage")
     if key not in held:
         held.clear()
-        held[key] = build()
+        held.update({key: build(), "stage": stage})
     return held[key]
 
 
@@ -99,3 +123,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     while stem.lower() in taken:
         stem += "_"
     return stem
+
+
+#: Counts below this are told apart; above, 256 steps for every doubling.
+EXACT_COUNTS = 4096
+
+
+def frequent_from(counted: DataFrame, most: int, n_col: str = "n") -> int:
+    """The least count that at most ``most`` rows of ``counted`` reach: a filter for the most frequent ones that needs no
+    sort. One row for each step of the scale comes to the driver."""
+    n = F.col(n_col).cast("double")
+    step = F.when(n < EXACT_COUNTS, n).otherwise(EXACT_COUNTS + F.floor(F.log2(n / EXACT_COUNTS) * 256)).cast("long")
+    cut, held = None, 0
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(n_col).alias("least")).collect(), reverse=True):
+        held += r["rows"]
+        if held > most:
+            break
+        cut = r["least"]
+    return cut if cut is not None else 1 << 62
