@@ -64,10 +64,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[d
 
     def run(batches):
         drop_old_state()
-        for cols in fn(b for b in batches if b.num_rows):
-            yield pa.RecordBatch.from_arrays(
-                [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out],
-                schema=out)
+        try:
+            for cols in fn(b for b in batches if b.num_rows):
+                yield pa.RecordBatch.from_arrays(
+                    [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out],
+                    schema=out)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -77,20 +80,25 @@ def _state() -> dict:
     return home.__dict__.setdefault("held", {})
 
 
-def drop_old_state() -> None:
-    """At the beginning of a task: a worker that comes from another stage gives back what it kept for it."""
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task does not hold what the last took."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def drop_old_state() -> None:
+    """At the beginning of a task: a worker that comes from another stage gives up what it kept for it."""
     from pyspark import TaskContext
 
     held, task = _state(), TaskContext.get()
     stage = None if task is None else task.stageId()
     if held.get("stage", stage) != stage:
         held.clear()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     held["stage"] = stage
 
 
