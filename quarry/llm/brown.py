@@ -1,14 +1,17 @@
 """Class-based language model: exchange clustering, class transitions, word emissions.
 
-Every training document is counted and every word of it is clustered. The exchange moves a word to the class that raises
+Every training document is counted and every word of it gets a class. The exchange moves a word to the class that raises
 the likelihood of the class bigrams most. It begins on the driver with the SEEDS most frequent words, the others being one
-type; then, ROUNDS times over the stored word bigrams, tasks sum each word's counts to and from the classes (at most two a
-class) and choose its best class against the table of class bigrams. The first pass places all words but the seeds; each
-later one moves one half of the words, at the same time, so the map with the highest likelihood is kept. The probability of a word after another is that of its class after the other's class times
-that of the word in its class, each smoothed; the unseen words of a class share one word's place. A word that training
-has not seen counts in the class that most words with its last three bytes have, or else that most words seen once have.
-
-Words stand in the bigrams by a hash of 64 bits; words that share one share their class. The driver sees the bigrams of
+type. Then the FREQUENT words' neighbours among themselves are dealt by word once (at most two numbers for two words, at
+any size of the corpus), and tasks move one half of the words after the other, at the same time, against the table of class
+bigrams, until both halves together bring less than SETTLED nats a bigram; the map with the highest likelihood is kept.
+One more pass counts each other word's frequent neighbours by class (at most two counts a class) and places it by the same
+rule. The table of class bigrams is that of all pairs, those of two other words by a join. The probability of a word after
+another is that of its class after the other's class times that of the word in its class, each smoothed; the unseen words of
+a class share one word's place. A word that training has not seen counts in the class that most words with its last three
+bytes have, or else that most words seen once have.
+
+Other words stand in the pairs by a hash of 64 bits; those that share one share their class. The driver sees the bigrams of
 the seeds, the table of class bigrams and the FREQUENT words. Their counts and classes travel with the tasks; the others
 meet the documents that hold them in a join by word.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +34,13 @@ from quarry.llm.common import discard, frequent_from, map_arrow, slices, stored
 #: Words that are clustered first, classes, words (and endings) whose counts and classes travel with the tasks.
 SEEDS, CLASSES, FREQUENT = 1000, 40, 40_000
 ADD = 0.1
-#: Passes of the exchange over the seeds, and over all words.
-SWEEPS, ROUNDS = 4, 3
+#: Passes of the exchange over the seeds; nats a bigram that two turns over the frequent words must bring for another.
+SWEEPS, SETTLED = 4, 0.001
+#: Words that a task takes in before it sums their pairs.
+CHUNK = 1_000_000
 END_TYPE, OTHER_TYPE = 0, 1
-#: The end of text among the hashes.
-END = 0
+#: The end of text among the numbers and hashes; hashes keep away from numbers below SMALL.
+END, SMALL = 0, 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -48,10 +54,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
         from collections import Counter
 
         seen: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 seen.update(tokens(t))
-            if len(seen) > 400_000:
+            if len(seen) > 200_000:
                 yield {"word": list(seen), "c": list(seen.values())}
                 seen.clear()
         if seen:
@@ -61,45 +67,88 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def code(word: bytes) -> int:
-    """A word's hash, never END."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True) or 1
+    """A word's hash, never END nor another number up to SMALL."""
+    h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+    return h if not 0 <= h <= SMALL else h - 2 * SMALL
+
+
+def pairs_of(batches, number) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words and their next words of many texts at once; a text begins after an end and closes with one.
+    ``number`` turns a text's words into numbers."""
+    def joined(held):
+        path = np.concatenate(held)
+        keep = np.ones(len(path) - 1, bool)
+        keep[np.cumsum([len(x) for x in held])[:-1] - 1] = False  # not a pair: the end of a text and the beginning of the next
+        return path[:-1][keep], path[1:][keep]
+
+    held, n = [], 0
+    for b in slices(batches, 256):
+        for t in b.column(0).to_pylist():
+            held.append(np.array([END, *number(tokens(t)), END], "int64"))
+            n += len(held[-1])
+            if n > CHUNK:
+                yield joined(held)
+                held, n = [], 0
+    if held:
+        yield joined(held)
+
+
+def hashes(known: dict[bytes, int]):
+    """Numbers of words: those of ``known``, hashes for the others (kept for a while)."""
+    rare: dict[bytes, int] = {}
+
+    def number(words):
+        if len(rare) > 200_000:
+            rare.clear()
+        ids = [known.get(w) for w in words]
+        for i, x in enumerate(ids):
+            if x is None:
+                w = words[i]
+                ids[i] = rare.get(w)
+                if ids[i] is None:
+                    ids[i] = rare[w] = code(w)
+        return ids
+
+    return number
+
+
+def summed(a: np.ndarray, b: np.ndarray) -> Iterator[dict]:
+    """a, b, n: how often each pair occurs."""
+    got = pa.table({"a": a, "b": b}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
+    for i in range(0, got.num_rows, 200_000):
+        part = got.slice(i, 200_000).combine_chunks()
+        yield {"a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": part["count_all"].to_numpy()}
+
+
+def bigrams(texts: DataFrame, shared=None) -> DataFrame:
+    """a, b, n: counts of word after word over all texts, summed inside each task first; by hash, or, with the broadcast
+    ``shared`` numbers of some words, by number and of those words (and the end of text) alone."""
+    def run(batches):
+        if shared is None:
+            for a, b in pairs_of(batches, hashes({})):
+                yield from summed(a, b)
+            return
+        known = shared.value
+        for a, b in pairs_of(batches, lambda words: [known.get(w, -1) for w in words]):
+            both = (a >= 0) & (b >= 0)
+            yield from summed(a[both], b[both])
 
+    return map_arrow(texts, run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def bigrams(texts: DataFrame) -> DataFrame:
-    """a, b, n: counts of word after word by hash over all texts, summed inside each task first; a text begins after an
-    end and closes with one."""
+
+def surroundings(texts: DataFrame, shared, cls: np.ndarray, k: int) -> DataFrame:
+    """a, b, n of words without a number, by hash: how often ``a`` stands before a numbered word of class b (0 to k - 1),
+    after one of class b - k (k to 2 * k - 1), before itself (2 * k), or before another word without a number (b, its
+    hash). Summed inside each task only."""
     def run(batches):
-        known: dict[bytes, int] = {}
-
-        def counts(held):
-            path = np.concatenate(held)
-            at = np.flatnonzero(path[1:-1] == END) + 1  # ends: each text's last and the next one's first
-            keep = np.ones(len(path) - 1, bool)
-            keep[at[1::2] - 1] = False  # not a pair: the end of a text and the beginning of the next
-            got = pa.table({"a": path[:-1][keep], "b": path[1:][keep]}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")])
-            for i in range(0, got.num_rows, 200_000):
-                part = got.slice(i, 200_000).combine_chunks()
-                yield {"a": part["a"].to_numpy(), "b": part["b"].to_numpy(), "n": part["count_all"].to_numpy()}
-
-        held, n = [], 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                words = tokens(t)
-                if len(known) > 500_000:
-                    known.clear()
-                ids = [known.get(w) for w in words]
-                for i, x in enumerate(ids):
-                    if x is None:
-                        ids[i] = known[words[i]] = code(words[i])
-                held.append(np.array([END, *ids, END], "int64"))
-                n += len(ids) + 2
-                if n > 2_000_000:
-                    yield from counts(held)
-                    held, n = [], 0
-        if held:
-            yield from counts(held)
+        for a, b in pairs_of(batches, hashes(shared.value)):
+            no_a, no_b = (a < 0) | (a > SMALL), (b < 0) | (b > SMALL)
+            before, after, both = no_a & ~no_b, no_b & ~no_a, no_a & no_b
+            x, y = a[both], b[both]
+            yield from summed(np.concatenate([a[before], b[after], x]),
+                              np.concatenate([cls[b[before]], k + cls[a[after]], np.where(x == y, 2 * k, y)]))
 
-    return map_arrow(texts, run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "a long, b long, n long")
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -181,91 +230,120 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
 
 
-def edges(pairs: DataFrame, classes: DataFrame, common: DataFrame, k: int) -> DataFrame:
-    """h, old, e: every word's class (null: none yet) and its counts (k, n) before class k, after class k - ``k`` and, as
-    2 * ``k``, after itself, with neighbours that have a class. The classes of ``common`` words travel with the tasks, so
-    a common neighbour's rows are not dealt out by it; each word's counts are summed before they are."""
-    top = classes.join(F.broadcast(common), "h")
-    others = classes.join(F.broadcast(common), "h", "left_anti")
-
-    def side(word, neighbour, shift):
-        met = pairs.where("a <> b").select(F.col(word).alias("w"), F.col(neighbour).alias("h"), "n").join(F.broadcast(top), "h", "left")
-        rare = met.where("cls is null").drop("cls").join(others, "h")
-        return met.where("cls is not null").unionByName(rare).select("w", (F.col("cls") + shift).alias("k"), "n")
-
-    own = pairs.where("a = b").select(F.col("a").alias("w"), F.lit(2 * k).alias("k"), "n")
-    sums = side("a", "b", 0).unionByName(side("b", "a", k)).unionByName(own).groupBy("w", "k").agg(F.sum("n").alias("n"))
-    each = sums.groupBy(F.col("w").alias("h")).agg(F.collect_list(F.struct("k", "n")).alias("e"))
-    return each.join(classes.withColumnRenamed("cls", "old"), "h", "left").select("h", "old", "e")
+def neighbours(pairs: DataFrame, size: int) -> DataFrame:
+    """w, e: every numbered word's counts (k, n) with the words after it (their numbers) and before it (``size`` more). No
+    list is longer than twice the ``size`` numbers."""
+    both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("k"), "n"),
+                                         F.struct(F.col("b").alias("w"), (F.col("a") + size).alias("k"), "n"))))
+    return both.groupBy("w").agg(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), "n")).alias("e"))
 
 
 def _counts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of ``edges``: old class (-1: none), word of each count, its k and n."""
-    e = batch.column(2)
+    """Of rows (word, list of k and n): the words, and of each count its row, k and n."""
+    e = batch.column(1)
     flat = e.flatten()
-    return (pc.fill_null(batch.column(1), -1).to_numpy(), pc.list_parent_indices(e).to_numpy(),
+    return (batch.column(0).to_numpy(), pc.list_parent_indices(e).to_numpy(),
             flat.field("k").to_numpy(), flat.field("n").to_numpy().astype("float64"))
 
 
-def class_table(edged: DataFrame, k: int) -> np.ndarray:
-    """Counts of class after class."""
+def class_table(near: DataFrame, cls: np.ndarray, k: int) -> np.ndarray:
+    """Counts of class after class among numbered words that have a class."""
     def run(batches):
         sums = np.zeros(k * k)
-        for b in batches:
-            old, w, j, n = _counts(b)
-            use = (old[w] >= 0) & ((j < k) | (j == 2 * k))
-            at = old[w][use]
-            sums += np.bincount(at * k + np.where(j[use] < k, j[use], at), weights=n[use], minlength=k * k)
+        for b in slices(batches):
+            w, row, j, n = _counts(b)
+            use = j < len(cls)
+            x, y, n = cls[w[row[use]]], cls[j[use]], n[use]
+            use = (x >= 0) & (y >= 0)
+            sums += np.bincount(x[use] * k + y[use], weights=n[use], minlength=k * k)
         yield {"cell": np.arange(k * k), "n": sums}
 
+    return _table(map_arrow(near, run, "cell int, n double"), k)
+
+
+def _table(cells: DataFrame, k: int) -> np.ndarray:
     out = np.zeros(k * k)
-    for r in map_arrow(edged, run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * k rows
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # k * k rows
         out[r["cell"]] = r["n"]
     return out.reshape(k, k)
 
 
-def moved(edged: DataFrame, table: np.ndarray, k: int, turn: int) -> DataFrame:
-    """h, cls: every word's best class; in turn 0 words that have one keep it, later those of the other half."""
+def moves(near: DataFrame, table: np.ndarray, cls: np.ndarray, k: int, turn: int) -> np.ndarray:
+    """The class map after a turn: turn 0 places the words that have no class, later ones move one half of the words."""
     def run(batches):
-        for b in slices(batches):
-            old, w, j, n = _counts(b)
-            dense = np.zeros((len(old), 2 * k + 1))
-            dense[w, j] = n
-            cls = best_classes(table, dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k], old)
-            stay = old > 0 if turn == 0 else b.column(0).to_numpy() % 2 != turn % 2
-            cls = np.where((old == 0) | stay, old, cls)
-            yield {"h": b.column(0), "cls": cls}
-
-    return stored(map_arrow(edged, run, "h long, cls int"), "classes")
-
-
-def cluster(pairs: DataFrame, words: DataFrame, frequent: list[bytes], k: int = CLASSES, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
-    """h, cls of every word (``words``: h) and of the end of text (class 0), and the counts of class after class.
-    ``frequent``: words, most frequent first; the first ``seeds`` are clustered first."""
-    spark = pairs.sparkSession
-    table_of = lambda rows, name: spark.createDataFrame(rows, f"h long, {name} int")
-    first = F.broadcast(table_of([(END, END_TYPE), *((code(w), i + 2) for i, w in enumerate(frequent[:seeds]))], "t").dropDuplicates(["h"]))
-    typed = pairs.join(first.withColumnsRenamed({"h": "a", "t": "x"}), "a", "left").join(first.withColumnsRenamed({"h": "b", "t": "y"}), "b", "left")
-    other = F.lit(OTHER_TYPE)
-    got = typed.groupBy(F.coalesce("x", other).alias("x"), F.coalesce("y", other).alias("y")).agg(F.sum("n").alias("n")).toArrow()  # at most a row for two seeds
-    n = np.zeros((2 + min(seeds, len(frequent)),) * 2, "int64")
+        for b in slices(batches, 256):
+            w, row, j, n = _counts(b)
+            go = (w != END) & ((cls[w] < 0) if turn == 0 else (w % 2 == turn % 2))
+            at = np.cumsum(go) - 1
+            own = w[row] == j % len(cls)
+            other = cls[j % len(cls)]
+            use = go[row] & (other >= 0) & ~own
+            dense = np.bincount(at[row[use]] * 2 * k + other[use] + k * (j[use] >= len(cls)), weights=n[use],
+                                minlength=2 * k * go.sum()).reshape(-1, 2 * k)
+            use = go[row] & own & (j < len(cls))
+            itself = np.bincount(at[row[use]], weights=n[use], minlength=go.sum())
+            yield {"w": w[go], "cls": best_classes(table, dense[:, :k], dense[:, k:], itself, cls[w[go]])}
+
+    got = map_arrow(near, run, "w int, cls int").toArrow()  # bounded: at most the numbered words
+    out = cls.copy()
+    out[got.column("w").to_numpy()] = got.column("cls").to_numpy()
+    return out
+
+
+def exchange_numbered(near: DataFrame, size: int, k: int = CLASSES, seeds: int = SEEDS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each of ``size`` numbers (0: the end of text) from their ``neighbours``, and the counts of class after
+    class. The first ``seeds`` numbers are clustered first."""
+    seeds = min(seeds, size - 1)
+    typed = lambda c: F.when(c == END, END_TYPE).when(c <= seeds, c + 1).otherwise(OTHER_TYPE)
+    after = near.select("w", F.inline("e")).where(F.col("k") < size)
+    got = after.groupBy(typed(F.col("w")).alias("x"), typed(F.col("k")).alias("y")).agg(F.sum("n").alias("n")).toArrow()  # at most a row for two seeds
+    n = np.zeros((seeds + 2,) * 2, "int64")
     n[got.column("x").to_numpy(), got.column("y").to_numpy()] = got.column("n").to_numpy()
-    cls = exchange(n, k)
-    classes = stored(table_of([(END, 0), *((code(w), int(cls[i + 2])) for i, w in enumerate(frequent[:seeds]))], "cls").dropDuplicates(["h"]), "classes")
-    common = table_of([(END, 0), *((code(w), 0) for w in frequent)], "t").select("h").distinct()
-    best = None
-    for i in range(rounds + 1):
-        edged = stored(edges(pairs, classes, common, k), "edges")
-        table = class_table(edged, k)
-        if i and (best is None or likelihood(table) > likelihood(best[1])):  # the seeds alone don't count
-            best = classes, table
-        if i < rounds:
-            classes = moved(edged, table, k, i)
-            if i == 0:  # words that are beside no seed begin anywhere
-                every = words.select("h").distinct().unionByName(table_of([(END, 0)], "t").select("h"))
-                classes = stored(every.join(classes, "h", "left").select("h", F.coalesce("cls", (1 + F.pmod("h", F.lit(k - 1))).cast("int")).alias("cls")), "classes")
-        discard(edged)
-    return best
+    first = exchange(n, k)
+    cls = np.full(size, -1, "int64")
+    cls[END], cls[1:seeds + 1] = 0, first[2:]
+    table, best, turn = class_table(near, cls, k), None, 0
+    total = max(float(n.sum()), 1.0)
+    gains: list[float] = []
+    while True:
+        cls = moves(near, table, cls, k, turn)
+        if turn == 0:  # words that are beside no seed begin anywhere
+            cls = np.where(cls < 0, 1 + np.arange(size) % (k - 1), cls)
+        table = class_table(near, cls, k)
+        reached = likelihood(table) / total
+        if best is not None:
+            gains.append(reached - best[2])
+        if best is None or reached > best[2]:
+            best = cls, table, reached
+        if len(gains) > 1 and sum(gains[-2:]) < SETTLED:
+            return best[0], best[1]
+        turn += 1
+
+
+def place(around: DataFrame, words: DataFrame, table: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+    """h, cls of the words without a number (``words``: h) by their ``surroundings``, and the counts of class after class in
+    those. A word beside no numbered word begins anywhere."""
+    def run(batches):
+        for b in slices(batches):
+            h, row, j, n = _counts(b)
+            dense = np.bincount(row * (2 * k + 1) + j, weights=n, minlength=(2 * k + 1) * len(h)).reshape(-1, 2 * k + 1)
+            yield {"h": h, "e": b.column(1), "cls": best_classes(table, dense[:, :k], dense[:, k:2 * k], dense[:, 2 * k], np.full(len(h), -1))}
+
+    known = F.col("b").between(0, 2 * k)
+    cells = around.where(known).groupBy("a", F.col("b").cast("int").alias("k")).agg(F.sum("n").alias("n"))
+    each = cells.groupBy(F.col("a").alias("h")).agg(F.collect_list(F.struct("k", "n")).alias("e"))  # at most 2 k + 1 a word
+    placed = stored(map_arrow(each, run, "h long, e array<struct<k:int,n:long>>, cls int"), "placed")
+    start = (1 + F.pmod("h", F.lit(k - 1))).cast("int")
+    classes = stored(words.select("h").distinct().join(placed.select("h", "cls"), "h", "left").select("h", F.coalesce("cls", start).alias("cls")), "classes")
+    beside = placed.select("cls", F.inline("e")).select(
+        F.when(F.col("k") < k, F.col("cls") * k + F.col("k")).when(F.col("k") < 2 * k, (F.col("k") - k) * k + F.col("cls"))
+        .otherwise(F.col("cls") * k + F.col("cls")).alias("cell"), "n")
+    of = lambda side, name: classes.select(F.col("h").alias(side), F.col("cls").alias(name))
+    ahead = around.where(~known).join(of("a", "x"), "a").groupBy("x", "b").agg(F.sum("n").alias("n"))
+    among = ahead.join(of("b", "y"), "b").select((F.col("x") * k + F.col("y")).alias("cell"), "n")
+    sums = _table(beside.unionByName(among), k)
+    discard(placed)
+    return classes, sums
 
 
 @dataclass
@@ -307,13 +385,21 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = F.col("c") >= frequent_from(counted, FREQUENT, "c")
     most = sorted(counted.where(often).select("c", "word").toArrow().to_pylist(), key=lambda r: (-r["c"], r["word"]))  # bounded: FREQUENT rows
-    common = [bytes(r["word"]) for r in most]
-    k = CLASSES
-    pairs = stored(bigrams(texts), "pairs")
-    classes, table = cluster(pairs, counted, common, k)
-    discard(pairs)
-    words = stored(counted.join(classes, "h").select("word", "c", "cls"), "words")
+    numbers = {bytes(r["word"]): i + 1 for i, r in enumerate(most)}
+    k, size = CLASSES, len(numbers) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    near = stored(neighbours(bigrams(texts, shared), size), "near")
+    cls, table = exchange_numbered(near, size, k)
+    discard(near)
+    around = stored(surroundings(texts, shared, cls, k), "around")
+    classes, others = place(around, counted.where(~often), table, k)
+    table = table + others
+    discard(around)
+    class_of = docs.sparkSession.createDataFrame([(bytearray(w), int(cls[i])) for w, i in numbers.items()], "word binary, cls int")
+    words = stored(counted.where(often).join(F.broadcast(class_of), "word").select("word", "c", "cls").unionByName(
+        counted.where(~often).join(classes, "h").select("word", "c", "cls")), "words")
     discard(counted)
+    discard(classes)
     top = words.where(often).toArrow()  # the same words
     frequent = dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     mass, variety, once = np.zeros(k), np.zeros(k), np.zeros(k)
@@ -349,7 +435,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         (common, endings, unseen), rest = shared.value, (None, -1)
-        for b in batches:
+        for b in slices(batches, 256):
             out_doc, out_row, out_word, out_n, out = [], [], [], [], []
             for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = tokens(text)
