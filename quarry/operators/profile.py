@@ -48,7 +48,7 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, *, exact: bool = T
     SHOWN + 1 characters. ``exact=False`` replaces every shuffle of values by mergeable sketches: quantiles by
     ``percentile_approx``, distinct counts by HyperLogLog++ (relative deviation SKETCH_RSD), most frequent values by
     Spark's frequent-items sketch (frequencies off by at most SKETCH_ERROR of the column's values; where
-    none is that frequent any value may be shown).
+    none is that frequent any value may be shown; if the sketch names none, the smallest with frequency 1).
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else list(df.columns)
@@ -141,12 +141,14 @@ def _text_summary(longs: DataFrame, exact: bool) -> DataFrame:
 
 
 def _sketch(longs: DataFrame, item, skip: int = 1) -> DataFrame:
-    """One pass, one bounded sketch a column and task; ``item`` is what is counted, shown from its character ``skip`` on."""
-    top = F.element_at("top", 1)
+    """One pass, one bounded sketch a column and task; ``item`` is what is counted, shown from its character ``skip`` on.
+    A column of so many rare values that the sketch names none shows its smallest, as met once."""
+    top = F.try_element_at("top", F.lit(1))
     return (longs.groupBy("column").agg(F.approx_count_distinct("value", SKETCH_RSD).alias("n_distinct"), F.count("*").alias("n_values"),
                                         F.call_function("approx_top_k", item, F.lit(1), F.lit(SKETCH_ITEMS)).alias("top"),
                                         F.min(F.substring("value", 1, SHOWN + 1)).alias("min_value"), F.max(F.substring("value", 1, SHOWN + 1)).alias("max_value"))
-            .select("column", F.substring(top["item"], skip, SHOWN + 1).alias("mode"), top["count"].alias("mode_count"), "n_distinct", "n_values",
+            .select("column", F.coalesce(F.substring(top["item"], skip, SHOWN + 1), "min_value").alias("mode"),
+                    F.coalesce(top["count"], F.lit(1)).cast("long").alias("mode_count"), "n_distinct", "n_values",
                     "min_value", "max_value"))
 
 

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import profile as P
 
@@ -81,3 +82,13 @@ def test_profile_of_long_and_distinct_text(spark):
     near = {r.column: r for r in P.profile(df, exact=False).collect()}
     assert (near["long.text"].top, near["long.text"].freq_top, near["k"].top, near["none"].top) == ("a" * 50 + "...", 11, "zz", None)
     assert abs(near["k"].unique - 31) <= 2
+
+
+def test_sketch_of_rare_values_names_one(spark):
+    """So many values, each met once, that the frequent-items sketch names none."""
+    df = spark.range(60_000).select(F.format_string("name-%07d", "id").alias("s"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    rows = {r["column"]: r for r in P.profile(df, exact=False).collect()}
+    assert rows["s"]["top"] == "name-0000000" and rows["s"]["freq_top"] == 1
+    assert rows["d"]["top"] == "1900-01-01" and rows["d"]["first"] == "1900-01-01" and rows["d"]["freq_top"] == 1
+    for r in rows.values():
+        assert r["count"] == 60_000 and abs(r["unique"] - 60_000) <= 3 * P.SKETCH_RSD * 60_000
