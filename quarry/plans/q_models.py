@@ -640,12 +640,13 @@ def score_stream_q(spark, sf):
 )
 def decode_prediction_q(spark, sf):
     from quarry.operators.encode import build_dictionary, decode
+    from quarry.operators.quantiles import join_small
 
     li = table(spark, sf, "lineitem")
     d = build_dictionary(li, "l_linestatus")
     # a stand-in "prediction" near each row's class code (0.2 for code 0, 0.9 for code 1), decoded
     # back to the label by a join with the (distributed) dictionary
-    coded = li.join(d.withColumnRenamed("value", "l_linestatus"), "l_linestatus").select(
+    coded = join_small(li, d.withColumnRenamed("value", "l_linestatus"), ["l_linestatus"]).select(
         "l_orderkey", "l_linenumber", F.when(F.col("code") == 0, 0.2).otherwise(0.9).alias("prediction"))
     return decode(coded, "prediction", d, "label")
 

@@ -85,3 +85,15 @@ def test_boxcox_lambda_matches_likelihood_grid(spark):
     grid = np.linspace(-2, 2, 40001)
     best = grid[np.argmax([llf(l) for l in grid])]
     assert abs(lam - best) < 1e-3
+
+
+def test_few_classes_are_not_dealt_by_class(spark, tmp_path):
+    """Two values in a million rows: no task gets all rows of one."""
+    from quarry.plans import REGISTRY
+
+    spark.createDataFrame([(i, 1, None if i % 10 == 9 else "FO"[i % 2]) for i in range(40)], "l_orderkey long, l_linenumber int, l_linestatus string").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    got = REGISTRY["decode_prediction"].fn(spark, str(tmp_path))
+    assert sorted((r.l_orderkey, r.prediction, r.label) for r in got.collect()) == [
+        (i, (0.2, 0.9)["FO"[i % 2] == "O"], "FO"[i % 2]) for i in range(40) if i % 10 != 9]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
