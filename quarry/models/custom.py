@@ -23,22 +23,42 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import qcol
 
-#: Numbers of one numpy step: rows are taken in slices of BLOCK_CELLS / width.
-BLOCK_CELLS = 1 << 20
+#: Numbers of one numpy step: rows are taken in slices of SLICE_CELLS / their width, however many sums they go into.
+SLICE_CELLS = 1 << 17
+#: Numbers of one stored block of rows.
+BLOCK_CELLS = 1 << 14
 
 
-def sum_over_rows(rows: DataFrame, fn, width: int) -> np.ndarray:
-    """Sum of ``fn(X, y)`` (a vector of ``width``) over rows (x array<double>, y double), in any number of partitions."""
-    def scan(batches):
-        total = np.zeros(width)
+def block_rows(rows: DataFrame) -> DataFrame:
+    """Rows (x array<double>, y double) as blocks (x binary, y binary), dealt out evenly however the input is laid out: a
+    pass hands bytes on instead of rows."""
+    def pack(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-            y = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            step = max(1, BLOCK_CELLS // max(width, x.shape[1]))
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+            if b.column(0).null_count or len(flat) % b.num_rows:
+                raise ValueError("feature vectors must be present and of one length")
+            x, y = flat.reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            step = max(1, BLOCK_CELLS // max(1, x.shape[1]))
             for at in range(0, len(y), step):
-                total += fn(x[at:at + step], y[at:at + step])
+                yield pa.RecordBatch.from_pydict({"x": pa.array([x[at:at + step].tobytes()], pa.binary()), "y": pa.array([y[at:at + step].tobytes()], pa.binary())})
+
+    return rows.mapInArrow(pack, "x binary, y binary").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sum_over_rows(blocks: DataFrame, fn, width: int, cells: int = 1) -> np.ndarray:
+    """Sum of ``fn(X, y)`` (a vector of ``width``) over the rows in ``block_rows`` blocks, in any number of partitions;
+    ``cells``: the numbers that ``fn`` makes of a row."""
+    def scan(batches):
+        total = np.zeros(width)
+        for b in batches:
+            for bx, by in zip(b.column(0), b.column(1), strict=True):
+                y = np.frombuffer(by.as_buffer())
+                x = np.frombuffer(bx.as_buffer()).reshape(len(y), -1)
+                step = max(1, SLICE_CELLS // max(cells, x.shape[1]))
+                for at in range(0, len(y), step):
+                    total += fn(x[at:at + step], y[at:at + step])
         yield pa.RecordBatch.from_pydict({"s": pa.array([total], pa.list_(pa.float64()))})
 
     def again(batches):
@@ -48,9 +68,9 @@ def sum_over_rows(rows: DataFrame, fn, width: int) -> np.ndarray:
                 total += b.column(0).flatten().to_numpy().reshape(b.num_rows, width).sum(0)
         yield pa.RecordBatch.from_pydict({"s": pa.array([total], pa.list_(pa.float64()))})
 
-    few = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    few = max(1, math.isqrt(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     out = np.zeros(width)
-    for r in rows.mapInArrow(scan, "s array<double>").repartition(few).mapInArrow(again, "s array<double>").collect():
+    for r in blocks.mapInArrow(scan, "s array<double>").repartition(few).mapInArrow(again, "s array<double>").collect():
         out += np.asarray(r["s"])
     return out
 
@@ -153,17 +173,17 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
         if kernel not in ("linear", "rbf"):
             raise ValueError("SVR kernels built: 'linear' and 'rbf' (poly/sigmoid need an exact kernel solver)")
         rows = df.select(vector_to_array(qcol(fc)).alias("x"), qcol(lc).cast("double").alias("y")).where("y is not null")
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads the features alone
+        blocks = block_rows(rows).persist(StorageLevel.MEMORY_AND_DISK)  # every pass reads the features alone
         try:
-            first = rows.first()
+            first = blocks.first()
             if first is None:
                 raise ValueError("there are no rows to fit")
-            return self._solve(rows, len(first["x"]), kernel)
+            return self._solve(blocks, len(first["x"]) // len(first["y"]), kernel)
         finally:
-            rows.unpersist()
+            blocks.unpersist()
 
-    def _solve(self, rows: DataFrame, d: int, kernel: str) -> SVRModel:
-        n, sy, syy, sx, sxx = sum_over_rows(rows, lambda X, y: np.array([len(y), y.sum(), y @ y, X.sum(), (X * X).sum()]), 5)
+    def _solve(self, blocks: DataFrame, d: int, kernel: str) -> SVRModel:
+        n, sy, syy, sx, sxx = sum_over_rows(blocks, lambda X, y: np.array([len(y), y.sum(), y @ y, X.sum(), (X * X).sum()]), 5)
         omega = phase = None
         if kernel == "rbf":
             rng = np.random.default_rng(self.getOrDefault(self.seed))
@@ -187,19 +207,34 @@ class SVRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasS
         def state(theta: np.ndarray, back: np.ndarray, mu: float) -> dict:
             """At theta = (w, b): smoothed and exact loss, dual sums, gradient and Hessian of the smoothed loss; and the
             smoothed loss at theta − (1 − t)·back for shorter steps t."""
+            def losses(over):
+                """Smoothed losses of each row of ``over`` (taken as working space), summed."""
+                np.maximum(over, 0, out=over)
+                bend = np.minimum(over, mu)
+                return (np.einsum("ij,ij->i", bend, over) - 0.5 * np.einsum("ij,ij->i", bend, bend)) / mu
+
+            searching = back.any()
+
             def fn(X, y):
-                Z = np.concatenate([feats(X), np.ones((len(y), 1))], 1)
+                Z = np.ones((len(y), D + 1))
+                Z[:, :D] = feats(X)
                 r = y - Z @ theta
                 over = np.abs(r) - eps
                 slope = np.clip(over / mu, 0, 1) * np.sign(r)  # β / C
-                loss = np.where(over <= 0, 0, np.where(over < mu, over * over / (2 * mu), over - mu / 2))
                 bent = Z[(over > 0) & (over < mu)]
-                moved = np.abs(r[:, None] + (Z @ back)[:, None] * (1 - steps)) - eps
-                short = np.where(moved <= 0, 0, np.where(moved < mu, moved * moved / (2 * mu), moved - mu / 2)).sum(0)
-                return np.concatenate([[loss.sum(), np.maximum(over, 0).sum(), slope @ y, np.abs(slope).sum(), slope.sum()],
+                short = np.zeros(len(steps))
+                if searching:  # a whole step's loss is the loss here
+                    moved = np.multiply.outer(1 - steps[1:], Z @ back)
+                    moved += r
+                    np.abs(moved, out=moved)
+                    moved -= eps
+                    short[1:] = losses(moved)
+                here = losses(over[None].copy())
+                short[0] = here[0]
+                return np.concatenate([here, [np.maximum(over, 0).sum(), slope @ y, np.abs(slope).sum(), slope.sum()],
                                        Z.T @ slope, (bent.T @ bent).ravel() / mu, short])
 
-            s = sum_over_rows(rows, fn, width)
+            s = sum_over_rows(blocks, fn, width, max(D + 1, len(steps)))
             w = theta[:D]
             beta = C * s[5:6 + D]
             return {"smooth": 0.5 * w @ w + C * s[0], "primal": 0.5 * w @ w + C * s[1],

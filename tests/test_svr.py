@@ -72,3 +72,28 @@ def test_constant_label_and_few_passes(spark):
         spark.createDataFrame([(float(v), float(3 * v + RNG.normal())) for v in x], "x double, label double"))
     with pytest.warns(UserWarning, match="duality gap"):
         SVRegressor(kernel="linear", maxIter=2).fit(d)
+
+
+def test_a_pass_takes_slices_by_the_width_of_its_rows(spark):
+    """Many sums of narrow rows: the rows of a step do not shrink with the number of sums."""
+    from quarry.models.custom import block_rows, sum_over_rows
+
+    rows = spark.range(0, 5000, 1, 2).selectExpr("array(cast(id as double), 1.0D) as x", "cast(id % 7 as double) as y")
+    width = 40_000
+
+    def fn(X, y):
+        out = np.zeros(width)
+        out[:3] = X[:, 0].sum(), y.sum(), 1
+        return out
+
+    s = sum_over_rows(block_rows(rows), fn, width, 200)
+    assert s[0] == 5000 * 4999 / 2 and s[1] == sum(i % 7 for i in range(5000))
+    assert s[2] <= 20  # 26 rows a step before: some 200 steps
+
+
+def test_blocks_refuse_vectors_of_several_lengths(spark):
+    from quarry.models.custom import block_rows
+
+    rows = spark.createDataFrame([([1.0, 2.0], 1.0), ([3.0], 2.0)], "x array<double>, y double").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        block_rows(rows).collect()
