@@ -93,7 +93,13 @@ def test_few_classes_are_not_dealt_by_class(spark, tmp_path):
 
     spark.createDataFrame([(i, 1, None if i % 10 == 9 else "FO"[i % 2]) for i in range(40)], "l_orderkey long, l_linenumber int, l_linestatus string").write.parquet(
         str(tmp_path / "lineitem.parquet"))
-    got = REGISTRY["decode_prediction"].fn(spark, str(tmp_path))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with a table too large to be sent by itself
+    try:
+        got = REGISTRY["decode_prediction"].fn(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert sorted((r.l_orderkey, r.prediction, r.label) for r in got.collect()) == [
         (i, (0.2, 0.9)["FO"[i % 2] == "O"], "FO"[i % 2]) for i in range(40) if i % 10 != 9]
-    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
