@@ -79,3 +79,19 @@ def test_saved_model_holds_its_rows(spark, tmp_path, method):
     with pytest.raises(KeyError):
         reg.load("knn")
     assert reg.load("knn", version).n_train == 200
+
+
+def test_rows_are_not_copied_for_the_blocks_of_the_other_side(spark):
+    """Close blocks of many rows, ties over block borders, a point that most training rows share, rows far from all."""
+    T = np.concatenate([RNG.integers(0, 12, (1200, 2)), np.full((600, 2), 3), [[900, -900]]]).astype(float)
+    Q = np.concatenate([RNG.integers(0, 12, (300, 2)), [[1e6, 5], [3, 3]]]).astype(float)
+    train = spark.createDataFrame([(i, x.tolist(), float(i)) for i, x in enumerate(T)], "tid long, x array<double>, y double").repartition(3)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(Q)], "qid long, x array<double>")
+    for p in (1.0, 2.0, 3.0):
+        got = knn.knn_candidates(asked, train, 7, p, block_rows=32)
+        assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no explode over blocks
+        rows = sorted((r.qid, r["rank"], r.tid, r.y) for r in got.collect())
+        want = brute(Q, T, 7, p)
+        assert rows == [(q, n % 7 + 1, t, float(t)) for n, (q, t) in enumerate(want)]
+    assert knn.knn_candidates(asked, train.limit(3), 7).count() == 3 * len(Q)
+    assert knn.knn_candidates(asked.where("false"), train, 7).count() == 0 and knn.knn_candidates(asked, train.where("false"), 7).count() == 0
