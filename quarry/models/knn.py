@@ -46,7 +46,7 @@ CELL_LEVELS = 8
 #: Bytes of a task's distance matrix (and of the differences behind it).
 SLICE_BYTES = 64 << 20
 #: Hash tables, look-ups a table (the bucket and its nearest neighbours), rows of a bucket's slice, sample for the layout.
-TABLES, PROBES, SLICE_ROWS, SAMPLE = 8, 4, 2048, 2000
+TABLES, PROBES, SLICE_ROWS, SAMPLE = 8, 4, 16_384, 2000
 
 
 def _distances(Q: np.ndarray, T: np.ndarray, p: float) -> np.ndarray:
@@ -371,15 +371,21 @@ def lsh_candidates(queries: DataFrame, train: DataFrame, k: int, p: float = 2.0,
     layout = layout or lay_out(train, k, p, recall)
     q = _keyed(queries.select("qid", "x"), layout, PROBES, "qid long, x array<double>")
     t = _keyed(train.select("tid", "x", "y"), layout, 1, "tid long, x array<double>, y double")
-    # how many slices each side of a bucket has; only buckets that both sides use
-    sizes = (q.groupBy("tab", "key").agg(F.count("*").alias("n_q"))
-             .join(t.groupBy("tab", "key").agg(F.count("*").alias("n_t")), ["tab", "key"])
-             .select("tab", "key", F.ceil(F.col("n_q") / SLICE_ROWS).alias("n_q"), F.ceil(F.col("n_t") / SLICE_ROWS).alias("n_t")))
+    # how many slices each side of a large bucket has: at most one bucket for SLICE_ROWS rows, so they travel with the tasks
+    large = [d.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SLICE_ROWS).select(
+        "tab", "key", *[(F.ceil(F.col("n") / SLICE_ROWS) if c == side else F.lit(1).cast("long")).alias(c) for c in ("n_q", "n_t")])
+        for d, side in ((q, "n_q"), (t, "n_t"))]
+    sizes = large[0].unionByName(large[1]).groupBy("tab", "key").agg(F.max("n_q").alias("n_q"), F.max("n_t").alias("n_t")).checkpoint(eager=True)
+
+    def sliced(d):
+        one = F.lit(1).cast("long")
+        return d.join(F.broadcast(sizes), ["tab", "key"], "left").withColumns({c: F.coalesce(c, one) for c in ("n_q", "n_t")})
+
     # the slice of one side meets all slices of the other
-    q = q.join(sizes, ["tab", "key"]).select("qid", "x", "tab", "key", F.pmod(F.xxhash64("qid"), "n_q").alias("qs"),
-                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_t") - 1)).alias("ts"))
-    t = t.join(sizes, ["tab", "key"]).select("tid", F.col("x").alias("tx"), "y", "tab", "key", F.pmod(F.xxhash64("tid"), "n_t").alias("ts"),
-                                            F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1)).alias("qs"))
+    q = sliced(q).select("qid", "x", "tab", "key", F.pmod(F.xxhash64("qid"), "n_q").alias("qs"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_t") - 1)).alias("ts"))
+    t = sliced(t).select("tid", F.col("x").alias("tx"), "y", "tab", "key", F.pmod(F.xxhash64("tid"), "n_t").alias("ts"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1)).alias("qs"))
     by = ["tab", "key", "qs", "ts"]
     found = q.groupBy(*by).cogroup(t.groupBy(*by)).applyInArrow(_block_topk(k, p, 3), _CAND)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "tid"))

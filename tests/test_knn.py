@@ -95,3 +95,16 @@ def test_rows_are_not_copied_for_the_blocks_of_the_other_side(spark):
         assert rows == [(q, n % 7 + 1, t, float(t)) for n, (q, t) in enumerate(want)]
     assert knn.knn_candidates(asked, train.limit(3), 7).count() == 3 * len(Q)
     assert knn.knn_candidates(asked.where("false"), train, 7).count() == 0 and knn.knn_candidates(asked, train.where("false"), 7).count() == 0
+
+
+def test_large_buckets_travel_with_the_tasks(spark, monkeypatch):
+    """Hash tables: each copy of a row is shuffled once, to the bucket it meets others in."""
+    monkeypatch.setattr(knn, "knn_candidates", lambda q, t, k, p, rows: q.where("false").selectExpr("qid", "0L tid", "0D dist", "0D y", "1 rank"))
+    joins = []
+    real = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, eager=True: (joins.append(self._jdf.queryExecution().executedPlan().toString()), real(self, eager))[1])
+    df = spark.createDataFrame([(i, [float(i % 50), float(i % 7)], 1.0) for i in range(400)], "tid long, x array<double>, y double")
+    knn.lsh_candidates(df.selectExpr("tid as qid", "x"), df, 3).count()
+    found = next(j for j in joins if "FlatMapCoGroupsInArrow" in j)
+    assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
+    assert found.count("Generate") == 2
