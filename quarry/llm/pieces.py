@@ -6,7 +6,8 @@ by end and start, into the best path (highest sum of piece scores; ties go to th
 that is no piece falls back to its bytes. A second fold walks the path back into ids. A long word takes the same fold position
 by position inside its task, which holds the scores of the last ``longest`` positions and one step back a position, so
 a word of any length has its one best path. Documents then take their words' ids; the table of frequent words (bounded)
-travels with the tasks, the others meet their words in a join.
+travels with the tasks, the others meet their words in a join. Each document's whole list of ids is put together, and decoded
+as a whole.
 
 The whole text is encoded: a mark stands in front of it and in place of each space, and every other character stays.
 Its words are the units that no piece crosses: a run of marks with the characters behind it, or a run of line breaks and
@@ -17,14 +18,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import frequent_from, map_arrow, slices, stored
+from quarry.llm.common import as_list, discard, frequent_from, map_arrow, slices, stored
 
 MARK = "▁"
 #: A word, before its spaces become marks; every text is a row of them.
@@ -36,6 +39,8 @@ LONG_WORD, FREQUENT, BYTE_SCORE = 256, 100_000, -1e6
 WORDS_A_TASK = 40_000
 #: Modulus and factor of the documents' order-sensitive digest.
 PRIME, FACTOR = 2_147_483_647, 1_000_003
+#: Parts of the texts whose ids are put together one after the other.
+PARTS = 4
 
 
 @dataclass
@@ -178,14 +183,82 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_arrow(docs.select(F.col(text_col)), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Words:
+    """The ids of all words of a corpus."""
+
+    table: DataFrame  # word, n, ids
+    shared: Broadcast  # ids of the frequent words, with spaces in place of their marks
+
+
+def coded_words(docs: DataFrame, pieces: Pieces, text_col: str = "text", frequent: int = FREQUENT) -> Words:
+    coded = stored(encode_words(vocabulary(docs, text_col), pieces), "coded")
+    top = coded.where(F.col("n") >= frequent_from(coded, frequent)).select(F.replace("word", F.lit(MARK), F.lit(" ")), "ids").toArrow()  # bounded: ``frequent`` rows
+    known = {w: tuple(ids) for w, ids in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
+    return Words(coded, docs.sparkSession.sparkContext.broadcast(known))
+
+
+def both_hashes(word):
+    """128 bits of a word, as two columns."""
+    return F.xxhash64(word).alias("k1"), F.xxhash64(F.lit(1), word).alias("k2")
+
+
+def put_together(src: DataFrame, words: Words) -> DataFrame:
+    """``src`` (row, doc_id, text; read twice, so its rows must stay the same) with ids, those of the whole text in order, and
+    sizes, the number of each word's. A document's words outside the frequent ones meet their ids by 128 bits of the word,
+    and come back numbered by first appearance."""
+    shared = words.shared
+
+    def ask(batches):
+        known = shared.value
+        for b in slices(batches, 256):
+            rows, nth, asked = [], [], []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rare = [w.replace(" ", MARK) for w in dict.fromkeys(spaced_words(text)) if w not in known]
+                rows += [row] * len(rare)
+                nth += range(len(rare))
+                asked += rare
+            yield {"row": rows, "nth": nth, "word": asked}
+
+    def answer(batches):
+        known = shared.value
+        for b in slices(batches, 256):
+            out, sizes = [], []
+            for text, nth, found in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                told = dict(zip(nth or (), found or (), strict=True))
+                rare: dict[str, list[int]] = {}
+                ids, size = [], []
+                for w in spaced_words(text):
+                    of_word = known.get(w)
+                    if of_word is None:
+                        of_word = rare.get(w)
+                        if of_word is None:
+                            of_word = rare[w] = told[len(rare)]
+                    ids += of_word
+                    size.append(len(of_word))
+                out.append(np.array(ids, "int32"))
+                sizes.append(np.array(size, "int32"))
+            yield {"row": b.column(0), "doc_id": b.column(1), "text": b.column(2), "ids": lists(out), "sizes": lists(sizes)}
+
+    rare = map_arrow(src.select("row", "text"), ask, "row long, nth int, word string").select("row", "nth", *both_hashes("word"))
+    met = rare.join(words.table.select(*both_hashes("word"), "ids"), ["k1", "k2"])
+    held = met.groupBy("row").agg(F.collect_list(F.struct("nth", "ids")).alias("rare"))
+    whole = src.join(held, "row", "left").select("row", "doc_id", "text", F.col("rare.nth").alias("nth"), F.col("rare.ids").alias("found"))
+    return map_arrow(whole, answer, f"row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, sizes array<int>")
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    return as_list(np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])], pa.int32())
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
+
+
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """row, doc_id, ids: every document's ids in order. Null and empty texts have none; an empty table gives no rows."""
-    words = F.udf(split_words, "array<string>", useArrow=True)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    coded = encode_words(vocabulary(docs, text_col).select("word"), pieces)
-    spread = src.select("row", "doc_id", F.posexplode_outer("words").alias("at", "word")).join(coded, "word", "left")
-    parts = F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("at", "ids"))))
-    return spread.groupBy("row", "doc_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+    words = coded_words(docs, pieces, text_col, frequent)
+    return put_together(numbered(docs, id_col, text_col), words).select("row", "doc_id", "ids")
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", front: str = " ") -> DataFrame:
@@ -215,57 +288,40 @@ def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", front: str =
     return coded.withColumn("decoded", text(F.col(ids_col)))
 
 
-def digests(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_pieces, exact (the decoded ids are the whole text), ids_digest: the
-    sum over words, numbered i from 0, of crc32(the word's ids as decimal text with commas) * (FACTOR * (i + 1) mod
-    PRIME) mod PRIME. Null and empty texts have 0 words; repeated rows come back as often as they occur; an empty
-    table gives no rows; other columns are not read. Texts stay where they are read: only words outside the
-    ``frequent`` most common are dealt out."""
-    coded = decode(encode_words(vocabulary(docs, text_col), pieces), pieces, front="").select(
-        "word", "n", F.size("ids").alias("pieces"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("crc"),
-        (F.col("decoded") == F.replace("word", F.lit(MARK), F.lit(" "))).alias("same"))
-    coded = stored(coded, "coded")
-    top = coded.where(F.col("n") >= frequent_from(coded, frequent)).select(
-        F.replace("word", F.lit(MARK), F.lit(" ")).alias("w"), "pieces", F.col("crc") % PRIME, F.col("same")).toArrow()  # bounded: ``frequent`` rows
-    shared = docs.sparkSession.sparkContext.broadcast(
-        ({w: i for i, w in enumerate(top.column(0).to_pylist())}, *(np.array(top.column(i).to_pylist(), t) for i, t in ((1, "int64"), (2, "int64"), (3, bool)))))
+def word_digests(ids: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Of each list of ids, by the sizes of its words: the digest of ``digests``."""
+    import zlib
 
-    def run(batches):
-        known, sizes, crcs, same = shared.value
-        for b in slices(batches, 256):
-            out_row, out_doc, out_word, out = [], [], [], []
-            for row, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ws = spaced_words(text)
-                at = np.array([known.get(w, -1) for w in ws], "int64")
-                place = np.arange(1, len(ws) + 1, dtype="int64") * FACTOR % PRIME
-                held = at >= 0
-                seen = at[held]
-                out_row.append(row)
-                out_doc.append(doc)
-                out_word.append(f" {row}")  # no word holds a space: dealt out like the others
-                # the decoded words, one after the other, are the text if each is and they leave nothing out; a mark
-                # that the text itself holds comes back as a space
-                whole = sum(map(len, ws)) == len(text or "") + (len(ws) > 0) and MARK not in (text or "")
-                out.append((len(ws), int(sizes[seen].sum()), int((crcs[seen] * place[held] % PRIME).sum() % PRIME), not (whole and same[seen].all()), 0))
-                rare: dict[str, list[int]] = {}
-                for i in np.flatnonzero(~held):
-                    v = rare.setdefault(ws[i], [0, 0])
-                    v[0] += 1
-                    v[1] += int(place[i])
-                for w, (n, p) in rare.items():
-                    out_row.append(row)
-                    out_doc.append(None)
-                    out_word.append(w.replace(" ", MARK))
-                    out.append((0, 0, p % PRIME, False, n))
-            yield {"row": out_row, "doc_id": out_doc, "word": out_word, "n_words": [x[0] for x in out], "n_pieces": [x[1] for x in out],
-                   "sum": [x[2] for x in out], "bad": [x[3] for x in out], "times": [x[4] for x in out]}
-
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = map_arrow(src, run, "row long, doc_id long, word string, n_words long, n_pieces long, sum long, bad boolean, times long")
-    met = parts.join(coded.select("word", "pieces", "crc", "same"), "word", "left")
-    rare = F.col("times") > 0
-    sums = met.select("row", "doc_id", "n_words", (F.col("n_pieces") + F.when(rare, F.col("times") * F.col("pieces")).otherwise(0)).alias("n_pieces"),
-                      F.when(rare, F.col("crc") % PRIME * F.col("sum") % PRIME).otherwise(F.col("sum")).alias("sum"),
-                      (F.col("bad") | F.when(rare, ~F.col("same")).otherwise(False)).alias("bad"))
-    return sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_pieces").alias("n_pieces"),
-                                   (~F.max("bad")).alias("exact"), (F.sum("sum") % PRIME).alias("ids_digest")).drop("row")
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("int32"), np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False), dtype="int64")
+    raw, crc, seen = flat.tobytes(), np.empty(len(ends), "int64"), {}
+    at = 0
+    for i, end in enumerate(ends.tolist()):
+        key = raw[4 * at:4 * end]
+        found = seen.get(key)
+        if found is None:
+            found = seen[key] = zlib.crc32(",".join(map(str, flat[at:end].tolist())).encode()) % PRIME
+        crc[i], at = found, end
+    counts = pc.list_value_length(sizes).to_numpy(zero_copy_only=False)
+    first = np.cumsum(counts) - counts
+    place = (np.arange(len(ends)) - np.repeat(first, counts) + 1) * FACTOR % PRIME
+    sums = np.concatenate([[0], np.cumsum(crc * place % PRIME)])  # below 2^63 for 2^32 words a batch
+    return pa.array((sums[first + counts] - sums[first]) % PRIME, pa.int64())
+
+
+def digests(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """One row per row of ``docs``, from its whole list of ids and the text decoded from it: doc_id, n_words, n_pieces, exact
+    (the decoded text is the text), ids_digest: the sum over words, numbered i from 0, of crc32(the word's ids as decimal
+    text with commas) * (FACTOR * (i + 1) mod PRIME) mod PRIME. Null and empty texts have 0 words; repeated rows come back
+    as often as they occur; an empty table gives no rows; other columns are not read. Texts are taken in PARTS parts by a
+    hash of the id, so the disk holds the shuffled texts and words of one at a time."""
+    words = coded_words(docs, pieces, text_col, frequent)
+    digest = F.arrow_udf(word_digests, "long")
+    out = []
+    for part in range(PARTS):
+        src = numbered(docs.where(F.pmod(F.xxhash64(id_col), F.lit(PARTS)) == part), id_col, text_col)
+        coded = decode(put_together(src, words), pieces).select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.size("sizes").cast("long").alias("n_words"), F.size("ids").cast("long").alias("n_pieces"),
+            (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"), digest("ids", "sizes").alias("ids_digest"))
+        out.append(stored(coded, "digests"))
+        discard(src)
+    return reduce(DataFrame.unionAll, out)

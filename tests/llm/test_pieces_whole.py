@@ -46,3 +46,27 @@ def test_white_space_is_encoded(spark):
             words = [pieces.long_path(w, p.scores, p.longest, p.byte_ids) for w in pieces.split_words(t)]
             want = sum(zlib.crc32(",".join(map(str, x)).encode()) % pieces.PRIME * (pieces.FACTOR * (k + 1) % pieces.PRIME) for k, x in enumerate(words))
             assert (got[i].n_words, got[i].n_pieces, got[i].ids_digest) == (len(words), len(ids[i]), want % pieces.PRIME)
+
+
+def test_digests_come_from_whole_lists_of_ids(spark, monkeypatch):
+    """Every document's ids are put together and decoded: a wrong id anywhere in a list shows in ``exact``."""
+    p = model(spark)
+    rows = [(1, "one two zyxwv two"), (1, "one two zyxwv two"), (None, "zyxwv  qponm 🙂"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    whole = pieces.decode
+
+    def spied(coded, pieces_, *rest, **named):
+        seen.extend((r.doc_id, tuple(r.ids)) for r in coded.collect())
+        return whole(coded, pieces_, *rest, **named)
+
+    monkeypatch.setattr(pieces, "decode", spied)
+    got = pieces.digests(docs, p, frequent=2).collect()
+    path = lambda t: tuple(pieces.long_path(("▁" + t.replace(" ", "▁")) if t else "", p.scores, p.longest, p.byte_ids))
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(seen, key=key) == sorted(((i, path(t)) for i, t in rows), key=key)
+    assert sorted((r.doc_id or 0, r.n_pieces, r.exact) for r in got) == sorted((i or 0, len(path(t)), True) for i, t in rows)
+    last = p.texts.index("v") if "v" in p.texts else 300
+    monkeypatch.setattr(pieces, "decode", lambda coded, *rest, **named: whole(coded.withColumn("ids", F.when(
+        F.size("ids") > 0, F.concat(F.slice("ids", 1, F.size("ids") - 1), F.array(F.lit(last), F.lit(last)))).otherwise(F.col("ids"))), *rest, **named))
+    assert sorted((r.doc_id or 0, r.exact) for r in pieces.digests(docs, p).collect()) == [(0, False), (1, False), (1, False), (2, True), (3, True)]
