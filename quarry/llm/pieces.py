@@ -263,27 +263,18 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
 def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", front: str = " ") -> DataFrame:
     """Add ``decoded``: the text of a list of ids, without the mark in ``front`` of it (of a word, "" keeps it)."""
-    texts = pa.array(pieces.texts)
-    byte_of = np.full(len(pieces.texts), -1)
-    for i, b in pieces.bytes_.items():
-        if pieces.texts[i].startswith("<0x"):
-            byte_of[i] = b
+    octets = pa.array([bytes([pieces.bytes_[i]]) if i in pieces.bytes_ and t.startswith("<0x") else t.encode() for i, t in enumerate(pieces.texts)], pa.binary())
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
-        flat = ids.flatten()
         rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))]), pa.int32()),
-                                        texts.take(flat))
-        out = pc.replace_substring(pc.binary_join(rows, ""), MARK, " ")
-        octets = byte_of[flat.to_numpy(zero_copy_only=False)]
-        raw = np.unique(pc.list_parent_indices(ids).to_numpy(zero_copy_only=False)[octets >= 0])
-        if len(raw):  # rows with byte pieces
-            out = out.to_pylist()
-            for r in raw:
-                told = b"".join(bytes([byte_of[i]]) if byte_of[i] >= 0 else texts[i].as_py().encode() for i in ids[r].as_py())
-                out[r] = told.decode("utf-8", "replace").replace(MARK, " ")
-            out = pa.array(out, pa.string())
-        return pc.replace_substring_regex(out, f"^{front}", "", max_replacements=1)
+                                        octets.take(ids.flatten()))
+        joined = pc.binary_join(rows, b"")
+        try:
+            out = joined.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            out = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+        return pc.replace_substring_regex(pc.replace_substring(out, MARK, " "), f"^{front}", "", max_replacements=1)
 
     return coded.withColumn("decoded", text(F.col(ids_col)))
 
