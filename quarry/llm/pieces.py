@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 The work is done once for each distinct word. A word's substrings up to the longest piece are exploded and
-equi-joined with the piece table; the edges that match are grouped by word, and a higher-order aggregate folds them,
-by end and start, into the best path (highest sum of piece scores; ties go to the longer last piece). A character
-that is no piece falls back to its bytes. A second fold walks the path back into ids. A long word takes the same fold position
+equi-joined with the piece table; the edges that match are folded, by end and start, into the best path (highest sum of
+piece scores; ties go to the longer last piece), all words of a task at once, position after position. A character
+that is no piece falls back to its bytes. A walk back along the path gives the ids. A long word takes the same fold position
 by position inside its task, which holds the scores of the last ``longest`` positions and one step back a position, so
 a word of any length has its one best path. Documents then take their words' ids; the table of frequent words (bounded)
 travels with the tasks, the others meet their words in a join. Each document's whole list of ids is put together, and decoded
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import as_list, discard, frequent_from, map_arrow, slices, stored
+from quarry.llm.importance import shift, shift_tables
 
 MARK = "▁"
 #: A word, before its spaces become marks; every text is a row of them.
@@ -35,8 +36,14 @@ WORD = re.compile(r" *[^ \t\n]+| +|[\t\n]+")
 #: Code points of a word above which the path is folded position by position, words whose ids travel with the tasks, a
 #: byte's score.
 LONG_WORD, FREQUENT, BYTE_SCORE = 256, 100_000, -1e6
-#: Distinct words of a task: some 65 substrings and 25 edges each.
-WORDS_A_TASK = 40_000
+#: Distinct words of a task (some 65 substrings and 25 edges each) and their characters.
+WORDS_A_TASK, CHARACTERS_A_TASK = 40_000, 600_000
+#: Texts cut at a time, distinct words that a task holds before it hands them on, edges folded at a time.
+TEXTS, HELD, EDGES = 512, 200_000, 200_000
+#: Characters of a piece's beginning by which the substrings that can be pieces are bounded.
+FRONT = 4
+#: Ids of a word above which its digest is taken from its decimal text as a whole.
+MANY_IDS = 64
 #: Modulus and factor of the documents' order-sensitive digest.
 PRIME, FACTOR = 2_147_483_647, 1_000_003
 #: Parts of the texts whose ids are put together one after the other.
@@ -95,61 +102,115 @@ def long_path(word: str, scores: dict[str, tuple[float, int]], longest: int, byt
     return out[::-1]
 
 
+def best_paths(first: np.ndarray, sizes: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray,
+               scores: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the best paths of many words, one after the other, and the number of each word's. Edges come by word, start
+    and end; ``first`` are the words' first edges, ``sizes`` their characters. An edge of one character that is no piece has
+    -1 less its code point as id."""
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ids)]))
+    if not np.array_equal(np.bincount(of[end == start + 1], minlength=len(first)), sizes) or (np.diff(of * 1024 + start) < 0).any():
+        raise ValueError("the edges of a word must come together, by start")
+    octets = lambda x: 1 + (x >= 0x80) + (x >= 0x800) + (x >= 0x10000)
+    base = np.cumsum(sizes + 1) - sizes - 1  # position 0 of each word
+    order = np.argsort(end.astype("uint16"), kind="stable")  # by end, word, start
+    of, ids = of[order], ids[order]
+    src, dst = base[of] + start[order], base[of] + end[order]
+    score = np.where(ids < 0, octets(-1 - ids) * BYTE_SCORE, scores[np.maximum(ids, 0)])
+    best, back = np.zeros(int((sizes + 1).sum())), np.zeros(int((sizes + 1).sum()), "int64")
+    longest_word = int(sizes.max(initial=0))
+    cuts = np.searchsorted(end[order], np.arange(1, longest_word + 2))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        to, reached = dst[lo:hi], best[src[lo:hi]] + score[lo:hi]
+        heads = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        most = np.maximum.reduceat(reached, heads)
+        group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, hi - lo]))
+        hit = np.flatnonzero(reached == most[group])
+        hit = hit[np.r_[True, group[hit][1:] != group[hit][:-1]]]  # the longest of equals
+        best[to[heads]], back[to[heads]] = most, lo + hit
+    words, path, at, going = [], [], base + sizes, np.flatnonzero(sizes)
+    while len(going):
+        edge = back[at[going]]
+        words.append(going)
+        path.append(ids[edge])
+        at[going] = src[edge]
+        going = going[at[going] > base[going]]
+    if not words:
+        return np.zeros(0, "int32"), np.zeros(len(first), "int64")
+    words, path = np.concatenate(words)[::-1], np.concatenate(path)[::-1]
+    order = np.argsort(words, kind="stable")
+    words, path = words[order], path[order]
+    room = np.where(path < 0, octets(-1 - path), 1)
+    out = np.repeat(path, room)
+    if (path < 0).any():
+        out[out < 0] = byte_ids[np.frombuffer("".join(map(chr, (-1 - path[path < 0]).tolist())).encode(), "uint8")]
+    return out.astype("int32"), np.bincount(words, weights=room, minlength=len(first)).astype("int64")
+
+
+def whole_groups(batches, begins, least: int):
+    """Tables of at least ``least`` rows, but for the last; ``begins`` tells where groups begin in a table, and none is cut."""
+    held, rows, enough = [], 0, least
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= enough:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(begins(t)[-1])
+            if last:
+                yield t.slice(0, last).combine_chunks()
+                held = t.slice(last).combine_chunks().to_batches()
+                rows -= last
+            enough = least if last else 2 * rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``words`` (word, and other columns but ``wid``; give each word once) with ``ids``: the best path's ids. Words are
-    numbered and dealt out by number; edges stay in the task of their word, as rows of five numbers."""
-
-    words = stored(words.withColumn("wid", F.monotonically_increasing_id()), "words")
-    count, longest_word = words.agg(F.count("*"), F.max(F.length("word"))).first()
-    n = max(1, -(-count // WORDS_A_TASK))
-    long = F.length("word") > LONG_WORD
-    texts = words.where(~long).select("wid", "word").repartition(n, "wid")
-    subs = texts.select("wid", "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start")).select(
-        "wid", "word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.length("word"), F.col("start") + pieces.longest))).alias("end"))
-    subs = subs.select("wid", "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
-    met = subs.join(F.broadcast(pieces.table), "piece", "left").where("id is not null or end = start + 1")
-    score = F.coalesce("score", F.octet_length("piece") * F.lit(BYTE_SCORE))
-    edges = met.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct(
-        "end", "start", score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id")))).alias("edges"))
-    # edges come by end, start. best[p]: of the paths to position p the highest score, its last edge's start and id,
-    # for the positions before ``end``; the other fields are those of the position that the fold is at
-    step = "named_struct('score', a.score, 'start', a.start, 'id', a.id)"
-    fold = F.expr(f"""
-        aggregate(edges, named_struct('best', cast(array() as array<struct<score:double,start:int,id:int>>), 'end', 0, 'score', 0.0D, 'start', -1, 'id', -1),
-          (a, e) -> case
-            when e.end > a.end then named_struct(
-              'best', concat(a.best, array({step})), 'end', e.end,
-              'score', if(e.start = a.end, a.score, a.best[e.start].score) + e.score, 'start', e.start, 'id', e.id)
-            when a.best[e.start].score + e.score > a.score then named_struct(
-              'best', a.best, 'end', a.end, 'score', a.best[e.start].score + e.score, 'start', e.start, 'id', e.id)
-            else a end,
-          a -> concat(a.best, array({step})))""")
-    walk = F.expr("""
-        aggregate(sequence(1, size(best)), named_struct('at', size(best) - 1, 'path', cast(array() as array<struct<start:int,id:int>>)), (w, i) ->
-          if(w.at <= 0, w, named_struct('at', best[w.at].start,
-             'path', concat(array(named_struct('start', best[w.at].start, 'id', best[w.at].id)), w.path))), w -> w.path)""")
-    paths = edges.select("wid", fold.alias("best")).select("wid", walk.alias("path"))
-    byte_table = F.array(*[F.lit(i) for i in pieces.byte_ids])
-
-    def of_char(start):
-        octets = F.hex(F.substring("word", start + 1, F.lit(1)).cast("binary"))
-        return F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda i: F.element_at(
-            byte_table, F.conv(F.substring(octets, i, F.lit(2)), 16, 10).cast("int") + 1))
-
-    ids = F.when(F.exists("path", lambda x: x["id"] < 0), F.flatten(F.transform(
-        "path", lambda x: F.when(x["id"] < 0, of_char(x["start"])).otherwise(F.array(x["id"]))))).otherwise(F.col("path")["id"])
-    out = words.join(paths, "wid").withColumn("ids", ids).drop("wid", "path")
+    """``words`` (word, and other columns; read twice, give each word once) with ``ids``: the best path's ids. Words are dealt
+    out once; edges stay in the task of their word, as rows of three numbers, the first of a word with its row. Substrings
+    meet the pieces by 64 bits, then by their text; those longer than any piece with the same FRONT first characters are not
+    made."""
+    count, letters, longest_word = words.agg(F.count("*"), F.sum(F.length("word").cast("long")), F.max(F.length("word"))).first()
+    n = max(1, -(-count // WORDS_A_TASK), -(-(letters or 0) // CHARACTERS_A_TASK))
+    long, names, size = F.length("word") > LONG_WORD, words.columns, F.length("word")
+    table = pieces.table.select(F.xxhash64("piece").alias("k"), F.col("piece").alias("known"), "id")
+    if table.select("k").distinct().count() < len(pieces.scores):
+        raise ValueError("two pieces share 64 bits")
+    reach = pieces.table.groupBy(F.xxhash64(F.substring("piece", 1, FRONT)).alias("front")).agg(F.max(F.length("piece")).alias("reach"))
+    starts = words.where(~long).repartition(n, "word").select(*names, F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    front = F.xxhash64(F.expr(f"substring(word, start + 1, {FRONT})"))
+    starts = starts.withColumn("front", front).join(F.broadcast(reach), "front", "left").withColumn(
+        "stop", F.least(size, F.col("start") + F.greatest(F.coalesce("reach", F.lit(0)), F.lit(FRONT - 1))))
+    subs = starts.select(*names, "start", F.explode(F.sequence(F.col("start") + 1, F.col("stop"))).alias("end")).withColumn(
+        "piece", F.expr("substring(word, start + 1, end - start)")).withColumn("k", F.xxhash64("piece"))
+    one = F.col("end") == F.col("start") + 1
+    met = subs.join(F.broadcast(table), "k", "left").where((F.col("known") == F.col("piece")) | one)
+    edges = met.select("start", "end", F.when(F.col("known") == F.col("piece"), F.col("id")).otherwise(-1 - F.ascii("piece")).alias("id"),
+                       F.when((F.col("start") == 0) & one, F.struct(*names)).alias("row"))
+    longest, scores, byte_ids = pieces.longest, np.zeros(len(pieces.texts)), np.array(pieces.byte_ids, "int32")
+    for score, i in pieces.scores.values():
+        scores[i] = score
+    begins = lambda t: np.flatnonzero(t.column("row").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+
+    def fold(batches):
+        for t in whole_groups(batches, begins, EDGES):
+            rows = dict(zip(names, t.column("row").combine_chunks().drop_null().flatten(), strict=True))
+            sizes = pc.utf8_length(rows["word"]).to_numpy(zero_copy_only=False).astype("int64")
+            flat, counts = best_paths(begins(t), sizes, *(t.column(i).to_numpy() for i in range(3)), scores, byte_ids)
+            yield rows | {"ids": as_list(flat, np.r_[0, np.cumsum(counts)], pa.int32())}
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", ids array<int>"
+    out = map_arrow(edges, fold, schema)
     if (longest_word or 0) <= LONG_WORD:
         return out
-    scores, longest, byte_ids = pieces.scores, pieces.longest, pieces.byte_ids
+    known = pieces.scores
 
     def run(batches):
-        for b in batches:
-            for wid, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield {"wid": [wid], "ids": [long_path(word, scores, longest, byte_ids)]}
+        for b in slices(batches, 64):
+            paths = [long_path(w, known, longest, pieces_bytes) for w in b.column(at).to_pylist()]
+            yield {c: b.column(i) for i, c in enumerate(names)} | {"ids": paths}
 
-    told = map_arrow(words.where(long).select("wid", "word").repartition(n, "wid"), run, "wid long, ids array<int>")
-    return out.unionByName(words.join(told, "wid").drop("wid"))
+    at, pieces_bytes = names.index("word"), pieces.byte_ids
+    return out.unionByName(map_arrow(words.where(long).repartition(n, "word"), run, schema))
 
 
 def split_words(text: str | None) -> list[str]:
@@ -162,23 +223,53 @@ def spaced_words(text: str | None) -> list[str]:
     return WORD.findall(" " + text) if text else []
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of many texts (``spaced_words``), one text's after the other's, and the number of each text's."""
+    texts = pc.fill_null(texts, "")
+    spaced = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(" ", texts, ""))
+    ends = np.frombuffer(spaced.buffers()[1], "int32")[spaced.offset:spaced.offset + len(spaced) + 1]
+    octets = np.frombuffer(spaced.buffers()[2] or b"", "uint8")[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    if not len(octets):
+        return pa.array([], pa.string()), np.zeros(len(texts), "int64")
+    space, line = octets == 32, (octets == 9) | (octets == 10)
+    begins = np.ones(len(octets), bool)
+    begins[1:] = (line[1:] != line[:-1]) | (space[1:] & ~space[:-1])
+    begins[ends[:-1][ends[1:] > ends[:-1]]] = True
+    at = np.flatnonzero(begins)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(octets)].astype("int32")), pa.py_buffer(np.ascontiguousarray(octets)))
+    return words, np.diff(np.searchsorted(at, ends))
+
+
+def marked(words: pa.Array) -> pa.Array:
+    return pc.replace_substring(words, " ", MARK)
+
+
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n: all distinct words of all texts, summed inside each task first."""
     def run(batches):
-        from collections import Counter
+        def summed(held):
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"]).combine_chunks()
 
-        def marked(seen):
-            return {"word": [w.replace(" ", MARK) for w in seen], "n": list(seen.values())}
+        def told(t):
+            return {"word": marked(t.column("word").combine_chunks()), "n": t.column("n").combine_chunks()}
 
-        seen: Counter = Counter()
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                seen.update(spaced_words(t))
-            if len(seen) > 200_000:
-                yield marked(seen)
-                seen.clear()
-        if seen:
-            yield marked(seen)
+        held, rows = [], 0
+        for b in slices(batches, TEXTS):
+            words, _ = cut(b.column(0))
+            if not len(words):
+                continue
+            counts = words.value_counts()
+            held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            rows += len(counts)
+            if rows > 2 * HELD:
+                held = [summed(held)]
+                rows = held[0].num_rows
+                if rows > HELD:
+                    yield told(held[0])
+                    held, rows = [], 0
+        if held:
+            yield told(summed(held))
 
     return map_arrow(docs.select(F.col(text_col)), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -188,14 +279,18 @@ class Words:
     """The ids of all words of a corpus."""
 
     table: DataFrame  # word, n, ids
-    shared: Broadcast  # ids of the frequent words, with spaces in place of their marks
+    shared: Broadcast  # the frequent words, with spaces in place of their marks, their ids and where those of each begin
 
 
 def coded_words(docs: DataFrame, pieces: Pieces, text_col: str = "text", frequent: int = FREQUENT) -> Words:
-    coded = stored(encode_words(vocabulary(docs, text_col), pieces), "coded")
-    top = coded.where(F.col("n") >= frequent_from(coded, frequent)).select(F.replace("word", F.lit(MARK), F.lit(" ")), "ids").toArrow()  # bounded: ``frequent`` rows
-    known = {w: tuple(ids) for w, ids in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)}
-    return Words(coded, docs.sparkSession.sparkContext.broadcast(known))
+    words = stored(vocabulary(docs, text_col), "words")
+    coded = stored(encode_words(words, pieces), "coded")
+    discard(words)
+    top = coded.where(F.col("n") >= frequent_from(coded, frequent)).select(F.replace("word", F.lit(MARK), F.lit(" ")).alias("word"), "ids", "n").toArrow().sort_by([("n", "descending")]).combine_chunks()  # bounded: ``frequent`` rows
+    ids = top.column("ids").combine_chunks()
+    ends = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))].astype("int64")
+    return Words(coded, docs.sparkSession.sparkContext.broadcast(
+        (top.column("word").cast(pa.string()).combine_chunks(), ids.flatten().to_numpy(zero_copy_only=False).astype("int32"), ends)))
 
 
 def both_hashes(word):
@@ -203,62 +298,83 @@ def both_hashes(word):
     return F.xxhash64(word).alias("k1"), F.xxhash64(F.lit(1), word).alias("k2")
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of each span, one span after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
+def ends_of(counts: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Offsets of lists that hold ``each`` for each of so many of its numbers in a row as ``counts`` says."""
+    return np.r_[0, np.cumsum(each)][np.r_[0, np.cumsum(counts)]]
+
+
+def asked(docs: DataFrame, words: Words, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, sha256 of each text, with codes, the number of each frequent word, or of another word -1 less its place in
+    rare, and rare, those other words by first appearance. Stored."""
+    shared = words.shared
+
+    def run(batches):
+        known = shared.value[0]
+        for b in slices(batches, TEXTS):
+            cut_words, counts = cut(b.column(3))
+            coded = cut_words.dictionary_encode()
+            which, distinct = coded.indices.to_numpy(), coded.dictionary
+            codes = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy(zero_copy_only=False)[which]
+            # each text's other words, once each
+            other, size = np.flatnonzero(codes < 0), max(len(distinct), 1)
+            key, seen, back = np.unique(np.repeat(np.arange(b.num_rows), counts)[other] * size + which[other], return_index=True, return_inverse=True)
+            order = np.argsort(seen)
+            asking = np.bincount(key // size, minlength=b.num_rows)
+            nth = np.empty(len(key), "int64")
+            nth[order] = spans(np.zeros(b.num_rows, "int64"), asking)
+            codes[other] = -1 - nth[back]
+            yield {"row": b.column(0), "doc_id": b.column(1), "sha256": b.column(2), "codes": as_list(codes, np.r_[0, np.cumsum(counts)], pa.int32()),
+                   "rare": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(asking)], pa.int32()), marked(distinct).take(pa.array(key[order] % size)))}
+
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), sha256(F.col(text_col)).alias("sha256"), F.col(text_col))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return stored(map_arrow(src, run, f"row long, doc_id {kind}, sha256 string, codes array<int>, rare array<string>"), "asked")
+
+
+def sha256(text):
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def put_together(src: DataFrame, words: Words) -> DataFrame:
-    """``src`` (row, doc_id, text; read twice, so its rows must stay the same) with ids, those of the whole text in order, and
-    sizes, the number of each word's. A document's words outside the frequent ones meet their ids by 128 bits of the word,
-    and come back numbered by first appearance."""
+    """The rows of ``asked`` with ids, those of the whole text in order, and sizes, the number of each word's. A document's
+    words outside the frequent ones meet their ids by 128 bits of the word, and come back behind its row."""
     shared = words.shared
+    begins = lambda t: np.flatnonzero(t.column("nth").to_numpy() < 0)
 
-    def ask(batches):
-        known = shared.value
-        for b in slices(batches, 256):
-            rows, nth, asked = [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rare = [w.replace(" ", MARK) for w in dict.fromkeys(spaced_words(text)) if w not in known]
-                rows += [row] * len(rare)
-                nth += range(len(rare))
-                asked += rare
-            yield {"row": rows, "nth": nth, "word": asked}
-
-    def answer(batches):
-        known = shared.value
-        for b in slices(batches, 256):
-            out, sizes = [], []
-            for text, nth, found in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                told = dict(zip(nth or (), found or (), strict=True))
-                rare: dict[str, list[int]] = {}
-                ids, size = [], []
-                for w in spaced_words(text):
-                    of_word = known.get(w)
-                    if of_word is None:
-                        of_word = rare.get(w)
-                        if of_word is None:
-                            of_word = rare[w] = told[len(rare)]
-                    ids += of_word
-                    size.append(len(of_word))
-                out.append(np.array(ids, "int32"))
-                sizes.append(np.array(size, "int32"))
-            yield {"row": b.column(0), "doc_id": b.column(1), "text": b.column(2), "ids": lists(out), "sizes": lists(sizes)}
-
-    rare = map_arrow(src.select("row", "text"), ask, "row long, nth int, word string").select("row", "nth", *both_hashes("word"))
-    met = rare.join(words.table.select(*both_hashes("word"), "ids"), ["k1", "k2"])
-    held = met.groupBy("row").agg(F.collect_list(F.struct("nth", "ids")).alias("rare"))
-    whole = src.join(held, "row", "left").select("row", "doc_id", "text", F.col("rare.nth").alias("nth"), F.col("rare.ids").alias("found"))
-    return map_arrow(whole, answer, f"row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, sizes array<int>")
-
-
-def lists(rows: list[np.ndarray]) -> pa.Array:
-    return as_list(np.concatenate(rows), np.r_[0, np.cumsum([len(x) for x in rows])], pa.int32())
-
-
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
+    def run(batches):
+        _, known, ends = shared.value
+        for t in whole_groups(batches, begins, 10_000):
+            docs, lists = begins(t), t.column("ids").combine_chunks()
+            flat, lengths = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
+            if not np.array_equal(t.column("nth").to_numpy(), spans(np.full(len(docs), -1), np.diff(np.r_[docs, len(lengths)]))):
+                raise ValueError("a word has no ids")
+            starts, counts = np.cumsum(lengths) - lengths, lengths[docs]
+            codes = flat[spans(starts[docs], counts)].astype("int64")
+            rare = np.flatnonzero(codes < 0)
+            answer = np.repeat(docs, counts)[rare] - codes[rare]  # the row of its ids
+            codes[rare] = 0
+            begin, size = ends[codes], ends[np.minimum(codes + 1, len(ends) - 1)] - ends[codes]
+            begin[rare], size[rare] = len(known) + starts[answer], lengths[answer]
+            out = {c: t.column(c).combine_chunks().take(pa.array(docs)) for c in ("row", "doc_id", "sha256")}
+            yield out | {"ids": as_list(np.concatenate([known, flat])[spans(begin, size)], ends_of(counts, size), pa.int32()),
+                         "sizes": as_list(size, np.r_[0, np.cumsum(counts)], pa.int32())}
+
+    rare = src.select("row", F.posexplode("rare").alias("nth", "word")).select("row", "nth", *both_hashes("word"))
+    met = rare.join(words.table.select(*both_hashes("word"), "ids"), ["k1", "k2"]).select("row", "nth", "ids")
+    both = src.select("row", F.lit(-1).alias("nth"), F.col("codes").alias("ids"), "doc_id", "sha256").unionByName(met, allowMissingColumns=True)
+    dealt = both.repartition("row").sortWithinPartitions("row", "nth")
+    return map_arrow(dealt, run, f"row long, doc_id {src.schema['doc_id'].dataType.simpleString()}, sha256 string, ids array<int>, sizes array<int>")
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """row, doc_id, ids: every document's ids in order. Null and empty texts have none; an empty table gives no rows."""
     words = coded_words(docs, pieces, text_col, frequent)
-    return put_together(numbered(docs, id_col, text_col), words).select("row", "doc_id", "ids")
+    return put_together(asked(docs, words, id_col, text_col), words).select("row", "doc_id", "ids")
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", front: str = " ") -> DataFrame:
@@ -267,6 +383,9 @@ def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids", front: str =
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
+        return pa.concat_arrays([texts(ids.slice(at, TEXTS)) for at in range(0, max(len(ids), 1), TEXTS)])
+
+    def texts(ids: pa.Array) -> pa.Array:
         rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))]), pa.int32()),
                                         octets.take(ids.flatten()))
         joined = pc.binary_join(rows, b"")
@@ -283,25 +402,34 @@ def word_digests(ids: pa.Array, sizes: pa.Array) -> pa.Array:
     """Of each list of ids, by the sizes of its words: the digest of ``digests``."""
     import zlib
 
-    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("int32"), np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False), dtype="int64")
-    raw, crc, seen = flat.tobytes(), np.empty(len(ends), "int64"), {}
-    at = 0
-    for i, end in enumerate(ends.tolist()):
-        key = raw[4 * at:4 * end]
-        found = seen.get(key)
-        if found is None:
-            found = seen[key] = zlib.crc32(",".join(map(str, flat[at:end].tolist())).encode()) % PRIME
-        crc[i], at = found, end
-    counts = pc.list_value_length(sizes).to_numpy(zero_copy_only=False)
-    first = np.cumsum(counts) - counts
-    place = (np.arange(len(ends)) - np.repeat(first, counts) + 1) * FACTOR % PRIME
-    sums = np.concatenate([[0], np.cumsum(crc * place % PRIME)])  # below 2^63 for 2^32 words a batch
-    return pa.array((sums[first + counts] - sums[first]) % PRIME, pa.int64())
+    numbers = np.arange(1 + (pc.max(ids.flatten()).as_py() or 0))
+    alone, behind = (np.array([zlib.crc32(form % i) for i in numbers.tolist()], "uint32") for form in (b"%d", b",%d"))
+    width = 2 + sum((numbers >= 10 ** k).astype("int64") for k in range(1, 10))  # of a number with a comma
+    tables = shift_tables(4)
+
+    def of(ids, sizes):
+        flat, size = (x.flatten().to_numpy(zero_copy_only=False).astype("int64") for x in (ids, sizes))
+        start, crc = np.cumsum(size) - size, np.zeros(len(size), "uint32")
+        going, k = np.flatnonzero((size > 0) & (size <= MANY_IDS)), 0
+        while len(going):  # the CRC of the ids so far, shifted by the next one's characters, and that of the next one
+            x = flat[start[going] + k]
+            crc[going] = shift(crc[going], width[x], tables) ^ behind[x] if k else alone[x]
+            k += 1
+            going = going[size[going] > k]
+        for i in np.flatnonzero(size > MANY_IDS).tolist():
+            crc[i] = zlib.crc32(",".join(map(str, flat[start[i]:start[i] + size[i]].tolist())).encode())
+        counts = pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False)
+        first = np.cumsum(counts) - counts
+        place = (np.arange(len(size)) - np.repeat(first, counts) + 1) * FACTOR % PRIME
+        sums = np.concatenate([[0], np.cumsum(crc.astype("int64") % PRIME * place % PRIME)])  # below 2^63 for 2^32 words
+        return (sums[first + counts] - sums[first]) % PRIME
+
+    return pa.array(np.concatenate([of(ids.slice(at, TEXTS), sizes.slice(at, TEXTS)) for at in range(0, max(len(ids), 1), TEXTS)]), pa.int64())
 
 
 def digests(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per row of ``docs``, from its whole list of ids and the text decoded from it: doc_id, n_words, n_pieces, exact
-    (the decoded text is the text), ids_digest: the sum over words, numbered i from 0, of crc32(the word's ids as decimal
+    (the decoded text is the text, by their SHA-256), ids_digest: the sum over words, numbered i from 0, of crc32(the word's ids as decimal
     text with commas) * (FACTOR * (i + 1) mod PRIME) mod PRIME. Null and empty texts have 0 words; repeated rows come back
     as often as they occur; an empty table gives no rows; other columns are not read. Texts are taken in PARTS parts by a
     hash of the id, so the disk holds the shuffled texts and words of one at a time."""
@@ -309,10 +437,10 @@ def digests(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: s
     digest = F.arrow_udf(word_digests, "long")
     out = []
     for part in range(PARTS):
-        src = numbered(docs.where(F.pmod(F.xxhash64(id_col), F.lit(PARTS)) == part), id_col, text_col)
+        src = asked(docs.where(F.pmod(F.xxhash64(id_col), F.lit(PARTS)) == part), words, id_col, text_col)
         coded = decode(put_together(src, words), pieces).select(
             F.col("doc_id").cast("long").alias("doc_id"), F.size("sizes").cast("long").alias("n_words"), F.size("ids").cast("long").alias("n_pieces"),
-            (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"), digest("ids", "sizes").alias("ids_digest"))
+            (sha256(F.col("decoded")) == F.col("sha256")).alias("exact"), digest("ids", "sizes").alias("ids_digest"))
         out.append(stored(coded, "digests"))
         discard(src)
     return reduce(DataFrame.unionAll, out)
