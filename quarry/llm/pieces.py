@@ -166,7 +166,7 @@ def whole_groups(batches, begins, least: int):
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``words`` (word, and other columns; read twice, give each word once) with ``ids``: the best path's ids. Words are dealt
-    out once; edges stay in the task of their word, as rows of three numbers, the first of a word with its row. Substrings
+    out once; edges stay in the task of their word, packed into a number each (id, start, end), the first of a word with its row. Substrings
     meet the pieces by 64 bits, then by their text; those longer than any piece with the same FRONT first characters are not
     made."""
     count, letters, longest_word = words.agg(F.count("*"), F.sum(F.length("word").cast("long")), F.max(F.length("word"))).first()
@@ -184,18 +184,19 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         "piece", F.expr("substring(word, start + 1, end - start)")).withColumn("k", F.xxhash64("piece"))
     one = F.col("end") == F.col("start") + 1
     met = subs.join(F.broadcast(table), "k", "left").where((F.col("known") == F.col("piece")) | one)
-    edges = met.select("start", "end", F.when(F.col("known") == F.col("piece"), F.col("id")).otherwise(-1 - F.ascii("piece")).alias("id"),
-                       F.when((F.col("start") == 0) & one, F.struct(*names)).alias("row"))
+    edge = F.when(F.col("known") == F.col("piece"), F.col("id")).otherwise(-1 - F.ascii("piece")).cast("long") * (1 << 20) + F.col("start") * 1024 + F.col("end")
+    edges = met.select(edge.alias("edge"), *[F.when((F.col("start") == 0) & one, F.col(c)).alias(f"of_{c}") for c in names])
     longest, scores, byte_ids = pieces.longest, np.zeros(len(pieces.texts)), np.array(pieces.byte_ids, "int32")
     for score, i in pieces.scores.values():
         scores[i] = score
-    begins = lambda t: np.flatnonzero(t.column("row").combine_chunks().is_valid().to_numpy(zero_copy_only=False))
+    begins = lambda t: np.flatnonzero((t.column("edge").to_numpy() & (1 << 20) - 1) == 1)
 
     def fold(batches):
         for t in whole_groups(batches, begins, EDGES):
-            rows = dict(zip(names, t.column("row").combine_chunks().drop_null().flatten(), strict=True))
+            first, edge = begins(t), t.column("edge").to_numpy()
+            rows = {c: t.column(f"of_{c}").combine_chunks().take(pa.array(first)) for c in names}
             sizes = pc.utf8_length(rows["word"]).to_numpy(zero_copy_only=False).astype("int64")
-            flat, counts = best_paths(begins(t), sizes, *(t.column(i).to_numpy() for i in range(3)), scores, byte_ids)
+            flat, counts = best_paths(first, sizes, edge >> 10 & 1023, edge & 1023, edge >> 20, scores, byte_ids)
             yield rows | {"ids": as_list(flat, np.r_[0, np.cumsum(counts)], pa.int32())}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", ids array<int>"
