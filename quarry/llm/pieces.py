@@ -39,7 +39,7 @@ LONG_WORD, FREQUENT, BYTE_SCORE = 256, 100_000, -1e6
 #: Distinct words of a task (some 65 substrings and 25 edges each) and their characters.
 WORDS_A_TASK, CHARACTERS_A_TASK = 40_000, 600_000
 #: Texts cut at a time, distinct words that a task holds before it hands them on, edges folded at a time.
-TEXTS, HELD, EDGES = 512, 200_000, 200_000
+TEXTS, HELD, EDGES = 256, 100_000, 100_000
 #: Characters of a piece's beginning by which the substrings that can be pieces are bounded.
 FRONT = 4
 #: Ids of a word above which its digest is taken from its decimal text as a whole.
@@ -47,7 +47,7 @@ MANY_IDS = 64
 #: Modulus and factor of the documents' order-sensitive digest.
 PRIME, FACTOR = 2_147_483_647, 1_000_003
 #: Parts of the texts whose ids are put together one after the other.
-PARTS = 4
+PARTS = 5
 
 
 @dataclass
