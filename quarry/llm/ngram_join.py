@@ -4,14 +4,15 @@
 band j differ in at most D elements; the hash space is cut into D + 1 + spare slices, so in at least 1 + spare
 slices they hold the same elements. A tile is (band, slice, what the set holds there): linked sets always share
 one. Slices with very few elements, which unlinked sets share by chance, are left out where a set has no more than
-``spare`` of them; a set with more sends all of its slices, which keeps the guarantee for any pair.
+``spare`` of them; a set with more sends all of its slices, which keeps the guarantee for any pair. Near copies share
+many tiles: tiles of the same members are kept once.
 
 *Signatures.* 512 bits, bit b the parity of the number of elements hashed to b. The bits in which two signatures
 differ are at most the elements in which the sets differ, so bit counts bound the overlap from above.
 
 *Links.* Inside a tile sets are first compared with the tile's centre (linear in the tile), then only members of
 different components are, by bit counts inside the join; what passes both is decided by intersecting the sorted
-hash arrays. Equal sets are one class with a number of its own throughout, so ids that occur with several texts keep
+hash arrays; only the sets of such pairs travel, in parts that hold no more than all sets do. Equal sets are one class with a number of its own throughout, so ids that occur with several texts keep
 all of them.
 """
 
@@ -24,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_list, map_arrow, slices, stored, worker_state
+from quarry.llm.common import as_list, discard, map_arrow, slices, stored, worker_state
 from quarry.llm.components import components
 
 WORDS_KEPT = 150_000
 BITS = [f"b{i}" for i in range(8)]
+#: Members of a tile that a task holds to see whether another tile has the same; a larger tile stays as it is.
+TILE_HELD = 1 << 20
+#: Ids of compared sets up to which they are broadcast to the table of sets instead of shuffling it.
+IDS_SENT = 1 << 20
 _U = np.uint64
 
 
@@ -159,28 +164,50 @@ def _tile_rows(texts: DataFrame, width: int, bands: Bands) -> DataFrame:
 
 
 def _shared_tiles(rows: DataFrame) -> DataFrame:
-    """The rows of tiles with two members or more: one shuffle, sorted by tile, each row held against its neighbours."""
+    """(tile, id) of tiles with two members or more, those of the same members once: one shuffle, sorted by tile, each tile
+    named by the hash of its members. (Names that meet by chance make one tile of two, which compares more.)"""
+    def named(tile, ids, starts):
+        sizes = np.diff(np.append(starts, len(ids)))
+        names = _mix(np.add.reduceat(_mix(ids.view("uint64")), starts)).view("int64") if tile is None else np.full(len(starts), tile)
+        shared = np.repeat(sizes > 1, sizes)
+        return {"tile": np.repeat(names, sizes)[shared], "id": ids[shared]}
+
     def run(batches):
-        last = None  # the row before, kept back until its next neighbour is known: (tile, id, shared already)
+        last, held, large = None, [], False  # the tile that may go on in the next batch, its members, it keeps its own name
+
+        def ended():
+            return named(last if large else None, np.concatenate(held), np.zeros(1, int))
+
         for b in batches:
             tile, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keep = np.zeros(len(tile), bool)
-            same = tile[1:] == tile[:-1]
-            keep[1:] |= same
-            keep[:-1] |= same
-            if last is not None and last[0] == tile[0]:
-                keep[0] = True
-                last = (*last[:2], True)
-            if last is not None and last[2]:
-                yield {"tile": [last[0]], "id": [last[1]]}
-            last = (int(tile[-1]), int(ids[-1]), bool(keep[-1]))
-            keep[-1] = False
-            yield {"tile": tile[keep], "id": ids[keep]}
-        if last is not None and last[2]:
-            yield {"tile": [last[0]], "id": [last[1]]}
+            starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            if tile[0] == last:
+                held.append(ids[:starts[1] if len(starts) > 1 else None])
+                if len(starts) == 1:
+                    if sum(map(len, held)) > TILE_HELD:
+                        large = True
+                        yield ended()
+                        held = [ids[:0]]
+                    continue
+                starts = starts[1:]
+            if last is not None:
+                if large:  # parts of a shared tile, of any size
+                    rest = np.concatenate(held)
+                    yield {"tile": np.full(len(rest), last), "id": rest}
+                else:
+                    yield ended()
+            if len(starts) > 1:
+                yield named(None, ids[starts[0]:starts[-1]], starts[:-1] - starts[0])
+            last, held, large = int(tile[-1]), [ids[starts[-1]:]], False
+        if last is not None:
+            if large:
+                rest = np.concatenate(held)
+                yield {"tile": np.full(len(rest), last), "id": rest}
+            else:
+                yield ended()
 
     dealt = rows.select("tile", "id").repartition("tile").sortWithinPartitions("tile")
-    return map_arrow(dealt, run, "tile long, id long")
+    return map_arrow(dealt, run, "tile long, id long").distinct()
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -218,11 +245,27 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * both >= num * (len(u) + len(v) - both))
             yield {"a": b.column(0).filter(pa.array(keep)), "b": b.column(1).filter(pa.array(keep))}
 
-    s = sets.select("id", "hashes")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "compared")
+    few = ids.count() <= IDS_SENT
+    s = sets.select("id", "hashes").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     full = (pairs.join(s.toDF("a", "x"), "a").join(s.toDF("b", "y"), "b").select("a", "b", "x", "y"))
     return map_arrow(full, run, "a long, b long")
 
 
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int, room: int) -> DataFrame | None:
+    """``_verify`` of the pairs (a, b, n: elements of a), stored; in parts whose sets a hold about ``room`` elements, however
+    many pairs there are."""
+    pairs = stored(pairs, "pairs")
+    parts = -(-(pairs.agg(F.sum("n")).first()[0] or 0) // max(room, 1))
+    links = None
+    for part in range(parts):
+        some = pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+        found = stored(_verify(some.select("a", "b"), sets, num, den), "links")
+        links = found if links is None else links.union(found)
+    discard(pairs)
+    return links
+
+
 def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id",
                           text_col: str = "text", centre_rounds: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -245,11 +288,15 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
 
     tiles = stored(_shared_tiles(_tile_rows(texts(classes), width, bands)), "tiles")
     members = classes.join(tiles.select("id").distinct(), "id")
-    sets = stored(_sets(texts(members), width).dropDuplicates(["id"]), "sets")
+    sets = stored(_sets(texts(members), width), "sets")
+    count = sets.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.sum("n").alias("room")).first()
+    if count["rows"] > count["ids"]:  # rows that occur several times
+        again, sets = sets, stored(sets.dropDuplicates(["id"]), "sets")
+        discard(again)
     short = sets.drop("hashes")
 
     links = group = None
-    now_tiles = tiles.select("tile", "id").distinct()
+    now_tiles = tiles
     for turn in range(centre_rounds + 1):
         now = now_tiles
         if group is not None:  # tiles whose members are not in one component yet
@@ -258,7 +305,8 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
             now = now.join(mixed, "tile", "left_semi")
         else:
             now = now.withColumn("g", F.col("id"))
-        now_tiles = stored(now, "open")
+        before, now_tiles = now_tiles, stored(now, "open")
+        discard(before)
         if now_tiles.isEmpty():
             break
         full = now_tiles.join(short, "id")
@@ -270,9 +318,10 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, num: int = 4, den: in
         else:
             near = full.alias("x").join(full.alias("y"), (F.col("x.tile") == F.col("y.tile")) & (F.col("x.id") < F.col("y.id"))
                                         & (F.col("x.g") != F.col("y.g")) & _may_link("x", "y", num, den))
-        pairs = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        found = stored(_verify(pairs, sets, num, den), "links")
-        if not found.isEmpty():
+        pairs = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
+                            F.when(F.col("x.id") < F.col("y.id"), F.col("x.n")).otherwise(F.col("y.n")).alias("n")).distinct()
+        found = _links(pairs, sets, num, den, count["room"])
+        if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             group = components(links).select("id", F.col("component").alias("g"))
 
