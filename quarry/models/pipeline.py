@@ -10,6 +10,7 @@ stages add have names of their own (``quarry_…``), so feature and target names
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -19,6 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param
 from pyspark.ml.feature import (
+    Bucketizer,
     ElementwiseProduct,
     SQLTransformer,
     StandardScaler,
@@ -40,11 +42,17 @@ from quarry.functions.columns import classify, qcol
 from quarry.models import gram
 from quarry.models.dictionary import LabelDictionary, LabelDictionaryModel
 from quarry.models.prep import poly_sql, poly_terms
+from quarry.session import checkpoint_dir
 
 MAX_TREE_DEPTH = 30  # Spark's limit; deeper requests are clamped with a warning
 # sklearn's trees split on exact thresholds; Spark bins continuous features (default 32).
 # 128 bins keeps every midpoint for features with up to 128 distinct values.
 DEFAULT_MAX_BINS = 128
+#: Models of squared loss that see a row's features by their bins alone: rows of the same bins enter as one, with their
+#: mean label and their number as weight.
+BOOSTED = ("xgboost", "gbt", "lightgbm")
+#: Rows a cell of bins must have on average for that; else the rows are fitted as they are. Cells of a task.
+CELL_ROWS, TASK_CELLS = 4, 50_000
 
 # fixed values: the reference's default hyper-parameters per model
 DEFAULTS = {
@@ -272,6 +280,10 @@ def linear_pipeline(enc: Encoded, fit: gram.LinearFit) -> PipelineModel:
     return PipelineModel(stages=[*enc.stages, *stages, form])
 
 
+def _spread(s: float | None) -> float:
+    return s if s and s == s else 1.0  # constant → 0, like sklearn
+
+
 def _fit_estimator(enc: Encoded, name: str, scale: bool, params: dict) -> tuple[PipelineModel, int]:
     """Models that need more than moments: population-std standardisation (one aggregate, applied as literals; vector
     inputs by StandardScaler × √(n/(n−1))), then the estimator's own passes."""
@@ -285,7 +297,7 @@ def _fit_estimator(enc: Encoded, name: str, scale: bool, params: dict) -> tuple[
     n = int(r["n"])
     if flat:
         centre = [r[f"m{i}"] or 0.0 for i in range(len(enc.inputs))]
-        spread = [s if s and s == s else 1.0 for s in (r[f"s{i}"] for i in range(len(enc.inputs)))]  # constant → 0, like sklearn
+        spread = [_spread(r[f"s{i}"]) for i in range(len(enc.inputs))]
         stages = _assemble(enc, centre, spread)[0]
     elif scale:
         stages, width = _raw(enc, "quarry_raw")
@@ -298,6 +310,49 @@ def _fit_estimator(enc: Encoded, name: str, scale: bool, params: dict) -> tuple[
     return PipelineModel(stages=[*enc.stages, *fitted.stages]), n
 
 
+def _fit_cells(enc: Encoded, name: str, scale: bool, params: dict) -> tuple[PipelineModel, int] | None:
+    """A boosted fit on cells: one row for all rows of the same bins. A feature of more values than bins is cut at its
+    quantiles, as Spark's trees do themselves on a sample of rows; any other keeps its values. Each tree's splits and
+    leaves follow from the sums of the cells, so two scans serve all trees. None where the cells could be nearly as many
+    as the rows, or where a feature or label is missing (the estimator's own checks tell)."""
+    if enc.vectors or not enc.inputs:
+        return None
+    bins = int(params.get("max_bins", DEFAULT_MAX_BINS))
+    x, y = [qcol(c).cast("double") for c in enc.inputs], F.col(LABEL)
+    bad = [v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) for v in (*x, y)]
+    exprs = [F.count("*").alias("n"), F.count_if(F.greatest(*[b.cast("int") for b in bad]) == 1).alias("bad")]
+    for i, v in enumerate(x):
+        exprs += [F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}"), F.approx_count_distinct(v).alias(f"d{i}")]
+    r = enc.data.agg(*exprs).first()
+    n, width = int(r["n"]), range(len(x))
+    most = math.prod(min(r[f"d{i}"], bins) for i in width)
+    if r["bad"] or not n or most * CELL_ROWS > n:
+        return None
+    cut = [i for i in width if r[f"d{i}"] > bins]
+    edges = {}
+    if cut:
+        q = enc.data.agg(*[F.percentile_approx(x[i], [j / bins for j in range(1, bins)], 10_000).alias(f"q{i}") for i in cut]).first()
+        edges = {i: sorted(set(q[f"q{i}"])) for i in cut}
+    # the columns of the features: standardised values, or numbers of bins
+    centre = [r[f"m{i}"] if scale else 0.0 for i in width]
+    spread = [_spread(r[f"s{i}"]) if scale else 1.0 for i in width]
+    values = [f"(CAST({_sql(c)} AS DOUBLE) - ({_lit(centre[i])})) / ({_lit(spread[i])}) AS `quarry_z{i}`" if i not in edges
+              else f"CAST({_sql(c)} AS DOUBLE) AS `quarry_z{i}`" for i, c in enumerate(enc.inputs)]
+    stages = [SQLTransformer(statement=f"SELECT *, {', '.join(values)} FROM __THIS__")]
+    if cut:
+        stages.append(Bucketizer(splitsArray=[[-math.inf, *edges[i], math.inf] for i in cut], inputCols=[f"quarry_z{i}" for i in cut],
+                                 outputCols=[f"quarry_b{i}" for i in cut], handleInvalid="keep"))
+    names = [f"quarry_b{i}" if i in edges else f"quarry_z{i}" for i in width]
+    rows = PipelineModel(stages=list(stages)).transform(enc.data)
+    cells = rows.groupBy(*names).agg(F.avg(LABEL).alias(LABEL), F.count("*").cast("double").alias("quarry_weight"))
+    path = f"{checkpoint_dir(enc.data.sparkSession).rstrip('/')}/quarry/cells-{uuid.uuid4().hex}"
+    cells.repartition(max(1, min(int(enc.data.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // TASK_CELLS)))).write.parquet(path)
+    cells = enc.data.sparkSession.read.schema(cells.schema).parquet(path)
+    assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    fitted = make_regressor(name, LABEL, n, **params).setWeightCol("quarry_weight").fit(assemble.transform(cells))
+    return PipelineModel(stages=[*enc.stages, *stages, assemble, fitted]), n
+
+
 def result(enc: Encoded, pm: PipelineModel, name: str, features: Sequence[str], target: str, params: dict, n: int) -> FittedModel:
     extra = {}
     if enc.target_dictionary is not None:
@@ -329,13 +384,16 @@ def fit(df: DataFrame, features: Sequence[str], target: str, model: str = "linea
         solved = gram.solve(name, gram.total_of(linear_moments(enc)), {**DEFAULTS[name], **params}, scale)
         pm, n = linear_pipeline(enc, solved), solved.n
     else:
-        # several passes over the encoded columns alone, persisted (MEMORY_AND_DISK, recomputed from lineage if an
-        # executor is lost)
-        enc.data = enc.data.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            pm, n = _fit_estimator(enc, name, scale, params)
-        finally:
-            enc.data.unpersist()
+        done = _fit_cells(enc, name, scale, params) if name in BOOSTED else None
+        if done is None:
+            # several passes over the encoded columns alone, persisted (MEMORY_AND_DISK, recomputed from lineage if an
+            # executor is lost)
+            enc.data = enc.data.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                done = _fit_estimator(enc, name, scale, params)
+            finally:
+                enc.data.unpersist()
+        pm, n = done
     return result(enc, pm, name, features, target, {**params, "poly_degree": poly_degree}, n)
 
 
